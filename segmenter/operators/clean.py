@@ -41,13 +41,15 @@ def _numeric(c: Column, dtype: str) -> Column:
     return text_to_number(c)
 
 
-def typed_frame(df: DataFrame, as_of: dt.date | str | None = None, phone_only: bool = False) -> DataFrame:
+def typed_frame(df: DataFrame, as_of: dt.date | str | None = None, phone_only: bool = False,
+                passthrough: tuple[str, ...] = ()) -> DataFrame:
     """Normalise ids, parse dates and numbers; adds ``_date_raw_present`` for counting.
 
     Rows are not dropped here; see :func:`clean_customers`.
     """
     types = dict(df.dtypes)
-    cols = [normalize_id(F.col("client_id"), phone_only).alias("client_id")]
+    cols = [F.col(c) for c in passthrough]
+    cols.append(normalize_id(F.col("client_id"), phone_only).alias("client_id"))
     if "date" in types and "recency" not in types:
         if as_of is None:
             raise ValueError("as_of is required to derive recency from dates")
@@ -64,11 +66,11 @@ def typed_frame(df: DataFrame, as_of: dt.date | str | None = None, phone_only: b
 
 
 def clean_customers(df: DataFrame, as_of: dt.date | str | None = None,
-                    phone_only: bool = False) -> CleanResult:
+                    phone_only: bool = False, passthrough: tuple[str, ...] = ()) -> CleanResult:
     """Canonical frame in, clean frame out: ids non-null, measures filled and >= 0."""
     # Materialise the typed input once: the counters, the medians and the
     # cleaning projection then read it instead of recomputing its lineage.
-    typed = cut_lineage(typed_frame(df, as_of, phone_only))
+    typed = cut_lineage(typed_frame(df, as_of, phone_only, passthrough))
     has_date = "date" in typed.columns
     measures = [m for m in MEASURES if m in typed.columns]
     id_ok = F.col("client_id").isNotNull()
@@ -88,7 +90,7 @@ def clean_customers(df: DataFrame, as_of: dt.date | str | None = None,
         medians = {m: (q[0] if q else None)
                    for m, q in exact_quantiles_many(base, {m: [0.5] for m in gaps}).items()}
 
-    out_cols = [F.col("client_id")]
+    out_cols = [F.col(c) for c in passthrough] + [F.col("client_id")]
     if has_date:
         out_cols.append(F.col("date"))
     counts = {"rejected:null_id": stats["null_ids"]}

@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import normalize_id, parse_date, recency_days, text_to_number
 from ..operators import summary as S
+from ..operators.clean import clean_customers, fill_median, typed_frame
+from ..operators.rank import exact_quantiles_many, with_global_rank
+from ..operators.score import bins_probs
 from ..sources import tables as T
 from . import sql as Q
 from .rfm import analyze
@@ -37,11 +41,118 @@ def score_tied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze(T.tied_metrics(spark, sf_dir)).scored
 
 
+# --- cleaning on the dirty customer table -------------------------------------
+
+def _dirty(spark, sf_dir):
+    return T.dirty_customers(spark, sf_dir)
+
+
+def normalize_id_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 on every customer id."""
+    d = _dirty(spark, sf_dir)
+    return d.select("row_key", F.col("client_id").alias("raw_id"),
+                    normalize_id(F.col("client_id")).alias("client_id"))
+
+
+def text_to_number_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2 on amounts and frequencies written as text, words and NA tokens."""
+    d = _dirty(spark, sf_dir)
+    return d.select("row_key", F.col("amount").alias("raw_amount"), text_to_number("amount").alias("amount"),
+                    F.col("frequency").alias("raw_frequency"), text_to_number("frequency").alias("frequency"))
+
+
+def parse_dates_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C3 + C4: three layouts and junk -> timestamp, days to as_of."""
+    d = _dirty(spark, sf_dir)
+    parsed = parse_date("date")
+    return d.select("row_key", F.col("date").alias("raw_date"), parsed.alias("date"),
+                    recency_days(parsed, T.AS_OF).alias("recency"))
+
+
+def _cleaned(spark, sf_dir):
+    return clean_customers(_dirty(spark, sf_dir), as_of=T.AS_OF, passthrough=("row_key",))
+
+
+def impute_median_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps -> exact median of the kept rows (before clamping)."""
+    typed = typed_frame(_dirty(spark, sf_dir), T.AS_OF, passthrough=("row_key",))
+    kept = typed.where(F.col("client_id").isNotNull() & F.col("date").isNotNull())
+    return fill_median(kept.select("row_key", "amount", "frequency"), ["amount", "frequency"])
+
+
+def clean_customers_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P3 + C1-C6: drop missing ids and bad dates, fill, clamp."""
+    return _cleaned(spark, sf_dir).df
+
+
+def quality_report_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters per rule and column."""
+    return _cleaned(spark, sf_dir).report(spark)
+
+
+def rfm_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q8 on the dirty table: clean, score, segment."""
+    return analyze(_dirty(spark, sf_dir).drop("row_key"), as_of=T.AS_OF).scored
+
+
+# --- report, dominant segment, statistics -----------------------------------
+
+def _summary(spark, sf_dir):
+    return segment_summary(spark, sf_dir)
+
+
+def segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report text."""
+    return S.report_text(_summary(spark, sf_dir))
+
+
+def extract_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts parsed back from the report text."""
+    return S.extract_counts(S.report_text(_summary(spark, sf_dir)))
+
+
+def dominant_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: most customers, ties to the first in the fixed order."""
+    return S.dominant_segment(_summary(spark, sf_dir))
+
+
+def _rfm_base(spark, sf_dir):
+    from .rfm import to_rfm_frame
+    return to_rfm_frame(clean_customers(T.customer_metrics(spark, sf_dir, T.AS_OF), as_of=T.AS_OF).df)
+
+
+def quantile_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: exact quintile edges of the three measures, one ranking pass."""
+    base = _rfm_base(spark, sf_dir)
+    cols = ["Recency", "Monetary", "Frequency"]
+    edges = exact_quantiles_many(base, {c: bins_probs(5) for c in cols})
+    rows = [(c, i, round(float(e), 6)) for c in cols for i, e in enumerate(edges[c] or [])]
+    return spark.createDataFrame(rows, "measure STRING, edge_no INT, edge DOUBLE")
+
+
+def rank_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4: global first-come rank by (Frequency, Buyer) without a single-task window."""
+    base = _rfm_base(spark, sf_dir).select("Buyer", "Frequency")
+    return with_global_rank(base, ["Frequency", "Buyer"], rank_col="rank")
+
+
 QUERIES: dict[str, Query] = {
     "rfm_segments": rfm_segments,
     "segment_summary": segment_summary,
     "score_fallback": score_fallback,
     "score_tied": score_tied,
+    "normalize_id": normalize_id_q,
+    "text_to_number": text_to_number_q,
+    "parse_dates": parse_dates_q,
+    "impute_median": impute_median_q,
+    "clean_customers": clean_customers_q,
+    "quality_report": quality_report_q,
+    "rfm_dirty": rfm_dirty,
+    "segment_report": segment_report,
+    "extract_counts": extract_counts,
+    "dominant_segment": dominant_segment,
+    "quantile_edges": quantile_edges,
+    "rank_first": rank_first,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -49,4 +160,16 @@ ORACLE_SQL: dict[str, str] = {
     "segment_summary": Q.SEGMENT_SUMMARY,
     "score_fallback": Q.SCORE_FALLBACK,
     "score_tied": Q.SCORE_TIED,
+    "normalize_id": Q.NORMALIZE_ID,
+    "text_to_number": Q.TEXT_TO_NUMBER,
+    "parse_dates": Q.PARSE_DATES,
+    "impute_median": Q.IMPUTE_MEDIAN,
+    "clean_customers": Q.CLEAN_CUSTOMERS,
+    "quality_report": Q.QUALITY_REPORT,
+    "rfm_dirty": Q.RFM_DIRTY,
+    "segment_report": Q.SEGMENT_REPORT,
+    "extract_counts": Q.EXTRACT_COUNTS,
+    "dominant_segment": Q.DOMINANT_SEGMENT,
+    "quantile_edges": Q.QUANTILE_EDGES,
+    "rank_first": Q.RANK_FIRST,
 }

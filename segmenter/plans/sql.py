@@ -95,3 +95,129 @@ SCORE_TIED = scored_sql(tied_cte())
 SEGMENT_SUMMARY = summary_sql(RFM_SEGMENTS)
 ZONES_CASE = "CASE " + " ".join(f"WHEN c_nationkey % {len(ADAPTER_ZONES)} = {i} THEN '{z}'"
                                 for i, z in enumerate(ADAPTER_ZONES)) + " END"
+
+
+# --- dirty input and cleaning -------------------------------------------------
+
+DIRTY_CTE = """dirty AS (
+  SELECT c.c_custkey AS row_key,
+    CASE WHEN c_custkey % 23 = 0 THEN NULL
+         WHEN c_custkey % 2 = 0 THEN '8 (900) ' || CAST(c_custkey AS VARCHAR) || '-45-67'
+         ELSE 'C-' || CAST(c_custkey AS VARCHAR) END AS client_id,
+    CASE WHEN c_custkey % 17 = 0 THEN NULL
+         WHEN c_custkey % 19 = 0 THEN 'two hundred five'
+         WHEN c_custkey % 13 = 0 THEN 'n/a'
+         WHEN c_custkey % 11 = 0 THEN 'twenty-one'
+         ELSE CAST(c_acctbal AS VARCHAR) END AS amount,
+    CASE WHEN c_custkey % 7 = 0 THEN 'NA'
+         WHEN c_custkey % 5 = 0 THEN ' ' || CAST(cnt AS VARCHAR) || ' '
+         ELSE CAST(cnt AS VARCHAR) END AS frequency,
+    CASE WHEN c_custkey % 29 = 0 THEN 'unknown'
+         WHEN c_custkey % 3 = 0 THEN strftime(last, '%Y-%m-%d')
+         WHEN c_custkey % 3 = 1 THEN strftime(last, '%d.%m.%Y')
+         ELSE strftime(last, '%m/%d/%Y') END AS date
+  FROM customer c LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last, count(*) AS cnt
+                             FROM orders GROUP BY o_custkey) o ON c.c_custkey = o.o_custkey)"""
+
+
+def num(x: str) -> str:
+    t = f"lower(trim({x}))"
+    return (f"(CASE WHEN {t} = 'two hundred five' THEN 205.0 WHEN {t} = 'twenty-one' THEN 21.0 "
+            f"WHEN regexp_full_match({t}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') "
+            f"THEN TRY_CAST({t} AS DOUBLE) END)")
+
+
+def date(x: str) -> str:
+    return (f"CAST(coalesce(try_strptime({x}, '%Y-%m-%d'), try_strptime({x}, '%d.%m.%Y'), "
+            f"try_strptime({x}, '%m/%d/%Y')) AS TIMESTAMP)")
+
+
+TYPED_CTE = f"""{DIRTY_CTE},
+typed AS (
+  SELECT row_key, {norm_id('client_id')} AS client_id, {date('date')} AS date,
+         {num('amount')} AS amount, {num('frequency')} AS frequency
+  FROM dirty),
+kept AS (
+  SELECT row_key, client_id, date,
+         CAST(date_diff('day', CAST(date AS DATE), DATE '{AS_OF}') AS DOUBLE) AS recency, amount, frequency
+  FROM typed WHERE client_id IS NOT NULL AND date IS NOT NULL),
+med AS (SELECT median(amount) AS ma, median(frequency) AS mf FROM kept)"""
+
+NORMALIZE_ID = f"""WITH {DIRTY_CTE}
+SELECT row_key, client_id AS raw_id, {norm_id('client_id')} AS client_id FROM dirty"""
+
+TEXT_TO_NUMBER = f"""WITH {DIRTY_CTE}
+SELECT row_key, amount AS raw_amount, {num('amount')} AS amount,
+       frequency AS raw_frequency, {num('frequency')} AS frequency FROM dirty"""
+
+PARSE_DATES = f"""WITH {DIRTY_CTE}
+SELECT row_key, date AS raw_date, {date('date')} AS date,
+       CAST(date_diff('day', CAST({date('date')} AS DATE), DATE '{AS_OF}') AS DOUBLE) AS recency FROM dirty"""
+
+IMPUTE_MEDIAN = f"""WITH {TYPED_CTE}
+SELECT row_key, coalesce(amount, ma) AS amount, coalesce(frequency, mf) AS frequency FROM kept, med"""
+
+CLEAN_CUSTOMERS = f"""WITH {TYPED_CTE}
+SELECT row_key, client_id, date, greatest(recency, 0.0) AS recency,
+       greatest(coalesce(amount, ma), 0.0) AS amount, greatest(coalesce(frequency, mf), 0.0) AS frequency
+FROM kept, med"""
+
+QUALITY_REPORT = f"""WITH {TYPED_CTE},
+t AS (SELECT
+  count_if(client_id IS NULL) AS null_id,
+  count_if(client_id IS NOT NULL AND date IS NULL) AS bad_date FROM typed),
+k AS (SELECT
+  count_if(recency < 0) AS neg_r,
+  count_if(amount IS NULL) AS null_a, count_if(coalesce(amount, (SELECT ma FROM med)) < 0) AS neg_a,
+  count_if(frequency IS NULL) AS null_f, count_if(coalesce(frequency, (SELECT mf FROM med)) < 0) AS neg_f
+  FROM kept)
+SELECT * FROM (VALUES ('rejected', 'null_id'), ('rejected', 'bad_date'),
+  ('filled', 'recency'), ('clamped', 'recency'), ('dropped', 'recency'),
+  ('filled', 'amount'), ('clamped', 'amount'), ('dropped', 'amount'),
+  ('filled', 'frequency'), ('clamped', 'frequency'), ('dropped', 'frequency')) AS r(rule, "column")
+CROSS JOIN LATERAL (SELECT CAST(CASE
+  WHEN r.rule = 'rejected' AND r."column" = 'null_id' THEN (SELECT null_id FROM t)
+  WHEN r.rule = 'rejected' THEN (SELECT bad_date FROM t)
+  WHEN r.rule = 'clamped' AND r."column" = 'recency' THEN (SELECT neg_r FROM k)
+  WHEN r.rule = 'filled' AND r."column" = 'amount' THEN (SELECT null_a FROM k)
+  WHEN r.rule = 'clamped' AND r."column" = 'amount' THEN (SELECT neg_a FROM k)
+  WHEN r.rule = 'filled' AND r."column" = 'frequency' THEN (SELECT null_f FROM k)
+  WHEN r.rule = 'clamped' AND r."column" = 'frequency' THEN (SELECT neg_f FROM k)
+  ELSE 0 END AS BIGINT) AS n) x"""
+
+RFM_DIRTY = scored_sql(f"""{TYPED_CTE},
+m AS (SELECT client_id AS cid, recency, coalesce(amount, ma) AS amount, coalesce(frequency, mf) AS frequency
+      FROM kept, med)""")
+
+
+# --- report, dominant segment, statistics -----------------------------------
+
+def report_sql(summary: str, lang: str = "ru") -> str:
+    from ..operators.summary import REPORT_TEXT
+    t = REPORT_TEXT[lang]
+    return f"""WITH su AS ({summary})
+SELECT chr(10) || '{t['title']}' || chr(10) || chr(10) || string_agg(
+  segment || ':' || chr(10) || '  {t['customers']}: ' || CAST(customers AS VARCHAR) || chr(10) ||
+  '  {t['avg']}: ' || printf('%.2f', avg_check) || ' {t['currency']}' || chr(10) ||
+  '  {t['total']}: ' || printf('%.2f', total_check) || ' {t['currency']}' || chr(10) || chr(10), ''
+  ORDER BY seg_ord) AS report FROM su"""
+
+
+SEGMENT_REPORT = report_sql(SEGMENT_SUMMARY)
+EXTRACT_COUNTS = f"""WITH su AS ({SEGMENT_SUMMARY}) SELECT segment, customers FROM su"""
+DOMINANT_SEGMENT = f"""WITH su AS ({SEGMENT_SUMMARY})
+SELECT arg_max(segment, customers * 10 - seg_ord) AS segment, max(customers) AS customers FROM su"""
+
+QUANTILE_EDGES = f"""WITH {metrics_cte(AS_OF)},
+c AS (SELECT greatest(recency, 0.0) AS Recency, greatest(amount, 0.0) AS Monetary,
+             greatest(frequency, 0.0) AS Frequency FROM m),
+q AS (SELECT quantile_cont(Recency, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS r,
+             quantile_cont(Monetary, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS mo,
+             quantile_cont(Frequency, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS f FROM c)
+SELECT 'Recency' AS measure, CAST(i - 1 AS INTEGER) AS edge_no, round(r[i], 6) AS edge FROM q, range(1, 7) t(i)
+UNION ALL SELECT 'Monetary', CAST(i - 1 AS INTEGER), round(mo[i], 6) FROM q, range(1, 7) t(i)
+UNION ALL SELECT 'Frequency', CAST(i - 1 AS INTEGER), round(f[i], 6) FROM q, range(1, 7) t(i)"""
+
+RANK_FIRST = f"""WITH {metrics_cte(AS_OF)},
+c AS (SELECT {norm_id('cid')} AS Buyer, greatest(frequency, 0.0) AS Frequency FROM m)
+SELECT Buyer, Frequency, row_number() OVER (ORDER BY Frequency, Buyer) AS rank FROM c"""

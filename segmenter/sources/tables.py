@@ -60,7 +60,7 @@ def dirty_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     key = k.cast("string")
     client_id = (F.when(k % 23 == 0, F.lit(None).cast("string"))
-                 .when(k % 2 == 0, F.concat(F.lit("8 (900) "), F.lpad(key, 3, "0"), F.lit("-45-67")))
+                 .when(k % 2 == 0, F.concat(F.lit("8 (900) "), key, F.lit("-45-67")))
                  .otherwise(F.concat(F.lit("C-"), key)))
     amount = (F.when(k % 17 == 0, F.lit(None).cast("string"))
               .when(k % 19 == 0, F.lit("two hundred five"))
@@ -75,7 +75,7 @@ def dirty_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(k % 3 == 0, F.date_format(d, "yyyy-MM-dd"))
             .when(k % 3 == 1, F.date_format(d, "dd.MM.yyyy"))
             .otherwise(F.date_format(d, "MM/dd/yyyy")))
-    return j.select(client_id.alias("client_id"), amount.alias("amount"),
+    return j.select(k.alias("row_key"), client_id.alias("client_id"), amount.alias("amount"),
                     frequency.alias("frequency"), date.alias("date"))
 
 
