@@ -25,7 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, shuffle_partitions
@@ -38,11 +38,13 @@ def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
 
 
 def rank_within(df: DataFrame, order_by: Sequence[str | Column], group: str | None = None,
-                rank_col: str = "rank", num_partitions: int | None = None
-                ) -> tuple[DataFrame, dict]:
+                rank_col: str = "rank", num_partitions: int | None = None,
+                max_driver_groups: int = 100_000) -> tuple[DataFrame, dict | None]:
     """Dense 1..n position in ascending ``order_by`` (inside ``group`` if given).
 
-    Returns (ranked frame, {group value: row count}). ``order_by`` should end
+    Returns (ranked frame, {group value: row count}); the sizes are None when
+    there are more than ``max_driver_groups`` (partition, group) pairs, in which
+    case the offsets are computed without the driver. ``order_by`` should end
     with a unique tie-break; otherwise equal keys get consecutive ranks in an
     arbitrary but fixed order.
     """
@@ -55,7 +57,10 @@ def rank_within(df: DataFrame, order_by: Sequence[str | Column], group: str | No
                .withColumn("_mid", F.monotonically_increasing_id()))
     ordered = cut_lineage(ordered)
     gcol = F.col(group) if group else F.lit(0)
-    counts = ordered.groupBy(F.col("_pid"), gcol.alias("_g")).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts_df = ordered.groupBy(F.col("_pid"), gcol.alias("_g")).agg(F.count(F.lit(1)).alias("n"))
+    if group and counts_df.count() > max_driver_groups:
+        return _rank_many_groups(ordered, counts_df, group, rank_col)
+    counts = counts_df.collect()
     # Inside a partition rows are sorted by group first, so the rows of group g
     # start after the partition's rows of smaller groups: subtract those.
     counts.sort(key=lambda r: (r["_pid"], r["_g"]))
@@ -75,13 +80,31 @@ def rank_within(df: DataFrame, order_by: Sequence[str | Column], group: str | No
     cond = F.col("_pid") == F.col("_opid")
     if group:
         cond = cond & (F.col(group) == F.col("_g"))
-    # Broadcast side: one row per (partition, group) -- bounded by the plan, not the data.
+    # Broadcast side: one row per (partition, group), and at most
+    # ``max_driver_groups`` of them.
     ranked = (ordered.join(F.broadcast(off_df), cond)
               .withColumn(rank_col, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)) + 1)
               .drop("_pid", "_mid", "_off", "_g", "_opid"))
     return ranked, sizes
 
 
+def _rank_many_groups(ordered: DataFrame, counts: DataFrame, group: str, rank_col: str):
+    """Offsets computed as a distributed job when there are too many groups for
+    the driver: running sums over the (partition, group) count table, which has
+    about one row per group, joined back on (partition, group)."""
+    before_groups = F.sum("n").over(
+        Window.partitionBy("_g").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
+    before_in_part = F.sum("n").over(
+        Window.partitionBy("_pid").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1))
+    off = counts.select(F.col("_pid").alias("_opid"), "_g",
+                        (F.coalesce(before_groups, F.lit(0)) - F.coalesce(before_in_part, F.lit(0)))
+                        .alias("_off"))
+    ranked = (ordered.join(off, (F.col("_pid") == F.col("_opid")) & (F.col(group) == F.col("_g")))
+              .withColumn(rank_col, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)) + 1)
+              .drop("_pid", "_mid", "_off", "_g", "_opid"))
+    return ranked, None
+
+
 def with_global_rank(df: DataFrame, order_by: Sequence[str | Column], rank_col: str = "rank",
                      num_partitions: int | None = None) -> DataFrame:
     return rank_within(df, order_by, None, rank_col, num_partitions)[0]

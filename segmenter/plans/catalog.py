@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import normalize_id, parse_date, recency_days, text_to_number
+from ..functions import boldify, normalize_id, parse_date, period_key, recency_days, text_to_number, wrap_fixed
+from ..operators import history as H
+from ..operators import knn as K
+from ..operators import throttle as TH
+from ..operators.chunk import chunk_text
 from ..operators import summary as S
 from ..operators.clean import clean_customers, fill_median, typed_frame
 from ..operators.rank import exact_quantiles_many, with_global_rank
@@ -136,6 +140,144 @@ def rank_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_global_rank(base, ["Frequency", "Buyer"], rank_col="rank")
 
 
+# --- similarity ---------------------------------------------------------------
+
+def _knn(spark, sf_dir, keys, **kw):
+    reqs = T.requests_from_embeddings(spark, sf_dir)
+    hits = K.knn_join(reqs, T.corpus(spark, sf_dir), keys, k=3, **kw)
+    return hits.withColumn("distance", F.round("distance", 6))
+
+
+def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1/V3: top 3 per request among its language and segment."""
+    return _knn(spark, sf_dir, ["language", "segment"])
+
+
+def knn_unfiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2/V3: top 3 per request among its language, all segments."""
+    return _knn(spark, sf_dir, ["language"])
+
+
+def knn_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3 beyond the broadcast bound: blocked shuffle join + top-k merge."""
+    return _knn(spark, sf_dir, ["language"], force_blocked=True, block_rows=64)
+
+
+def knn_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request (the mean of all vectors, computed by Spark), English
+    corpus, ORDER BY distance LIMIT 3."""
+    corpus = T.corpus(spark, sf_dir)
+    mean = (corpus.select(F.posexplode("embedding").alias("i", "v")).groupBy("i")
+            .agg(F.avg("v").alias("v")).orderBy("i").collect())  # one value per dimension
+    hits = K.find_recommendations(corpus, [r["v"] for r in mean], "en", limit=3)
+    w = Window.orderBy("distance", "id")  # three rows after the limit
+    return hits.select(F.row_number().over(w).cast("int").alias("hit_rank"), F.col("id").alias("corpus_id"),
+                       F.round("distance", 6).alias("distance"), "segment", "recommendation")
+
+
+def prompt_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 + V4: per request, hits in rank order and the prompt text."""
+    reqs = T.requests_from_embeddings(spark, sf_dir)
+    hits = K.knn_join(reqs, T.corpus(spark, sf_dir), ["language"], k=3)
+    return K.prompt_digest(reqs.select("request_id", "language", "query_text"), hits)
+
+
+def corpus_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-refresh write of the corpus with a vector-width check, read back."""
+    from ..sources.sinks import load_corpus
+    return load_corpus(T.corpus(spark, sf_dir)).withColumn("dim", F.size("embedding").cast("int")) \
+        .drop("embedding")
+
+
+# --- message history ------------------------------------------------------------
+
+def _local(spark, sf_dir):
+    m = H.with_user_zone(T.message_log(spark, sf_dir), T.users(spark, sf_dir))
+    return m.withColumn("local_ts", H.local_time(F.col("timestamp"), F.col("timezone")))
+
+
+def history_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 + W5: every message in its user's local time."""
+    return _local(spark, sf_dir).select("id", "user_id", "timezone", "timezone_set", "local_ts")
+
+
+def _page0(spark, sf_dir):
+    return H.history_page(_local(spark, sf_dir), page=0)
+
+
+def history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 + A6 + W6: first page of every user with rendered lines."""
+    p = H.render_lines(_page0(spark, sf_dir))
+    return p.select("user_id", F.col("rn").cast("int").alias("rn"), "id", "local_ts", "line", "total", "pages",
+                    "has_prev", "has_next")
+
+
+def history_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day, week (%U) and month keys of every message in local time."""
+    ts = F.col("local_ts")
+    return _local(spark, sf_dir).select("id", "user_id", period_key(ts, "day").alias("day_key"),
+                                        period_key(ts, "week", "en").alias("week_key"),
+                                        period_key(ts, "month").alias("month_key"))
+
+
+def history_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Week header where the key changes inside the first page."""
+    p = H.render_lines(_page0(spark, sf_dir), period="week", lang="en")
+    return p.select("user_id", F.col("rn").cast("int").alias("rn"), "period_key", "header")
+
+
+def history_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newest-first position of every message inside its user."""
+    return H.newest_first_positions(T.message_log(spark, sf_dir)).select("user_id", "id", "rn")
+
+
+def last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest message time per user."""
+    from ..operators.upsert import last_seen as ls
+    return ls(T.message_log(spark, sf_dir))
+
+
+# --- throttling ---------------------------------------------------------------
+
+def recent_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trailing 30 s count per message (itself included)."""
+    return TH.trailing_count(T.message_log(spark, sf_dir), 30).select("id", "user_id", "recent")
+
+
+def over_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4: rows over a limit of 5 per day (a setting that fires on the test data)."""
+    return TH.over_limit(T.message_log(spark, sf_dir), 5, 86400).select("id", "user_id", "recent")
+
+
+def mute_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1-M3: recursive mute decision, limit 5 per day, 1 day mute."""
+    return TH.mute_fold(T.message_log(spark, sf_dir), 5, 86400, 86400)
+
+
+def mute_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2: the mutes the fold produced."""
+    return TH.mute_intervals(TH.mute_fold(T.message_log(spark, sf_dir), 5, 86400, 86400))
+
+
+# --- text -----------------------------------------------------------------------
+
+def text_bold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C8 on every conversation turn."""
+    c = T.table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", boldify("text").alias("text"))
+
+
+def text_wrap50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C9 on every conversation turn."""
+    c = T.table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", wrap_fixed("text", 50).alias("text"))
+
+
+def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 on every document, whole texts, parts of at most 4096 characters."""
+    return chunk_text(T.table(spark, sf_dir, "documents"), "text", "doc_id", 4096)
+
+
 QUERIES: dict[str, Query] = {
     "rfm_segments": rfm_segments,
     "segment_summary": segment_summary,
@@ -153,6 +295,25 @@ QUERIES: dict[str, Query] = {
     "dominant_segment": dominant_segment,
     "quantile_edges": quantile_edges,
     "rank_first": rank_first,
+    "knn_filtered": knn_filtered,
+    "knn_unfiltered": knn_unfiltered,
+    "knn_blocked": knn_blocked,
+    "knn_centroid": knn_centroid,
+    "prompt_digest": prompt_digest,
+    "corpus_load": corpus_load,
+    "history_local": history_local,
+    "history_page": history_page,
+    "history_period": history_period,
+    "history_headers": history_headers,
+    "history_latest": history_latest,
+    "last_seen": last_seen,
+    "recent_count": recent_count,
+    "over_limit": over_limit,
+    "mute_fold": mute_fold,
+    "mute_intervals": mute_intervals,
+    "text_bold": text_bold,
+    "text_wrap50": text_wrap50,
+    "doc_chunks": doc_chunks,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -172,4 +333,21 @@ ORACLE_SQL: dict[str, str] = {
     "dominant_segment": Q.DOMINANT_SEGMENT,
     "quantile_edges": Q.QUANTILE_EDGES,
     "rank_first": Q.RANK_FIRST,
+    "knn_filtered": Q.KNN_FILTERED,
+    "knn_unfiltered": Q.KNN_UNFILTERED,
+    "knn_blocked": Q.KNN_UNFILTERED,
+    "knn_centroid": Q.KNN_CENTROID,
+    "prompt_digest": Q.PROMPT_DIGEST,
+    "corpus_load": Q.CORPUS_LOAD,
+    "history_local": Q.HISTORY_LOCAL,
+    "history_page": Q.HISTORY_PAGE,
+    "history_period": Q.HISTORY_PERIOD,
+    "history_headers": Q.HISTORY_HEADERS,
+    "history_latest": Q.HISTORY_LATEST,
+    "last_seen": Q.LAST_SEEN,
+    "recent_count": Q.RECENT_COUNT,
+    "over_limit": Q.OVER_LIMIT,
+    "text_bold": Q.TEXT_BOLD,
+    "text_wrap50": Q.TEXT_WRAP50,
+    "doc_chunks": Q.DOC_CHUNKS,
 }

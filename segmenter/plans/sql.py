@@ -221,3 +221,147 @@ UNION ALL SELECT 'Frequency', CAST(i - 1 AS INTEGER), round(f[i], 6) FROM q, ran
 RANK_FIRST = f"""WITH {metrics_cte(AS_OF)},
 c AS (SELECT {norm_id('cid')} AS Buyer, greatest(frequency, 0.0) AS Frequency FROM m)
 SELECT Buyer, Frequency, row_number() OVER (ORDER BY Frequency, Buyer) AS rank FROM c"""
+
+
+# --- similarity ---------------------------------------------------------------
+
+CORPUS_CTE = """c AS (
+  SELECT vec_id AS id, CAST(label AS VARCHAR) AS segment,
+         CASE WHEN vec_id % 2 = 0 THEN 'ru' ELSE 'en' END AS language,
+         'recommendation ' || CAST(vec_id AS VARCHAR) AS recommendation,
+         CAST(embedding AS DOUBLE[]) AS embedding
+  FROM embeddings)"""
+
+
+def knn_sql(keys: list[str], k: int = 3) -> str:
+    on = " AND ".join(f"r.{x} = c.{x}" for x in keys)
+    return f"""WITH {CORPUS_CTE},
+p AS (
+  SELECT r.id AS request_id, c.id AS corpus_id, list_distance(r.embedding, c.embedding) AS d,
+         c.segment, c.recommendation,
+         row_number() OVER (PARTITION BY r.id ORDER BY list_distance(r.embedding, c.embedding), c.id) AS hit_rank
+  FROM c AS r JOIN c ON {on})
+SELECT request_id, CAST(hit_rank AS INTEGER) AS hit_rank, corpus_id, round(d, 6) AS distance,
+       segment, recommendation
+FROM p WHERE hit_rank <= {k}"""
+
+
+KNN_FILTERED = knn_sql(["language", "segment"])
+KNN_UNFILTERED = knn_sql(["language"])
+
+KNN_CENTROID = f"""WITH {CORPUS_CTE},
+u AS (SELECT i, avg(v) AS v FROM (SELECT unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM c) GROUP BY i),
+q AS (SELECT list(v ORDER BY i) AS qv FROM u),
+p AS (SELECT c.id, c.segment, c.recommendation, list_distance(c.embedding, q.qv) AS d FROM c, q WHERE c.language = 'en')
+SELECT CAST(row_number() OVER (ORDER BY d, id) AS INTEGER) AS hit_rank, id AS corpus_id, round(d, 6) AS distance,
+       segment, recommendation
+FROM p ORDER BY d, id LIMIT 3"""
+
+PROMPT_DIGEST = f"""WITH h AS ({KNN_UNFILTERED}),
+dg AS (SELECT request_id, string_agg(segment || ': ' || recommendation, chr(10) ORDER BY hit_rank) AS digest,
+              count(*) AS n_hits FROM h GROUP BY request_id),
+r AS (SELECT vec_id AS request_id, CASE WHEN vec_id % 2 = 0 THEN 'ru' ELSE 'en' END AS language,
+             'request ' || CAST(vec_id AS VARCHAR) AS query_text FROM embeddings)
+SELECT r.request_id, CAST(coalesce(n_hits, 0) AS BIGINT) AS n_hits, digest,
+  CASE WHEN language = 'en' THEN 'User requested business recommendations'
+       ELSE 'Пользователь запросил рекомендации по бизнесу' END || ': ''' || query_text || '''.' || chr(10) ||
+  CASE WHEN n_hits > 0 THEN
+    CASE WHEN language = 'en' THEN 'Here are preliminary recommendations from the database'
+         ELSE 'Вот предварительные рекомендации из базы' END || ':' || chr(10) || digest || chr(10) ||
+    CASE WHEN language = 'en' THEN 'Refine and enhance these recommendations to be as helpful and specific as possible for the business.'
+         ELSE 'Уточни и дополни эти рекомендации, чтобы они были максимально полезны и конкретны для бизнеса.' END
+  ELSE
+    CASE WHEN language = 'en' THEN 'Provide specific and practical recommendations for improving the business.'
+         ELSE 'Предложи конкретные и практические рекомендации для улучшения бизнеса.' END
+  END AS prompt
+FROM r LEFT JOIN dg USING (request_id)"""
+
+CORPUS_LOAD = f"""WITH {CORPUS_CTE}
+SELECT id, segment, language, recommendation, CAST(len(embedding) AS INTEGER) AS dim FROM c"""
+
+
+# --- message history ------------------------------------------------------------
+
+MSG_CTE = f"""msg AS (
+  SELECT event_id AS id, user_id, concat_ws(' ', event_type, props) AS message, ts AS timestamp FROM events),
+usr AS (SELECT c_custkey AS uid, {ZONES_CASE} AS tz, (c_nationkey % 4 <> 0) AS tz_set FROM customer),
+loc AS (
+  SELECT msg.*, coalesce(tz, '{'Europe/Moscow'}') AS timezone, coalesce(tz_set, false) AS timezone_set,
+         CAST(timezone(coalesce(tz, 'Europe/Moscow'), timezone('UTC', msg.timestamp)) AS TIMESTAMP) AS local_ts
+  FROM msg LEFT JOIN usr ON msg.user_id = usr.uid)"""
+
+HISTORY_LOCAL = f"""WITH {MSG_CTE}
+SELECT id, user_id, timezone, timezone_set, local_ts FROM loc"""
+
+
+def wrap_sql(x: str, width: int = 50) -> str:
+    return (f"(CASE WHEN length({x}) > {width} THEN array_to_string(list_transform(range(0, length({x}), {width}), "
+            f"lambda i: substring({x}, i + 1, {width})), chr(10)) ELSE {x} END)")
+
+
+PAGE_CTE = f"""{MSG_CTE},
+ranked AS (SELECT loc.*, row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, id DESC) AS rn,
+                  count(*) OVER (PARTITION BY user_id) AS total FROM loc),
+page AS (SELECT * FROM ranked WHERE rn <= 10)"""
+
+HISTORY_PAGE = f"""WITH {PAGE_CTE}
+SELECT user_id, CAST(rn AS INTEGER) AS rn, id, local_ts,
+       strftime(local_ts, '%Y-%m-%d %H:%M:%S') || chr(10) || {wrap_sql('message')} AS line,
+       CAST(total AS BIGINT) AS total, CAST((total - 1) // 10 + 1 AS BIGINT) AS pages,
+       false AS has_prev, (least(10, total) < total) AS has_next
+FROM page"""
+
+WEEK_EN = "'Week ' || strftime(local_ts, '%U') || ', ' || strftime(local_ts, '%Y')"
+
+HISTORY_PERIOD = f"""WITH {MSG_CTE}
+SELECT id, user_id, strftime(local_ts, '%Y-%m-%d') AS day_key, {WEEK_EN} AS week_key,
+       strftime(local_ts, '%B %Y') AS month_key FROM loc"""
+
+HISTORY_HEADERS = f"""WITH {PAGE_CTE},
+k AS (SELECT user_id, rn, {WEEK_EN} AS period_key FROM page)
+SELECT user_id, CAST(rn AS INTEGER) AS rn, period_key,
+       CASE WHEN period_key IS DISTINCT FROM lag(period_key) OVER (PARTITION BY user_id ORDER BY rn)
+            THEN chr(10) || '<b>' || period_key || '</b>' END AS header
+FROM k"""
+
+HISTORY_LATEST = """SELECT user_id, event_id AS id,
+       row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events"""
+
+LAST_SEEN = """SELECT user_id, max(ts) AS last_time FROM events GROUP BY user_id"""
+
+
+# --- throttling ---------------------------------------------------------------
+
+def recent_sql(window_seconds: int) -> str:
+    return f"""SELECT event_id AS id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts
+       RANGE BETWEEN INTERVAL {window_seconds} SECONDS PRECEDING AND CURRENT ROW) AS recent FROM events"""
+
+
+RECENT_COUNT = recent_sql(30)
+OVER_LIMIT = f"SELECT * FROM ({recent_sql(86400)}) WHERE recent > 5"
+
+
+# --- text -----------------------------------------------------------------------
+
+TEXT_BOLD = r"""SELECT conv_id, turn, regexp_replace(text, '(?s)\*\*(.*?)\*\*', '<b>\1</b>', 'g') AS text
+FROM conversations"""
+
+TEXT_WRAP50 = f"SELECT conv_id, turn, {wrap_sql('text')} AS text FROM conversations"
+
+
+def chunks_sql(n: int = 4096) -> str:
+    nl = "chr(10)"
+    return f"""WITH RECURSIVE ch(doc_id, chunk_no, chunk, rest) AS (
+  SELECT doc_id, -1, CAST(NULL AS VARCHAR), text FROM documents WHERE text IS NOT NULL AND length(text) > 0
+  UNION ALL
+  SELECT doc_id, chunk_no + 1, substr(rest, 1, cut), substr(rest, cut + 1)
+  FROM (SELECT doc_id, chunk_no, rest,
+               CASE WHEN length(rest) <= {n} THEN length(rest)
+                    WHEN regexp_matches(substr(rest, 2, {n}), {nl})
+                    THEN length(regexp_extract(substr(rest, 2, {n}), '(?s)^(.*)\\n', 1)) + 1
+                    ELSE {n} END AS cut
+        FROM ch WHERE length(rest) > 0))
+SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, chunk FROM ch WHERE chunk_no >= 0"""
+
+
+DOC_CHUNKS = chunks_sql(4096)

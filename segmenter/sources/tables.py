@@ -114,3 +114,14 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("vec_id") % 2 == 0, "ru").otherwise("en").alias("language"),
                     F.concat(F.lit("recommendation "), F.col("vec_id").cast("string")).alias("recommendation"),
                     "embedding")
+
+
+def requests_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ``embeddings`` row as a search request: request_id, language,
+    segment, query_vec, query_text."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("request_id"),
+                    F.when(F.col("vec_id") % 2 == 0, "ru").otherwise("en").alias("language"),
+                    F.col("label").cast("string").alias("segment"),
+                    F.col("embedding").alias("query_vec"),
+                    F.concat(F.lit("request "), F.col("vec_id").cast("string")).alias("query_text"))
