@@ -12,6 +12,8 @@ from ..operators import history as H
 from ..operators import knn as K
 from ..operators import throttle as TH
 from ..operators.chunk import chunk_text
+from ..operators.columns import project_canonical
+from ..sources import csv_scan as CS
 from ..operators import summary as S
 from ..operators.clean import clean_customers, fill_median, typed_frame
 from ..operators.rank import exact_quantiles_many, with_global_rank
@@ -278,6 +280,46 @@ def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_text(T.table(spark, sf_dir, "documents"), "text", "doc_id", 4096)
 
 
+# --- CSV scan ---------------------------------------------------------------------
+
+def _scan(spark, sf_dir):
+    from ..session import scratch_path
+    path = T.write_customer_csv(spark, sf_dir, scratch_path(spark, "customers-csv"))
+    return CS.read_csv_robust(spark, path, glob=None)
+
+
+def csv_scan_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted rows of the customer CSV written from the tables."""
+    return _scan(spark, sf_dir).accepted
+
+
+def csv_scan_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarantined lines with the reason."""
+    return _scan(spark, sf_dir).rejected.select("raw", "reason")
+
+
+def csv_null_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: NA tokens -> null."""
+    return CS.null_tokens(_scan(spark, sf_dir).accepted)
+
+
+def alias_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header aliases -> canonical columns (unknown columns dropped)."""
+    return project_canonical(CS.null_tokens(_scan(spark, sf_dir).accepted))
+
+
+def preview_first5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First five accepted rows by client id."""
+    acc = _scan(spark, sf_dir).accepted
+    return acc.orderBy(F.col("Client").cast("long")).limit(5)
+
+
+def csv_rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q8 from the CSV file: scan, resolve headers, clean, score, segment."""
+    raw = CS.null_tokens(_scan(spark, sf_dir).accepted)
+    return analyze(project_canonical(raw), as_of=T.AS_OF).scored
+
+
 QUERIES: dict[str, Query] = {
     "rfm_segments": rfm_segments,
     "segment_summary": segment_summary,
@@ -314,6 +356,12 @@ QUERIES: dict[str, Query] = {
     "text_bold": text_bold,
     "text_wrap50": text_wrap50,
     "doc_chunks": doc_chunks,
+    "csv_scan_accept": csv_scan_accept,
+    "csv_scan_reject": csv_scan_reject,
+    "csv_null_tokens": csv_null_tokens,
+    "alias_project": alias_project,
+    "preview_first5": preview_first5,
+    "csv_rfm": csv_rfm,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -347,7 +395,15 @@ ORACLE_SQL: dict[str, str] = {
     "last_seen": Q.LAST_SEEN,
     "recent_count": Q.RECENT_COUNT,
     "over_limit": Q.OVER_LIMIT,
+    "mute_fold": Q.MUTE_FOLD,
+    "mute_intervals": Q.MUTE_INTERVALS,
     "text_bold": Q.TEXT_BOLD,
     "text_wrap50": Q.TEXT_WRAP50,
     "doc_chunks": Q.DOC_CHUNKS,
+    "csv_scan_accept": Q.CSV_SCAN_ACCEPT,
+    "csv_scan_reject": Q.CSV_SCAN_REJECT,
+    "csv_null_tokens": Q.CSV_NULL_TOKENS,
+    "alias_project": Q.ALIAS_PROJECT,
+    "preview_first5": Q.PREVIEW_FIRST5,
+    "csv_rfm": Q.CSV_RFM,
 }

@@ -365,3 +365,83 @@ SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, chunk FROM ch WHERE chunk_
 
 
 DOC_CHUNKS = chunks_sql(4096)
+
+
+def mute_fold_sql(limit: int, window_s: int, mute_s: int) -> str:
+    """The recursive spam decision as a recursive CTE (state: kept times in
+    the window, mute end), one step per message of each user."""
+    w, mu = window_s * 1_000_000, mute_s * 1_000_000
+    return f"""WITH RECURSIVE m AS (
+  SELECT user_id, event_id AS id, ts, epoch_us(ts) AS us,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+f(user_id, rn, id, us, status, kept, muted_until) AS (
+  SELECT user_id, rn, id, us, CASE WHEN 1 > {limit} THEN 'mute_start' ELSE 'ok' END, [us],
+         CASE WHEN 1 > {limit} THEN us + {mu} END
+  FROM m WHERE rn = 1
+  UNION ALL
+  SELECT user_id, rn, id, us,
+         CASE WHEN sup THEN 'suppressed' WHEN len(k2) > {limit} THEN 'mute_start' ELSE 'ok' END,
+         CASE WHEN sup THEN kept ELSE k2 END,
+         CASE WHEN sup THEN muted_until WHEN len(k2) > {limit} THEN us + {mu} ELSE muted_until END
+  FROM (SELECT m.user_id, m.rn, m.id, m.us, f.kept, f.muted_until,
+               (f.muted_until IS NOT NULL AND m.us < f.muted_until) AS sup,
+               list_filter(list_append(f.kept, m.us), lambda x: x >= m.us - {w}) AS k2
+        FROM f JOIN m ON m.user_id = f.user_id AND m.rn = f.rn + 1))
+SELECT user_id, id, make_timestamp(us) AS timestamp, status,
+       CASE WHEN status = 'mute_start' THEN make_timestamp(muted_until) END AS unmute_time
+FROM f"""
+
+
+MUTE_FOLD = mute_fold_sql(5, 86400, 86400)
+MUTE_INTERVALS = f"""SELECT user_id, timestamp AS mute_time, unmute_time FROM ({MUTE_FOLD})
+WHERE status = 'mute_start'"""
+
+
+# --- CSV scan ---------------------------------------------------------------------
+
+CSV_CTE = """src AS (
+  SELECT c.c_custkey AS k, printf('%.2f', c_acctbal) AS amt, CAST(cnt AS VARCHAR) AS cnt,
+         strftime(last, '%Y-%m-%d') AS day, c_mktsegment AS seg
+  FROM customer c LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last, count(*) AS cnt
+                             FROM orders GROUP BY o_custkey) o ON c.c_custkey = o.o_custkey),
+acc AS (
+  SELECT CAST(k AS VARCHAR) AS Client,
+         CASE WHEN k % 53 = 0 AND k % 47 <> 0 THEN 'NA' ELSE amt END AS Amount,
+         cnt AS purchase_count, day AS last_purchase,
+         CASE WHEN k % 47 = 0 THEN ' a, b' ELSE seg END AS note
+  FROM src WHERE k % 31 <> 0 AND k % 37 <> 0 AND k % 41 <> 0 AND k % 43 <> 0)"""
+
+CSV_SCAN_ACCEPT = f"WITH {CSV_CTE} SELECT * FROM acc"
+
+CSV_SCAN_REJECT = """WITH src AS (
+  SELECT c.c_custkey AS k, printf('%.2f', c_acctbal) AS amt, coalesce(CAST(cnt AS VARCHAR), '') AS cnt,
+         coalesce(strftime(last, '%Y-%m-%d'), '') AS day
+  FROM customer c LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last, count(*) AS cnt
+                             FROM orders GROUP BY o_custkey) o ON c.c_custkey = o.o_custkey)
+SELECT CASE WHEN k % 31 = 0 THEN CAST(k AS VARCHAR) || ',' || amt
+            WHEN k % 37 = 0 THEN CAST(k AS VARCHAR) || ',' || amt || ',' || cnt || ',' || day || ',x,extra'
+            WHEN k % 41 = 0 THEN ''
+            ELSE ',,,,' END AS raw,
+       CASE WHEN k % 31 = 0 OR k % 37 = 0 THEN 'field count' ELSE 'empty row' END AS reason
+FROM src WHERE k % 31 = 0 OR k % 37 = 0 OR k % 41 = 0 OR k % 43 = 0"""
+
+CSV_NULL_TOKENS = f"""WITH {CSV_CTE}
+SELECT Client, CASE WHEN Amount = 'NA' THEN NULL ELSE Amount END AS Amount, purchase_count, last_purchase, note
+FROM acc"""
+
+ALIAS_PROJECT = f"""WITH {CSV_CTE}
+SELECT Client AS client_id, CASE WHEN Amount = 'NA' THEN NULL ELSE Amount END AS amount,
+       purchase_count AS frequency, last_purchase AS date FROM acc"""
+
+PREVIEW_FIRST5 = f"""WITH {CSV_CTE}
+SELECT * FROM acc ORDER BY CAST(Client AS BIGINT) LIMIT 5"""
+
+CSV_RFM = scored_sql(f"""{CSV_CTE},
+t AS (SELECT {norm_id('Client')} AS client_id, CAST(strptime(last_purchase, '%Y-%m-%d') AS TIMESTAMP) AS date,
+             CASE WHEN Amount = 'NA' THEN NULL ELSE CAST(Amount AS DOUBLE) END AS amount,
+             CAST(purchase_count AS DOUBLE) AS frequency FROM acc),
+kept AS (SELECT *, CAST(date_diff('day', CAST(date AS DATE), DATE '{AS_OF}') AS DOUBLE) AS recency
+         FROM t WHERE client_id IS NOT NULL AND date IS NOT NULL),
+med AS (SELECT median(amount) AS ma, median(frequency) AS mf FROM kept),
+m AS (SELECT client_id AS cid, recency, coalesce(amount, ma) AS amount, coalesce(frequency, mf) AS frequency
+      FROM kept, med)""")

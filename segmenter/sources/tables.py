@@ -125,3 +125,49 @@ def requests_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("label").cast("string").alias("segment"),
                     F.col("embedding").alias("query_vec"),
                     F.concat(F.lit("request "), F.col("vec_id").cast("string")).alias("query_text"))
+
+
+# Header of the customer CSV written by ``write_customer_csv`` (exercises the
+# alias table: case, spaces, a synonym and an unknown column).
+CSV_HEADER = "Client, Amount ,purchase_count,last_purchase,note"
+
+
+def customer_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer as one CSV text line, broken by fixed rules on the key:
+    short and long rows, blank lines, empty rows, quoted commas, NA tokens and
+    leading spaces. Column ``value`` holds the line."""
+    c = table(spark, sf_dir, "customer")
+    o = (table(spark, sf_dir, "orders").groupBy("o_custkey")
+         .agg(F.max("o_orderdate").alias("last"), F.count(F.lit(1)).alias("cnt")))
+    j = c.join(o, c.c_custkey == o.o_custkey, "left")
+    k = F.col("c_custkey")
+    key = k.cast("string")
+    amt = F.format_string("%.2f", F.col("c_acctbal"))
+    cnt = F.coalesce(F.col("cnt").cast("string"), F.lit(""))
+    day = F.coalesce(F.date_format("last", "yyyy-MM-dd"), F.lit(""))
+    line = (F.when(k % 31 == 0, F.concat_ws(",", key, amt))
+            .when(k % 37 == 0, F.concat_ws(",", key, amt, cnt, day, F.lit("x"), F.lit("extra")))
+            .when(k % 41 == 0, F.lit(""))
+            .when(k % 43 == 0, F.lit(",,,,"))
+            .when(k % 47 == 0, F.concat_ws(",", key, amt, cnt, day, F.lit('" a, b"')))
+            .when(k % 53 == 0, F.concat_ws(",", key, F.lit("NA"), cnt, day, F.col("c_mktsegment")))
+            .otherwise(F.concat_ws(",", key, F.concat(F.lit(" "), amt), cnt, day, F.col("c_mktsegment"))))
+    return j.select(line.alias("value"))
+
+
+def write_customer_csv(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """Write ``customer_csv_lines`` as text part files, lines verbatim, each file
+    starting with the header line (one per partition, added as the partition
+    is streamed out). Returns the folder."""
+    import pandas as pd
+
+    header = CSV_HEADER
+
+    def with_header(batches):
+        yield pd.DataFrame({"value": [header]})
+        for b in batches:
+            yield b
+
+    customer_csv_lines(spark, sf_dir).mapInPandas(with_header, "value STRING") \
+        .write.mode("overwrite").text(path)
+    return path
