@@ -20,7 +20,7 @@ def last_seen(msgs: DataFrame, user_col: str = "user_id", ts_col: str = "timesta
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: str, version: str = "_version",
-           columns: Sequence[str] | None = None) -> DataFrame:
+           columns: Sequence[str] | None = None, defaults: dict | None = None) -> DataFrame:
     """K1 / K3: insert new keys, overwrite ``columns`` of existing keys with the
     newest change (all non-key columns by default). ``changes`` carries a
     ``version`` column ordering changes of the same key; the current rows rank
@@ -42,7 +42,10 @@ def upsert(current: DataFrame, changes: DataFrame, key: str, version: str = "_ve
             out.append(F.col(f"_new.{c}").alias(c))
         else:
             out.append(F.coalesce(F.col(f"_cur.{c}"), F.col(f"_new.{c}")).alias(c))
-    return agg.select(*out)
+    res = agg.select(*out)
+    for c, v in (defaults or {}).items():
+        res = res.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
+    return res.select(current.columns)
 
 
 def delete_keys(table: DataFrame, deletes: DataFrame, key: str, delete_key: str | None = None) -> DataFrame:

@@ -320,6 +320,93 @@ def csv_rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze(project_canonical(raw), as_of=T.AS_OF).scored
 
 
+# --- keyed writes -------------------------------------------------------------------
+
+def users_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: every signup event re-saves its user; the newest change wins;
+    the chosen zone is kept (only username and first_name are overwritten)."""
+    from ..operators.upsert import upsert
+    e = T.table(spark, sf_dir, "events").where(F.col("event_type") == "signup")
+    chg = e.select(F.col("user_id").alias("id"),
+                   F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("_"),
+                            F.col("event_id").cast("string")).alias("username"),
+                   F.concat(F.lit("Name"), F.col("user_id").cast("string")).alias("first_name"),
+                   F.col("event_id").alias("_version"))
+    return upsert(T.users(spark, sf_dir), chg, "id", columns=["username", "first_name"],
+                  defaults={"timezone": "Europe/Moscow", "timezone_set": False})
+
+
+def users_zone_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: zone changes (one per error event, newest wins) set zone and flag."""
+    from ..operators.upsert import upsert
+    e = T.table(spark, sf_dir, "events").where(F.col("event_type") == "error")
+    chg = e.select(F.col("user_id").alias("id"), T.zone_expr(F.col("event_id")).alias("timezone"),
+                   F.lit(True).alias("timezone_set"), F.col("event_id").alias("_version"))
+    return upsert(T.users(spark, sf_dir), chg, "id", columns=["timezone", "timezone_set"],
+                  defaults={"timezone": "Europe/Moscow", "timezone_set": False})
+
+
+def history_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4: clear the history of every user with a purchase above 49."""
+    from ..operators.upsert import delete_keys
+    e = T.table(spark, sf_dir, "events")
+    requests = e.where((F.col("event_type") == "purchase") & (F.col("value") > 49)).select("user_id")
+    return delete_keys(T.message_log(spark, sf_dir), requests, "user_id").select("id", "user_id")
+
+
+def mutes_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5 / M3: mutes not yet expired at 2024-01-30 00:00."""
+    m = TH.mute_intervals(TH.mute_fold(T.message_log(spark, sf_dir), 5, 86400, 86400))
+    return TH.active_mutes(m, "2024-01-30 00:00:00")
+
+
+def segment_localized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C14 + C15: each customer's segment in their language; unsupported
+    languages fall back to Russian."""
+    scored = rfm_segments(spark, sf_dir)
+    c = T.table(spark, sf_dir, "customer")
+    raw = F.when(F.col("c_nationkey") % 3 == 0, "ru").when(F.col("c_nationkey") % 3 == 1, "en").otherwise("de")
+    u = c.select(normalize_id(F.col("c_custkey").cast("string")).alias("Buyer"), raw.alias("lang_raw"))
+    lang = S.language_or_default(F.col("lang_raw"))
+    local = F.when(lang == "en", S.translate_segment(F.col("Segment"), "en")).otherwise(
+        S.translate_segment(F.col("Segment"), "ru"))
+    return scored.join(u, "Buyer").select("Buyer", "lang_raw", lang.alias("lang"), local.alias("segment_local"))
+
+
+# --- streaming ------------------------------------------------------------------
+
+def _stream_dirs(spark, name):
+    from ..session import scratch_path
+    return scratch_path(spark, f"{name}-sink"), scratch_path(spark, f"{name}-ckpt")
+
+
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1: events streamed into the message table (runs to completion)."""
+    from ..streaming import ingest as I
+    sink, ck = _stream_dirs(spark, "messages")
+    I.ingest(I.as_messages(I.event_stream(spark, sf_dir)), sink, ck).awaitTermination()
+    return spark.read.parquet(sink)
+
+
+def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST2: the mute decision as a stateful stream; equals ``mute_fold``."""
+    from ..streaming import ingest as I
+    from ..streaming.throttle import throttle_stream
+    sink, ck = _stream_dirs(spark, "throttle")
+    out = throttle_stream(I.as_messages(I.event_stream(spark, sf_dir)), 5, 86400, 86400, watermark="1 day")
+    I.ingest(out, sink, ck).awaitTermination()
+    return spark.read.parquet(sink)
+
+
+def stream_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST3: last-seen per user maintained by a stream; equals ``last_seen``."""
+    from ..streaming import ingest as I
+    from ..streaming.last_seen import last_seen_stream, read_table
+    table, ck = _stream_dirs(spark, "last-seen")
+    last_seen_stream(I.as_messages(I.event_stream(spark, sf_dir)), table, ck).awaitTermination()
+    return read_table(spark, table)
+
+
 QUERIES: dict[str, Query] = {
     "rfm_segments": rfm_segments,
     "segment_summary": segment_summary,
@@ -362,6 +449,14 @@ QUERIES: dict[str, Query] = {
     "alias_project": alias_project,
     "preview_first5": preview_first5,
     "csv_rfm": csv_rfm,
+    "users_upsert": users_upsert,
+    "users_zone_update": users_zone_update,
+    "history_delete": history_delete,
+    "mutes_active": mutes_active,
+    "segment_localized": segment_localized,
+    "stream_ingest": stream_ingest,
+    "stream_throttle": stream_throttle,
+    "stream_last_seen": stream_last_seen,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -406,4 +501,12 @@ ORACLE_SQL: dict[str, str] = {
     "alias_project": Q.ALIAS_PROJECT,
     "preview_first5": Q.PREVIEW_FIRST5,
     "csv_rfm": Q.CSV_RFM,
+    "users_upsert": Q.USERS_UPSERT,
+    "users_zone_update": Q.USERS_ZONE_UPDATE,
+    "history_delete": Q.HISTORY_DELETE,
+    "mutes_active": Q.MUTES_ACTIVE,
+    "segment_localized": Q.SEGMENT_LOCALIZED,
+    "stream_ingest": Q.STREAM_INGEST,
+    "stream_throttle": Q.MUTE_FOLD,
+    "stream_last_seen": Q.LAST_SEEN,
 }

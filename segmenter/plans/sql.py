@@ -445,3 +445,45 @@ kept AS (SELECT *, CAST(date_diff('day', CAST(date AS DATE), DATE '{AS_OF}') AS
 med AS (SELECT median(amount) AS ma, median(frequency) AS mf FROM kept),
 m AS (SELECT client_id AS cid, recency, coalesce(amount, ma) AS amount, coalesce(frequency, mf) AS frequency
       FROM kept, med)""")
+
+
+# --- keyed writes -------------------------------------------------------------------
+
+USERS_CTE = f"""cur AS (
+  SELECT c_custkey AS id, lower(replace(c_name, '#', '_')) AS username, split_part(c_name, '#', 1) AS first_name,
+         {ZONES_CASE} AS timezone, (c_nationkey % 4 <> 0) AS timezone_set FROM customer)"""
+
+USERS_UPSERT = f"""WITH {USERS_CTE},
+chg AS (SELECT user_id AS id, arg_max('user' || CAST(user_id AS VARCHAR) || '_' || CAST(event_id AS VARCHAR), event_id) AS username,
+               arg_max('Name' || CAST(user_id AS VARCHAR), event_id) AS first_name
+        FROM events WHERE event_type = 'signup' GROUP BY user_id)
+SELECT coalesce(cur.id, chg.id) AS id, coalesce(chg.username, cur.username) AS username,
+       coalesce(chg.first_name, cur.first_name) AS first_name,
+       coalesce(cur.timezone, 'Europe/Moscow') AS timezone, coalesce(cur.timezone_set, false) AS timezone_set
+FROM cur FULL OUTER JOIN chg ON cur.id = chg.id"""
+
+ZONE_BY_EVENT = "CASE " + " ".join(f"WHEN event_id % {len(ADAPTER_ZONES)} = {i} THEN '{z}'"
+                                   for i, z in enumerate(ADAPTER_ZONES)) + " END"
+
+USERS_ZONE_UPDATE = f"""WITH {USERS_CTE},
+chg AS (SELECT user_id AS id, arg_max({ZONE_BY_EVENT}, event_id) AS timezone
+        FROM events WHERE event_type = 'error' GROUP BY user_id)
+SELECT coalesce(cur.id, chg.id) AS id, cur.username, cur.first_name,
+       coalesce(chg.timezone, cur.timezone, 'Europe/Moscow') AS timezone,
+       CASE WHEN chg.id IS NOT NULL THEN true ELSE coalesce(cur.timezone_set, false) END AS timezone_set
+FROM cur FULL OUTER JOIN chg ON cur.id = chg.id"""
+
+HISTORY_DELETE = """SELECT event_id AS id, user_id FROM events
+WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 49)"""
+
+MUTES_ACTIVE = f"""SELECT * FROM ({MUTE_INTERVALS}) WHERE unmute_time >= TIMESTAMP '2024-01-30 00:00:00'"""
+
+SEGMENT_LOCALIZED = f"""WITH sc AS ({RFM_SEGMENTS}),
+u AS (SELECT {norm_id('CAST(c_custkey AS VARCHAR)')} AS Buyer,
+             CASE c_nationkey % 3 WHEN 0 THEN 'ru' WHEN 1 THEN 'en' ELSE 'de' END AS lang_raw FROM customer)
+SELECT sc.Buyer, u.lang_raw, CASE WHEN u.lang_raw IN ('ru', 'en') THEN u.lang_raw ELSE 'ru' END AS lang,
+       CASE WHEN u.lang_raw = 'en' THEN {'CASE sc.Segment ' + ' '.join(f"WHEN '{r[2]}' THEN '{r[3]}'" for r in SEGMENTS) + ' END'}
+            ELSE sc.Segment END AS segment_local
+FROM sc JOIN u ON sc.Buyer = u.Buyer"""
+
+STREAM_INGEST = """SELECT event_id AS id, user_id, concat_ws(' ', event_type, props) AS message, ts AS timestamp FROM events"""
