@@ -58,9 +58,9 @@ def rank_within(df: DataFrame, order_by: Sequence[str | Column], group: str | No
     ordered = cut_lineage(ordered)
     gcol = F.col(group) if group else F.lit(0)
     counts_df = ordered.groupBy(F.col("_pid"), gcol.alias("_g")).agg(F.count(F.lit(1)).alias("n"))
-    if group and counts_df.count() > max_driver_groups:
+    counts = counts_df.limit(max_driver_groups + 1).collect() if group else counts_df.collect()
+    if len(counts) > max_driver_groups:
         return _rank_many_groups(ordered, counts_df, group, rank_col)
-    counts = counts_df.collect()
     # Inside a partition rows are sorted by group first, so the rows of group g
     # start after the partition's rows of smaller groups: subtract those.
     counts.sort(key=lambda r: (r["_pid"], r["_g"]))
