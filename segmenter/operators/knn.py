@@ -3,18 +3,18 @@
 The reference searches one request at a time (filter, ORDER BY distance,
 LIMIT k). Here a table of requests is matched against the corpus in one job:
 
-* The corpus is grouped by the filter key (language, or language + segment)
-  into arrays. When the grouped corpus passes an explicit size check it is
-  broadcast, and each request row computes distances to its key's array with
-  higher-order functions, sorts, and keeps k -- no shuffle of requests, no
-  pair rows.
+* When the corpus passes an explicit size check (rows x width x 8 bytes under
+  ``broadcast_bytes``) it is broadcast once per executor as per-key numpy
+  matrices, and requests are scored where they are with ``mapInPandas``:
+  Arrow batches, distances computed in blocks with numpy, exact top-k with
+  ties broken by corpus id. No shuffle of requests and no pair rows.
 * Beyond the size bound the corpus is cut into blocks of at most
   ``block_rows`` rows per key; requests are joined to the blocks of their key
   (a shuffle join replicating each request once per block), each (request,
-  block) keeps its k best, and a group-by per request merges at most
-  k x blocks candidates. Still exact.
+  block) keeps its k best with JVM higher-order functions, and a group-by per
+  request merges at most k x blocks candidates. Still exact.
 
-Distance ties are broken by corpus id. Distances are in double precision.
+Distances are in double precision.
 """
 
 from __future__ import annotations
@@ -60,23 +60,86 @@ def knn_join(requests: DataFrame, corpus: DataFrame, keys: Sequence[str], k: int
     entry = F.struct(F.col("id"), F.col("embedding"), *[F.col(p) for p in payload])
     q = F.col(query_vec)
     if not force_blocked and corpus_bytes(corpus) <= broadcast_bytes:
-        grouped = corpus.groupBy(*keys).agg(F.collect_list(entry).alias("_c"))
-        joined = requests.join(F.broadcast(grouped), keys, "inner")
-        best = joined.select(request_id, F.posexplode(_topk(F.col("_c"), q, k, payload)).alias("_p", "h"))
-    else:
-        n_blocks = _n_blocks(corpus, keys, block_rows)
-        blocks = (corpus.groupBy(*keys, F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("_b"))
-                  .agg(F.collect_list(entry).alias("_c")))
-        partial = (requests.join(blocks, keys, "inner")
-                   .select(request_id, _topk(F.col("_c"), q, k, payload).alias("_t")))
-        merged = (partial.groupBy(request_id)
-                  .agg(F.slice(F.array_sort(F.flatten(F.collect_list("_t"))), 1, k).alias("_t")))
-        best = merged.select(request_id, F.posexplode("_t").alias("_p", "h"))
+        return _knn_broadcast(requests, corpus, keys, k, request_id, query_vec, payload)
+    n_blocks = _n_blocks(corpus, keys, block_rows)
+    blocks = (corpus.groupBy(*keys, F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("_b"))
+              .agg(F.collect_list(entry).alias("_c")))
+    partial = (requests.join(blocks, keys, "inner")
+               .select(request_id, _topk(F.col("_c"), q, k, payload).alias("_t")))
+    # At most k candidates per (request, block): bounded per request.
+    merged = (partial.groupBy(request_id)
+              .agg(F.slice(F.array_sort(F.flatten(F.collect_list("_t"))), 1, k).alias("_t")))
+    best = merged.select(request_id, F.posexplode("_t").alias("_p", "h"))
     return best.select(request_id, (F.col("_p") + 1).cast("int").alias("hit_rank"),
                        F.col("h.id").alias("corpus_id"), F.col("h.distance").alias("distance"),
                        *[F.col(f"h.{p}").alias(p) for p in payload])
 
 
+def _knn_broadcast(requests: DataFrame, corpus: DataFrame, keys: list[str], k: int, request_id: str,
+                   query_vec: str, payload: Sequence[str]) -> DataFrame:
+    import numpy as np
+    import pandas as pd
+
+    spark = requests.sparkSession
+    # Size-checked by the caller: at most ``broadcast_bytes`` of vectors.
+    rows = corpus.select(*keys, "id", "embedding", *payload).collect()
+    by_key: dict = {}
+    for r in rows:
+        if r["embedding"] is None:
+            continue
+        by_key.setdefault(tuple(r[x] for x in keys), []).append(r)
+    tables = {}
+    for key, rs in by_key.items():
+        widths = {len(r["embedding"]) for r in rs}
+        mat = np.array([r["embedding"] for r in rs], dtype=np.float64) if len(widths) == 1 else None
+        tables[key] = (np.array([r["id"] for r in rs], dtype=np.int64), mat,
+                       {p: [r[p] for r in rs] for p in payload})
+    bc = spark.sparkContext.broadcast(tables)
+    ptypes = dict(corpus.dtypes)
+    schema = (f"`{request_id}` {dict(requests.dtypes)[request_id]}, hit_rank INT, corpus_id BIGINT, "
+              f"distance DOUBLE" + "".join(f", `{p}` {ptypes[p]}" for p in payload))
+
+    def top_k(batches):
+        corp = bc.value
+        for pdf in batches:
+            out = {request_id: [], "hit_rank": [], "corpus_id": [], "distance": []}
+            out.update({p: [] for p in payload})
+            if len(keys):
+                groups = pdf.groupby(keys, sort=False, dropna=False).indices.items()
+            else:
+                groups = [((), np.arange(len(pdf)))]
+            for key, idx in groups:
+                key = key if isinstance(key, tuple) else (key,)
+                entry = corp.get(tuple(key))
+                if entry is None or entry[1] is None:
+                    continue
+                ids, mat, pay = entry
+                for start in range(0, len(idx), 32):
+                    part = idx[start:start + 32]
+                    vecs = pdf[query_vec].iloc[part]
+                    ok = [v is not None and len(v) == mat.shape[1] for v in vecs]
+                    if not any(ok):
+                        continue
+                    part = part[np.array(ok)]
+                    q = np.array([np.asarray(v, dtype=np.float64) for v in pdf[query_vec].iloc[part]])
+                    d = np.sqrt(((q[:, None, :] - mat[None, :, :]) ** 2).sum(axis=2))
+                    kk = min(k, len(ids))
+                    for row, dist in zip(part, d):
+                        bound = np.partition(dist, kk - 1)[kk - 1]
+                        cand = np.flatnonzero(dist <= bound)
+                        best = cand[np.lexsort((ids[cand], dist[cand]))][:kk]
+                        for rank, j in enumerate(best, 1):
+                            out[request_id].append(pdf[request_id].iloc[row])
+                            out["hit_rank"].append(rank)
+                            out["corpus_id"].append(int(ids[j]))
+                            out["distance"].append(float(dist[j]))
+                            for p in payload:
+                                out[p].append(pay[p][j])
+            yield pd.DataFrame(out)
+
+    return requests.select(request_id, *keys, query_vec).mapInPandas(top_k, schema)
+
+
 def _n_blocks(corpus: DataFrame, keys: Sequence[str], block_rows: int) -> int:
     biggest = corpus.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     return max(1, -(-int(biggest) // block_rows))
