@@ -8,30 +8,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Accepted date formats, tried in this order (month first for
-# ambiguous slashed dates).
+# ambiguous slashed dates), each with the shape a value must have before the
+# parser is tried (parse failures are expensive; shape checks are not).
+_D = r"[0-9]{1,2}"
 DATE_FORMATS = [
-    "yyyy-M-d",
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d'T'H:m:s",
-    "yyyy-M-d H:m",
-    "yyyy/M/d",
-    "M/d/yyyy",
-    "M/d/yyyy H:m:s",
-    "d.M.yyyy",
-    "d.M.yyyy H:m:s",
-    "yyyyMMdd",
-    "d MMM yyyy",
-    "d MMMM yyyy",
-    "MMM d, yyyy",
-    "MMMM d, yyyy",
+    (rf"^[0-9]{{4}}-{_D}-{_D}$", "yyyy-M-d"),
+    (rf"^[0-9]{{4}}-{_D}-{_D} {_D}:{_D}:{_D}$", "yyyy-M-d H:m:s"),
+    (rf"^[0-9]{{4}}-{_D}-{_D}T{_D}:{_D}:{_D}$", "yyyy-M-d'T'H:m:s"),
+    (rf"^[0-9]{{4}}-{_D}-{_D} {_D}:{_D}$", "yyyy-M-d H:m"),
+    (rf"^[0-9]{{4}}/{_D}/{_D}$", "yyyy/M/d"),
+    (rf"^{_D}/{_D}/[0-9]{{4}}$", "M/d/yyyy"),
+    (rf"^{_D}/{_D}/[0-9]{{4}} {_D}:{_D}:{_D}$", "M/d/yyyy H:m:s"),
+    (rf"^{_D}\.{_D}\.[0-9]{{4}}$", "d.M.yyyy"),
+    (rf"^{_D}\.{_D}\.[0-9]{{4}} {_D}:{_D}:{_D}$", "d.M.yyyy H:m:s"),
+    (r"^[0-9]{8}$", "yyyyMMdd"),
+    (rf"^{_D} [A-Za-z]{{3}} [0-9]{{4}}$", "d MMM yyyy"),
+    (rf"^{_D} [A-Za-z]{{4,9}} [0-9]{{4}}$", "d MMMM yyyy"),
+    (rf"^[A-Za-z]{{3}} {_D}, [0-9]{{4}}$", "MMM d, yyyy"),
+    (rf"^[A-Za-z]{{4,9}} {_D}, [0-9]{{4}}$", "MMMM d, yyyy"),
 ]
 
 
-def parse_date(c: Column | str, formats: list[str] | None = None) -> Column:
+def parse_date(c: Column | str, formats: list[tuple[str, str]] | None = None) -> Column:
     """First format that parses wins; nothing parses -> null (counted by C7)."""
     c = F.col(c) if isinstance(c, str) else c
     s = F.trim(c.cast("string"))
-    tries = [F.try_to_timestamp(s, F.lit(f)) for f in (formats or DATE_FORMATS)]
+    tries = [F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt))) for shape, fmt in (formats or DATE_FORMATS)]
     return F.coalesce(*tries).cast("timestamp_ntz")
 
 

@@ -84,3 +84,9 @@ def extract_counts(report: DataFrame, lang: str = "ru", col: str = "report") ->
     counts = F.regexp_extract_all(F.col(col), F.lit(pattern), 2)
     return (report.select(F.posexplode(F.arrays_zip(names.alias("segment"), counts.alias("n"))).alias("pos", "z"))
             .select(F.col("z.segment").alias("segment"), F.col("z.n").cast("long").alias("customers")))
+
+
+def labels_with_fallback(local: Column, default: Column) -> Column:
+    """A label map where keys missing (or null) in ``local`` take the
+    ``default`` language's text; keys only in ``local`` are kept."""
+    return F.map_zip_with(default, local, lambda k, d, loc: F.coalesce(loc, d))

@@ -204,7 +204,11 @@ def history_local(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _page0(spark, sf_dir):
-    return H.history_page(_local(spark, sf_dir), page=0)
+    # Page first (partial per-partition limit before the shuffle), then look up
+    # zones and convert times for at most page_size rows per user.
+    page = H.history_page(T.message_log(spark, sf_dir), page=0)
+    page = H.with_user_zone(page, T.users(spark, sf_dir))
+    return page.withColumn("local_ts", H.local_time(F.col("timestamp"), F.col("timezone")))
 
 
 def history_page(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,13 @@ def test_extract_after(spark):
 def test_l2(spark):
     df = spark.createDataFrame([([0.0, 3.0], [4.0, 0.0]), ([1.0], [1.0, 2.0])], "a array<double>, b array<double>")
     assert [r[0] for r in df.select(l2_distance("a", "b")).collect()] == [5.0, None]
+
+
+def test_label_fallback_and_language(spark):
+    from segmenter.operators.summary import labels_with_fallback, language_or_default
+    df = spark.createDataFrame([({"a": "A-ru", "b": "B-ru"}, {"a": "A-en"}, "en"), ({"a": "x"}, {}, "de")],
+                               "d map<string,string>, l map<string,string>, lang string")
+    rows = df.select(labels_with_fallback(F.col("l"), F.col("d")).alias("m"),
+                     language_or_default(F.col("lang")).alias("lang")).collect()
+    assert rows[0]["m"] == {"a": "A-en", "b": "B-ru"} and rows[0]["lang"] == "en"
+    assert rows[1]["m"] == {"a": "x"} and rows[1]["lang"] == "ru"
