@@ -93,3 +93,15 @@ def test_assign_segment_names(spark):
     df = spark.createDataFrame([(5, 5, 5), (1, 1, 1)], "R_Score INT, F_Score INT, M_Score INT")
     assert [r["Segment"] for r in assign_segment(df, "en").collect()] == ["VIP Customers", "Lost Customers"]
     assert [r["Segment"] for r in assign_segment(df, "ru").collect()] == ["VIP-клиенты", "Спящие клиенты"]
+
+
+def test_missing_frequency_defaults_to_one(spark):
+    from segmenter.plans.rfm import analyze
+    rows = [(f"id{i}", str(i), str(10 * i)) for i in range(1, 11)]
+    df = spark.createDataFrame(rows, "client_id STRING, recency STRING, amount STRING")
+    res = analyze(df)
+    out = res.scored.orderBy("Buyer").collect()
+    assert {r["Frequency"] for r in out} == {1.0}
+    # Constant frequency: the main route bins the first-come rank (tie-break: the id).
+    assert sorted(r["F_Score"] for r in out) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+    assert res.summary.count() == 5
