@@ -44,7 +44,7 @@ def trailing_count(msgs: DataFrame, window_seconds: int = RATE_WINDOW_SECONDS, u
     w_us = int(window_seconds * _US)
     b_us = int(max(bucket_seconds or max(8 * window_seconds, 3600), window_seconds) * _US)
     us = micros(ts_col)
-    own_b = F.floor(us / F.lit(b_us)).cast("long")
+    own_b = ((us - F.pmod(us, F.lit(b_us))) / F.lit(b_us)).cast("long")  # exact floor division
     buckets = F.when(us >= (own_b + 1) * b_us - w_us, F.array(own_b, own_b + 1)).otherwise(F.array(own_b))
     exploded = (msgs.withColumn("_us", us).withColumn("_own", own_b)
                 .withColumn("_b", F.explode(buckets)))

@@ -61,11 +61,25 @@ def _lines(spark: SparkSession, path: str, fallback_charset: str, glob: str | No
 def read_header(spark: SparkSession, path: str, fallback_charset: str = "windows-1251",
                 glob: str | None = CSV_GLOB) -> list[str]:
     """The first line of the first file, split on commas, names stripped."""
-    first = (_lines(spark, path, fallback_charset, glob).where(F.col("line_no") == 1)
-             .select("line").limit(1).collect())
-    if not first:
+    reader = spark.read.format("text")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    # First line of each file: the lowest row id of the split that starts at
+    # offset 0. One row per file reaches the driver; the first file's is used.
+    firsts = (reader.load(path)
+              .select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("b"),
+                      F.monotonically_increasing_id().alias("_mid"))
+              .where(F.col("_metadata.file_block_start") == 0)
+              .groupBy("file").agg(F.min_by("b", "_mid").alias("b"))
+              .orderBy("file").limit(1).collect())
+    if not firsts:
         raise DataQualityError("empty file")
-    header = [h.strip() for h in first[0]["line"].strip().split(",")]
+    raw = bytes(firsts[0]["b"])
+    try:
+        line = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        line = raw.decode(fallback_charset, errors="replace")
+    header = [h.strip() for h in line.strip().split(",")]
     if len(header) < 2:
         raise DataQualityError("bad header")
     return header
