@@ -88,7 +88,7 @@ def clean_customers(df: DataFrame, as_of: dt.date | str | None = None,
     medians: dict[str, float | None] = {}
     if gaps:
         medians = {m: (q[0] if q else None)
-                   for m, q in exact_quantiles_many(base, {m: [0.5] for m in gaps}).items()}
+                   for m, q in exact_quantiles_many(base, {m: [0.5] for m in gaps}, "client_id").items()}
 
     out_cols = [F.col(c) for c in passthrough] + [F.col("client_id")]
     if has_date:

@@ -138,8 +138,12 @@ def order_statistics(df: DataFrame, specs: Sequence[tuple[str, str, str | None]]
     ``positions(name, n)`` gives the wanted 1-based ranks once the non-null
     count ``n`` is known. Returns ({name: {rank: (value, tie)}}, {name: n}).
     """
+    # Every value carries a tie-break so a heavily repeated value still splits
+    # over range partitions: the given column, else a hash of the whole row
+    # (deterministic; only identical rows stay together).
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("string")
     parts = [F.struct(F.lit(i).alias("g"), F.col(v).cast("double").alias("v"),
-                      (F.col(t).cast("string") if t else F.lit(None).cast("string")).alias("t"))
+                      (F.col(t).cast("string") if t else row_hash).alias("t"))
              for i, (_, v, t) in enumerate(specs)]
     stacked = (df.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
                .where(F.col("v").isNotNull()))
@@ -156,10 +160,11 @@ def order_statistics(df: DataFrame, specs: Sequence[tuple[str, str, str | None]]
     return found, n_by_name
 
 
-def exact_quantiles_many(df: DataFrame, probs: dict[str, Sequence[float]]) -> dict[str, list[float] | None]:
+def exact_quantiles_many(df: DataFrame, probs: dict[str, Sequence[float]],
+                         tie_break: str | None = None) -> dict[str, list[float] | None]:
     """Linear-interpolation quantiles (as DuckDB ``quantile_cont``) of several
     columns' non-null values, one ranking pass. None for an all-null column."""
-    specs = [(c, c, None) for c in probs]
+    specs = [(c, c, tie_break) for c in probs]
     found, sizes = order_statistics(
         df, specs, lambda name, n: [r for lo, hi, _ in quantile_positions(n, probs[name]) for r in (lo, hi)])
     out: dict[str, list[float] | None] = {}

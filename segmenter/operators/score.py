@@ -73,10 +73,10 @@ def _stats(df: DataFrame, cols: dict[str, str], tie: str, r_k: int | None, m_k:
            f_k: int | None):
     specs, want = [], {}
     if r_k:
-        specs.append(("R", cols["R"], None))
+        specs.append(("R", cols["R"], tie))
         want["R"] = r_k
     if m_k:
-        specs.append(("M", cols["M"], None))
+        specs.append(("M", cols["M"], tie))
         want["M"] = m_k
     if f_k:
         specs.append(("F", cols["F"], tie))
