@@ -70,7 +70,7 @@ def clean_customers(df: DataFrame, as_of: dt.date | str | None = None,
     """Canonical frame in, clean frame out: ids non-null, measures filled and >= 0."""
     # Materialise the typed input once: the counters, the medians and the
     # cleaning projection then read it instead of recomputing its lineage.
-    typed = cut_lineage(typed_frame(df, as_of, phone_only, passthrough))
+    typed = cut_lineage(typed_frame(df, as_of, phone_only, passthrough), "typed")
     has_date = "date" in typed.columns
     measures = [m for m in MEASURES if m in typed.columns]
     id_ok = F.col("client_id").isNotNull()

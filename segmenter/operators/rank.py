@@ -10,8 +10,10 @@ whose low 33 bits are the row index inside the partition. Row counts per
 offsets on the driver and are joined back with a broadcast.
 Rank inside the group = offset + index + 1.
 
-The ranked table is checkpointed to the shared checkpoint folder so partition
-ids and indices stay fixed if a task is recomputed after executor loss.
+The ordered table is written as Parquet under the shared checkpoint folder so
+partition ids and indices stay fixed if a task is recomputed after executor
+loss; one file per range partition, so picking a few ranks reads only the
+files of the partitions that hold them (min/max statistics on the id).
 
 Exact quantiles: for probability ``p`` over ``n`` values the linear
 interpolation quantile needs the values at ranks ``floor((n-1)p)+1`` and
@@ -55,7 +57,7 @@ def rank_within(df: DataFrame, order_by: Sequence[str | Column], group: str | No
                .sortWithinPartitions(*keys)
                .withColumn("_pid", F.spark_partition_id())
                .withColumn("_mid", F.monotonically_increasing_id()))
-    ordered = cut_lineage(ordered)
+    ordered = cut_lineage(ordered, "ranked")
     gcol = F.col(group) if group else F.lit(0)
     counts_df = ordered.groupBy(F.col("_pid"), gcol.alias("_g")).agg(F.count(F.lit(1)).alias("n"))
     counts = counts_df.limit(max_driver_groups + 1).collect() if group else counts_df.collect()
@@ -105,6 +107,37 @@ def _rank_many_groups(ordered: DataFrame, counts: DataFrame, group: str, rank_co
     return ranked, None
 
 
+def _rank_with_spans(df: DataFrame, order_by: Sequence[str], group: str, rank_col: str):
+    """Like ``rank_within`` with driver offsets, keeping ``_pid`` and returning
+    the rank span of every (partition, group) for partition pruning."""
+    spark = df.sparkSession
+    keys = [F.col(group)] + _as_cols(order_by)
+    ordered = (df.repartitionByRange(shuffle_partitions(spark), *keys)
+               .sortWithinPartitions(*keys)
+               .withColumn("_pid", F.spark_partition_id())
+               .withColumn("_mid", F.monotonically_increasing_id()))
+    ordered = cut_lineage(ordered, "ranked")
+    counts = ordered.groupBy("_pid", F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts.sort(key=lambda r: (r["_pid"], r["_g"]))
+    sizes: dict = {}
+    offsets, spans = [], {}
+    before_in_part, cur_pid = 0, None
+    for r in counts:
+        if r["_pid"] != cur_pid:
+            cur_pid, before_in_part = r["_pid"], 0
+        first = sizes.get(r["_g"], 0)
+        offsets.append((r["_pid"], r["_g"], first - before_in_part))
+        spans[(r["_pid"], r["_g"])] = (first + 1, first + r["n"])
+        sizes[r["_g"]] = first + r["n"]
+        before_in_part += r["n"]
+    gtype = dict(ordered.dtypes)[group]
+    off_df = spark.createDataFrame(offsets or [(0, 0, 0)], f"_opid INT, _g {gtype}, _off LONG")
+    ranked = (ordered.join(F.broadcast(off_df), (F.col("_pid") == F.col("_opid")) & (F.col(group) == F.col("_g")))
+              .withColumn(rank_col, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)) + 1)
+              .drop("_mid", "_off", "_g", "_opid"))
+    return ranked, sizes, spans
+
+
 def with_global_rank(df: DataFrame, order_by: Sequence[str | Column], rank_col: str = "rank",
                      num_partitions: int | None = None) -> DataFrame:
     return rank_within(df, order_by, None, rank_col, num_partitions)[0]
@@ -147,13 +180,17 @@ def order_statistics(df: DataFrame, specs: Sequence[tuple[str, str, str | None]]
              for i, (_, v, t) in enumerate(specs)]
     stacked = (df.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
                .where(F.col("v").isNotNull()))
-    ranked, sizes = rank_within(stacked, ["v", "t"], group="g", rank_col="_r")
+    ranked, sizes, spans = _rank_with_spans(stacked, ["v", "t"], "g", "_r")
     n_by_name = {name: sizes.get(i, 0) for i, (name, _, _) in enumerate(specs)}
     cond = F.lit(False)
+    parts: set[int] = set()
     for i, (name, _, _) in enumerate(specs):
         want = sorted(set(positions(name, n_by_name[name]))) if n_by_name[name] else []
         if want:
             cond = cond | ((F.col("g") == i) & F.col("_r").isin(want))
+            parts |= {pid for (pid, g), (lo, hi) in spans.items() if g == i and any(lo <= w <= hi for w in want)}
+    if parts:
+        cond = F.col("_pid").isin(sorted(parts)) & cond
     found: dict[str, dict[int, tuple]] = {name: {} for name, _, _ in specs}
     for r in ranked.where(cond).select("g", "_r", "v", "t").collect():
         found[specs[r["g"]][0]][r["_r"]] = (r["v"], r["t"])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import MUTE_SECONDS, RATE_LIMIT, RATE_WINDOW_SECONDS
-from ..session import cut_lineage, shuffle_partitions
+from ..session import checkpoint_partitions, shuffle_partitions
 
 _US = 1_000_000
 
@@ -70,7 +70,7 @@ def segmented_sessions(msgs: DataFrame, gap_seconds: float, user_col: str = "use
     longer than ``gap_seconds``.
 
     Rows are range-partitioned on (user, time, id) -- heavy users span several
-    partitions -- and checkpointed. Two bounded summaries (one row per
+    partitions -- and checkpointed with their partitions kept. Two bounded summaries (one row per
     partition) carry the previous partition's last row and the latest session
     start across partition edges; the rest is vectorised per partition.
     """
@@ -78,8 +78,8 @@ def segmented_sessions(msgs: DataFrame, gap_seconds: float, user_col: str = "use
     gap_us = int(gap_seconds * _US)
     base = msgs.select(F.col(user_col).alias("u"), micros(ts_col).alias("us"), F.col(id_col).alias("i"))
     keys = ["u", "us", "i"]
-    ordered = cut_lineage(base.repartitionByRange(shuffle_partitions(spark), *keys)
-                          .sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id()))
+    ordered = checkpoint_partitions(base.repartitionByRange(shuffle_partitions(spark), *keys)
+                                    .sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id()))
     edges = ordered.groupBy("_pid").agg(F.max(F.struct(*keys)).alias("last")).collect()
     prev_last, last_seen = {}, None
     for r in sorted(edges, key=lambda r: r["_pid"]):

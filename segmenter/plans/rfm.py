@@ -19,7 +19,6 @@ from ..operators.clean import CleanResult, clean_customers
 from ..operators.columns import project_canonical, with_default
 from ..operators.score import ScorePlan, assign_segment, plan_scores, score
 from ..operators.summary import segment_summary
-from ..session import cut_lineage
 
 
 @dataclass

@@ -66,12 +66,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: materialises ``df`` in the shared checkpoint folder.
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as a Parquet table under the shared checkpoint folder and
+    read it back.
 
-    Survives executor loss (unlike cached or local-checkpointed blocks) and pins
-    non-deterministic columns such as partition ids.
+    Survives executor loss (unlike cached or local-checkpointed blocks), pins
+    non-deterministic columns such as partition ids, and later passes read
+    only the columns they need.
     """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def checkpoint_partitions(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared checkpoint folder, for stages whose
+    next step walks each physical partition in order (the partitions are kept
+    one to one, which a re-read Parquet table does not guarantee)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
