@@ -32,8 +32,17 @@ from ..session import checkpoint_partitions, shuffle_partitions
 _US = 1_000_000
 
 
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
 def micros(ts: str):
-    return F.unix_micros(F.col(ts).cast("timestamp"))
+    """Microseconds since the epoch of a UTC wall-clock timestamp; does not
+    depend on the session time zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, CAST(`{ts}` AS TIMESTAMP_NTZ))")
+
+
+def from_micros(c: str):
+    return F.expr(f"timestampadd(MICROSECOND, `{c}`, {_EPOCH})")
 
 
 def trailing_count(msgs: DataFrame, window_seconds: int = RATE_WINDOW_SECONDS, user_col: str = "user_id",
@@ -198,9 +207,8 @@ def mute_fold(msgs: DataFrame, limit: int = RATE_LIMIT, window_seconds: int = RA
 
     out = spread.mapInPandas(fold, "u LONG, i LONG, us LONG, status STRING, unmute_us LONG")
     return out.select(F.col("u").alias(user_col), F.col("i").alias(id_col),
-                      F.timestamp_micros("us").cast("timestamp_ntz").alias(ts_col), "status",
-                      F.when(F.col("unmute_us") >= 0, F.timestamp_micros("unmute_us").cast("timestamp_ntz"))
-                      .alias("unmute_time"))
+                      from_micros("us").alias(ts_col), "status",
+                      F.when(F.col("unmute_us") >= 0, from_micros("unmute_us")).alias("unmute_time"))
 
 
 def mute_intervals(folded: DataFrame, user_col: str = "user_id", ts_col: str = "timestamp") -> DataFrame:

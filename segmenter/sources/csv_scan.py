@@ -35,7 +35,17 @@ class ScanResult:
     header: list[str]
 
 
+# Charsets every JVM has; others (windows-1251, ...) need the legacy switch.
+_STANDARD_CHARSETS = {"US-ASCII", "ISO-8859-1", "UTF-8", "UTF-16BE", "UTF-16LE", "UTF-16", "UTF-32"}
+
+
+def _allow_charset(spark: SparkSession, charset: str) -> None:
+    if charset.upper() not in _STANDARD_CHARSETS:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def _lines(spark: SparkSession, path: str, fallback_charset: str, glob: str | None) -> DataFrame:
+    _allow_charset(spark, fallback_charset)
     reader = spark.read.format("text")
     if glob:
         reader = reader.option("pathGlobFilter", glob)

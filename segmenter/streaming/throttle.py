@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.throttle import from_micros, micros
 from ..schemas import MUTE_SECONDS, RATE_LIMIT, RATE_WINDOW_SECONDS
 
 OUTPUT = "user_id LONG, id LONG, us LONG, status STRING, unmute_us LONG"
@@ -53,9 +54,8 @@ def throttle_stream(msgs: DataFrame, limit: int = RATE_LIMIT, window_seconds: in
     # Watermarks need TIMESTAMP (instants); the tables hold UTC wall time.
     prepared = (msgs.withColumn("_event_time", F.col("timestamp").cast("timestamp"))
                 .withWatermark("_event_time", watermark)
-                .select("user_id", "id", F.unix_micros("_event_time").alias("us"), "_event_time"))
+                .select("user_id", "id", micros("timestamp").alias("us"), "_event_time"))
     out = prepared.groupBy("user_id").applyInPandasWithState(
         step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
-    return out.select("user_id", "id", F.timestamp_micros("us").cast("timestamp_ntz").alias("timestamp"),
-                      "status", F.when(F.col("unmute_us") >= 0,
-                                       F.timestamp_micros("unmute_us").cast("timestamp_ntz")).alias("unmute_time"))
+    return out.select("user_id", "id", from_micros("us").alias("timestamp"),
+                      "status", F.when(F.col("unmute_us") >= 0, from_micros("unmute_us")).alias("unmute_time"))
