@@ -1,9 +1,11 @@
 """ST2: the mute decision (M1-M3) as a stateful stream.
 
 State per user: kept message times inside the window and the mute end -- both
-bounded by the limit and the window, never the user's history. Rows of a key
-inside one micro-batch are processed in (time, id) order; the watermark drops
-rows older than what a user's state has already moved past.
+bounded by the limit and the window, never the user's history -- and removed by
+an event-time timeout once the watermark passes the window and the mute. Rows
+of a key inside one micro-batch are processed in (time, id) order; the
+watermark drops rows that arrive too late. For large state set
+``spark.sql.streaming.stateStore.providerClass`` to the RocksDB provider.
 """
 
 from __future__ import annotations
@@ -27,6 +29,11 @@ def throttle_stream(msgs: DataFrame, limit: int = RATE_LIMIT, window_seconds: in
     w_us, m_us = window_seconds * 1_000_000, mute_seconds * 1_000_000
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            # Watermark passed the end of the window and of any mute: the
+            # state can no longer change a decision.
+            state.remove()
+            return
         kept, muted = ([], None)
         if state.exists:
             kept, muted = list(state.get[0] or []), state.get[1]
@@ -48,6 +55,8 @@ def throttle_stream(msgs: DataFrame, limit: int = RATE_LIMIT, window_seconds: in
                 status.append("ok")
                 unmute.append(-1)
         state.update((kept, muted))
+        horizon_us = max([x + w_us for x in kept[-1:]] + ([muted] if muted is not None else []) + [0])
+        state.setTimeoutTimestamp(horizon_us // 1000 + 1)
         yield pd.DataFrame({"user_id": pdf["user_id"].to_numpy(), "id": pdf["id"].to_numpy(),
                             "us": pdf["us"].to_numpy(), "status": status, "unmute_us": unmute})
 
@@ -56,6 +65,6 @@ def throttle_stream(msgs: DataFrame, limit: int = RATE_LIMIT, window_seconds: in
                 .withWatermark("_event_time", watermark)
                 .select("user_id", "id", micros("timestamp").alias("us"), "_event_time"))
     out = prepared.groupBy("user_id").applyInPandasWithState(
-        step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+        step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return out.select("user_id", "id", from_micros("us").alias("timestamp"),
                       "status", F.when(F.col("unmute_us") >= 0, from_micros("unmute_us")).alias("unmute_time"))
