@@ -9,10 +9,10 @@ LIMIT k). Here a table of requests is matched against the corpus in one job:
   Arrow batches, distances computed in blocks with numpy, exact top-k with
   ties broken by corpus id. No shuffle of requests and no pair rows.
 * Beyond the size bound the corpus is cut into blocks of at most
-  ``block_rows`` rows per key; requests are joined to the blocks of their key
-  (a shuffle join replicating each request once per block), each (request,
-  block) keeps its k best with JVM higher-order functions, and a group-by per
-  request merges at most k x blocks candidates. Still exact.
+  ``block_rows`` rows per key, and blocks and requests meet in a sort-based
+  co-group on (key, block): each task holds one block matrix at a time and
+  streams the block's requests through numpy; a group-by per request merges
+  at most k x blocks candidates. Still exact.
 
 Distances are in double precision.
 """
@@ -31,18 +31,6 @@ DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 DEFAULT_BLOCK_ROWS = 4096
 
 
-def _hit_struct(c: Column, q: Column, payload: Sequence[str]) -> Column:
-    fields = [l2_distance(c["embedding"], q).alias("distance"), c["id"].alias("id")]
-    fields += [c[p].alias(p) for p in payload]
-    return F.struct(*fields)
-
-
-def _topk(arr: Column, q: Column, k: int, payload: Sequence[str]) -> Column:
-    hits = F.transform(arr, lambda c: _hit_struct(c, q, payload))
-    hits = F.filter(hits, lambda h: h["distance"].isNotNull())
-    return F.slice(F.array_sort(hits), 1, k)
-
-
 def corpus_bytes(corpus: DataFrame, embedding: str = "embedding") -> int:
     """Exact size estimate of the vectors: one small aggregation."""
     r = corpus.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(embedding)).alias("d")).first()
@@ -57,19 +45,104 @@ def knn_join(requests: DataFrame, corpus: DataFrame, keys: Sequence[str], k: int
     """Top-k corpus rows per request among corpus rows whose ``keys`` equal the
     request's. Output: request_id, hit_rank (1..k), corpus id, distance, payload."""
     keys = list(keys)
-    entry = F.struct(F.col("id"), F.col("embedding"), *[F.col(p) for p in payload])
-    q = F.col(query_vec)
     if not force_blocked and corpus_bytes(corpus) <= broadcast_bytes:
         return _knn_broadcast(requests, corpus, keys, k, request_id, query_vec, payload)
+    return _knn_blocked(requests, corpus, keys, k, request_id, query_vec, payload, block_rows)
+
+
+def _knn_blocked(requests: DataFrame, corpus: DataFrame, keys: list[str], k: int, request_id: str,
+                 query_vec: str, payload: Sequence[str], block_rows: int) -> DataFrame:
+    """Corpus beyond the broadcast bound: a sort-based co-group.
+
+    Corpus rows are grouped into blocks of at most ``block_rows`` per key (one
+    row per block holding its ids, vectors and payload). Each request is
+    paired with the block ids of its key -- a join against the small
+    (key, block) list, not against the vectors. Block rows and request rows
+    are hash-partitioned on (key, block) and sorted so each block arrives just
+    before its requests; ``mapInPandas`` keeps one block matrix at a time and
+    scores the requests that follow with numpy. Per-block top-k lists are then
+    merged per request (at most k x blocks candidates).
+    """
+    import numpy as np
+    import pandas as pd
+
+    spark = requests.sparkSession
     n_blocks = _n_blocks(corpus, keys, block_rows)
-    blocks = (corpus.groupBy(*keys, F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("_b"))
-              .agg(F.collect_list(entry).alias("_c")))
-    partial = (requests.join(blocks, keys, "inner")
-               .select(request_id, _topk(F.col("_c"), q, k, payload).alias("_t")))
+    bcol = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("_b")
+    blocks = (corpus.where(F.col("embedding").isNotNull())
+              .groupBy(*keys, bcol)
+              .agg(F.collect_list(F.struct("id", "embedding", *payload)).alias("_c")))
+    block_ids = blocks.select(*keys, "_b")
+    pairs = requests.select(request_id, *keys, query_vec).join(block_ids, keys)
+    rtype = dict(requests.dtypes)[request_id]
+    unified = (blocks.select(*keys, "_b", F.lit(0).alias("_kind"), F.col("_c"),
+                             F.lit(None).cast(rtype).alias("_rid"),
+                             F.lit(None).cast("array<double>").alias("_q"))
+               .unionByName(pairs.select(*keys, "_b", F.lit(1).alias("_kind"),
+                                         F.lit(None).cast(blocks.schema["_c"].dataType).alias("_c"),
+                                         F.col(request_id).alias("_rid"),
+                                         F.col(query_vec).cast("array<double>").alias("_q"))))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = unified.repartition(parts, *keys, "_b").sortWithinPartitions(*keys, "_b", "_kind")
+    ptypes = dict(corpus.dtypes)
+    schema = (f"rid {rtype}, hit_rank INT, corpus_id BIGINT, distance DOUBLE"
+              + "".join(f", `{p}` {ptypes[p]}" for p in payload))
+    kcols = list(keys) + ["_b"]
+
+    def _score_block(ids, mat, pay, payload, q_ids, q_vecs, k, out):
+        """Exact top-k of each query vector against one corpus matrix (numpy)."""
+        kk = min(k, len(ids))
+        for start in range(0, len(q_ids), 32):
+            qv = q_vecs[start:start + 32]
+            d = np.sqrt(((qv[:, None, :] - mat[None, :, :]) ** 2).sum(axis=2))
+            for rid, dist in zip(q_ids[start:start + 32], d):
+                bound = np.partition(dist, kk - 1)[kk - 1]
+                cand = np.flatnonzero(dist <= bound)
+                best = cand[np.lexsort((ids[cand], dist[cand]))][:kk]
+                for rank, j in enumerate(best, 1):
+                    out["rid"].append(rid)
+                    out["hit_rank"].append(rank)
+                    out["corpus_id"].append(int(ids[j]))
+                    out["distance"].append(float(dist[j]))
+                    for p in payload:
+                        out[p].append(pay[p][j])
+
+    def cogroup(batches):
+        cur_key, ids, mat, pay = None, None, None, None
+        for pdf in batches:
+            out = {"rid": [], "hit_rank": [], "corpus_id": [], "distance": []}
+            out.update({p: [] for p in payload})
+            keyvals = list(zip(*[pdf[c] for c in kcols]))
+            kinds = pdf["_kind"].to_numpy()
+            i, n = 0, len(pdf)
+            while i < n:
+                key = keyvals[i]
+                if kinds[i] == 0:
+                    entries = pdf["_c"].iloc[i]
+                    cur_key = key
+                    ids = np.array([e["id"] for e in entries], dtype=np.int64)
+                    mat = np.array([np.asarray(e["embedding"], dtype=np.float64) for e in entries])
+                    pay = {p: [e[p] for e in entries] for p in payload}
+                    i += 1
+                    continue
+                j = i
+                while j < n and kinds[j] == 1 and keyvals[j] == key:
+                    j += 1
+                if key == cur_key and ids is not None and len(ids):
+                    qs = [np.asarray(v, dtype=np.float64) for v in pdf["_q"].iloc[i:j]]
+                    ok = [len(v) == mat.shape[1] for v in qs]
+                    q_ids = [r for r, o in zip(pdf["_rid"].iloc[i:j], ok) if o]
+                    if q_ids:
+                        _score_block(ids, mat, pay, payload, q_ids, np.array([v for v, o in zip(qs, ok) if o]),
+                                     k, out)
+                i = j
+            yield pd.DataFrame(out)
+
+    partial = ordered.mapInPandas(cogroup, schema)
+    hit = F.struct(F.col("distance"), F.col("corpus_id").alias("id"), *[F.col(p) for p in payload])
     # At most k candidates per (request, block): bounded per request.
-    merged = (partial.groupBy(request_id)
-              .agg(F.slice(F.array_sort(F.flatten(F.collect_list("_t"))), 1, k).alias("_t")))
-    best = merged.select(request_id, F.posexplode("_t").alias("_p", "h"))
+    merged = partial.groupBy("rid").agg(F.slice(F.array_sort(F.collect_list(hit)), 1, k).alias("_t"))
+    best = merged.select(F.col("rid").alias(request_id), F.posexplode("_t").alias("_p", "h"))
     return best.select(request_id, (F.col("_p") + 1).cast("int").alias("hit_rank"),
                        F.col("h.id").alias("corpus_id"), F.col("h.distance").alias("distance"),
                        *[F.col(f"h.{p}").alias(p) for p in payload])

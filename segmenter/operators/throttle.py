@@ -51,7 +51,8 @@ def trailing_count(msgs: DataFrame, window_seconds: int = RATE_WINDOW_SECONDS, u
     """Messages of the same user with time in [t - window, t] (inclusive,
     equal times included), for every message."""
     w_us = int(window_seconds * _US)
-    b_us = int(max(bucket_seconds or max(8 * window_seconds, 3600), window_seconds) * _US)
+    # Buckets of 8 windows: one row in eight is copied as a halo at most.
+    b_us = int(max(bucket_seconds or 8 * window_seconds, window_seconds) * _US)
     us = micros(ts_col)
     own_b = ((us - F.pmod(us, F.lit(b_us))) / F.lit(b_us)).cast("long")  # exact floor division
     buckets = F.when(us >= (own_b + 1) * b_us - w_us, F.array(own_b, own_b + 1)).otherwise(F.array(own_b))
