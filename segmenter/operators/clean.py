@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import parse_date, recency_days
 from ..functions.ids import normalize_id
 from ..functions.numbers import text_to_number
-from ..session import cut_lineage
+from ..session import cut_lineage_observed
 from .rank import exact_quantiles_many
 
 MEASURES = ["recency", "amount", "frequency"]
@@ -68,11 +68,12 @@ def typed_frame(df: DataFrame, as_of: dt.date | str | None = None, phone_only: b
 def clean_customers(df: DataFrame, as_of: dt.date | str | None = None,
                     phone_only: bool = False, passthrough: tuple[str, ...] = ()) -> CleanResult:
     """Canonical frame in, clean frame out: ids non-null, measures filled and >= 0."""
-    # Materialise the typed input once: the counters, the medians and the
-    # cleaning projection then read it instead of recomputing its lineage.
-    typed = cut_lineage(typed_frame(df, as_of, phone_only, passthrough), "typed")
-    has_date = "date" in typed.columns
-    measures = [m for m in MEASURES if m in typed.columns]
+    # Materialise the typed input once, counting nulls and negatives while it
+    # is written: the medians and the cleaning projection then read the table
+    # instead of recomputing its lineage.
+    typed0 = typed_frame(df, as_of, phone_only, passthrough)
+    has_date = "date" in typed0.columns
+    measures = [m for m in MEASURES if m in typed0.columns]
     id_ok = F.col("client_id").isNotNull()
     date_ok = F.col("date").isNotNull() if has_date else F.lit(True)
     kept = id_ok & date_ok
@@ -81,7 +82,7 @@ def clean_customers(df: DataFrame, as_of: dt.date | str | None = None,
             F.count_if(id_ok & ~date_ok).alias("bad_dates")]
     aggs += [F.count_if(kept & F.col(m).isNull()).alias(f"null_{m}") for m in measures]
     aggs += [F.count_if(kept & (F.col(m) < 0)).alias(f"neg_{m}") for m in measures]
-    stats = typed.agg(*aggs).first().asDict()
+    typed, stats = cut_lineage_observed(typed0, "typed", *aggs)
 
     base = typed.where(kept)
     gaps = [m for m in measures if stats[f"null_{m}"] > 0]

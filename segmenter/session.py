@@ -109,6 +109,18 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def cut_lineage_observed(df: DataFrame, name: str, *metrics) -> tuple[DataFrame, dict]:
+    """``cut_lineage`` that also returns aggregate ``metrics`` (Columns)
+    computed while the table is written -- no separate pass over the data."""
+    from pyspark.sql import Observation
+
+    spark = df.sparkSession
+    obs = Observation(f"{name}_metrics")
+    path = scratch_path(spark, name)
+    df.observe(obs, *metrics).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), obs.get
+
+
 def checkpoint_partitions(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder, for stages whose
     next step walks each physical partition in order (the partitions are kept
