@@ -109,7 +109,7 @@ def clean_customers(df: DataFrame, as_of: dt.date | str | None = None,
         if n_null > 0 and med is None:
             drop_all = True
         counts[f"dropped:{m}"] = 0
-        out_cols.append(F.greatest(filled, F.lit(0.0)).alias(m))
+        out_cols.append(clamp(filled).alias(m))
     clean = base.select(*out_cols)
     if drop_all:
         # Every value of some measure was missing: the reference drops every row
@@ -128,7 +128,11 @@ def fill_median(df: DataFrame, columns: list[str]) -> DataFrame:
                        if (c in meds and meds[c] is not None) else F.col(c) for c in df.columns])
 
 
+def clamp(c: Column) -> Column:
+    """C6 on one column: value < 0 -> 0; null stays null."""
+    return F.when(c < 0, F.lit(0.0)).otherwise(c)
+
+
 def clamp_negative(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Value < 0 -> 0."""
-    return df.select(*[F.greatest(F.col(c), F.lit(0.0)).alias(c) if c in columns else F.col(c)
-                       for c in df.columns])
+    """Value < 0 -> 0 in ``columns``."""
+    return df.select(*[clamp(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])

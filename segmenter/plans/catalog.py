@@ -15,7 +15,7 @@ from ..operators.chunk import chunk_text
 from ..operators.columns import project_canonical
 from ..sources import csv_scan as CS
 from ..operators import summary as S
-from ..operators.clean import clean_customers, fill_median, typed_frame
+from ..operators.clean import clamp_negative, clean_customers, fill_median, typed_frame
 from ..operators.rank import exact_quantiles_many, with_global_rank
 from ..operators.score import bins_probs
 from ..sources import tables as T
@@ -411,6 +411,74 @@ def stream_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, table)
 
 
+# --- named steps of SURVEY §2 ------------------------------------------------------
+
+def _kept(spark, sf_dir):
+    typed = typed_frame(_dirty(spark, sf_dir), T.AS_OF, passthrough=("row_key",))
+    return typed.where(F.col("client_id").isNotNull() & F.col("date").isNotNull())
+
+
+def drop_bad_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without an id or a parseable date are dropped."""
+    return _kept(spark, sf_dir).select("row_key", "client_id", "date")
+
+
+def recency_from_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4: days from the last purchase to as_of (negative when after it)."""
+    return _kept(spark, sf_dir).select("row_key", "recency")
+
+
+def clamp_negative_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negative amounts and recencies -> 0 (gaps stay gaps)."""
+    return clamp_negative(_kept(spark, sf_dir).select("row_key", "amount", "recency"), ["amount", "recency"])
+
+
+def rfm_no_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No frequency column -> Frequency 1, F by first-come rank."""
+    return analyze(T.customer_metrics(spark, sf_dir, T.AS_OF).drop("frequency"), as_of=T.AS_OF).scored
+
+
+def r_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1: R score per customer."""
+    return rfm_segments(spark, sf_dir).select("Buyer", "Recency", "R_Score")
+
+
+def f_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q3: F score per customer."""
+    return rfm_segments(spark, sf_dir).select("Buyer", "Frequency", "F_Score")
+
+
+def m_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q2: M score per customer."""
+    return rfm_segments(spark, sf_dir).select("Buyer", "Monetary", "M_Score")
+
+
+def segment_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q6: segment rules, English names."""
+    res = analyze(T.customer_metrics(spark, sf_dir, T.AS_OF), as_of=T.AS_OF, lang="en")
+    return res.scored.select("Buyer", "R_Score", "F_Score", "M_Score", "Segment")
+
+
+def knn_join_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3: top 5 per request within its language and segment."""
+    reqs = T.requests_from_embeddings(spark, sf_dir)
+    hits = K.knn_join(reqs, T.corpus(spark, sf_dir), ["language", "segment"], k=5)
+    return hits.withColumn("distance", F.round("distance", 6))
+
+
+def history_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered history lines of the first page."""
+    return history_page(spark, sf_dir).select("user_id", "rn", "line")
+
+
+def corpus_dim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector count and width range per language (one aggregation)."""
+    c = T.corpus(spark, sf_dir)
+    return c.groupBy("language").agg(F.count(F.lit(1)).alias("vectors"),
+                                     F.min(F.size("embedding")).cast("int").alias("min_dim"),
+                                     F.max(F.size("embedding")).cast("int").alias("max_dim"))
+
+
 QUERIES: dict[str, Query] = {
     "rfm_segments": rfm_segments,
     "segment_summary": segment_summary,
@@ -461,6 +529,17 @@ QUERIES: dict[str, Query] = {
     "stream_ingest": stream_ingest,
     "stream_throttle": stream_throttle,
     "stream_last_seen": stream_last_seen,
+    "drop_bad_dates": drop_bad_dates,
+    "recency_from_date": recency_from_date,
+    "clamp_negative": clamp_negative_q,
+    "rfm_no_frequency": rfm_no_frequency,
+    "r_score": r_score,
+    "f_score": f_score,
+    "m_score": m_score,
+    "segment_assign": segment_assign,
+    "knn_join": knn_join_q,
+    "history_render": history_render,
+    "corpus_dim_check": corpus_dim_check,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -513,4 +592,15 @@ ORACLE_SQL: dict[str, str] = {
     "stream_ingest": Q.STREAM_INGEST,
     "stream_throttle": Q.MUTE_FOLD,
     "stream_last_seen": Q.LAST_SEEN,
+    "drop_bad_dates": Q.DROP_BAD_DATES,
+    "recency_from_date": Q.RECENCY_FROM_DATE,
+    "clamp_negative": Q.CLAMP_NEGATIVE,
+    "rfm_no_frequency": Q.RFM_NO_FREQUENCY,
+    "r_score": Q.R_SCORE,
+    "f_score": Q.F_SCORE,
+    "m_score": Q.M_SCORE,
+    "segment_assign": Q.SEGMENT_ASSIGN,
+    "knn_join": Q.KNN_JOIN,
+    "history_render": Q.HISTORY_RENDER,
+    "corpus_dim_check": Q.CORPUS_DIM_CHECK,
 }

@@ -29,12 +29,13 @@ def norm_id(x: str) -> str:
     return f"(CASE WHEN starts_with({b}, '8') THEN '+7' || substr({b}, 2) ELSE {b} END)"
 
 
-def metrics_cte(as_of: str = AS_OF) -> str:
+def metrics_cte(as_of: str = AS_OF, frequency: bool = True) -> str:
+    freq = "CAST(count(*) AS DOUBLE)" if frequency else "CAST(1.0 AS DOUBLE)"
     return f"""m AS (
   SELECT CAST(o_custkey AS VARCHAR) AS cid,
          CAST(date_diff('day', CAST(max(o_orderdate) AS DATE), DATE '{as_of}') AS DOUBLE) AS recency,
          round(sum(o_totalprice), 2) AS amount,
-         CAST(count(*) AS DOUBLE) AS frequency
+         {freq} AS frequency
   FROM orders GROUP BY o_custkey)"""
 
 
@@ -487,3 +488,22 @@ SELECT sc.Buyer, u.lang_raw, CASE WHEN u.lang_raw IN ('ru', 'en') THEN u.lang_ra
 FROM sc JOIN u ON sc.Buyer = u.Buyer"""
 
 STREAM_INGEST = """SELECT event_id AS id, user_id, concat_ws(' ', event_type, props) AS message, ts AS timestamp FROM events"""
+
+
+# --- named steps of SURVEY §2 ---------------------------------------------------------
+
+DROP_BAD_DATES = f"WITH {TYPED_CTE} SELECT row_key, client_id, date FROM kept"
+RECENCY_FROM_DATE = f"WITH {TYPED_CTE} SELECT row_key, recency FROM kept"
+CLAMP_NEGATIVE = f"""WITH {TYPED_CTE}
+SELECT row_key, CASE WHEN amount < 0 THEN 0.0 ELSE amount END AS amount,
+       CASE WHEN recency < 0 THEN 0.0 ELSE recency END AS recency FROM kept"""
+RFM_NO_FREQUENCY = scored_sql(metrics_cte(AS_OF, frequency=False))
+R_SCORE = f"SELECT Buyer, Recency, R_Score FROM ({RFM_SEGMENTS})"
+F_SCORE = f"SELECT Buyer, Frequency, F_Score FROM ({RFM_SEGMENTS})"
+M_SCORE = f"SELECT Buyer, Monetary, M_Score FROM ({RFM_SEGMENTS})"
+SEGMENT_ASSIGN = f"""SELECT Buyer, R_Score, F_Score, M_Score, Segment FROM ({scored_sql(metrics_cte(AS_OF), lang='en')})"""
+KNN_JOIN = knn_sql(["language", "segment"], 5)
+HISTORY_RENDER = f"SELECT user_id, rn, line FROM ({HISTORY_PAGE})"
+CORPUS_DIM_CHECK = f"""WITH {CORPUS_CTE}
+SELECT language, count(*) AS vectors, CAST(min(len(embedding)) AS INTEGER) AS min_dim,
+       CAST(max(len(embedding)) AS INTEGER) AS max_dim FROM c GROUP BY language"""
