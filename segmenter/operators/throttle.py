@@ -19,8 +19,6 @@ the window and the mute end), never a whole group.
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -161,6 +159,48 @@ def segmented_sessions(msgs: DataFrame, gap_seconds: float, user_col: str = "use
     return ordered.mapInPandas(keyed, "u LONG, us LONG, i LONG, _sus LONG, _sid LONG")
 
 
+def fold_runner(limit: int, w_us: int, m_us: int):
+    """Build the vectorised fold step (a closure, shipped to workers by value).
+
+    ``fold_run(t, kept, muted_until, status, unmute)`` folds one run of sorted
+    times ``t`` of one key from state (kept times, mute end), writing status
+    codes (0 ok, 1 mute_start, 2 suppressed) and mute ends into the given
+    arrays, and returns the new state. Rows under a mute are suppressed in bulk
+    (searchsorted); between mutes every row's window count assuming no new
+    mute is computed with numpy, and only the first row over the limit needs a
+    decision.
+    """
+
+    def fold_run(t, kept, muted_until, status, unmute):
+        n, i, look = len(t), 0, 2 * (limit + 1)
+        while i < n:
+            if muted_until is not None and t[i] < muted_until:
+                j = int(np.searchsorted(t, muted_until, "left"))
+                status[i:j] = 2
+                i = j
+                continue
+            e = min(n, i + look)
+            tj = t[i:e]
+            lo = np.maximum(np.searchsorted(t, tj - w_us, "left"), i)
+            counts = (len(kept) - np.searchsorted(kept, tj - w_us, "left")) + (np.arange(i, e) - lo + 1)
+            over = np.flatnonzero(counts > limit)
+            if len(over) == 0:
+                kept = np.concatenate([kept, tj])
+                kept = kept[kept >= tj[-1] - w_us]
+                i, look = e, look * 2
+                continue
+            j = i + int(over[0])
+            kept = np.concatenate([kept, t[i:j + 1]])
+            kept = kept[kept >= t[j] - w_us]
+            status[j] = 1
+            muted_until = int(t[j]) + m_us
+            unmute[j] = muted_until
+            i, look = j + 1, 2 * (limit + 1)
+        return kept, muted_until
+
+    return fold_run
+
+
 def mute_fold(msgs: DataFrame, limit: int = RATE_LIMIT, window_seconds: int = RATE_WINDOW_SECONDS,
               mute_seconds: int = MUTE_SECONDS, user_col: str = "user_id", ts_col: str = "timestamp",
               id_col: str = "id") -> DataFrame:
@@ -178,33 +218,29 @@ def mute_fold(msgs: DataFrame, limit: int = RATE_LIMIT, window_seconds: int = RA
     spread = (sess.repartition(shuffle_partitions(msgs.sparkSession), *keys)
               .sortWithinPartitions(*keys, "us", "i"))
 
+    fold_run = fold_runner(limit, w_us, m_us)
+
     def fold(batches):
-        key, kept, muted_until = None, deque(), None
+        key, kept, muted_until = None, np.empty(0, dtype=np.int64), None
+        labels = np.array(["ok", "mute_start", "suppressed"], dtype=object)
         for pdf in batches:
+            if pdf.empty:
+                continue
             u = pdf["u"].to_numpy()
             sus = pdf["_sus"].to_numpy()
             sid = pdf["_sid"].to_numpy()
-            us = pdf["us"].to_numpy()
-            status = np.empty(len(pdf), dtype=object)
+            us = pdf["us"].to_numpy().astype(np.int64)
+            status = np.zeros(len(pdf), dtype=np.int8)
             unmute = np.full(len(pdf), -1, dtype=np.int64)
-            for j in range(len(pdf)):
-                k = (u[j], sus[j], sid[j])
+            change = np.flatnonzero((u[1:] != u[:-1]) | (sus[1:] != sus[:-1]) | (sid[1:] != sid[:-1])) + 1
+            bounds = [0, *change.tolist(), len(pdf)]
+            for a, b in zip(bounds, bounds[1:]):
+                k = (u[a], sus[a], sid[a])
                 if k != key:
-                    key, kept, muted_until = k, deque(), None
-                t = us[j]
-                if muted_until is not None and t < muted_until:
-                    status[j] = "suppressed"
-                    continue
-                kept.append(t)
-                while kept[0] < t - w_us:
-                    kept.popleft()
-                if len(kept) > limit:
-                    status[j] = "mute_start"
-                    muted_until = t + m_us
-                    unmute[j] = muted_until
-                else:
-                    status[j] = "ok"
-            yield pd.DataFrame({"u": u, "i": pdf["i"], "us": us, "status": status, "unmute_us": unmute})
+                    key, kept, muted_until = k, np.empty(0, dtype=np.int64), None
+                st, um = status[a:b], unmute[a:b]
+                kept, muted_until = fold_run(us[a:b], kept, muted_until, st, um)
+            yield pd.DataFrame({"u": u, "i": pdf["i"], "us": us, "status": labels[status], "unmute_us": unmute})
 
     out = spread.mapInPandas(fold, "u LONG, i LONG, us LONG, status STRING, unmute_us LONG")
     return out.select(F.col("u").alias(user_col), F.col("i").alias(id_col),

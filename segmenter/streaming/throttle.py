@@ -12,12 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.throttle import from_micros, micros
+from ..operators.throttle import fold_runner, from_micros, micros
 from ..schemas import MUTE_SECONDS, RATE_LIMIT, RATE_WINDOW_SECONDS
 
 OUTPUT = "user_id LONG, id LONG, us LONG, status STRING, unmute_us LONG"
@@ -28,37 +29,29 @@ def throttle_stream(msgs: DataFrame, limit: int = RATE_LIMIT, window_seconds: in
                     mute_seconds: int = MUTE_SECONDS, watermark: str = "1 minute") -> DataFrame:
     w_us, m_us = window_seconds * 1_000_000, mute_seconds * 1_000_000
 
+    fold_run = fold_runner(limit, w_us, m_us)
+    labels = np.array(["ok", "mute_start", "suppressed"], dtype=object)
+
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
         if state.hasTimedOut:
             # Watermark passed the end of the window and of any mute: the
             # state can no longer change a decision.
             state.remove()
             return
-        kept, muted = ([], None)
+        kept, muted = np.empty(0, dtype=np.int64), None
         if state.exists:
-            kept, muted = list(state.get[0] or []), state.get[1]
+            kept, muted = np.array(state.get[0] or [], dtype=np.int64), state.get[1]
         # One micro-batch of one user: bounded by the trigger's batch size.
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["us", "id"], kind="stable")
-        status, unmute = [], []
-        for t in pdf["us"].tolist():
-            if muted is not None and t < muted:
-                status.append("suppressed")
-                unmute.append(-1)
-                continue
-            kept.append(t)
-            kept = [x for x in kept if x >= t - w_us]
-            if len(kept) > limit:
-                muted = t + m_us
-                status.append("mute_start")
-                unmute.append(muted)
-            else:
-                status.append("ok")
-                unmute.append(-1)
-        state.update((kept, muted))
-        horizon_us = max([x + w_us for x in kept[-1:]] + ([muted] if muted is not None else []) + [0])
+        t = pdf["us"].to_numpy().astype(np.int64)
+        status = np.zeros(len(pdf), dtype=np.int8)
+        unmute = np.full(len(pdf), -1, dtype=np.int64)
+        kept, muted = fold_run(t, kept, muted, status, unmute)
+        state.update(([int(x) for x in kept], None if muted is None else int(muted)))
+        horizon_us = max(int(kept[-1]) + w_us if len(kept) else 0, int(muted or 0))
         state.setTimeoutTimestamp(horizon_us // 1000 + 1)
         yield pd.DataFrame({"user_id": pdf["user_id"].to_numpy(), "id": pdf["id"].to_numpy(),
-                            "us": pdf["us"].to_numpy(), "status": status, "unmute_us": unmute})
+                            "us": t, "status": labels[status], "unmute_us": unmute})
 
     # Watermarks need TIMESTAMP (instants); the tables hold UTC wall time.
     prepared = (msgs.withColumn("_event_time", F.col("timestamp").cast("timestamp"))
