@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,16 +40,24 @@ def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def rank_within(df: DataFrame, order_by: Sequence[str | Column], group: str | None = None,
-                rank_col: str = "rank", num_partitions: int | None = None,
-                max_driver_groups: int = 100_000) -> tuple[DataFrame, dict | None]:
+@dataclass
+class Ranked:
+    """A ranked frame with what the driver learned on the way (small)."""
+    df: DataFrame
+    sizes: dict | None  # group value -> row count; None when computed without the driver
+    spans: dict = field(default_factory=dict)  # (partition, group) -> (first rank, last rank)
+
+
+def rank_table(df: DataFrame, order_by: Sequence[str | Column], group: str | None = None,
+               rank_col: str = "rank", num_partitions: int | None = None,
+               max_driver_groups: int = 100_000, keep_partition: bool = False) -> Ranked:
     """Dense 1..n position in ascending ``order_by`` (inside ``group`` if given).
 
-    Returns (ranked frame, {group value: row count}); the sizes are None when
-    there are more than ``max_driver_groups`` (partition, group) pairs, in which
-    case the offsets are computed without the driver. ``order_by`` should end
-    with a unique tie-break; otherwise equal keys get consecutive ranks in an
-    arbitrary but fixed order.
+    ``order_by`` should end with a unique tie-break; otherwise equal keys get
+    consecutive ranks in an arbitrary but fixed order. With more than
+    ``max_driver_groups`` (partition, group) pairs the offsets are computed as
+    a distributed job instead of on the driver. ``keep_partition`` keeps the
+    ``_pid`` column (for pruning picks by ``spans``).
     """
     spark = df.sparkSession
     n_parts = num_partitions or shuffle_partitions(spark)
@@ -61,38 +70,41 @@ def rank_within(df: DataFrame, order_by: Sequence[str | Column], group: str | No
     gcol = F.col(group) if group else F.lit(0)
     counts_df = ordered.groupBy(F.col("_pid"), gcol.alias("_g")).agg(F.count(F.lit(1)).alias("n"))
     counts = counts_df.limit(max_driver_groups + 1).collect() if group else counts_df.collect()
+    drop = ["_mid", "_off", "_g", "_opid"] + ([] if keep_partition else ["_pid"])
     if len(counts) > max_driver_groups:
-        return _rank_many_groups(ordered, counts_df, group, rank_col)
+        return Ranked(_offsets_distributed(ordered, counts_df, group, rank_col).drop(*drop), None)
     # Inside a partition rows are sorted by group first, so the rows of group g
     # start after the partition's rows of smaller groups: subtract those.
     counts.sort(key=lambda r: (r["_pid"], r["_g"]))
     sizes: dict = {}
-    offsets = []
+    offsets, spans = [], {}
     before_in_part, cur_pid = 0, None
     for r in counts:
         if r["_pid"] != cur_pid:
             cur_pid, before_in_part = r["_pid"], 0
-        offsets.append((r["_pid"], r["_g"], sizes.get(r["_g"], 0) - before_in_part))
-        sizes[r["_g"]] = sizes.get(r["_g"], 0) + r["n"]
+        first = sizes.get(r["_g"], 0)
+        offsets.append((r["_pid"], r["_g"], first - before_in_part))
+        spans[(r["_pid"], r["_g"])] = (first + 1, first + r["n"])
+        sizes[r["_g"]] = first + r["n"]
         before_in_part += r["n"]
     if not offsets:
-        return ordered.withColumn(rank_col, F.lit(None).cast("long")).drop("_pid", "_mid"), sizes
+        return Ranked(ordered.withColumn(rank_col, F.lit(None).cast("long"))
+                      .drop(*[c for c in drop if c in ("_mid", "_pid")]), sizes, spans)
     gtype = dict(ordered.dtypes)[group] if group else "int"
     off_df = spark.createDataFrame(offsets, f"_opid INT, _g {gtype}, _off LONG")
     cond = F.col("_pid") == F.col("_opid")
     if group:
         cond = cond & (F.col(group) == F.col("_g"))
-    # Broadcast side: one row per (partition, group), and at most
-    # ``max_driver_groups`` of them.
+    # Broadcast side: one row per (partition, group), at most max_driver_groups.
     ranked = (ordered.join(F.broadcast(off_df), cond)
               .withColumn(rank_col, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)) + 1)
-              .drop("_pid", "_mid", "_off", "_g", "_opid"))
-    return ranked, sizes
+              .drop(*drop))
+    return Ranked(ranked, sizes, spans)
 
 
-def _rank_many_groups(ordered: DataFrame, counts: DataFrame, group: str, rank_col: str):
-    """Offsets computed as a distributed job when there are too many groups for
-    the driver: running sums over the (partition, group) count table, which has
+def _offsets_distributed(ordered: DataFrame, counts: DataFrame, group: str, rank_col: str) -> DataFrame:
+    """Offsets as a distributed job when there are too many groups for the
+    driver: running sums over the (partition, group) count table, which has
     about one row per group, joined back on (partition, group)."""
     before_groups = F.sum("n").over(
         Window.partitionBy("_g").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
@@ -101,46 +113,21 @@ def _rank_many_groups(ordered: DataFrame, counts: DataFrame, group: str, rank_co
     off = counts.select(F.col("_pid").alias("_opid"), "_g",
                         (F.coalesce(before_groups, F.lit(0)) - F.coalesce(before_in_part, F.lit(0)))
                         .alias("_off"))
-    ranked = (ordered.join(off, (F.col("_pid") == F.col("_opid")) & (F.col(group) == F.col("_g")))
-              .withColumn(rank_col, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)) + 1)
-              .drop("_pid", "_mid", "_off", "_g", "_opid"))
-    return ranked, None
+    return (ordered.join(off, (F.col("_pid") == F.col("_opid")) & (F.col(group) == F.col("_g")))
+            .withColumn(rank_col, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)) + 1))
 
 
-def _rank_with_spans(df: DataFrame, order_by: Sequence[str], group: str, rank_col: str):
-    """Like ``rank_within`` with driver offsets, keeping ``_pid`` and returning
-    the rank span of every (partition, group) for partition pruning."""
-    spark = df.sparkSession
-    keys = [F.col(group)] + _as_cols(order_by)
-    ordered = (df.repartitionByRange(shuffle_partitions(spark), *keys)
-               .sortWithinPartitions(*keys)
-               .withColumn("_pid", F.spark_partition_id())
-               .withColumn("_mid", F.monotonically_increasing_id()))
-    ordered = cut_lineage(ordered, "ranked")
-    counts = ordered.groupBy("_pid", F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("n")).collect()
-    counts.sort(key=lambda r: (r["_pid"], r["_g"]))
-    sizes: dict = {}
-    offsets, spans = [], {}
-    before_in_part, cur_pid = 0, None
-    for r in counts:
-        if r["_pid"] != cur_pid:
-            cur_pid, before_in_part = r["_pid"], 0
-        first = sizes.get(r["_g"], 0)
-        offsets.append((r["_pid"], r["_g"], first - before_in_part))
-        spans[(r["_pid"], r["_g"])] = (first + 1, first + r["n"])
-        sizes[r["_g"]] = first + r["n"]
-        before_in_part += r["n"]
-    gtype = dict(ordered.dtypes)[group]
-    off_df = spark.createDataFrame(offsets or [(0, 0, 0)], f"_opid INT, _g {gtype}, _off LONG")
-    ranked = (ordered.join(F.broadcast(off_df), (F.col("_pid") == F.col("_opid")) & (F.col(group) == F.col("_g")))
-              .withColumn(rank_col, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)) + 1)
-              .drop("_mid", "_off", "_g", "_opid"))
-    return ranked, sizes, spans
+def rank_within(df: DataFrame, order_by: Sequence[str | Column], group: str | None = None,
+                rank_col: str = "rank", num_partitions: int | None = None,
+                max_driver_groups: int = 100_000) -> tuple[DataFrame, dict | None]:
+    """(ranked frame, group sizes); see :func:`rank_table`."""
+    r = rank_table(df, order_by, group, rank_col, num_partitions, max_driver_groups)
+    return r.df, r.sizes
 
 
 def with_global_rank(df: DataFrame, order_by: Sequence[str | Column], rank_col: str = "rank",
                      num_partitions: int | None = None) -> DataFrame:
-    return rank_within(df, order_by, None, rank_col, num_partitions)[0]
+    return rank_table(df, order_by, None, rank_col, num_partitions).df
 
 
 def quantile_positions(n: int, probs: Sequence[float]) -> list[tuple[int, int, float]]:
@@ -180,7 +167,8 @@ def order_statistics(df: DataFrame, specs: Sequence[tuple[str, str, str | None]]
              for i, (_, v, t) in enumerate(specs)]
     stacked = (df.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
                .where(F.col("v").isNotNull()))
-    ranked, sizes, spans = _rank_with_spans(stacked, ["v", "t"], "g", "_r")
+    r = rank_table(stacked, ["v", "t"], group="g", rank_col="_r", keep_partition=True)
+    ranked, sizes, spans = r.df, r.sizes, r.spans
     n_by_name = {name: sizes.get(i, 0) for i, (name, _, _) in enumerate(specs)}
     cond = F.lit(False)
     parts: set[int] = set()
