@@ -479,6 +479,16 @@ def corpus_dim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      F.max(F.size("embedding")).cast("int").alias("max_dim"))
 
 
+def csv_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C7 for the CSV flow: quarantined lines plus the cleaning counters."""
+    scan = _scan(spark, sf_dir)
+    res = clean_customers(project_canonical(CS.null_tokens(scan.accepted)), as_of=T.AS_OF)
+    lines = scan.rejected.count()
+    rows = [("rejected", "lines", int(lines))] + [
+        (k.split(":")[0], k.split(":")[1], int(v)) for k, v in res.counts.items()]
+    return spark.createDataFrame(rows, "rule STRING, column STRING, n BIGINT")
+
+
 QUERIES: dict[str, Query] = {
     "rfm_segments": rfm_segments,
     "segment_summary": segment_summary,
@@ -540,6 +550,7 @@ QUERIES: dict[str, Query] = {
     "knn_join": knn_join_q,
     "history_render": history_render,
     "corpus_dim_check": corpus_dim_check,
+    "csv_quality_report": csv_quality_report,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -603,4 +614,5 @@ ORACLE_SQL: dict[str, str] = {
     "knn_join": Q.KNN_JOIN,
     "history_render": Q.HISTORY_RENDER,
     "corpus_dim_check": Q.CORPUS_DIM_CHECK,
+    "csv_quality_report": Q.CSV_QUALITY_REPORT,
 }

@@ -507,3 +507,35 @@ HISTORY_RENDER = f"SELECT user_id, rn, line FROM ({HISTORY_PAGE})"
 CORPUS_DIM_CHECK = f"""WITH {CORPUS_CTE}
 SELECT language, count(*) AS vectors, CAST(min(len(embedding)) AS INTEGER) AS min_dim,
        CAST(max(len(embedding)) AS INTEGER) AS max_dim FROM c GROUP BY language"""
+
+
+CSV_QUALITY_REPORT = f"""WITH {CSV_CTE},
+t AS (SELECT {norm_id('Client')} AS client_id, CAST(strptime(last_purchase, '%Y-%m-%d') AS TIMESTAMP) AS date,
+             CASE WHEN Amount = 'NA' THEN NULL ELSE CAST(Amount AS DOUBLE) END AS amount,
+             CAST(purchase_count AS DOUBLE) AS frequency FROM acc),
+kept AS (SELECT *, CAST(date_diff('day', CAST(date AS DATE), DATE '{AS_OF}') AS DOUBLE) AS recency
+         FROM t WHERE client_id IS NOT NULL AND date IS NOT NULL),
+med AS (SELECT median(amount) AS ma, median(frequency) AS mf FROM kept),
+c AS (SELECT
+  (SELECT count(*) FROM ({CSV_SCAN_REJECT})) AS lines,
+  (SELECT count_if(client_id IS NULL) FROM t) AS null_id,
+  (SELECT count_if(client_id IS NOT NULL AND date IS NULL) FROM t) AS bad_date,
+  count_if(recency < 0) AS neg_r,
+  count_if(amount IS NULL) AS null_a, count_if(coalesce(amount, (SELECT ma FROM med)) < 0) AS neg_a,
+  count_if(frequency IS NULL) AS null_f, count_if(coalesce(frequency, (SELECT mf FROM med)) < 0) AS neg_f
+  FROM kept)
+SELECT rule, "column", CAST(n AS BIGINT) AS n FROM c, (VALUES
+  ('rejected', 'lines'), ('rejected', 'null_id'), ('rejected', 'bad_date'),
+  ('filled', 'recency'), ('clamped', 'recency'), ('dropped', 'recency'),
+  ('filled', 'amount'), ('clamped', 'amount'), ('dropped', 'amount'),
+  ('filled', 'frequency'), ('clamped', 'frequency'), ('dropped', 'frequency')) AS r(rule, "column"),
+LATERAL (SELECT CASE
+  WHEN rule = 'rejected' AND "column" = 'lines' THEN lines
+  WHEN rule = 'rejected' AND "column" = 'null_id' THEN null_id
+  WHEN rule = 'rejected' THEN bad_date
+  WHEN rule = 'clamped' AND "column" = 'recency' THEN neg_r
+  WHEN rule = 'filled' AND "column" = 'amount' THEN null_a
+  WHEN rule = 'clamped' AND "column" = 'amount' THEN neg_a
+  WHEN rule = 'filled' AND "column" = 'frequency' THEN null_f
+  WHEN rule = 'clamped' AND "column" = 'frequency' THEN neg_f
+  ELSE 0 END AS n) x"""
