@@ -33,9 +33,11 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``segmenter`` importable in Python workers (once per application).
 
     Deployments normally pass the package with ``--py-files``; this does the
-    same from a running session, so worker-side code never depends on the
-    driver's working directory.
+    same from a running session: the package is zipped in memory, written to
+    the shared checkpoint folder and added with ``addPyFile``, so worker-side
+    code never depends on the driver's working directory.
     """
+    import io
     import zipfile
 
     sc = spark.sparkContext
@@ -43,14 +45,22 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
-    out = os.path.join(tempfile.mkdtemp(prefix="segmenter-pkg-"), "segmenter.zip")
-    with zipfile.ZipFile(out, "w") as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
         for dirpath, _, files in os.walk(pkg):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(out)
+    target = f"{scratch_path(spark, 'pkg')}/segmenter.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(target)
     _SHIPPED.add(sc.applicationId)
 
 

@@ -1,9 +1,11 @@
-"""ST3: last-seen per user as a stream, upserted into a versioned Parquet table.
-
-Each micro-batch's per-user maxima are merged with the newest table version
-(``max`` per key, a partial aggregation) and written as the next version, so a
-reader never sees a half-written table and a replayed batch rewrites the same
-version.
+"""ST3: last-seen per user as a stream, kept as an append-only log of
+per-batch maxima.
+
+Each micro-batch writes its per-user maxima into its own epoch folder (a
+replayed batch overwrites the same folder, so the sink is exactly-once), and
+readers take the maximum per user -- an idempotent, partially aggregated
+reduction. A micro-batch costs O(batch), never a rewrite of the whole table;
+``compact`` folds the log into one base table when it grows.
 """
 
 from __future__ import annotations
@@ -13,35 +15,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def latest_version(spark: SparkSession, base: str) -> str | None:
+def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
-        return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(path)
-                   if s.isDirectory() and s.getPath().getName().startswith("v="))
-    for name in reversed(names):
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{base}/{name}/_SUCCESS")):
-            return f"{base}/{name}"
-    return None
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def read_table(spark: SparkSession, base: str) -> DataFrame | None:
-    v = latest_version(spark, base)
-    return spark.read.parquet(v) if v else None
+    """Current last-seen table: max per user over the log."""
+    if not _exists(spark, base):
+        return None
+    log = spark.read.option("basePath", base).parquet(base)
+    return log.groupBy("user_id").agg(F.max("last_time").alias("last_time"))
 
 
-def last_seen_stream(msgs: DataFrame, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    spark = msgs.sparkSession
+def compact(spark: SparkSession, base: str, target: str) -> DataFrame:
+    """Fold the log into one table at ``target`` (a new location)."""
+    read_table(spark, base).write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
+
 
+def last_seen_stream(msgs: DataFrame, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     def merge(batch: DataFrame, epoch: int) -> None:
-        upd = batch.groupBy("user_id").agg(F.max("timestamp").alias("last_time"))
-        cur = read_table(spark, table)
-        both = upd if cur is None else cur.unionByName(upd)
-        merged = both.groupBy("user_id").agg(F.max("last_time").alias("last_time"))
-        merged.write.mode("overwrite").parquet(f"{table}/v={epoch:012d}")
+        (batch.groupBy("user_id").agg(F.max("timestamp").alias("last_time"))
+         .write.mode("overwrite").parquet(f"{table}/epoch={epoch:012d}"))
 
     w = msgs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if once else w.trigger(processingTime="10 seconds")
