@@ -36,6 +36,13 @@ def local_time(ts: Column, zone: Column) -> Column:
     return F.convert_timezone(F.lit("UTC"), zone, ts.cast("timestamp_ntz"))
 
 
+def history_of(msgs: DataFrame, user_id: int, user_col: str = "user_id", ts: str = "timestamp",
+               id_col: str = "id") -> DataFrame:
+    """S10 + T1: one user's messages, newest first. The equality filter reaches
+    the Parquet scan as a pushed filter."""
+    return msgs.where(F.col(user_col) == F.lit(user_id)).orderBy(F.col(ts).desc(), F.col(id_col).desc())
+
+
 def newest_first_positions(msgs: DataFrame, user_col: str = "user_id", ts: str = "timestamp",
                            id_col: str = "id") -> DataFrame:
     """1-based newest-first position of every message inside its user

@@ -28,3 +28,21 @@ def load_corpus(corpus: DataFrame, path: str | None = None, dim: int | None = No
     path = path or scratch_path(spark, "recommendations")
     corpus.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def create_tables(spark, base: str) -> dict[str, str]:
+    """The four stored tables as empty Parquet tables with their schemas,
+    created only where absent (idempotent). Returns name -> path."""
+    from ..schemas import LAST_SEEN_SCHEMA, MESSAGES_SCHEMA, MUTES_SCHEMA, USERS_SCHEMA
+
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = {}
+    for name, schema in (("users", USERS_SCHEMA), ("messages_history", MESSAGES_SCHEMA),
+                         ("muted_users", MUTES_SCHEMA), ("last_message_time", LAST_SEEN_SCHEMA)):
+        path = f"{base.rstrip('/')}/{name}"
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        if not p.getFileSystem(conf).exists(p):
+            spark.createDataFrame([], schema).write.parquet(path)
+        out[name] = path
+    return out

@@ -41,3 +41,28 @@ def test_upsert_last_write_wins_and_idempotent(spark):
     again = sorted(tuple(r) for r in upsert(out, chg, "id", columns=["name"]).collect())
     assert again == got
     assert sorted(r["id"] for r in delete_keys(out, spark.createDataFrame([(1,)], "id LONG"), "id").collect()) == [2, 3]
+
+
+def test_create_tables_idempotent(spark):
+    import tempfile
+    from segmenter.sources.sinks import create_tables
+    base = tempfile.mkdtemp(prefix="segmenter-tables-")
+    paths = create_tables(spark, base)
+    again = create_tables(spark, base)
+    assert paths == again
+    assert spark.read.parquet(paths["users"]).columns == ["id", "username", "first_name", "timezone",
+                                                          "timezone_set"]
+    assert spark.read.parquet(paths["messages_history"]).count() == 0
+
+
+def test_history_of_pushes_the_key(spark):
+    from segmenter.operators.history import history_of
+    from segmenter.sources.tables import table
+    e = table(spark, SF_SMALL, "events").select(F.col("event_id").alias("id"), "user_id",
+                                                F.col("ts").alias("timestamp"))
+    df = history_of(e, 7)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,7)]" in plan
+    rows = df.collect()
+    assert all(r["user_id"] == 7 for r in rows)
+    assert [r["timestamp"] for r in rows] == sorted((r["timestamp"] for r in rows), reverse=True)
