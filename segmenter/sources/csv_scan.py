@@ -11,7 +11,9 @@ one non-empty field; everything else goes to the reject table with its file,
 Line numbers are exact and computed without a per-file window: rows carry
 ``monotonically_increasing_id`` inside their split; a count per (file, split)
 -- one row per split, so bounded by the number of splits -- gives each split's
-first line number, joined back with a broadcast.
+first line number, joined back with a broadcast. The input is read twice:
+once for the per-split statistics (counts, charset validity, first lines),
+once to parse.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..errors import DataQualityError
 from ..schemas import NA_TOKENS
+from ..session import cut_lineage
 
 CSV_GLOB = "*.[cC][sS][vV]"
 _LOW_BITS = (1 << 33) - 1
@@ -44,51 +47,59 @@ def _allow_charset(spark: SparkSession, charset: str) -> None:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
 
 
-def _lines(spark: SparkSession, path: str, fallback_charset: str, glob: str | None) -> DataFrame:
-    _allow_charset(spark, fallback_charset)
+def _raw(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
     reader = spark.read.format("text")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    raw = (reader.load(path)
-           .select(F.col("value").cast("binary").alias("bytes"),
-                   F.col("_metadata.file_path").alias("file"),
-                   F.col("_metadata.file_block_start").alias("block"),
-                   F.monotonically_increasing_id().alias("_mid")))
-    # One flag per file (bounded by the number of files).
-    ok = raw.groupBy("file").agg(F.bool_and(F.is_valid_utf8(F.col("bytes").cast("string"))).alias("utf8"))
-    raw = raw.join(F.broadcast(ok), "file")
-    text = F.when(F.col("utf8"), F.decode("bytes", "UTF-8")).otherwise(F.decode("bytes", fallback_charset))
+    return (reader.load(path)
+            .select(F.col("value").cast("binary").alias("bytes"),
+                    F.col("_metadata.file_path").alias("file"),
+                    F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("_mid")))
+
+
+def split_stats(spark: SparkSession, path: str, glob: str | None = CSV_GLOB) -> DataFrame:
+    """One pass over the input: per split (file, block) its line count, first
+    row id, whether every line is valid UTF-8, and its first line. Written as a
+    small table (one row per split) that the header, the charset choice and
+    the line numbering all read."""
+    stats = (_raw(spark, path, glob).groupBy("file", "block")
+             .agg(F.count(F.lit(1)).alias("n"), F.min("_mid").alias("_first"),
+                  F.bool_and(F.is_valid_utf8(F.col("bytes").cast("string"))).alias("utf8"),
+                  F.min_by("bytes", "_mid").alias("first_line")))
+    return cut_lineage(stats, "csv-splits")
+
+
+def _lines(spark: SparkSession, path: str, fallback_charset: str, glob: str | None,
+           stats: DataFrame) -> DataFrame:
+    _allow_charset(spark, fallback_charset)
+    # UTF-8 when every line of the file is valid UTF-8, else the fallback.
+    file_ok = stats.groupBy("file").agg(F.bool_and("utf8").alias("file_utf8"))
     # Line numbers: first line of each split = lines of the file's earlier splits + 1.
-    splits = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("_mid").alias("_first"))
-    w = F.sum("n").over(Window.partitionBy("file").orderBy("block")
-                        .rowsBetween(Window.unboundedPreceding, -1))
-    starts = splits.select("file", "block", "_first", F.coalesce(w, F.lit(0)).alias("_before"))
-    numbered = raw.join(F.broadcast(starts), ["file", "block"])
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")
+                             .rowsBetween(Window.unboundedPreceding, -1))
+    starts = (stats.select("file", "block", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+              .join(file_ok, "file"))
+    # One row per split: bounded by the number of splits.
+    numbered = _raw(spark, path, glob).join(F.broadcast(starts), ["file", "block"])
+    text = F.when(F.col("file_utf8"), F.decode("bytes", "UTF-8")).otherwise(F.decode("bytes", fallback_charset))
     return numbered.select("file", (F.col("_before") + F.col("_mid") - F.col("_first") + 1).alias("line_no"),
-                           text.alias("line"), F.col("utf8"))
+                           text.alias("line"), F.col("file_utf8").alias("utf8"))
 
 
 def read_header(spark: SparkSession, path: str, fallback_charset: str = "windows-1251",
-                glob: str | None = CSV_GLOB) -> list[str]:
+                glob: str | None = CSV_GLOB, stats: DataFrame | None = None) -> list[str]:
     """The first line of the first file, split on commas, names stripped."""
-    reader = spark.read.format("text")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    # First line of each file: the lowest row id of the split that starts at
-    # offset 0. One row per file reaches the driver; the first file's is used.
-    firsts = (reader.load(path)
-              .select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("b"),
-                      F.monotonically_increasing_id().alias("_mid"))
-              .where(F.col("_metadata.file_block_start") == 0)
-              .groupBy("file").agg(F.min_by("b", "_mid").alias("b"))
+    stats = stats if stats is not None else split_stats(spark, path, glob)
+    firsts = (stats.groupBy("file")
+              .agg(F.bool_and("utf8").alias("utf8"),
+                   F.min_by(F.when(F.col("block") == 0, F.col("first_line")), "block").alias("first_line"))
+              .where(F.col("first_line").isNotNull())
               .orderBy("file").limit(1).collect())
     if not firsts:
         raise DataQualityError("empty file")
-    raw = bytes(firsts[0]["b"])
-    try:
-        line = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        line = raw.decode(fallback_charset, errors="replace")
+    raw = bytes(firsts[0]["first_line"])
+    line = raw.decode("utf-8") if firsts[0]["utf8"] else raw.decode(fallback_charset, errors="replace")
     header = [h.strip() for h in line.strip().split(",")]
     if len(header) < 2:
         raise DataQualityError("bad header")
@@ -98,8 +109,9 @@ def read_header(spark: SparkSession, path: str, fallback_charset: str = "windows
 def read_csv_robust(spark: SparkSession, path: str, fallback_charset: str = "windows-1251",
                     glob: str | None = CSV_GLOB, header: list[str] | None = None) -> ScanResult:
     """S1 + S2 + S4: accepted rows (header names, all STRING) and rejected lines."""
-    header = header or read_header(spark, path, fallback_charset, glob)
-    lines = _lines(spark, path, fallback_charset, glob).where(F.col("line_no") > 1)
+    stats = split_stats(spark, path, glob)
+    header = header or read_header(spark, path, fallback_charset, glob, stats)
+    lines = _lines(spark, path, fallback_charset, glob, stats).where(F.col("line_no") > 1)
     fields = [f"_c{i}" for i in range(len(header))]
     ddl = ", ".join(f"{f} STRING" for f in fields) + ", _bad STRING"
     parsed = F.from_csv(F.col("line"), ddl, {"columnNameOfCorruptRecord": "_bad",
