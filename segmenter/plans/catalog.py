@@ -161,7 +161,8 @@ def knn_unfiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V3 beyond the broadcast bound: blocked shuffle join + top-k merge."""
+    """V3 beyond the broadcast bound: corpus blocks and requests meet in a sort-based
+    co-group on (language, block); per-request merge of the block top-k lists."""
     return _knn(spark, sf_dir, ["language"], force_blocked=True, block_rows=64)
 
 
