@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_distance
+from ..session import partitions_for
 
 # Size bound for the broadcast route: vectors x width x 8 bytes.
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -66,7 +67,6 @@ def _knn_blocked(requests: DataFrame, corpus: DataFrame, keys: list[str], k: int
     import numpy as np
     import pandas as pd
 
-    spark = requests.sparkSession
     n_blocks = _n_blocks(corpus, keys, block_rows)
     bcol = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("_b")
     blocks = (corpus.where(F.col("embedding").isNotNull())
@@ -82,8 +82,7 @@ def _knn_blocked(requests: DataFrame, corpus: DataFrame, keys: list[str], k: int
                                          F.lit(None).cast(blocks.schema["_c"].dataType).alias("_c"),
                                          F.col(request_id).alias("_rid"),
                                          F.col(query_vec).cast("array<double>").alias("_q"))))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = unified.repartition(parts, *keys, "_b").sortWithinPartitions(*keys, "_b", "_kind")
+    ordered = unified.repartition(partitions_for(unified), *keys, "_b").sortWithinPartitions(*keys, "_b", "_kind")
     ptypes = dict(corpus.dtypes)
     schema = (f"rid {rtype}, hit_rank INT, corpus_id BIGINT, distance DOUBLE"
               + "".join(f", `{p}` {ptypes[p]}" for p in payload))

@@ -31,7 +31,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, shuffle_partitions
+from ..session import cut_lineage, partitions_for
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -60,7 +60,7 @@ def rank_table(df: DataFrame, order_by: Sequence[str | Column], group: str | Non
     ``_pid`` column (for pruning picks by ``spans``).
     """
     spark = df.sparkSession
-    n_parts = num_partitions or shuffle_partitions(spark)
+    n_parts = num_partitions or partitions_for(df)
     keys = ([F.col(group)] if group else []) + _as_cols(order_by)
     ordered = (df.repartitionByRange(n_parts, *keys)
                .sortWithinPartitions(*keys)

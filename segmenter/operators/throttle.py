@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import MUTE_SECONDS, RATE_LIMIT, RATE_WINDOW_SECONDS
-from ..session import checkpoint_partitions, shuffle_partitions
+from ..session import checkpoint_partitions, partitions_for
 
 _US = 1_000_000
 
@@ -86,7 +86,7 @@ def segmented_sessions(msgs: DataFrame, gap_seconds: float, user_col: str = "use
     gap_us = int(gap_seconds * _US)
     base = msgs.select(F.col(user_col).alias("u"), micros(ts_col).alias("us"), F.col(id_col).alias("i"))
     keys = ["u", "us", "i"]
-    ordered = checkpoint_partitions(base.repartitionByRange(shuffle_partitions(spark), *keys)
+    ordered = checkpoint_partitions(base.repartitionByRange(partitions_for(base), *keys)
                                     .sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id()))
     edges = ordered.groupBy("_pid").agg(F.max(F.struct(*keys)).alias("last")).collect()
     prev_last, last_seen = {}, None
@@ -206,7 +206,7 @@ def mute_fold(msgs: DataFrame, limit: int = RATE_LIMIT, window_seconds: int = RA
     w_us, m_us = int(window_seconds * _US), int(mute_seconds * _US)
     sess = segmented_sessions(msgs, max(window_seconds, mute_seconds), user_col, ts_col, id_col)
     keys = ["u", "_sus", "_sid"]
-    spread = (sess.repartition(shuffle_partitions(msgs.sparkSession), *keys)
+    spread = (sess.repartition(partitions_for(msgs.select(user_col, ts_col, id_col)), *keys)
               .sortWithinPartitions(*keys, "us", "i"))
 
     fold_run = fold_runner(limit, w_us, m_us)

@@ -141,3 +141,23 @@ def checkpoint_partitions(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def partitions_for(df: DataFrame, target_bytes: int = 128 * 1024 * 1024, cap: int = 100_000) -> int:
+    """Partition count for an explicit repartition of ``df``: about
+    ``target_bytes`` per partition of input, never fewer than
+    ``spark.sql.shuffle.partitions`` (AQE does not resize a repartition with an
+    explicit count, so it is sized here). The input size is the sum of the
+    plan's leaf relations with a known size -- estimates of joins and of
+    in-memory relations are unreliable without cost-based statistics."""
+    base = shuffle_partitions(df.sparkSession)
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        total = 0
+        for i in range(leaves.size()):
+            size = int(str(leaves.apply(i).stats().sizeInBytes()))
+            if size < (1 << 60):
+                total += size
+    except Exception:  # estimate unavailable: keep the configured count
+        return base
+    return int(min(cap, max(base, -(-total // target_bytes))))
