@@ -36,3 +36,18 @@ def test_exact_quantiles_match_numpy(spark):
     got = exact_quantiles_many(df, {"a": probs, "b": probs})
     assert np.allclose(got["a"], np.quantile(a, probs), rtol=0, atol=1e-12)
     assert np.allclose(got["b"], np.quantile(b[~np.isnan(b)], probs), rtol=0, atol=1e-12)
+
+
+def test_partition_sizing(spark):
+    from segmenter.session import partitions_for, shuffle_partitions
+    from segmenter.sources.tables import table
+    base = shuffle_partitions(spark)
+    # In-memory frames report no usable size: the configured count is kept.
+    assert partitions_for(spark.createDataFrame([(1,)], "a INT")) == base
+    events = table(spark, "/root/testdata/sf0.01", "events")
+    assert partitions_for(events) == base
+    # A known input size scales the count; a join does not multiply it.
+    assert partitions_for(events, target_bytes=10_000) > base
+    joined = events.join(table(spark, "/root/testdata/sf0.01", "customer"),
+                         F.col("user_id") == F.col("c_custkey"))
+    assert partitions_for(joined, target_bytes=10_000) < 1_000
