@@ -31,7 +31,8 @@ def text_to_number(c: Column | str, words: dict[str, int] | None = None) -> Colu
     """Parse a number from text: a decimal literal, else English number words.
 
     ``"1_000"`` -> 1000, ``"1e3"`` -> 1000, ``"two hundred five"`` -> 205,
-    ``"twenty-one"`` -> 21, ``"about two dollars"`` -> 2 (unknown words are
+    ``"twenty-one"`` -> 21, ``"two point five"`` -> 2.5,
+    ``"about two dollars"`` -> 2 (unknown words are
     ignored), ``"1d"``/``"nan"``/``"inf"``/``"два"`` -> null. Numeric input is
     passed through (NaN and infinities become null).
     """
@@ -41,7 +42,14 @@ def text_to_number(c: Column | str, words: dict[str, int] | None = None) -> Colu
     s = F.regexp_replace(s, r"(?<=[0-9])_(?=[0-9])", "")
     as_number = F.when(s.rlike(_NUMERIC), s.try_cast("double"))
     tokens = F.split(F.regexp_replace(s, "-", " "), r"(?U)\s+")
-    known = F.filter(tokens, lambda t: F.map_contains_key(wmap, t))
+    # "point": words after it are decimal digits ("two point five" -> 2.5).
+    at = F.array_position(tokens, F.lit("point")).cast("int")
+    whole = F.when(at > 0, F.slice(tokens, 1, F.greatest(at - 1, F.lit(0)))).otherwise(tokens)
+    frac = F.when(at > 0, F.slice(tokens, at + 1, F.size(tokens))).otherwise(F.array().cast("array<string>"))
+    digits = F.filter(F.transform(frac, lambda t: F.element_at(wmap, t)), lambda v: v.isNotNull() & (v < 10))
+    decimals = F.when(F.size(digits) > 0, F.concat(F.lit("0."), F.array_join(
+        F.transform(digits, lambda v: v.cast("int").cast("string")), "")).cast("double")).otherwise(F.lit(0.0))
+    known = F.filter(whole, lambda t: F.map_contains_key(wmap, t))
 
     def step(acc, t):
         v = F.element_at(wmap, t)
@@ -55,6 +63,6 @@ def text_to_number(c: Column | str, words: dict[str, int] | None = None) -> Colu
 
     folded = F.aggregate(known, F.struct(F.lit(0.0).alias("tot"), F.lit(0.0).alias("cur")), step,
                          lambda acc: acc["tot"] + acc["cur"])
-    from_words = F.when(F.size(known) > 0, folded)
+    from_words = F.when((F.size(known) > 0) | (F.size(digits) > 0), folded + decimals)
     out = F.coalesce(as_number, from_words)
     return F.when(F.isnan(out) | (F.abs(out) == float("inf")), F.lit(None).cast("double")).otherwise(out)

@@ -23,6 +23,8 @@ def test_text_to_number(spark):
             "about two dollars", "-3.5", None]
     assert one_col(spark, vals, text_to_number) == [5.0, 1000.0, 1000.0, None, None, None, 205.0, 21.0,
                                                     None, 2.0, -3.5, None]
+    assert one_col(spark, ["two point five", "one hundred point two five", "point five", "two point"],
+                   text_to_number) == [2.5, 100.25, 0.5, 2.0]
 
 
 def test_parse_date(spark):
