@@ -213,6 +213,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, slop: int = 0,
     return merged.mapInArrow(_finish, RESULT_SCHEMA)
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
+    """``docs`` without the rows that hold a window of an item; all columns stay.
+
+    Hits are looked up by id and text hash, so rows that repeat an id with
+    another text are judged by their own text.
+    """
+    keyed = docs.withColumn("_k", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    hit = decontaminate(keyed.select(F.col("_k").alias("doc_id"), "text"), items, n).where("contaminated")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return keyed.join(hit.select(F.col("doc_id").alias("_k")).distinct(), "_k", "left_anti").select(*names)
+
+
 _HIT = "segment long, doc long, doc_id long, n_words long, spans array<long>, items array<string>, n_near long"
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import bpe, decontaminate, hilbert, license_scan, tokenpack
+from . import bpe, decontaminate, hilbert, interpolated_lm, jaccard_join, license_scan, pq_neardup, suffix_dedup, textkit, tokenpack, toxicity
 
 
 def _tokenizer(name: str) -> str:
@@ -28,10 +28,32 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                                    textkit.crc_mod("doc_id", 4) == 2)
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return interpolated_lm.score_documents(docs, textkit.crc_mod("doc_id", 7) == 2)
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
+def op8_pq_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_neardup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,5 +62,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_license_scan, op2_token_files, op3_decontaminate, op5_hilbert_shards, op10_byte_bpe)}
+    op1_license_scan, op2_token_files, op3_decontaminate, op4_toxicity, op5_hilbert_shards, op6_interpolated_lm,
+    op7_suffix_dedup, op8_pq_neardup, op9_jaccard_join, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}

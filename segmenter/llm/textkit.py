@@ -206,6 +206,32 @@ def crc_mod(id_col: str | Column, mod: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % mod, F.lit(-1).cast("long"))
 
 
+FILTER_BITS = 26
+
+
+def slot(h: Column) -> Column:
+    """Place of a 64-bit hash in an id filter."""
+    return F.pmod(h, F.lit(1 << FILTER_BITS))
+
+
+def id_filter(hashes: DataFrame) -> np.ndarray:
+    """Bit filter (8 MB, whatever the number of hashes) of a column ``h``: a
+    task that knows it passes over most rows that a join would drop later."""
+    at = f"pmod(h, {1 << FILTER_BITS}) + 1"
+    rows = (hashes.groupBy(F.expr(f"bitmap_bucket_number({at})").alias("b"))
+            .agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({at}))").alias("m")).collect())
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in rows:  # a bucket holds 2**15 bits
+        first = (r["b"] - 1) << 12
+        out[first:first + 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+    return out
+
+
+def in_filter(bits: np.ndarray, slots) -> np.ndarray:
+    at = np.asarray(slots)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(id, component) for every id in ``edges`` (a, b): component is the
     smallest id reachable, itself included.
