@@ -96,7 +96,7 @@ def _blocks(table, n: int, keep: Fraction, bound: int, block_bytes: int):
                 "tokens": pa.array([np.concatenate([c[4] for c in cols]).tobytes()], pa.binary())})
 
         for batch in batches:
-            for part in tk.slices(batch, "text", 2 << 20):
+            for part in tk.slices(batch, "text", 1 << 20):
                 for i, s in zip(part.column("doc_id").to_pylist(), _sets(part, table, n), strict=True):
                     r = int(np.searchsorted(s, np.uint64(bound)))
                     prefix = len(s) - math.ceil(keep * len(s)) + 1 if len(s) else 0
@@ -189,7 +189,7 @@ def _wanted_sets(table, n: int, bits):
 
         for batch in batches:
             batch = batch.filter(pa.array(tk.in_filter(bits.value, batch.column("slot"))))
-            for part in tk.slices(batch, "text", 2 << 20):
+            for part in tk.slices(batch, "text", 1 << 20):
                 sets = list(_sets(part, table, n))
                 yield pa.RecordBatch.from_pydict({
                     "rep": part.column("doc_id"), "sig_a": pa.array([_signature(s)[0] for s in sets], pa.int64()),
@@ -210,7 +210,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, keep: Fraction) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, keep: Fraction = Fraction(9, 10), table=tk.SPACED,
-                       block_bytes: int = 8 << 20, keys_per_range: int = 2_000_000) -> DataFrame:
+                       block_bytes: int = 4 << 20, keys_per_range: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links of
     similarity ``keep`` or more) of every document."""
     num, den = keep.numerator, keep.denominator

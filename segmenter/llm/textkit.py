@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, cut_lineage_observed, scratch_path  # noqa: F401  (re-exported)
 
-PIECE = 1 << 21
+PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 _POW = _INV = None

@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -143,7 +144,7 @@ class PieceEncoder:
     """Encodes texts with a tokenizer whose tokens never cross blanks, through a
     table of the pieces seen so far (emptied when it holds ``limit`` pieces)."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 800_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -155,7 +156,8 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self):
-        self.pieces, self.parts, self.flat, self.ends = {}, {}, [], [0]
+        # Piece -> its number; the ids of piece k are flat[ends[k]:ends[k + 1]].
+        self.pieces, self.parts, self.flat, self.ends = {}, {}, array("i"), array("q", [0])
 
     @staticmethod
     def split(piece: str) -> tuple[str, ...]:
@@ -167,33 +169,35 @@ class PieceEncoder:
             return (body.lower() if body.isascii() else body, piece[len(body):])
         return (piece.lower() if piece.isascii() else piece,)
 
-    def _learn(self, new: set[str]) -> None:
-        split = {p: self.split(p) for p in new}
-        todo = list({x for xs in split.values() for x in xs if x not in self.parts})
+    def _learn(self, new: list[str]) -> None:
+        split, parts = [self.split(p) for p in new], self.parts
+        todo = {x for xs in split for x in xs}.difference(parts)
         # An ASCII lower-case word is its own byte-level form and a single pre-token.
         plain = [w for w in todo if w.isascii() and w.isalpha()]
         model = self.tok.model
         for w in plain:
-            self.parts[w] = [t.id for t in model.tokenize(w)]
-        rest = [w for w in todo if not (w.isascii() and w.isalpha())]
+            parts[w] = tuple([t.id for t in model.tokenize(w)])
+        rest = list(todo.difference(plain))
         for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.parts[w] = e.ids
-        for p, xs in split.items():
-            self.pieces[p] = len(self.ends) - 1
+            parts[w] = tuple(e.ids)
+        flat, ends = self.flat, self.ends
+        first = len(ends) - 1
+        for xs in split:
             for x in xs:
-                self.flat.extend(self.parts[x])
-            self.ends.append(len(self.flat))
+                flat.extend(parts[x])
+            ends.append(len(flat))
+        self.pieces.update(zip(new, range(first, first + len(new)), strict=True))
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, list[int]]:
         """(ids of all texts, each closed by ``end_id``; number of ids of each)."""
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        seen = {p for ps in split for p in ps}
-        new = seen - self.pieces.keys()
+        seen = set().union(*split)
+        new = seen.difference(self.pieces)
         if len(self.pieces) + len(new) > self.limit:
             self._clear()
             new = seen
-        self._learn(new)
-        flat, ends = np.asarray(self.flat, np.int32), np.asarray(self.ends, np.int64)
+        self._learn(list(new))
+        flat, ends = np.array(self.flat, np.int32), np.array(self.ends, np.int64)
         lens, out = [], []
         get = self.pieces.__getitem__
         for ps in split:
