@@ -111,7 +111,7 @@ def term_counts(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
         q = wanted.value
         total = np.zeros(len(q), np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in tk.rows(batch):
                 t, off = _cell(row, "terms", np.uint64), _cell(row, "offsets", np.int32)
                 at = np.searchsorted(t, q)
                 at[at == len(t)] = 0
@@ -267,7 +267,7 @@ def _searcher(sent, n: int, near: bool, final: bool):
 
         block, items_of = sent.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in tk.rows(batch):
                 starts = _cell(row, "doc_starts", np.int64)
                 ids = _cell(row, "doc_ids", np.int64)
                 null = _cell(row, "null_ids", np.uint8).astype(bool)

@@ -176,6 +176,12 @@ def slices(batch, column: str, limit: int) -> Iterator:
         lo = hi
 
 
+def rows(batch) -> Iterator[dict]:
+    """The rows of an Arrow batch as dicts, one at a time."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def words_by_row(buf: np.ndarray, off: np.ndarray, table, prefixes: tuple[int, ...] = ()
                  ) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Word hashes of a column of texts; words never join two texts. Returns
