@@ -24,7 +24,10 @@ pivot. Pairs below the needed overlap are skipped, and so are pairs whose sets
 the links found so far connect already, since components are asked for. A group
 of near copies thus costs one comparison a set, not all pairs.
 
-What is left is compared exactly on the full sets.
+The same holds for a small sketch of each set, the parities of its tokens in
+hash buckets: sets that differ in more bits than linked sets may differ in
+tokens are skipped. None of these bounds loses a link; what is left is compared
+exactly on the full sets.
 
 Defined results: null and empty texts and texts without words have an empty
 set, which links with nothing; a text with fewer than n words has its whole
@@ -63,6 +66,13 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
+def _parities(s: np.ndarray) -> list[int]:
+    """Whether each of 512 hash buckets of a set holds an odd number: two sets
+    differ in at least as many tokens as their parities differ in bits."""
+    odd = np.bincount((s >> np.uint64(20) & np.uint64(64 * _SKETCH - 1)).astype(np.int64), minlength=64 * _SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _sets(batch, table, n: int):
     """Shingle sets of a batch, document by document."""
     buf, off = tk.text_buffer(batch.column("text"))
@@ -71,8 +81,9 @@ def _sets(batch, table, n: int):
         yield shingle_set(h[rows[i]:rows[i + 1]], n)
 
 
-BLOCK = ("block long, doc_ids array<long>, n array<int>, sig_a array<long>, sig_b array<long>, counted binary, "
-         "offsets binary, tokens binary")
+BLOCK = ("block long, doc_ids array<long>, n array<int>, sig_a array<long>, sig_b array<long>, "
+         "sketch array<array<long>>, counted binary, offsets binary, tokens binary")
+_SKETCH = 8  # words of 64 bits
 
 
 def _blocks(table, n: int, keep: Fraction, bound: int, block_bytes: int):
@@ -86,21 +97,21 @@ def _blocks(table, n: int, keep: Fraction, bound: int, block_bytes: int):
         cols, size = [], 0
 
         def row():
-            off = np.r_[0, np.cumsum([len(c[4]) for c in cols])]
+            off = np.r_[0, np.cumsum([len(c[5]) for c in cols])]
             one = lambda i, t: pa.array([[c[i] for c in cols]], pa.list_(t))
             return pa.RecordBatch.from_pydict({
                 "block": pa.array([0], pa.int64()), "doc_ids": one(0, pa.int64()), "n": one(1, pa.int32()),
-                "sig_a": one(2, pa.int64()), "sig_b": one(3, pa.int64()),
-                "counted": pa.array([np.array([c[5] for c in cols], np.int32).tobytes()], pa.binary()),
+                "sig_a": one(2, pa.int64()), "sig_b": one(3, pa.int64()), "sketch": one(4, pa.list_(pa.int64())),
+                "counted": pa.array([np.array([c[6] for c in cols], np.int32).tobytes()], pa.binary()),
                 "offsets": pa.array([off.astype(np.int64).tobytes()], pa.binary()),
-                "tokens": pa.array([np.concatenate([c[4] for c in cols]).tobytes()], pa.binary())})
+                "tokens": pa.array([np.concatenate([c[5] for c in cols]).tobytes()], pa.binary())})
 
         for batch in batches:
             for part in tk.slices(batch, "text", 1 << 20):
                 for i, s in zip(part.column("doc_id").to_pylist(), _sets(part, table, n), strict=True):
                     r = int(np.searchsorted(s, np.uint64(bound)))
                     prefix = len(s) - math.ceil(keep * len(s)) + 1 if len(s) else 0
-                    cols.append((i, len(s), *_signature(s), s[:max(r, prefix)], r))
+                    cols.append((i, len(s), *_signature(s), _parities(s), s[:max(r, prefix)], r))
                 size += tk.text_buffer(part.column("text"))[1][-1]
                 if size >= block_bytes:
                     yield row()
@@ -152,7 +163,7 @@ def _prefix_entries(keep: Fraction):
         import pyarrow as pa
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in tk.rows(batch):
                 tok = np.frombuffer(row["tokens"], np.uint64)
                 counted, off = np.frombuffer(row["counted"], np.int32), np.frombuffer(row["offsets"], np.int64)
                 _, back = np.unique(tok, return_inverse=True)
@@ -219,10 +230,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, keep: Fraction = Fraction(9,
     bound = int((1 << 64) * min(Fraction(49, 100), Fraction(3, 2) * (1 - keep)))
     blocks = src.mapInArrow(_blocks(table, n, keep, bound, block_bytes), BLOCK)
     blocks = tk.cut_lineage(blocks.withColumn("block", F.monotonically_increasing_id()), "set_blocks")
-    all_sets = (blocks.select(F.explode(F.arrays_zip("doc_ids", "n", "sig_a", "sig_b")).alias("s"))
-                .select(F.col("s.doc_ids").alias("doc_id"), "s.n", "s.sig_a", "s.sig_b"))
+    all_sets = (blocks.select(F.explode(F.arrays_zip("doc_ids", "n", "sig_a", "sig_b", "sketch")).alias("s"))
+                .select(F.col("s.doc_ids").alias("doc_id"), "s.n", "s.sig_a", "s.sig_b", "s.sketch"))
     sig = ["sig_a", "sig_b", "n"]
-    reps = tk.cut_lineage(all_sets.where("n > 0 and doc_id is not null").groupBy(*sig).agg(F.min("doc_id").alias("rep")), "reps")
+    reps = tk.cut_lineage(all_sets.where("n > 0 and doc_id is not null").groupBy(*sig).agg(
+        F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "reps")
     # Size class: sets whose sizes differ by less than the threshold are in the same or the next class.
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("int")
     entries = (blocks.select("block", "doc_ids", "n", "counted", "offsets", "tokens")
@@ -262,16 +274,21 @@ def jaccard_components(docs: DataFrame, n: int = 3, keep: Fraction = Fraction(9,
     overlaps = known.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "overlap")
     answers = (open_.join(mixed, "token", "left_semi").join(overlaps, ["pivot", "rep"], "left")
                .withColumn("o", F.when(F.col("rep") == F.col("pivot"), F.col("n")).otherwise(F.col("overlap")))
-               .select("token", "cls", "rep", "n", "pos", "pivot", "o", "group"))
+               .select("token", "cls", "rep", "n", "pos", "pivot", "o", "group")
+               .join(reps.groupBy("rep").agg(F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("same")), "rep")
+               .withColumn("sketch", F.when(F.col("same") == 1, F.col("sketch"))).drop("same"))
     answers = tk.cut_lineage(answers, "answers")
-    y = answers.select("token", *[F.col(c).alias(f"y_{c}") for c in ("cls", "rep", "n", "pos", "pivot", "o", "group")],
+    y = answers.select("token", *[F.col(c).alias(f"y_{c}") for c in ("cls", "rep", "n", "pos", "pivot", "o", "group", "sketch")],
                        F.explode(F.array(F.col("cls"), F.col("cls") + 1)).alias("block"))
     z = answers.select("token", F.col("cls").alias("block"),
-                       *[F.col(c).alias(f"z_{c}") for c in ("rep", "n", "pos", "pivot", "o", "group")])
+                       *[F.col(c).alias(f"z_{c}") for c in ("rep", "n", "pos", "pivot", "o", "group", "sketch")])
     need = f"ceil((y_n + z_n) * {num} / {num + den}.0D - 1e-9)"
     bounded = F.expr(f"y_pivot <> z_pivot or coalesce(least(z_o + y_n - y_o, y_o + z_n - z_o) >= {need}, true)")
+    # What two linked sets may differ in, against what their sketches say at least.
+    apart = " + ".join(f"bit_count(y_sketch[{i}] ^ z_sketch[{i}])" for i in range(_SKETCH))
+    alike = F.expr(f"coalesce(({apart}) * {num + den} <= (y_n + z_n) * {den - num}, true)")
     once = F.expr("y_cls < block or y_rep < z_rep")
-    rest = (y.join(z, ["token", "block"]).where(F.expr("y_group <> z_group") & once & enough("y_n", "y_pos", "z_n", "z_pos") & bounded)
+    rest = (y.join(z, ["token", "block"]).where(F.expr("y_group <> z_group") & once & enough("y_n", "y_pos", "z_n", "z_pos") & alike & bounded)
             .select(F.least("y_rep", "z_rep").alias("a"), F.greatest("y_rep", "z_rep").alias("b")).distinct()
             .join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     late = tk.cut_lineage(_verify(rest, sets, keep).where("linked"), "late_pairs")
