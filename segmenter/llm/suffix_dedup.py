@@ -10,7 +10,8 @@ Suffix arrays: a record is an anchor's suffix: its first bytes (``lead``), the
 fingerprint of its ``gram`` bytes, the fingerprint of all bytes that its windows
 span (``ctx``), and the document and windows it stands for. A level is a table
 of records, sorted by suffix inside hash partitions, on the shared checkpoint
-folder. Each new batch of documents gets a level; as long as the two newest
+folder (a suffix that very many documents share may span several of them).
+Each new batch of documents gets a level; as long as the two newest
 levels have the same size class they are merged into one of twice the size, so
 there are logarithmically many levels and a record is rewritten logarithmically
 often.
@@ -40,7 +41,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import partitions_for
 from . import textkit as tk
 
 _STEP = 1 << 20
@@ -106,8 +106,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 class SuffixFamily:
     """Levels of sampled suffix arrays that grow batch by batch."""
 
-    def __init__(self, length: int = 400, gram: int = 100, partitions: int = 16):
-        self.length, self.gram, self.partitions = length, gram, partitions
+    def __init__(self, length: int = 400, gram: int = 100):
+        self.length, self.gram = length, gram
         self.levels: list[tuple[int, DataFrame]] = []  # (size class, sorted records), oldest first
 
     def records(self, docs: DataFrame) -> DataFrame:
@@ -129,8 +129,8 @@ class SuffixFamily:
         return docs.select("dk", "th", "text").mapInArrow(run, RECORD)
 
     def _sorted(self, records: DataFrame) -> DataFrame:
-        return tk.cut_lineage(records.repartition(self.partitions, "lead", "fp")
-                              .sortWithinPartitions("lead", "fp", "ctx"), "suffixes")
+        # A rebalance may split the rows of a suffix that very many documents share.
+        return tk.cut_lineage(records.hint("rebalance", "lead", "fp").sortWithinPartitions("lead", "fp", "ctx"), "suffixes")
 
     def add(self, batch: DataFrame) -> None:
         """Indexes a batch of keyed documents; equal-sized levels merge."""
@@ -198,7 +198,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, batches:
     """
     spark = docs.sparkSession
     src = docs.select("dk", "th", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    family = SuffixFamily(length, gram, partitions_for(src, 64 << 20))
+    family = SuffixFamily(length, gram)
     for b in range(batches):
         family.add(src.where(F.pmod("dk", F.lit(batches)) == b))
     found = family.scan().groupBy("dk", "th").agg(F.collect_set(F.struct("lo", "hi", "kind")).alias("spans"))
@@ -247,7 +247,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, batches:
         import pyarrow as pa
 
         for batch in rows:
-            for row in batch.to_pylist():
+            for row in tk.rows(batch):
                 keys, n = np.unique(_block_windows(row, length)[0], return_counts=True)
                 cut = _ranges(keys, ranges)
                 full = [i for i in range(ranges) if cut[i + 1] > cut[i]]
@@ -280,7 +280,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100, batches:
         import pyarrow as pa
 
         for batch in rows:
-            for row in batch.to_pylist():
+            for row in tk.rows(batch):
                 h, doc, at, test = _block_windows(row, length)
                 keys, back = np.unique(h, return_inverse=True)
                 cut = _ranges(keys, ranges)
