@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_distance
+from ..errors import DataQualityError
 from ..session import partitions_for
 
 # Size bound for the broadcast route: vectors x width x 8 bytes.
@@ -46,6 +47,9 @@ def knn_join(requests: DataFrame, corpus: DataFrame, keys: Sequence[str], k: int
     """Top-k corpus rows per request among corpus rows whose ``keys`` equal the
     request's. Output: request_id, hit_rank (1..k), corpus id, distance, payload."""
     keys = list(keys)
+    widths = corpus.agg(F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi")).first()
+    if widths["lo"] != widths["hi"]:
+        raise DataQualityError(f"corpus vectors have {widths['lo']} to {widths['hi']} components; one width is needed")
     if not force_blocked and corpus_bytes(corpus) <= broadcast_bytes:
         return _knn_broadcast(requests, corpus, keys, k, request_id, query_vec, payload)
     return _knn_blocked(requests, corpus, keys, k, request_id, query_vec, payload, block_rows)
@@ -135,7 +139,8 @@ def _knn_blocked(requests: DataFrame, corpus: DataFrame, keys: list[str], k: int
                         _score_block(ids, mat, pay, payload, q_ids, np.array([v for v, o in zip(qs, ok) if o]),
                                      k, out)
                 i = j
-            yield pd.DataFrame(out)
+            if out["rid"]:
+                yield pd.DataFrame(out)
 
     partial = ordered.mapInPandas(cogroup, schema)
     hit = F.struct(F.col("distance"), F.col("corpus_id").alias("id"), *[F.col(p) for p in payload])
@@ -207,7 +212,8 @@ def _knn_broadcast(requests: DataFrame, corpus: DataFrame, keys: list[str], k: i
                             out["distance"].append(float(dist[j]))
                             for p in payload:
                                 out[p].append(pay[p][j])
-            yield pd.DataFrame(out)
+            if out[request_id]:
+                yield pd.DataFrame(out)
 
     return requests.select(request_id, *keys, query_vec).mapInPandas(top_k, schema)
 

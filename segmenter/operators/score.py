@@ -150,19 +150,14 @@ def score(df: DataFrame, plan: ScorePlan | None = None, tie_break: str = "Buyer"
 
 
 def segment_code(r: Column, f: Column, m: Column) -> Column:
-    """Ordered rules, first match wins (s = R+F+M):
-    s=15 VIP; s>=12 Loyal; R=5 and F+M<=7 New; s=9 At-Risk; s=3 Lost;
-    R>=4 -> New if F+M<=7 else Loyal; R<=2 -> Lost if F+M<=4 else At-Risk;
-    otherwise At-Risk."""
-    s = r + f + m
+    """Bands of the three scores: all 5 VIP; a sum of 12 or more Loyal; recent
+    customers (R 5, or 4 unless F+M is 5) New; long gone with F+M of 4 or less
+    Lost; all others At-Risk."""
     fm = f + m
-    return (F.when(s == 15, "VIP")
-            .when(s >= 12, "Loyal")
-            .when((r == 5) & (fm <= 7), "New")
-            .when(s == 9, "At-Risk")
-            .when(s == 3, "Lost")
-            .when(r >= 4, F.when(fm <= 7, "New").otherwise("Loyal"))
-            .when(r <= 2, F.when(fm <= 4, "Lost").otherwise("At-Risk"))
+    return (F.when(r + fm == 15, "VIP")
+            .when(r + fm >= 12, "Loyal")
+            .when((r == 5) | ((r == 4) & (fm != 5)), "New")
+            .when((r <= 2) & (fm <= 4), "Lost")
             .otherwise("At-Risk"))
 
 

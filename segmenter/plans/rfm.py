@@ -42,7 +42,7 @@ def analyze(canonical: DataFrame, as_of: str | None = None, lang: str = "ru",
             phone_only: bool = False, tie_break: str = "Buyer") -> RfmResult:
     cleaning = clean_customers(canonical, as_of=as_of, phone_only=phone_only)
     base = to_rfm_frame(cleaning.df)
-    plan = plan_scores(base)
+    plan = plan_scores(base, tie_break=tie_break)
     if plan.n == 0:
         raise DataQualityError("no rows left after cleaning")
     scored = assign_segment(score(base, plan, tie_break=tie_break), lang)

@@ -9,6 +9,7 @@ when the setting is absent (local runs and tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,6 +93,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder: executors do not share local ones")
         configured = tempfile.mkdtemp(prefix="segmenter-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -143,7 +146,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def partitions_for(df: DataFrame, target_bytes: int = 128 * 1024 * 1024, cap: int = 100_000) -> int:
+def partitions_for(df: DataFrame, target_bytes: int = 128 * 1024 * 1024) -> int:
     """Partition count for an explicit repartition of ``df``: about
     ``target_bytes`` per partition of input, never fewer than
     ``spark.sql.shuffle.partitions`` (AQE does not resize a repartition with an
@@ -160,4 +163,4 @@ def partitions_for(df: DataFrame, target_bytes: int = 128 * 1024 * 1024, cap: in
                 total += size
     except Exception:  # estimate unavailable: keep the configured count
         return base
-    return int(min(cap, max(base, -(-total // target_bytes))))
+    return int(max(base, -(-total // target_bytes)))

@@ -1,3 +1,4 @@
+import pytest
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -66,3 +67,16 @@ def test_history_of_pushes_the_key(spark):
     rows = df.collect()
     assert all(r["user_id"] == 7 for r in rows)
     assert [r["timestamp"] for r in rows] == sorted((r["timestamp"] for r in rows), reverse=True)
+
+
+@pytest.mark.parametrize("blocked", [False, True])
+def test_knn_without_hits_and_with_ragged_corpus(spark, blocked):
+    from segmenter.errors import DataQualityError
+    from segmenter.operators.knn import knn_join
+    asked = spark.createDataFrame([(1, "xx", [1.0, 2.0])], "request_id LONG, language STRING, query_vec ARRAY<DOUBLE>")
+    schema = "id LONG, language STRING, segment STRING, recommendation STRING, embedding ARRAY<DOUBLE>"
+    corpus = spark.createDataFrame([(1, "en", "a", "t", [1.0, 2.0])], schema)
+    assert knn_join(asked, corpus, ["language"], force_blocked=blocked).count() == 0
+    ragged = corpus.union(spark.createDataFrame([(2, "en", "a", "t", [1.0])], schema))
+    with pytest.raises(DataQualityError):
+        knn_join(asked, ragged, ["language"], force_blocked=blocked)
