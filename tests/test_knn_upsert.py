@@ -1,5 +1,5 @@
-import pytest
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
