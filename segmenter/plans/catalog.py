@@ -320,8 +320,10 @@ def preview_first5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q8 from the CSV file: scan, resolve headers, clean, score, segment."""
-    raw = CS.null_tokens(_scan(spark, sf_dir).accepted)
+    """Q8 from the CSV file: scan, guard, resolve headers, clean, score, segment."""
+    scan = _scan(spark, sf_dir)
+    CS.check_usable(scan)
+    raw = CS.null_tokens(scan.accepted)
     return analyze(project_canonical(raw), as_of=T.AS_OF).scored
 
 

@@ -2,25 +2,29 @@
 
 Each file is read as lines (so blank lines are seen, and nothing is skipped
 silently), decoded per file (UTF-8 when every line is valid UTF-8, else the
-caller's fallback charset), and each physical line is parsed alone with
-``from_csv`` against an all-string schema taken from the file's first line.
-A line is accepted when it has exactly the header's field count and at least
-one non-empty field; everything else goes to the reject table with its file,
-1-based line number, raw text and reason.
-
-Line numbers are exact and computed without a per-file window: rows carry
-``monotonically_increasing_id`` inside their split; a count per (file, split)
--- one row per split, so bounded by the number of splits -- gives each split's
-first line number, joined back with a broadcast. The input is read twice:
-once for the per-split statistics (counts, charset validity, first lines),
-once to parse.
+caller's fallback charset, undecodable bytes replaced), and each physical line
+is parsed alone with ``from_csv`` against the header of its own file. A line is
+accepted when it has exactly that header's field count and at least one
+non-empty field; everything else goes to the reject table with its file, 1-based
+line number, raw text and reason.
+
+The input is planned and read once: its lines are written to the shared folder
+with their file, split and row id. Counts, charset, headers and line numbers all
+come from that table, so they agree whatever splits a later planning would make.
+Line numbers need no per-file window: row ids are consecutive inside a split, and
+a count per split gives its first line number.
+
+Files are aligned by column name. The result has the names of all headers, in
+order of first appearance (files by path); a column that a file lacks is null,
+and of a name repeated in one header the first counts. Lines of a file whose
+header has fewer than two names are rejected.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import DataQualityError
@@ -28,7 +32,6 @@ from ..schemas import NA_TOKENS
 from ..session import cut_lineage
 
 CSV_GLOB = "*.[cC][sS][vV]"
-_LOW_BITS = (1 << 33) - 1
 
 
 @dataclass
@@ -45,85 +48,90 @@ _STANDARD_CHARSETS = {"US-ASCII", "ISO-8859-1", "UTF-8", "UTF-16BE", "UTF-16LE",
 def _allow_charset(spark: SparkSession, charset: str) -> None:
     if charset.upper() not in _STANDARD_CHARSETS:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    # A byte the charset lacks becomes the replacement character.
+    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
 
 
-def _raw(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
+def stored_lines(spark: SparkSession, path: str, glob: str | None = CSV_GLOB) -> DataFrame:
+    """All lines of the input (bytes, file, block, _mid), read once and kept."""
     reader = spark.read.format("text")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return (reader.load(path)
-            .select(F.col("value").cast("binary").alias("bytes"),
-                    F.col("_metadata.file_path").alias("file"),
-                    F.col("_metadata.file_block_start").alias("block"),
-                    F.monotonically_increasing_id().alias("_mid")))
-
-
-def split_stats(spark: SparkSession, path: str, glob: str | None = CSV_GLOB) -> DataFrame:
-    """One pass over the input: per split (file, block) its line count, first
-    row id, whether every line is valid UTF-8, and its first line. Written as a
-    small table (one row per split) that the header, the charset choice and
-    the line numbering all read."""
-    stats = (_raw(spark, path, glob).groupBy("file", "block")
+    return cut_lineage(reader.load(path)
+                       .select(F.col("value").cast("binary").alias("bytes"),
+                               F.col("_metadata.file_path").alias("file"),
+                               F.col("_metadata.file_block_start").alias("block"),
+                               F.monotonically_increasing_id().alias("_mid")), "csv-lines")
+
+
+def split_starts(lines: DataFrame, fallback_charset: str) -> DataFrame:
+    """One row per split (file, block): its first row id, the number of lines
+    before it in its file, and the file's charset check and header names."""
+    stats = (lines.groupBy("file", "block")
              .agg(F.count(F.lit(1)).alias("n"), F.min("_mid").alias("_first"),
                   F.bool_and(F.is_valid_utf8(F.col("bytes").cast("string"))).alias("utf8"),
                   F.min_by("bytes", "_mid").alias("first_line")))
-    return cut_lineage(stats, "csv-splits")
-
-
-def _lines(spark: SparkSession, path: str, fallback_charset: str, glob: str | None,
-           stats: DataFrame) -> DataFrame:
-    _allow_charset(spark, fallback_charset)
-    # UTF-8 when every line of the file is valid UTF-8, else the fallback.
-    file_ok = stats.groupBy("file").agg(F.bool_and("utf8").alias("file_utf8"))
-    # Line numbers: first line of each split = lines of the file's earlier splits + 1.
     before = F.sum("n").over(Window.partitionBy("file").orderBy("block")
                              .rowsBetween(Window.unboundedPreceding, -1))
-    starts = (stats.select("file", "block", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
-              .join(file_ok, "file"))
-    # One row per split: bounded by the number of splits.
-    numbered = _raw(spark, path, glob).join(F.broadcast(starts), ["file", "block"])
-    text = F.when(F.col("file_utf8"), F.decode("bytes", "UTF-8")).otherwise(F.decode("bytes", fallback_charset))
-    return numbered.select("file", (F.col("_before") + F.col("_mid") - F.col("_first") + 1).alias("line_no"),
-                           text.alias("line"), F.col("file_utf8").alias("utf8"))
-
-
-def read_header(spark: SparkSession, path: str, fallback_charset: str = "windows-1251",
-                glob: str | None = CSV_GLOB, stats: DataFrame | None = None) -> list[str]:
-    """The first line of the first file, split on commas, names stripped."""
-    stats = stats if stats is not None else split_stats(spark, path, glob)
-    firsts = (stats.groupBy("file")
-              .agg(F.bool_and("utf8").alias("utf8"),
-                   F.min_by(F.when(F.col("block") == 0, F.col("first_line")), "block").alias("first_line"))
-              .where(F.col("first_line").isNotNull())
-              .orderBy("file").limit(1).collect())
-    if not firsts:
-        raise DataQualityError("empty file")
-    raw = bytes(firsts[0]["first_line"])
-    line = raw.decode("utf-8") if firsts[0]["utf8"] else raw.decode(fallback_charset, errors="replace")
-    header = [h.strip() for h in line.strip().split(",")]
-    if len(header) < 2:
-        raise DataQualityError("bad header")
-    return header
+    per_file = stats.groupBy("file").agg(F.bool_and("utf8").alias("file_utf8"),
+                                         F.min_by("first_line", "block").alias("first_line"))
+    names = F.transform(F.split(_decoded("first_line", "file_utf8", fallback_charset), ","),
+                        lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return cut_lineage(stats.select("file", "block", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+                       .join(per_file.select("file", "file_utf8", names.alias("names")), "file"), "csv-splits")
+
+
+def _decoded(col: str, is_utf8: str, fallback_charset: str) -> Column:
+    return F.when(F.col(is_utf8), F.decode(col, "UTF-8")).otherwise(F.decode(col, fallback_charset))
+
+
+def _header(starts: DataFrame) -> tuple[list[str], list[int]]:
+    """All column names in order of first appearance, and the distinct header
+    widths (both bounded by the layouts in use, not by the data)."""
+    files = starts.where("_before = 0").select("file", "names")
+    usable = files.where(F.size("names") >= 2)
+    names = (usable.select("file", F.posexplode("names").alias("at", "name"))
+             .groupBy("name").agg(F.min(F.struct("file", "at")).alias("first")).orderBy("first").collect())
+    if not names:
+        raise DataQualityError("bad header" if files.head(1) else "empty file")
+    widths = usable.select(F.size("names").alias("w")).distinct().orderBy("w").collect()
+    return [r["name"] for r in names], [r["w"] for r in widths]
+
+
+def _fields(width: int) -> Column:
+    """A line parsed as ``width`` fields: (array of fields, whether the count is another)."""
+    ddl = ", ".join(f"_c{i} STRING" for i in range(width)) + ", _bad STRING"
+    p = F.from_csv(F.col("line"), ddl, {"columnNameOfCorruptRecord": "_bad",
+                                        "ignoreLeadingWhiteSpace": "true", "mode": "PERMISSIVE"})
+    return F.struct(F.array(*[p[f"_c{i}"] for i in range(width)]).alias("f"), p["_bad"].isNotNull().alias("bad"))
 
 
 def read_csv_robust(spark: SparkSession, path: str, fallback_charset: str = "windows-1251",
                     glob: str | None = CSV_GLOB, header: list[str] | None = None) -> ScanResult:
-    """S1 + S2 + S4: accepted rows (header names, all STRING) and rejected lines."""
-    stats = split_stats(spark, path, glob)
-    header = header or read_header(spark, path, fallback_charset, glob, stats)
-    lines = _lines(spark, path, fallback_charset, glob, stats).where(F.col("line_no") > 1)
-    fields = [f"_c{i}" for i in range(len(header))]
-    ddl = ", ".join(f"{f} STRING" for f in fields) + ", _bad STRING"
-    parsed = F.from_csv(F.col("line"), ddl, {"columnNameOfCorruptRecord": "_bad",
-                                             "ignoreLeadingWhiteSpace": "true", "mode": "PERMISSIVE"})
-    p = lines.select("file", "line_no", "line", parsed.alias("p"))
-    any_value = F.greatest(*[F.coalesce(F.length(F.col(f"p.{f}")) > 0, F.lit(False)) for f in fields])
-    good = F.col("p._bad").isNull() & any_value
-    accepted = p.where(good).select(*[F.col(f"p.{f}").alias(h) for f, h in zip(fields, header)])
-    rejected = p.where(~good).select(
-        "file", "line_no", F.col("line").alias("raw"),
-        F.when(F.col("p._bad").isNotNull(), F.lit("field count")).otherwise(F.lit("empty row")).alias("reason"))
-    return ScanResult(accepted, rejected, header)
+    """S1 + S2 + S4: accepted rows (header names, all STRING) and rejected lines.
+    A ``header`` given replaces the first line of every file."""
+    _allow_charset(spark, fallback_charset)
+    stored = stored_lines(spark, path, glob)
+    starts = split_starts(stored, fallback_charset)
+    if header:
+        starts = starts.withColumn("names", F.array(*[F.lit(h) for h in header]))
+    columns, widths = _header(starts)
+    lines = (stored.join(starts, ["file", "block"])
+             .withColumn("line_no", F.col("_before") + F.col("_mid") - F.col("_first") + 1).where("line_no > 1")
+             .select("file", "line_no", "names", _decoded("bytes", "file_utf8", fallback_charset).alias("line")))
+    parsed = F.lit(None)
+    for w in widths:
+        parsed = F.when(F.size("names") == w, _fields(w)).otherwise(parsed)
+    p = lines.select("file", "line_no", "line", "names", parsed.alias("p"))
+    bad = F.coalesce(F.col("p.bad"), F.lit(True))
+    any_value = F.coalesce(F.exists("p.f", lambda x: F.coalesce(F.length(x) > 0, F.lit(False))), F.lit(False))
+    accepted = p.where(~bad & any_value).select(
+        *[F.when(F.array_contains("names", c), F.try_element_at("p.f", F.array_position("names", F.lit(c)).cast("int"))).alias(c)
+          for c in columns])
+    reason = (F.when(F.size("names") < 2, F.lit("bad header")).when(bad, F.lit("field count"))
+              .otherwise(F.lit("empty row")))
+    rejected = p.where(bad | ~any_value).select("file", "line_no", F.col("line").alias("raw"), reason.alias("reason"))
+    return ScanResult(accepted, rejected, columns)
 
 
 def null_tokens(df: DataFrame, tokens: list[str] | None = None) -> DataFrame:
@@ -135,8 +143,9 @@ def null_tokens(df: DataFrame, tokens: list[str] | None = None) -> DataFrame:
 
 
 def check_usable(result: ScanResult, min_rows: int = 2) -> int:
-    """At least ``min_rows`` accepted rows, else DataQualityError."""
-    n = result.accepted.count()
+    """At least ``min_rows`` accepted rows, else DataQualityError. Counts no
+    further than that."""
+    n = result.accepted.limit(min_rows).count()
     if n < min_rows:
         raise DataQualityError(f"only {n} usable rows")
     return n

@@ -55,3 +55,38 @@ def test_guards(spark):
 
 def test_alias_first_match_wins():
     assert resolve_aliases([" Buyer ", "ID", "Total_Spent", "x"]) == {"client_id": " Buyer ", "amount": "Total_Spent"}
+
+
+def test_every_file_has_its_own_header(spark):
+    d = write("id,amount,recency\n1,10,5\n", "a.csv")
+    for name, text in (("b.csv", "id,recency,amount\n3,30,7\n"), ("c.csv", "id,amount\n4,40\n4,40,5\n"), ("d.csv", "junk\n9\n")):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    res = read_csv_robust(spark, d)
+    assert res.header == ["id", "amount", "recency"]
+    assert sorted(tuple(r) for r in res.accepted.collect()) == [("1", "10", "5"), ("3", "7", "30"), ("4", "40", None)]
+    assert sorted((os.path.basename(r["file"]), r["line_no"], r["reason"]) for r in res.rejected.collect()) == [
+        ("c.csv", 3, "field count"), ("d.csv", 2, "bad header")]
+
+
+def test_undecodable_bytes_are_replaced(spark):
+    d = tempfile.mkdtemp(prefix="segmenter-csv-")
+    with open(os.path.join(d, "x.csv"), "wb") as f:
+        f.write("Клиент,Сумма\n".encode("windows-1251") + b"a\x98b,1\n" + b"c,2\n")
+    res = read_csv_robust(spark, d)
+    assert sorted(tuple(r) for r in res.accepted.collect()) == [("a\ufffdb", "1"), ("c", "2")]
+
+
+def test_no_line_is_lost_when_splits_change(spark):
+    d = write("id,amount\n" + "".join(f"{i},{i}\n" if i % 10 else f"{i}\n" for i in range(200_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+        res = read_csv_robust(spark, d)
+        for size in ("256k", "100k", "64m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert res.accepted.count() == 180_000
+            lines = [r["line_no"] for r in res.rejected.select("line_no").collect()]
+            assert sorted(lines) == [i + 2 for i in range(0, 200_000, 10)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
