@@ -47,6 +47,15 @@ def score_tied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze(T.tied_metrics(spark, sf_dir)).scored
 
 
+def f_score_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q3 on one row per purchase without a frequency: how many rows of each
+    buyer got each F score (rows of one id are ranked one by one)."""
+    o = T.table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("1"), F.col("o_custkey").cast("string")).alias("client_id"),
+        F.col("o_orderkey").cast("double").alias("recency"), F.col("o_totalprice").cast("double").alias("amount"))
+    return analyze(o).scored.groupBy("Buyer", "F_Score").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- cleaning on the dirty customer table -------------------------------------
 
 def _dirty(spark, sf_dir):
@@ -497,6 +506,7 @@ QUERIES: dict[str, Query] = {
     "segment_summary": segment_summary,
     "score_fallback": score_fallback,
     "score_tied": score_tied,
+    "f_score_repeated_ids": f_score_repeated_ids,
     "normalize_id": normalize_id_q,
     "text_to_number": text_to_number_q,
     "parse_dates": parse_dates_q,
@@ -561,6 +571,7 @@ ORACLE_SQL: dict[str, str] = {
     "segment_summary": Q.SEGMENT_SUMMARY,
     "score_fallback": Q.SCORE_FALLBACK,
     "score_tied": Q.SCORE_TIED,
+    "f_score_repeated_ids": Q.F_SCORE_REPEATED_IDS,
     "normalize_id": Q.NORMALIZE_ID,
     "text_to_number": Q.TEXT_TO_NUMBER,
     "parse_dates": Q.PARSE_DATES,

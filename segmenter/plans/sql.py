@@ -93,6 +93,12 @@ FROM d LEFT JOIN a ON a.segment = d.segment"""
 RFM_SEGMENTS = scored_sql(metrics_cte(AS_OF))
 SCORE_FALLBACK = scored_sql(metrics_cte(AS_OF_TIED))
 SCORE_TIED = scored_sql(tied_cte())
+
+F_SCORE_REPEATED_IDS = """WITH r AS (
+  SELECT '1' || CAST(o_custkey AS VARCHAR) AS Buyer, count(*) OVER () AS n,
+         row_number() OVER (ORDER BY '1' || CAST(o_custkey AS VARCHAR)) AS rn FROM orders),
+s AS (SELECT Buyer, CAST(CASE WHEN n < 2 THEN 1 ELSE greatest(1, ceil(5.0 * (rn - 1) / (n - 1))) END AS INTEGER) AS F_Score FROM r)
+SELECT Buyer, F_Score, count(*) AS n FROM s GROUP BY Buyer, F_Score"""
 SEGMENT_SUMMARY = summary_sql(RFM_SEGMENTS)
 ZONES_CASE = "CASE " + " ".join(f"WHEN c_nationkey % {len(ADAPTER_ZONES)} = {i} THEN '{z}'"
                                 for i, z in enumerate(ADAPTER_ZONES)) + " END"

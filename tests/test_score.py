@@ -98,3 +98,13 @@ def test_missing_frequency_defaults_to_one(spark):
     # Constant frequency: the main route bins the first-come rank (tie-break: the id).
     assert sorted(r["F_Score"] for r in out) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
     assert res.summary.count() == 5
+
+
+@pytest.mark.parametrize("tie_break", ["Buyer", "Recency"])
+def test_rows_that_repeat_an_id_are_ranked_one_by_one(spark, tie_break):
+    from segmenter.plans.rfm import analyze
+    rows = [("A" if i <= 6 else f"B{i}", str(i), str(10 * i)) for i in range(1, 11)]
+    df = spark.createDataFrame(rows, "client_id STRING, recency STRING, amount STRING")
+    res = analyze(df, tie_break=tie_break)
+    assert sorted(r["F_Score"] for r in res.scored.collect()) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+    assert "_row" not in res.cleaning.df.columns
