@@ -8,33 +8,46 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Accepted date formats, tried in this order (month first for
-# ambiguous slashed dates), each with the shape a value must have before the
-# parser is tried (parse failures are expensive; shape checks are not).
+# ambiguous slashed or dashed dates), each with the shape a value must have before
+# the parser is tried (parse failures are expensive; shape checks are not).
 _D = r"[0-9]{1,2}"
 DATE_FORMATS = [
     (rf"^[0-9]{{4}}-{_D}-{_D}$", "yyyy-M-d"),
-    (rf"^[0-9]{{4}}-{_D}-{_D} {_D}:{_D}:{_D}$", "yyyy-M-d H:m:s"),
-    (rf"^[0-9]{{4}}-{_D}-{_D}T{_D}:{_D}:{_D}$", "yyyy-M-d'T'H:m:s"),
-    (rf"^[0-9]{{4}}-{_D}-{_D} {_D}:{_D}$", "yyyy-M-d H:m"),
     (rf"^[0-9]{{4}}/{_D}/{_D}$", "yyyy/M/d"),
+    (rf"^[0-9]{{4}}\.{_D}\.{_D}$", "yyyy.M.d"),
     (rf"^{_D}/{_D}/[0-9]{{4}}$", "M/d/yyyy"),
-    (rf"^{_D}/{_D}/[0-9]{{4}} {_D}:{_D}:{_D}$", "M/d/yyyy H:m:s"),
+    (rf"^{_D}-{_D}-[0-9]{{4}}$", "M-d-yyyy"),
+    (rf"^{_D}-{_D}-[0-9]{{4}}$", "d-M-yyyy"),
     (rf"^{_D}\.{_D}\.[0-9]{{4}}$", "d.M.yyyy"),
-    (rf"^{_D}\.{_D}\.[0-9]{{4}} {_D}:{_D}:{_D}$", "d.M.yyyy H:m:s"),
+    (rf"^{_D}\.{_D}\.[0-9]{{2}}$", "d.M.yy"),
     (r"^[0-9]{8}$", "yyyyMMdd"),
     (rf"^{_D} [A-Za-z]{{3}} [0-9]{{4}}$", "d MMM yyyy"),
     (rf"^{_D} [A-Za-z]{{4,9}} [0-9]{{4}}$", "d MMMM yyyy"),
     (rf"^[A-Za-z]{{3}} {_D}, [0-9]{{4}}$", "MMM d, yyyy"),
     (rf"^[A-Za-z]{{4,9}} {_D}, [0-9]{{4}}$", "MMMM d, yyyy"),
 ]
+# A date, then perhaps a time: hour, minute, second with fraction, AM/PM, zone.
+_WITH_TIME = (rf"^(.*?[0-9])(?:(?:T| +)({_D}):({_D})(?::({_D}(?:\.[0-9]{{1,9}})?))? ?([AaPp][Mm])?"
+              r" ?(?:Z|UTC|[+-][0-9]{2}:?[0-9]{2})?)?$")
 
 
 def parse_date(c: Column | str, formats: list[tuple[str, str]] | None = None) -> Column:
-    """First format that parses wins; nothing parses -> null (counted by C7)."""
+    """First date format that parses wins; a time may follow any of them. A zone
+    is passed over: the value is the wall-clock time as written. Nothing parses,
+    or an hour, minute or second out of range -> null (counted by C7)."""
     c = F.col(c) if isinstance(c, str) else c
     s = F.trim(c.cast("string"))
-    tries = [F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt))) for shape, fmt in (formats or DATE_FORMATS)]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    date, h, m, sec, half = (F.regexp_extract(s, _WITH_TIME, i) for i in range(1, 6))
+    # The date text is found once a row and bound to ``d``, not repeated in every try.
+    day = F.transform(F.array(date), lambda d: F.coalesce(*[
+        F.when(d.rlike(shape), F.try_to_timestamp(d, F.lit(fmt))) for shape, fmt in (formats or DATE_FORMATS)]))
+    day = day[0].cast("timestamp_ntz")
+    hour, minute = h.try_cast("int"), m.try_cast("int")
+    second = F.coalesce(sec.try_cast("decimal(8,6)"), F.lit(0).cast("decimal(8,6)"))
+    in_range = F.when(half == "", hour <= 23).otherwise(hour.between(1, 12)) & (minute <= 59) & (second < 60)
+    hour = F.when(half == "", hour).otherwise(hour % 12 + F.when(F.lower(half) == "pm", 12).otherwise(0))
+    at = F.make_dt_interval(F.lit(0), hour, minute, second)
+    return F.when(h == "", day).when(in_range, day + at)
 
 
 def recency_days(date_col: Column | str, as_of: dt.date | str) -> Column:

@@ -70,3 +70,15 @@ def test_label_fallback_and_language(spark):
                      language_or_default(F.col("lang")).alias("lang")).collect()
     assert rows[0]["m"] == {"a": "A-en", "b": "B-ru"} and rows[0]["lang"] == "en"
     assert rows[1]["m"] == {"a": "x"} and rows[1]["lang"] == "ru"
+
+
+def test_parse_date_with_times_and_zones(spark):
+    at = "2024-01-31 10:00:00"
+    cases = {"2024-01-31T10:00:00Z": at, "2024-01-31T10:00:00+03:00": at, "2024-01-31 10:00:00.123": at + ".123000",
+             "2024-01-31T10:00": at, "31-01-2024": "2024-01-31 00:00:00", "01-02-2024": "2024-01-02 00:00:00",
+             "31.01.24": "2024-01-31 00:00:00", "2024.01.31": "2024-01-31 00:00:00",
+             "01/31/2024 5:00 PM": "2024-01-31 17:00:00", "01/31/2024 12:05 am": "2024-01-31 00:05:00",
+             "31.01.2024 10:00:00": at, "Jan 31, 2024 10:00": at, "2024-01-31 25:00": None, "2024-01-31 10:75": None,
+             "2024-02-31": None, "10:00": None, "soon 5": None, "": None}
+    got = one_col(spark, list(cases), parse_date)
+    assert [None if g is None else str(g) for g in got] == list(cases.values())
