@@ -6,17 +6,22 @@ by the nearest entry of its codebook. Lists are kept by (label, width), since
 only vectors with equal labels are compared. Every vector is indexed; centroids
 and codebooks are fitted on a bounded sample of ``sample`` vectors.
 
-Search: every distinct vector is a query. It probes its ``probes`` nearest
-lists, leaving out those that no vector within reach can be in (the plane
-between the two centroids is farther away than the wanted distance). In a list,
-a table of squared distances from the query's residual to all codebook entries
-gives the asymmetric distance to every code by table look-ups. A code is a
-candidate if its distance, less the stored quantisation error of that vector, is
-within reach; by the triangle inequality no vector of the list is lost. The
-candidates' exact cosine, in double precision, decides.
-
-Skew: equal vectors of a label are one node with a weight. Long lists are cut
-into blocks of about ``block`` vectors, and the queries of a much-probed list
+Search: every distinct vector is a query. It probes every list that a vector
+within reach can be in: only those are left out whose plane, half way between
+their centroid and the query's own, is farther away than the wanted distance.
+There is no bound on the number of lists, so no link is lost, and each is seen
+from both of its ends. Neighbouring lists of a label are kept together in
+regions of about ``block`` vectors, and a query is sent once to each region with
+a list to probe. There, tables of products of the query with all codebook
+entries give the asymmetric distance to every code by table look-ups. A code is
+a candidate if its distance, less the stored quantisation error of that vector,
+is within reach; by the triangle inequality no vector is lost. The candidates'
+exact cosine, in double precision, decides. Vectors without any structure are
+within reach of nearly all lists, so the work then grows with the square of a
+label's distinct vectors.
+
+Skew: equal vectors of a label are one node with a weight. Long regions are cut
+into blocks of about ``block`` vectors, and the queries of a much-probed region
 are dealt over several copies of the block. A task holds one block and streams
 its queries; it emits one sum a query and the edges of a spanning forest of the
 links it saw, never all pairs.
@@ -64,7 +69,9 @@ class Quantiser:
     """Coarse centroids and residual codebooks for vectors of one width."""
 
     def __init__(self, x: np.ndarray, n_lists: int, subspaces: int = 8, entries: int = 128, seed: int = 7):
-        self.coarse = kmeans(x, n_lists, 12, seed)
+        coarse = kmeans(x, n_lists, 12, seed)
+        # Lists that lie close get numbers that are close.
+        self.coarse = coarse[np.argsort(nearest(coarse, kmeans(coarse, round(math.sqrt(len(coarse))), 8, seed + 2)), kind="stable")]
         rest = x - self.coarse[nearest(x, self.coarse)]
         self.cuts = np.linspace(0, x.shape[1], min(subspaces, x.shape[1]) + 1).astype(int)
         self.books = [kmeans(np.ascontiguousarray(rest[:, a:b]), entries, 8, seed + 1)
@@ -82,24 +89,35 @@ class Quantiser:
             err += ((part - self.books[j][codes[:, j]]) ** 2).sum(1)
         return lists, codes, np.sqrt(err)
 
+    def region(self, lists: np.ndarray, n: int) -> np.ndarray:
+        """Region of each list, of ``n`` regions (at most one a list)."""
+        return lists * min(n, len(self.coarse)) // len(self.coarse)
+
     def probes(self, x: np.ndarray, n: int, reach: float) -> list[np.ndarray]:
-        """Lists to probe for each vector: its ``n`` nearest, within reach."""
-        d = distances(x, self.coarse)
-        order = np.argsort(d, axis=1, kind="stable")[:, :n]
+        """For each vector all those of ``n`` regions that hold a list within reach."""
+        first = np.flatnonzero(np.diff(self.region(np.arange(len(self.coarse)), n), prepend=-1))
         gap = np.sqrt(distances(self.coarse, self.coarse))
         out = []
-        for i, o in enumerate(order):
-            plane = (d[i, o] - d[i, o[0]]) / (2 * np.maximum(gap[o[0], o], 1e-12))
-            out.append(o[(plane <= reach + 1e-9) | (np.arange(len(o)) == 0)].astype(np.int32))
+        for i in range(0, len(x), 1024):
+            d = distances(x[i:i + 1024], self.coarse)
+            own = d.argmin(1)
+            plane = (d - d.min(1)[:, None]) / (2 * np.maximum(gap[own], 1e-12))
+            near = plane <= reach + 1e-9
+            near[np.arange(len(d)), own] = True
+            out += [np.flatnonzero(r).astype(np.int32) for r in np.logical_or.reduceat(near, first, axis=1)]
         return out
 
-    def approximate(self, q: np.ndarray, of_list: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric squared distances from queries to the codes of a list."""
-        rest = q - self.coarse[of_list]
-        out = np.zeros((len(q), len(codes)))
+    def lengths(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Squared lengths of the vectors that the codes stand for."""
+        x = self.coarse[lists] + np.concatenate([b[codes[:, j]] for j, b in enumerate(self.books)], axis=1)
+        return (x * x).sum(1)
+
+    def approximate(self, q: np.ndarray, lists: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Asymmetric squared distances from queries to codes of any lists."""
+        dot = np.take(q @ self.coarse.T, lists, axis=1)
         for j, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True)):
-            out += distances(np.ascontiguousarray(rest[:, a:b]), self.books[j])[:, codes[:, j]]
-        return out
+            dot += np.take(q[:, a:b] @ self.books[j].T, codes[:, j], axis=1)
+        return (q * q).sum(1)[:, None] + lengths[None] - 2 * dot
 
 
 def _valid(v) -> F.Column:
@@ -108,10 +126,6 @@ def _valid(v) -> F.Column:
     return F.coalesce((F.size(v) > 0) & finite & some, F.lit(False))
 
 
-_ROWS = ("label string, width int, list int, block int, copy int, tag int, node long, weight long, "
-         "vector binary, codes binary, error double")
-
-
 def _unit(raw: list) -> tuple[np.ndarray, np.ndarray]:
     x = np.asarray(raw, np.float64)
     # Scale first, so that squares neither overflow nor vanish.
@@ -119,8 +133,8 @@ def _unit(raw: list) -> tuple[np.ndarray, np.ndarray]:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True)), x
 
 
-def link_vectors(vectors: DataFrame, cosine: float = 0.93, probes: int = 8, sample: int = 16_384,
-                 block: int = 2_048, queries: int = 32_768) -> DataFrame:
+def link_vectors(vectors: DataFrame, cosine: float = 0.93, sample: int = 16_384, block: int = 2_048,
+                 queries: int = 32_768) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
     spark = vectors.sparkSession
     reach = math.sqrt(2 - 2 * cosine)
@@ -138,43 +152,45 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.93, probes: int = 8, samp
         x, _ = _unit([r["v"] for r in rows])
         fitted[width] = Quantiser(x, max(1, min(round(math.sqrt(n)), len(x), 4096)))
     sent = spark.sparkContext.broadcast(fitted)
+    per_label = nodes.groupBy("label", "width").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("regions"))
 
     def index(batches):
         import pyarrow as pa
 
         for batch in batches:
-            width_of = np.asarray(batch.column("width"))
-            for width in np.unique(width_of).tolist():
-                part = batch.filter(pa.array(width_of == width))
+            kinds = np.stack([np.asarray(batch.column("width")), np.asarray(batch.column("regions"))], axis=1)
+            for width, regions in np.unique(kinds, axis=0).tolist():
+                part = batch.filter(pa.array((kinds == [width, regions]).all(axis=1)))
                 x, _ = _unit(part.column("v").to_pylist())
                 q = sent.value[width]
                 lists, codes, err = q.encode(x)
                 yield pa.RecordBatch.from_pydict({
                     "label": part.column("label"), "width": part.column("width"), "node": part.column("node"),
                     "weight": part.column("weight"), "list": pa.array(lists.astype(np.int32)),
-                    "probes": pa.array(q.probes(x, probes, reach), pa.list_(pa.int32())),
+                    "region": pa.array(q.region(lists, regions).astype(np.int32)),
+                    "probes": pa.array(q.probes(x, regions, reach), pa.list_(pa.int32())),
                     "vector": pa.array([r.tobytes() for r in x], pa.binary()),
                     "codes": pa.array([r.tobytes() for r in codes], pa.binary()), "error": pa.array(err)})
 
-    coded = tk.cut_lineage(nodes.select("label", "width", "node", "weight", "v").mapInArrow(
-        index, "label string, width int, node long, weight long, list int, probes array<int>, vector binary, "
+    coded = tk.cut_lineage(nodes.join(per_label, ["label", "width"]).select("label", "width", "regions", "node", "weight", "v").mapInArrow(
+        index, "label string, width int, node long, weight long, list int, region int, probes array<int>, vector binary, "
                "codes binary, error double"), "coded")
-    key = ["label", "width", "list"]
-    asked = coded.select("label", "width", F.explode("probes").alias("list"), "node", "vector")
-    # Blocks of a list, and copies of its blocks for the queries.
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    key = ["label", "width", "region"]
+    asked = coded.select("label", "width", F.explode("probes").alias("region"), "node", "vector")
+    # Blocks of a region, and copies of its blocks for the queries.
+    blocks = F.greatest(F.round(F.col("n") / block), F.lit(1)).cast("int")
     sizes = coded.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).select(*key, blocks.alias("blocks"))
     loads = asked.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).select(*key, F.ceil(F.col("n") / queries).cast("int").alias("copies"))
-    plan = tk.cut_lineage(sizes.join(loads, key), "lists")
+    plan = tk.cut_lineage(sizes.join(loads, key), "regions")
     held = (coded.join(plan, key).select(
         *key, F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("tag"), "node", "weight", "vector",
-        "codes", "error"))
+        F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("tag"), "node", "weight", "list",
+        "vector", "codes", "error"))
     sought = (asked.join(plan, key).select(
         *key, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.pmod(F.xxhash64("node", F.lit(1)), "copies").cast("int").alias("copy"), F.lit(1).alias("tag"), "node",
-        F.lit(0).cast("long").alias("weight"), "vector", F.lit(None).cast("binary").alias("codes"),
-        F.lit(None).cast("double").alias("error")))
+        F.lit(0).cast("long").alias("weight"), F.lit(None).cast("int").alias("list"), "vector",
+        F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error")))
     at = [*key, "block", "copy"]
     met = held.unionByName(sought).repartition(*at).sortWithinPartitions(*at, "tag").mapInArrow(
         _matcher(sent, cosine, reach), "node long, links long, other long")
@@ -200,10 +216,11 @@ def _matcher(sent, cosine: float, reach: float):
         def close():
             """The block's vectors, once all of them are there."""
             rows = [r for part in fresh for r in part]
+            lists, codes = np.array([r[5] for r in rows]), np.stack([np.frombuffer(r[3], np.uint8) for r in rows])
             return {"node": np.array([r[0] for r in rows], np.int64), "weight": np.array([r[1] for r in rows], np.int64),
-                    "x": np.stack([np.frombuffer(r[2]) for r in rows]),
-                    "codes": np.stack([np.frombuffer(r[3], np.uint8) for r in rows]), "error": np.array([r[4] for r in rows]),
-                    "root": np.arange(len(rows))}
+                    "x": np.stack([np.frombuffer(r[2]) for r in rows]), "lists": lists, "codes": codes,
+                    "lengths": sent.value[now[1]].lengths(lists, codes),
+                    "limit": (reach + np.array([r[4] for r in rows]) + 1e-9) ** 2, "root": np.arange(len(rows))}
 
         def root(b, i):
             r = b["root"]
@@ -213,9 +230,9 @@ def _matcher(sent, cosine: float, reach: float):
             return i
 
         for batch in batches:
-            cols = {c: batch.column(c).to_pylist() for c in ("label", "width", "list", "block", "copy", "tag", "node", "weight")}
+            cols = {c: batch.column(c).to_pylist() for c in ("label", "width", "region", "block", "copy", "tag", "node", "weight", "list")}
             raw = {c: batch.column(c) for c in ("vector", "codes", "error")}
-            keys = list(zip(*(cols[c] for c in ("label", "width", "list", "block", "copy", "tag")), strict=True))
+            keys = list(zip(*(cols[c] for c in ("label", "width", "region", "block", "copy", "tag")), strict=True))
             nodes, sums, others = [], [], []
             i = 0
             while i < len(keys):
@@ -226,7 +243,7 @@ def _matcher(sent, cosine: float, reach: float):
                     now, block, fresh = keys[i][:5], None, []
                 if keys[i][5] == 0:
                     fresh.append([(cols["node"][k], cols["weight"][k], raw["vector"][k].as_py(), raw["codes"][k].as_py(),
-                                   raw["error"][k].as_py()) for k in range(i, j)])
+                                   raw["error"][k].as_py(), cols["list"][k]) for k in range(i, j)])
                 elif fresh:
                     if block is None:
                         block = close()
@@ -235,7 +252,7 @@ def _matcher(sent, cosine: float, reach: float):
                         b = min(j, a + 512)
                         q = np.stack([np.frombuffer(raw["vector"][k].as_py()) for k in range(a, b)])
                         own = np.array(cols["node"][a:b], np.int64)
-                        near = np.sqrt(quantiser.approximate(q, now[2], block["codes"])) <= reach + block["error"] + 1e-9
+                        near = quantiser.approximate(q, block["lists"], block["codes"], block["lengths"]) <= block["limit"]
                         row, col = np.nonzero(near & (own[:, None] != block["node"][None]))
                         if not len(row):
                             continue

@@ -227,6 +227,20 @@ def test_embeddings(spark):
          [(i, n[i], group[i], group[i] == i) for i, _, _ in rows])
 
 
+def test_embeddings_probe_every_list_within_reach(spark):
+    # Many more lists than a fixed number of probes holds; links across several regions and blocks.
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2_400, 48))
+    x[1_200:] = x[:1_200] + rng.normal(size=(1_200, 48)) * 0.75
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.75
+    links = [(a, b) for a, b in zip(*np.nonzero(near), strict=True) if a != b]
+    group, n = components(range(len(x)), links), Counter(a for a, _ in links)
+    df = spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    same(pq_neardup.link_vectors(df, cosine=0.75, block=300, queries=1_000), ["vec_id", "n_links", "component_id"],
+         [(i, n[i], group[i]) for i in range(len(x))])
+
+
 @pytest.mark.parametrize("n,keep", [(3, Fraction(9, 10)), (5, Fraction(4, 5))])
 def test_jaccard(docs, n, keep):
     sets = []
