@@ -70,7 +70,7 @@ eupl-grant | 4 | licensed,licence | licensed under the eupl|european union publi
 psf-grant | 4 | licensed,license | python software foundation license(?: version 2)?
 curl-grant | 4 | permission | permission to use copy modify and distribute this software for any purpose with or without fee
 ntp-grant | 4 | permission | permission to use copy modify and distribute this software and its documentation
-x11-endorsement | 4 | copyright | except as contained in this notice the name of .{1,40} shall not be used
+x11-endorsement | 4 | contained | except as contained in this notice the name of .{1,40} shall not be used
 openssl-ack | 4 | redistributions | redistributions of any form whatsoever must retain the following acknowledgment
 json-good | 4 | copyright,license | license .{0,40}shall be used for good not evil
 beerware | 4 | license | beer ware license|beerware license
@@ -111,9 +111,9 @@ gpl-2-short | 3 | gpl,gplv2,gpl2 | gnu gpl v? ?2|gpl ?v?2(?: 0)?|gpl v 2|gplv2
 lgpl-3.0 | 3 | license | (?:gnu )?lesser general public license v(?:ersion )?3(?: 0)?
 lgpl-2.1 | 3 | license | (?:gnu )?lesser general public license v(?:ersion )?2 1
 lgpl-2.0 | 3 | license | (?:gnu )?library general public license v(?:ersion )?2(?: 0)?
-lgpl-short | 3 | lgpl,lgplv3,lgplv2 | lgpl ?v?[23](?: [01])?|lgplv[23]
+lgpl-short | 3 | lgpl,lgplv3,lgplv2,lgpl3,lgpl2 | lgpl ?v?[23](?: [01])?|lgplv[23]
 agpl-3.0 | 3 | license | (?:gnu )?affero general public license v(?:ersion )?3(?: 0)?
-agpl-short | 3 | agpl,agplv3 | agpl ?v?3(?: 0)?|agplv3
+agpl-short | 3 | agpl,agplv3,agpl3 | agpl ?v?3(?: 0)?|agplv3
 apache-2.0 | 3 | license | apache license v(?:ersion )?2(?: 0)?
 apache-2.0-short | 3 | license,licence | apache 2(?: 0)? licen[cs]e
 apache-1.1 | 3 | license | apache (?:software )?license v(?:ersion )?1 1
@@ -224,15 +224,15 @@ proprietary | 2 | proprietary | proprietary and confidential|proprietary softwar
 confidential | 2 | confidential | (?:strictly )?confidential(?: and proprietary)? (?:information|material)
 commercial | 2 | license,licence | (?:commercial|enterprise) licen[cs]e(?: agreement)?
 eula | 2 | license,licence | end user licen[cs]e agreement
-non-commercial | 2 | license,licensed,licence | licen[cs]ed? (?:only )?for non ?commercial (?:use|purposes)
-personal-use | 2 | license,licensed,licence | licen[cs]ed? for personal use(?: only)?
-research-only | 2 | license,licensed,licence | licen[cs]ed? for research (?:use|purposes)(?: only)?
+non-commercial | 2 | license,licensed,licence,licenced | licen[cs]ed? (?:only )?for non ?commercial (?:use|purposes)
+personal-use | 2 | license,licensed,licence,licenced | licen[cs]ed? for personal use(?: only)?
+research-only | 2 | license,licensed,licence,licenced | licen[cs]ed? for research (?:use|purposes)(?: only)?
 no-derivatives | 2 | permission | no part of this (?:publication|work|document) may be reproduced .{0,120}permission
 copyleft | 1 | copyleft | copyleft
 copyright-year | 1 | copyright | copyright (?:c )?(?:19|20)\d\d
 copyright-holder | 1 | copyright | copyright (?:c |by )(?:the )?\S+
 copyright-notice | 1 | copyright | copyright notice
-licensed-under | 1 | licensed | licensed under (?:the )?(?:terms of )?
+licensed-under | 1 | licensed | licensed under(?: the)?(?: terms of)?
 patent-grant | 1 | patent | (?:patent license|grant of patent license)
 trademark-notice | 1 | trademark,trademarks | (?:registered )?trademarks? of
 warranty-disclaimer | 1 | warranty,warranties | (?:without|no) warrant(?:y|ies)(?: of any kind)?
@@ -245,7 +245,7 @@ BASE = [("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all
 
 # A text can only hold a keyword if it holds one of these stems.
 STEMS = ["licen", "copyright", "copyleft", "reserved", "cc", "warrant", "domain", "commons", "gpl", "spdx",
-         "permission", "proprietary", "confidential", "redistribut", "wtfpl", "patent", "trademark"]
+         "permission", "contained", "proprietary", "confidential", "redistribut", "wtfpl", "patent", "trademark"]
 
 
 def required_words(regex: str) -> list[str]:

@@ -71,6 +71,49 @@ def test_license_rules_are_well_formed():
     assert license_rules.required_words("no ?deriv works") == ["works"]
 
 
+
+def spelled(tree):
+    """Texts that a parsed regex matches: every alternative, optional parts there and left out."""
+    out = [""]
+    for op, arg in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            part = [chr(arg)]
+        elif kind == "IN":
+            part = [c for c in "abcdefghijklmnopqrstuvwxyz0123456789" if any(
+                str(o) == "LITERAL" and chr(v) == c or str(o) == "RANGE" and v[0] <= ord(c) <= v[1]
+                or str(o) == "CATEGORY" and ("NOT" in str(v) and c == "z" or "NOT" not in str(v) and c == "7") for o, v in arg)]
+        elif kind == "ANY":
+            part = ["x "]
+        elif kind == "MAX_REPEAT":
+            part = [""] * (arg[0] == 0) + [x * max(arg[0], 1) for x in spelled(arg[2])]
+        elif kind == "SUBPATTERN":
+            part = spelled(arg[3])
+        elif kind == "BRANCH":
+            part = [x for b in arg[1] for x in spelled(b)]
+        out = [a + b for a in out for b in part]
+    return out
+
+
+def test_license_rules_can_all_match():
+    for line in license_rules.RULES_TEXT.strip().splitlines():
+        rule = next(r for r in license_rules.rules() if r["label"] == line.split(" | ")[0] and not r["base"])
+        for text in spelled(re._parser.parse(line.split(" | ", 3)[3].strip())):
+            words = ALNUM.findall(text)
+            if "dedication andlicen" in text:
+                continue  # the optional blank after an optional "and"
+            assert re.search(rule["regex"], " ".join(words)), (rule["label"], text)
+            assert set(words) & set(rule["keywords"]) and set(words) >= set(rule["must"]), (rule["label"], text)
+
+
+def test_license_rules_found_alone(spark):
+    want = {"Licensed under the MPL.": "licensed-under", "licensed under the terms of the X": "licensed-under", "LGPL3": "lgpl-short",
+            "lgpl2 1": "lgpl-short", "AGPL3": "agpl-short", "licenced for personal use": "personal-use",
+            "Except as contained in this notice, the name of X shall not be used": "x11-endorsement"}
+    rows = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["labels"] for r in rows} == dict(enumerate(want.values())) and all(r["score"] > 0 for r in rows)
+
+
 @pytest.mark.parametrize("bits,n", [(1, 5), (7, 64), (15, 1000), (16, 4096), (17, 129), (32, 70)])
 def test_pack_round_trip(bits, n):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, n, dtype=np.uint64)
