@@ -1,8 +1,9 @@
 """N-gram Jaccard join with set-relation skipping.
 
 Sets are the distinct word n-grams of the documents, as 64-bit hashes. Equal
-sets are one representative with the smallest doc_id; only representatives are
-joined.
+sets are one class with a number and the smallest doc_id as its lead; only
+classes are joined, so rows that repeat an id with other texts keep their own
+sets.
 
 Index: inverted lists of the sets' prefixes. In one global token order, two sets
 with Jaccard similarity t share a token among the first n - ceil(t n) + 1 of
@@ -32,7 +33,8 @@ exactly on the full sets.
 Defined results: null and empty texts and texts without words have an empty
 set, which links with nothing; a text with fewer than n words has its whole
 sequence as one shingle; a null ``doc_id`` links with nothing and has no
-component; repeated ids are one node; an empty table gives no rows; extra
+component; rows that repeat an id are one node, which joins the classes of
+all its texts; an empty table gives no rows; extra
 columns are not read.
 """
 
@@ -157,7 +159,7 @@ def _frequencies(blocks: DataFrame, keys_per_range: int) -> DataFrame:
 
 
 def _prefix_entries(keep: Fraction):
-    """List entries (token, rep, n, pos) of the shared tokens in the prefixes."""
+    """List entries (token, lead, sig_a, n, pos) of the shared tokens in the prefixes."""
 
     def run(batches):
         import pyarrow as pa
@@ -186,7 +188,8 @@ def _prefix_entries(keep: Fraction):
                 ok = pos <= prefix[doc[entry]]
                 entry, pos = entry[ok], pos[ok]
                 yield pa.RecordBatch.from_pydict({
-                    "token": pa.array(tk.signed(tok[entry])), "rep": pa.array(ids[doc[entry]]),
+                    "token": pa.array(tk.signed(tok[entry])), "lead": pa.array(ids[doc[entry]]),
+                    "sig_a": pa.array(np.array(row["sig_a"], np.int64)[doc[entry]]),
                     "n": pa.array(size[doc[entry]].astype(np.int32)), "pos": pa.array(pos.astype(np.int32))})
 
     return run
@@ -203,7 +206,7 @@ def _wanted_sets(table, n: int, bits):
             for part in tk.slices(batch, "text", 1 << 20):
                 sets = list(_sets(part, table, n))
                 yield pa.RecordBatch.from_pydict({
-                    "rep": part.column("doc_id"), "sig_a": pa.array([_signature(s)[0] for s in sets], pa.int64()),
+                    "lead": part.column("doc_id"), "sig_a": pa.array([_signature(s)[0] for s in sets], pa.int64()),
                     "set": pa.array([tk.signed(s) for s in sets], pa.list_(pa.int64()))})
 
     return run
@@ -234,24 +237,28 @@ def jaccard_components(docs: DataFrame, n: int = 3, keep: Fraction = Fraction(9,
                 .select(F.col("s.doc_ids").alias("doc_id"), "s.n", "s.sig_a", "s.sig_b", "s.sketch"))
     sig = ["sig_a", "sig_b", "n"]
     reps = tk.cut_lineage(all_sets.where("n > 0 and doc_id is not null").groupBy(*sig).agg(
-        F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "reps")
+        F.min("doc_id").alias("lead"), F.first("sketch").alias("sketch")).withColumn("rep", F.monotonically_increasing_id()), "reps")
+    # Ids that repeat with different sets, and the classes of those.
+    several = (all_sets.where("doc_id is not null").select("doc_id", F.struct(*sig).alias("s")).groupBy("doc_id")
+               .agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("doc_id"))
+    shared = tk.cut_lineage(all_sets.select("doc_id", *sig).join(several, "doc_id").join(reps.select(*sig, "rep"), sig)
+                            .select("doc_id", "rep").distinct(), "shared_ids")
+    joined = shared.join(shared.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b"))
     # Size class: sets whose sizes differ by less than the threshold are in the same or the next class.
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("int")
-    entries = (blocks.select("block", "doc_ids", "n", "counted", "offsets", "tokens")
+    entries = (blocks.select("block", "doc_ids", "n", "sig_a", "counted", "offsets", "tokens")
                .join(_frequencies(blocks, keys_per_range), "block")
-               .mapInArrow(_prefix_entries(keep), "token long, rep long, n int, pos int")
-               .join(reps.select("rep").distinct(), "rep", "left_semi").distinct())
+               .mapInArrow(_prefix_entries(keep), "token long, lead long, sig_a long, n int, pos int")
+               .join(reps.select("lead", "sig_a", "n", "rep"), ["lead", "sig_a", "n"]).select("token", "rep", "n", "pos").distinct())
     lists = tk.cut_lineage(entries.withColumn("cls", size_class), "lists")
     crowded = lists.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     lists = tk.cut_lineage(lists.join(crowded, "token", "left_semi"), "lists")
-    bits = spark.sparkContext.broadcast(tk.id_filter(lists.select(F.xxhash64("rep").alias("h"))))
-    involved = lists.select("rep").distinct()
-    rep_sig = reps.select("rep", "sig_a")
+    involved = tk.cut_lineage(reps.select("rep", "lead", "sig_a", "n").join(lists.select("rep").distinct(), "rep"), "involved")
+    bits = spark.sparkContext.broadcast(tk.id_filter(involved.select(F.xxhash64("lead").alias("h"))))
     sets = tk.cut_lineage(
         src.where("doc_id is not null").select("doc_id", "text", tk.slot(F.xxhash64("doc_id")).alias("slot"))
-        .mapInArrow(_wanted_sets(table, n, bits), "rep long, sig_a long, set array<long>")
-        .join(involved, "rep", "left_semi").join(rep_sig, ["rep", "sig_a"], "left_semi")
-        .groupBy("rep").agg(F.first("set").alias("set")), "full_sets")
+        .mapInArrow(_wanted_sets(table, n, bits), "lead long, sig_a long, set array<long>").withColumn("n", F.size("set"))
+        .join(involved, ["lead", "sig_a", "n"]).groupBy("rep").agg(F.first("set").alias("set")), "full_sets")
 
     def enough(na: str, pa: str, nb: str, pb: str) -> F.Column:
         """Size filter, and the bound from the positions in the two sets."""
@@ -266,7 +273,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, keep: Fraction = Fraction(9,
     first = (led.where((F.col("rep") != F.col("pivot")) & enough("n", "pos", "pn", "pp"))
              .select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
     known = tk.cut_lineage(_verify(first, sets, keep), "pivot_pairs")
-    groups = tk.connected_components(known.where("linked").select("a", "b"))
+    groups = tk.connected_components(known.where("linked").select("a", "b").union(joined.where("a <> b")))
     # Then what the pivots leave open: pairs of a list that are not connected yet.
     open_ = (led.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
              .withColumn("group", F.coalesce("component", "rep")).drop("component"))
@@ -275,8 +282,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, keep: Fraction = Fraction(9,
     answers = (open_.join(mixed, "token", "left_semi").join(overlaps, ["pivot", "rep"], "left")
                .withColumn("o", F.when(F.col("rep") == F.col("pivot"), F.col("n")).otherwise(F.col("overlap")))
                .select("token", "cls", "rep", "n", "pos", "pivot", "o", "group")
-               .join(reps.groupBy("rep").agg(F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("same")), "rep")
-               .withColumn("sketch", F.when(F.col("same") == 1, F.col("sketch"))).drop("same"))
+               .join(reps.select("rep", "sketch"), "rep"))
     answers = tk.cut_lineage(answers, "answers")
     y = answers.select("token", *[F.col(c).alias(f"y_{c}") for c in ("cls", "rep", "n", "pos", "pivot", "o", "group", "sketch")],
                        F.explode(F.array(F.col("cls"), F.col("cls") + 1)).alias("block"))
@@ -298,10 +304,14 @@ def jaccard_components(docs: DataFrame, n: int = 3, keep: Fraction = Fraction(9,
             .join(named.withColumnRenamed("id", "b").withColumnRenamed("g", "gb"), "b", "left")
             .select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b")))
     merged = tk.connected_components(over)
-    of_rep = (reps.select(*sig, "rep").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
+    of_rep = (reps.select(*sig, "rep", "lead").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
               .withColumn("g", F.coalesce("component", "rep")).drop("component")
               .join(merged.withColumnRenamed("id", "g"), "g", "left")
-              .select(*sig, F.coalesce("component", "g").alias("component_id")))
-    return (all_sets.select("doc_id", *sig).join(of_rep, sig, "left")
+              .select(*sig, "rep", "lead", F.coalesce("component", "g").alias("g")))
+    of_rep = tk.cut_lineage(of_rep, "grouped")
+    of_rep = of_rep.join(of_rep.groupBy("g").agg(F.min("lead").alias("component_id")), "g").select(*sig, "rep", "component_id")
+    # A row without words has no class; if its id has one in another row, that counts.
+    of_id = shared.join(of_rep.select("rep", "component_id"), "rep").groupBy("doc_id").agg(F.min("component_id").alias("of_id"))
+    return (all_sets.select("doc_id", *sig).join(of_rep.drop("rep"), sig, "left").join(of_id, "doc_id", "left")
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))
+                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "of_id", "doc_id")).alias("component_id")))

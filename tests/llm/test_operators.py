@@ -297,6 +297,21 @@ def test_jaccard(docs, n, keep):
          [(d, len(s), group.get(d)) for d, s in sets])
 
 
+
+def test_jaccard_repeated_ids_keep_all_texts(spark):
+    # Each id leads classes of several texts; every text has a near copy under an id of its own.
+    rows = []
+    for i in range(6):
+        for k in range(4):
+            words = [f"d{i}t{k}w{j}" for j in range(80)]
+            rows += [(i, " ".join(words)), (100 + 10 * i + k, " ".join([*words, "more"]))]
+    # An id whose rows are a copy, an own text and no text.
+    rows += [(300, "copied text of five words"), (301, "copied text of five words"), (301, "another text that stands alone"), (301, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_components(docs, block_bytes=2000).collect()}
+    assert got == {(d, (d - 100) // 10 if 100 <= d < 300 else min(d, 300)) for d, _ in rows}
+
+
 @pytest.mark.parametrize("chunk,overlap", [(16_384, 1_024), (300, 60)])
 def test_byte_bpe(docs, chunk, overlap):
     enc, _ = bpe.load(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
