@@ -1,8 +1,7 @@
 """Cleaning, median imputation, clamping and data-quality counters.
 
-Two passes over the data at most: one conditional aggregation for all null
-counts (and, only for columns that have nulls, an exact distributed median),
-then a single projection that fills and clamps. The medians are computed before
+One conditional aggregation for all null counts and, only for columns that have
+nulls, an exact median by selection; then a single projection that fills and clamps. The medians are computed before
 clamping, on all non-null values, negative ones included.
 """
 
@@ -17,8 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.dates import parse_date, recency_days
 from ..functions.ids import normalize_id
 from ..functions.numbers import text_to_number
-from ..session import cut_lineage_observed
-from .rank import exact_quantiles_many
+from ..session import cut_lineage, cut_lineage_observed
+from .selection import exact_quantiles_many
 
 MEASURES = ["recency", "amount", "frequency"]
 
@@ -89,7 +88,7 @@ def clean_customers(df: DataFrame, as_of: dt.date | str | None = None,
     medians: dict[str, float | None] = {}
     if gaps:
         medians = {m: (q[0] if q else None)
-                   for m, q in exact_quantiles_many(base, {m: [0.5] for m in gaps}, "client_id").items()}
+                   for m, q in exact_quantiles_many(base, {m: [0.5] for m in gaps}).items()}
 
     out_cols = [F.col(c) for c in passthrough] + [F.col("client_id")]
     if has_date:
@@ -122,7 +121,9 @@ def clean_customers(df: DataFrame, as_of: dt.date | str | None = None,
 
 def fill_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """C5 alone: null -> exact median of the column's non-null values, all
-    columns in one ranking pass (no fill when a column is all null)."""
+    columns in the same passes over the rows, which are written once for them
+    (no fill when a column is all null)."""
+    df = cut_lineage(df, "gaps")
     meds = exact_quantiles_many(df, {c: [0.5] for c in columns})
     return df.select(*[F.coalesce(F.col(c), F.lit(float(meds[c][0]))).alias(c)
                        if (c in meds and meds[c] is not None) else F.col(c) for c in df.columns])

@@ -4,8 +4,8 @@ Paging uses ``row_number`` per user filtered to the page; Catalyst turns the
 ``rn <= (page+1)*size`` bound into a partial per-partition WindowGroupLimit
 before the shuffle, so a user with millions of messages sends only the first
 rows of each map partition. Totals per user are a partial aggregation.
-Full newest-first positions (no page bound) use the range-partitioned rank,
-which splits heavy users across tasks.
+Full newest-first positions (no page bound) use ``rank.rank_table``, which
+splits heavy users across tasks.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import period_key
 from ..functions.text import wrap_fixed
 from ..schemas import DEFAULT_TIMEZONE, PAGE_SIZE, WRAP_WIDTH
-from .rank import rank_within
+from .rank import rank_table
 
 
 def with_user_zone(msgs: DataFrame, users: DataFrame, user_col: str = "user_id") -> DataFrame:
@@ -46,9 +46,9 @@ def history_of(msgs: DataFrame, user_id: int, user_col: str = "user_id", ts: str
 def newest_first_positions(msgs: DataFrame, user_col: str = "user_id", ts: str = "timestamp",
                            id_col: str = "id") -> DataFrame:
     """1-based newest-first position of every message inside its user
-    (ties on time broken by id, newest id first)."""
-    ranked, _ = rank_within(msgs, [F.col(ts).desc(), F.col(id_col).desc()], group=user_col, rank_col="rn")
-    return ranked
+    (ties on time broken by id, newest id first). Messages without a user are
+    ranked together, as one user's."""
+    return rank_table(msgs, [F.col(ts).desc(), F.col(id_col).desc()], group=user_col, rank_col="rn").df
 
 
 def history_page(msgs: DataFrame, page: int = 0, page_size: int = PAGE_SIZE, user_col: str = "user_id",

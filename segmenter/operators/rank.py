@@ -1,32 +1,34 @@
-"""Distributed global ranking and exact order statistics (Q4, Q7, A3, A4).
+"""Distributed ranking, global and within groups.
 
 A window ``row_number() OVER (ORDER BY ...)`` without ``PARTITION BY`` moves the
-whole table into one task. Here the table is range-partitioned on
-``(group, key..., tie-break)`` (Spark samples the key to pick boundaries, so one
-heavy value spread over many tie-break values still splits over partitions),
-sorted inside each partition, and numbered with ``monotonically_increasing_id``,
-whose low 33 bits are the row index inside the partition. Row counts per
-(partition, group) -- bounded by partitions x groups, not by the data -- become
-offsets on the driver and are joined back with a broadcast.
-Rank inside the group = offset + index + 1.
+whole table into one task. Here the table is range-partitioned on the key and
+tie-break (Spark samples the key to pick boundaries, so one heavy value spread
+over many tie-break values still splits over partitions), sorted inside each
+partition, and numbered with ``monotonically_increasing_id``, whose low 33 bits
+are the row index inside the partition. Rank = rows in earlier partitions +
+index + 1.
+
+Rows in earlier partitions are a prefix sum over the partitions' row counts, in
+two levels: sums of chunks of ``CHUNK`` partitions, prefix sums over these, and
+prefix sums within each chunk. Both are windows over at most a few thousand
+rows; nothing is collected. The offsets are joined back by a broadcast of one
+row per partition and group.
+
+Within groups, a plain ``row_number`` window serves every group that fits in a
+task. Groups of more than ``heavy_rows`` rows, of which there are at most
+rows / ``heavy_rows``, take the range-partitioned way. So the offsets have no
+more rows than partitions plus heavy groups, however many groups there are. A
+null group is a group like any other.
 
 The ordered table is written as Parquet under the shared checkpoint folder so
 partition ids and indices stay fixed if a task is recomputed after executor
-loss; one file per range partition, so picking a few ranks reads only the
-files of the partitions that hold them (min/max statistics on the id).
-
-Exact quantiles: for probability ``p`` over ``n`` values the linear
-interpolation quantile needs the values at ranks ``floor((n-1)p)+1`` and
-``ceil((n-1)p)+1``, so one filter returns at most two rows per probability.
-Several columns are stacked and ranked in the same pass. No aggregation buffer
-ever holds a column's values.
+loss.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, partitions_for
 
 _LOW_BITS = (1 << 33) - 1
+CHUNK = 1024  # partitions per chunk of the prefix sum
 
 
 def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
@@ -42,167 +45,86 @@ def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
 
 @dataclass
 class Ranked:
-    """A ranked frame with what the driver learned on the way (small)."""
+    """A ranked frame and, without groups, its number of rows under the key 0."""
     df: DataFrame
-    sizes: dict | None  # group value -> row count; None when computed without the driver
-    spans: dict = field(default_factory=dict)  # (partition, group) -> (first rank, last rank)
+    sizes: dict[int, int] | None
 
 
-def rank_table(df: DataFrame, order_by: Sequence[str | Column], group: str | None = None,
-               rank_col: str = "rank", num_partitions: int | None = None,
-               max_driver_groups: int = 100_000, keep_partition: bool = False) -> Ranked:
-    """Dense 1..n position in ascending ``order_by`` (inside ``group`` if given).
-
-    ``order_by`` should end with a unique tie-break; otherwise equal keys get
-    consecutive ranks in an arbitrary but fixed order. With more than
-    ``max_driver_groups`` (partition, group) pairs the offsets are computed as
-    a distributed job instead of on the driver. ``keep_partition`` keeps the
-    ``_pid`` column (for pruning picks by ``spans``).
-    """
-    spark = df.sparkSession
-    n_parts = num_partitions or partitions_for(df)
-    keys = ([F.col(group)] if group else []) + _as_cols(order_by)
-    ordered = (df.repartitionByRange(n_parts, *keys)
-               .sortWithinPartitions(*keys)
-               .withColumn("_pid", F.spark_partition_id())
-               .withColumn("_mid", F.monotonically_increasing_id()))
-    ordered = cut_lineage(ordered, "ranked")
-    gcol = F.col(group) if group else F.lit(0)
-    counts_df = ordered.groupBy(F.col("_pid"), gcol.alias("_g")).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts_df.limit(max_driver_groups + 1).collect() if group else counts_df.collect()
-    drop = ["_mid", "_off", "_g", "_opid"] + ([] if keep_partition else ["_pid"])
-    if len(counts) > max_driver_groups:
-        return Ranked(_offsets_distributed(ordered, counts_df, group, rank_col).drop(*drop), None)
-    # Inside a partition rows are sorted by group first, so the rows of group g
-    # start after the partition's rows of smaller groups: subtract those.
-    counts.sort(key=lambda r: (r["_pid"], r["_g"]))
-    sizes: dict = {}
-    offsets, spans = [], {}
-    before_in_part, cur_pid = 0, None
-    for r in counts:
-        if r["_pid"] != cur_pid:
-            cur_pid, before_in_part = r["_pid"], 0
-        first = sizes.get(r["_g"], 0)
-        offsets.append((r["_pid"], r["_g"], first - before_in_part))
-        spans[(r["_pid"], r["_g"])] = (first + 1, first + r["n"])
-        sizes[r["_g"]] = first + r["n"]
-        before_in_part += r["n"]
-    if not offsets:
-        return Ranked(ordered.withColumn(rank_col, F.lit(None).cast("long"))
-                      .drop(*[c for c in drop if c in ("_mid", "_pid")]), sizes, spans)
-    gtype = dict(ordered.dtypes)[group] if group else "int"
-    off_df = spark.createDataFrame(offsets, f"_opid INT, _g {gtype}, _off LONG")
-    cond = F.col("_pid") == F.col("_opid")
-    if group:
-        cond = cond & (F.col(group) == F.col("_g"))
-    # Broadcast side: one row per (partition, group), at most max_driver_groups.
-    ranked = (ordered.join(F.broadcast(off_df), cond)
-              .withColumn(rank_col, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)) + 1)
-              .drop(*drop))
-    return Ranked(ranked, sizes, spans)
-
-
-def _offsets_distributed(ordered: DataFrame, counts: DataFrame, group: str, rank_col: str) -> DataFrame:
-    """Offsets as a distributed job when there are too many groups for the
-    driver: running sums over the (partition, group) count table, which has
-    about one row per group, joined back on (partition, group)."""
-    before_groups = F.sum("n").over(
-        Window.partitionBy("_g").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
-    before_in_part = F.sum("n").over(
-        Window.partitionBy("_pid").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1))
-    off = counts.select(F.col("_pid").alias("_opid"), "_g",
-                        (F.coalesce(before_groups, F.lit(0)) - F.coalesce(before_in_part, F.lit(0)))
-                        .alias("_off"))
-    return (ordered.join(off, (F.col("_pid") == F.col("_opid")) & (F.col(group) == F.col("_g")))
-            .withColumn(rank_col, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)) + 1))
-
-
-def rank_within(df: DataFrame, order_by: Sequence[str | Column], group: str | None = None,
-                rank_col: str = "rank", num_partitions: int | None = None,
-                max_driver_groups: int = 100_000) -> tuple[DataFrame, dict | None]:
-    """(ranked frame, group sizes); see :func:`rank_table`."""
-    r = rank_table(df, order_by, group, rank_col, num_partitions, max_driver_groups)
-    return r.df, r.sizes
-
-
-def with_global_rank(df: DataFrame, order_by: Sequence[str | Column], rank_col: str = "rank",
-                     num_partitions: int | None = None) -> DataFrame:
-    return rank_table(df, order_by, None, rank_col, num_partitions).df
-
-
-def quantile_positions(n: int, probs: Sequence[float]) -> list[tuple[int, int, float]]:
-    """(lower rank, upper rank, fraction) per probability, ranks 1-based."""
+def _names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
     out = []
-    for p in probs:
-        h = (n - 1) * p
-        lo = math.floor(h)
-        hi = math.ceil(h)
-        out.append((lo + 1, hi + 1, h - lo))
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
     return out
 
 
-def interpolate(found: dict[int, float], n: int, probs: Sequence[float]) -> list[float]:
-    edges = []
-    for lo, hi, frac in quantile_positions(n, probs):
-        a, b = found[lo], found[hi]
-        edges.append(a if lo == hi else a + frac * (b - a))
-    return edges
+def partition_offsets(counts: DataFrame, pid: str, group: str, n: str, offset: str) -> DataFrame:
+    """``counts`` (one row per partition and group) with ``offset``: rows of the
+    group in earlier partitions minus rows of earlier groups in the partition.
+
+    Groups lie in order over the partitions, so a partition's earlier groups
+    are those with the smaller first index, ``counts`` has it as ``at``."""
+    chunk = F.floor(F.col(pid) / CHUNK).alias("chunk")
+    before = [Window.unboundedPreceding, -1]
+    chunks = counts.groupBy(group, chunk).agg(F.sum(n).alias("in_chunk"))
+    chunks = chunks.withColumn("before_chunk", F.coalesce(F.sum("in_chunk").over(
+        Window.partitionBy(group).orderBy("chunk").rowsBetween(*before)), F.lit(0)))
+    inside = counts.withColumn("chunk", chunk).withColumn("before_here", F.coalesce(F.sum(n).over(
+        Window.partitionBy(group, "chunk").orderBy(pid).rowsBetween(*before)), F.lit(0)))
+    c = chunks.select(F.col(group).alias("g_"), F.col("chunk").alias("chunk_"), "before_chunk")
+    both = inside.join(c, inside[group].eqNullSafe(F.col("g_")) & (F.col("chunk") == F.col("chunk_")))
+    return both.select(pid, group, (F.col("before_chunk") + F.col("before_here") - F.col("at")).alias(offset))
+
+
+def _ranged(df: DataFrame, keys: list[Column], group: str | None, rank_col: str, n_parts: int) -> tuple[DataFrame, DataFrame]:
+    """(ranked rows, row count per partition and group) by range partitions."""
+    pid, mid, opid, g, off = _names(df, "_pid", "_mid", "_opid", "_g", "_off")
+    sort = ([F.col(group)] if group else []) + keys
+    ordered = cut_lineage(df.repartitionByRange(n_parts, *sort).sortWithinPartitions(*sort)
+                          .withColumn(pid, F.spark_partition_id())
+                          .withColumn(mid, F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))), "ranked")
+    gcol = F.col(group) if group else F.lit(0)
+    counts = ordered.groupBy(F.col(pid).alias(opid), gcol.alias(g)).agg(F.count(F.lit(1)).alias("n"), F.min(mid).alias("at"))
+    offsets = partition_offsets(counts, opid, g, "n", off)
+    cond = F.col(pid) == F.col(opid)
+    if group:
+        cond = cond & F.col(group).eqNullSafe(F.col(g))
+    # One row per partition and (heavy) group.
+    ranked = (ordered.join(F.broadcast(offsets), cond)
+              .withColumn(rank_col, F.col(off) + F.col(mid) + 1).drop(pid, mid, opid, g, off))
+    return ranked, counts
 
 
-def order_statistics(df: DataFrame, specs: Sequence[tuple[str, str, str | None]],
-                     positions: Callable[[str, int], Sequence[int]]
-                     ) -> tuple[dict[str, dict[int, tuple]], dict[str, int]]:
-    """Values at chosen ranks of several columns, in one ranking pass.
+def rank_table(df: DataFrame, order_by: Sequence[str | Column], group: str | None = None, rank_col: str = "rank",
+               num_partitions: int | None = None, heavy_rows: int = 1_000_000) -> Ranked:
+    """Dense 1..n position in ascending ``order_by`` (inside ``group`` if given).
 
-    ``specs``: (name, value column, tie-break column or None). Nulls are skipped.
-    ``positions(name, n)`` gives the wanted 1-based ranks once the non-null
-    count ``n`` is known. Returns ({name: {rank: (value, tie)}}, {name: n}).
+    ``order_by`` should end with a unique tie-break; otherwise equal keys get
+    consecutive ranks in an arbitrary but fixed order. ``df`` is read twice for
+    grouped ranks: once to find the groups of more than ``heavy_rows`` rows.
     """
-    # Every value carries a tie-break so a heavily repeated value still splits
-    # over range partitions: the given column, else a hash of the whole row
-    # (deterministic; only identical rows stay together).
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("string")
-    parts = [F.struct(F.lit(i).alias("g"), F.col(v).cast("double").alias("v"),
-                      (F.col(t).cast("string") if t else row_hash).alias("t"))
-             for i, (_, v, t) in enumerate(specs)]
-    stacked = (df.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
-               .where(F.col("v").isNotNull()))
-    r = rank_table(stacked, ["v", "t"], group="g", rank_col="_r", keep_partition=True)
-    ranked, sizes, spans = r.df, r.sizes, r.spans
-    n_by_name = {name: sizes.get(i, 0) for i, (name, _, _) in enumerate(specs)}
-    cond = F.lit(False)
-    parts: set[int] = set()
-    for i, (name, _, _) in enumerate(specs):
-        want = sorted(set(positions(name, n_by_name[name]))) if n_by_name[name] else []
-        if want:
-            cond = cond | ((F.col("g") == i) & F.col("_r").isin(want))
-            parts |= {pid for (pid, g), (lo, hi) in spans.items() if g == i and any(lo <= w <= hi for w in want)}
-    if parts:
-        cond = F.col("_pid").isin(sorted(parts)) & cond
-    found: dict[str, dict[int, tuple]] = {name: {} for name, _, _ in specs}
-    for r in ranked.where(cond).select("g", "_r", "v", "t").collect():
-        found[specs[r["g"]][0]][r["_r"]] = (r["v"], r["t"])
-    return found, n_by_name
-
-
-def exact_quantiles_many(df: DataFrame, probs: dict[str, Sequence[float]],
-                         tie_break: str | None = None) -> dict[str, list[float] | None]:
-    """Linear-interpolation quantiles (as DuckDB ``quantile_cont``) of several
-    columns' non-null values, one ranking pass. None for an all-null column."""
-    specs = [(c, c, tie_break) for c in probs]
-    found, sizes = order_statistics(
-        df, specs, lambda name, n: [r for lo, hi, _ in quantile_positions(n, probs[name]) for r in (lo, hi)])
-    out: dict[str, list[float] | None] = {}
-    for c in probs:
-        n = sizes[c]
-        out[c] = None if n == 0 else interpolate({k: v[0] for k, v in found[c].items()}, n, probs[c])
-    return out
-
-
-def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[float] | None:
-    return exact_quantiles_many(df, {column: probs})[column]
+    n_parts = num_partitions or partitions_for(df)
+    keys = _as_cols(order_by)
+    if group is None:
+        ranked, counts = _ranged(df, keys, None, rank_col, n_parts)
+        return Ranked(ranked, {0: counts.agg(F.sum("n")).first()[0] or 0})
+    g, mark = _names(df, "_group", "_heavy")
+    # At most rows / heavy_rows groups.
+    heavy = cut_lineage(df.groupBy(F.col(group).alias(g)).agg(F.count(F.lit(1)).alias("n"))
+                        .where(F.col("n") > heavy_rows).select(g, F.lit(True).alias(mark)), "heavy")
+    light_window = F.row_number().over(Window.partitionBy(group).orderBy(*keys)).cast("long")
+    if heavy.isEmpty():
+        return Ranked(df.withColumn(rank_col, light_window), None)
+    marked = df.join(F.broadcast(heavy), F.col(group).eqNullSafe(F.col(g)), "left")
+    light = marked.where(F.col(mark).isNull()).drop(g, mark).withColumn(rank_col, light_window)
+    ranked, _ = _ranged(marked.where(F.col(mark)).drop(g, mark), keys, group, rank_col, n_parts)
+    return Ranked(light.unionByName(ranked), None)
 
 
-def exact_median(df: DataFrame, column: str) -> float | None:
-    q = exact_quantiles(df, column, [0.5])
-    return None if q is None else q[0]
+def with_global_rank(df: DataFrame, order_by: Sequence[str | Column], rank_col: str = "rank",
+                     num_partitions: int | None = None) -> DataFrame:
+    return rank_table(df, order_by, None, rank_col, num_partitions).df

@@ -1,9 +1,10 @@
 """Q1-Q7: quintile scores and segment assignment.
 
-One ranking pass (``rank.order_statistics``) over the three measures stacked
-gives every number the scores need: the R and M quantile edges, and for F the
-(Frequency, tie-break) keys at the rank boundaries of the bins. Scoring is then
-a single projection with those few values as literals: no join, no shuffle,
+A few aggregation passes (``selection.Selection``) over the three measures give
+every number the scores need: the R and M quantile edges, for F the (Frequency,
+tie-break) keys at the rank boundaries of the bins, and how many different
+values a measure has, up to five. Nothing is sorted or written for them.
+Scoring is then a single projection with those few values as literals: no join, no shuffle,
 no per-row Python. F is the bin of a first-come rank r (ties broken by the
 tie-break column), ``greatest(1, ceil(k*(r-1)/(n-1)))``; row r lies above the
 boundary of bin i exactly when its key is greater than the key at rank
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import SEGMENTS
-from .rank import interpolate, order_statistics, quantile_positions
+from .selection import Selection, interpolate, quantile_positions
 
 
 def bins_probs(k: int) -> list[float]:
@@ -69,56 +70,40 @@ class ScorePlan:
     notes: list[str] = field(default_factory=list)
 
 
-def _stats(df: DataFrame, cols: dict[str, str], tie: str, r_k: int | None, m_k: int | None,
-           f_k: int | None):
-    specs, want = [], {}
-    if r_k:
-        specs.append(("R", cols["R"], tie))
-        want["R"] = r_k
-    if m_k:
-        specs.append(("M", cols["M"], tie))
-        want["M"] = m_k
-    if f_k:
-        specs.append(("F", cols["F"], tie))
-        want["F"] = f_k
-
-    def positions(name: str, n: int) -> list[int]:
-        k = want[name]
+def _stats(sel: Selection, bins: dict[str, int]) -> dict[str, list | None]:
+    """The edges of R and M and the boundary keys of F for so many bins."""
+    ranks = {}
+    for name, k in bins.items():
+        n = sel.n[name]
+        if n:
+            ranks[name] = (rank_boundaries(n, k) if name == "F"
+                           else [r for lo, hi, _ in quantile_positions(n, bins_probs(k)) for r in (lo, hi)])
+    found = sel.at(ranks)
+    out: dict[str, list | None] = dict.fromkeys(bins)
+    for name, rs in ranks.items():
         if name == "F":
-            return rank_boundaries(n, k)
-        return [r for lo, hi, _ in quantile_positions(n, bins_probs(k)) for r in (lo, hi)]
-
-    found, sizes = order_statistics(df, specs, positions)
-    out = {}
-    for name, k in want.items():
-        n = sizes[name]
-        if n == 0:
-            out[name] = None
-        elif name == "F":
-            out[name] = [found["F"][r] for r in rank_boundaries(n, k)]
+            out[name] = [found[name][r] for r in rs]
         else:
-            out[name] = interpolate({r: v[0] for r, v in found[name].items()}, n, bins_probs(k))
-    return out, sizes
+            out[name] = interpolate({r: v for r, (v, _) in found[name].items()}, sel.n[name], bins_probs(bins[name]))
+    return out
 
 
 def plan_scores(df: DataFrame, recency: str = "Recency", monetary: str = "Monetary",
                 frequency: str = "Frequency", tie_break: str = "Buyer") -> ScorePlan:
     cols = {"R": recency, "M": monetary, "F": frequency}
-    first, sizes = _stats(df, cols, tie_break, 5, 5, 5)
-    n = sizes["R"]
+    sel = Selection(df, {"R": (recency, None), "M": (monetary, None), "F": (frequency, tie_break)})
+    n = sel.n["R"]
     plan = ScorePlan(n=n)
     if n == 0:
         return plan
+    first = _stats(sel, {"R": 5, "M": 5, "F": 5})
     if n >= 2 and strictly_increasing(first["R"]) and strictly_increasing(first["M"]):
         plan.r_edges, plan.m_edges, plan.f_bounds = first["R"], first["M"], first["F"]
         return plan
     plan.route = "fallback"
-    distinct = df.agg(*[F.count_distinct(F.col(c)).alias(k) for k, c in cols.items()]).first()
-    ks = {k: min(5, distinct[k]) for k in cols}
-    need = {k: (ks[k] if ks[k] >= 2 and ks[k] != 5 else None) for k in cols}
-    if ks["F"] >= 2 and n < 2:
-        need["F"] = None
-    second = _stats(df, cols, tie_break, need["R"], need["M"], need["F"])[0] if any(need.values()) else {}
+    ks = sel.distinct(5)
+    need = {k: ks[k] for k in cols if 2 <= ks[k] < 5 and not (k == "F" and n < 2)}
+    second = _stats(sel, need) if need else {}
     for k in ("R", "M"):
         edges = (first[k] if ks[k] == 5 else second.get(k)) if ks[k] >= 2 else None
         if not strictly_increasing(edges):

@@ -16,8 +16,9 @@ from ..operators.columns import project_canonical
 from ..sources import csv_scan as CS
 from ..operators import summary as S
 from ..operators.clean import clamp_negative, clean_customers, fill_median, typed_frame
-from ..operators.rank import exact_quantiles_many, with_global_rank
+from ..operators.rank import with_global_rank
 from ..operators.score import bins_probs
+from ..operators.selection import exact_quantiles_many
 from ..sources import tables as T
 from . import sql as Q
 from .rfm import analyze
@@ -137,7 +138,7 @@ def _rfm_base(spark, sf_dir):
 
 
 def quantile_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A4: exact quintile edges of the three measures, one ranking pass."""
+    """A4: exact quintile edges of the three measures, by selection."""
     base = _rfm_base(spark, sf_dir)
     cols = ["Recency", "Monetary", "Frequency"]
     edges = exact_quantiles_many(base, {c: bins_probs(5) for c in cols})

@@ -1,8 +1,11 @@
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from segmenter.operators.rank import exact_quantiles_many, rank_within, with_global_rank
+from segmenter.operators import rank
+from segmenter.operators.rank import rank_table, with_global_rank
+from segmenter.operators.selection import exact_quantiles_many
 
 
 def test_global_rank_matches_window_with_hot_key(spark):
@@ -14,15 +17,37 @@ def test_global_rank_matches_window_with_hot_key(spark):
     assert got == exp
 
 
-def test_grouped_rank_both_offset_paths(spark):
-    rows = [(i, i % 7 if i % 2 else 0, (i * 37) % 101) for i in range(2000)]
-    df = spark.createDataFrame(rows, "id LONG, g LONG, v LONG")
+def grouped(spark):
+    rows = [(i, None if i % 11 == 0 else i % 7 if i % 2 else 0, (i * 37) % 101) for i in range(2000)]
+    return spark.createDataFrame(rows, "id LONG, g LONG, v LONG")
+
+
+@pytest.mark.parametrize("heavy_rows", [1_000_000, 200, 0])  # no heavy group, some, all
+def test_grouped_rank_keeps_null_groups(spark, heavy_rows):
+    df = grouped(spark).withColumn("_pid", F.lit("clash")).withColumn("_heavy", F.lit(1))
     w = Window.partitionBy("g").orderBy(F.col("v").desc(), F.col("id").desc())
     exp = {r["id"]: r["rk"] for r in df.select("id", F.row_number().over(w).alias("rk")).collect()}
-    for limit in (100_000, 2):  # driver offsets, then distributed offsets
-        ranked, _ = rank_within(df, [F.col("v").desc(), F.col("id").desc()], group="g", rank_col="rk",
-                                max_driver_groups=limit)
-        assert {r["id"]: r["rk"] for r in ranked.collect()} == exp
+    ranked = rank_table(df, [F.col("v").desc(), F.col("id").desc()], group="g", rank_col="rk", heavy_rows=heavy_rows).df
+    assert sorted(ranked.columns) == sorted([*df.columns, "rk"])
+    assert {r["id"]: r["rk"] for r in ranked.collect()} == exp
+
+
+def test_rank_over_many_partitions_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(rank, "CHUNK", 4)
+    df = grouped(spark)
+    exp = {r["id"]: r["rk"] for r in df.select("id", F.row_number().over(Window.orderBy("v", "id")).alias("rk")).collect()}
+    r = rank_table(df, ["v", "id"], num_partitions=300)
+    assert r.sizes == {0: 2000} and {x["id"]: x["rank"] for x in r.df.collect()} == exp
+    w = Window.partitionBy("g").orderBy("v", "id")
+    exp = {r["id"]: r["rk"] for r in df.select("id", F.row_number().over(w).alias("rk")).collect()}
+    r = rank_table(df, ["v", "id"], group="g", num_partitions=100, heavy_rows=50)
+    assert {x["id"]: x["rank"] for x in r.df.collect()} == exp
+
+
+def test_rank_of_nothing(spark):
+    r = rank_table(spark.createDataFrame([], "v LONG"), ["v"])
+    assert r.sizes == {0: 0} and r.df.count() == 0
+    assert rank_table(spark.createDataFrame([], "v LONG, g LONG"), ["v"], group="g").df.count() == 0
 
 
 def test_exact_quantiles_match_numpy(spark):
@@ -36,6 +61,7 @@ def test_exact_quantiles_match_numpy(spark):
     got = exact_quantiles_many(df, {"a": probs, "b": probs})
     assert np.allclose(got["a"], np.quantile(a, probs), rtol=0, atol=1e-12)
     assert np.allclose(got["b"], np.quantile(b[~np.isnan(b)], probs), rtol=0, atol=1e-12)
+    assert exact_quantiles_many(df.where("false"), {"a": [0.5]}) == {"a": None}
 
 
 def test_partition_sizing(spark):
