@@ -8,20 +8,27 @@ then sees everything it needs, so a user with a third of all messages is
 spread over as many tasks as that user has buckets. Exact.
 
 M1 (mute decision) is recursive -- suppressed messages do not count later --
-so it is a per-user fold. It is split at quiet gaps (no message for longer
-than both the window and the mute: the fold state is provably empty there),
-and the gaps are found with a range-partitioned segmented scan (see
-``segmented_sessions``), so heavy users split across tasks too. Each session
-is folded by ``mapInPandas`` over rows sorted by (session, time): the worker
-streams Arrow batches and keeps only the fold state (kept timestamps inside
-the window and the mute end), never a whole group.
+so it is a fold along a user's messages. Messages are range-partitioned on
+(user, time, id) and checkpointed with their partitions kept, so a heavy user
+spans many partitions, and each partition is folded where it lies. Only the
+first user of a partition may come with a state from the left. All partitions
+are first folded at once from a guess, an empty state. Then every partition
+whose guess differs from what its left neighbour ends with is repaired, again
+all at once: the old and the new state are run side by side until both agree,
+after which the partition's end stays as it was. They agree as soon as no mute
+is alive in either and one window has passed (so at once for users under the
+limit), or when both meet in the same mute. This goes on until nothing changes;
+each round settles at least one more partition of a chain, so the result is
+that of the sequential fold. What the driver holds is one bounded state (the
+messages kept inside a window) per partition.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import MUTE_SECONDS, RATE_LIMIT, RATE_WINDOW_SECONDS
@@ -69,95 +76,7 @@ def over_limit(msgs: DataFrame, limit: int = RATE_LIMIT, window_seconds: int = R
     return trailing_count(msgs, window_seconds, **kw).where(F.col("recent") > limit)
 
 
-# --- segmented scan -----------------------------------------------------------
-
-def segmented_sessions(msgs: DataFrame, gap_seconds: float, user_col: str = "user_id",
-                       ts_col: str = "timestamp", id_col: str = "id") -> DataFrame:
-    """(user, id, _us, _sus, _sid): every message with the key (start time, start id)
-    of its session; a session starts at a user's first message or after a gap
-    longer than ``gap_seconds``.
-
-    Rows are range-partitioned on (user, time, id) -- heavy users span several
-    partitions -- and checkpointed with their partitions kept. Two bounded summaries (one row per
-    partition) carry the previous partition's last row and the latest session
-    start across partition edges; the rest is vectorised per partition.
-    """
-    spark = msgs.sparkSession
-    gap_us = int(gap_seconds * _US)
-    base = msgs.select(F.col(user_col).alias("u"), micros(ts_col).alias("us"), F.col(id_col).alias("i"))
-    keys = ["u", "us", "i"]
-    ordered = checkpoint_partitions(base.repartitionByRange(partitions_for(base), *keys)
-                                    .sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id()))
-    edges = ordered.groupBy("_pid").agg(F.max(F.struct(*keys)).alias("last")).collect()
-    prev_last, last_seen = {}, None
-    for r in sorted(edges, key=lambda r: r["_pid"]):
-        prev_last[r["_pid"]] = last_seen
-        last_seen = tuple(r["last"])
-    prev_b = spark.sparkContext.broadcast(prev_last)
-
-    def flags(pdf: pd.DataFrame, prev):
-        u = pdf["u"].to_numpy()
-        us = pdf["us"].to_numpy()
-        pu = np.empty_like(u)
-        pus = np.empty_like(us)
-        if len(u):
-            pu[1:], pus[1:] = u[:-1], us[:-1]
-            if prev is None:
-                pu[0], pus[0] = u[0] - 1, us[0]
-            else:
-                pu[0], pus[0] = prev[0], prev[1]
-        return (u != pu) | (us - pus > gap_us)
-
-    def last_starts(batches):
-        prev, pid, last = None, None, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            if pid is None:
-                pid = int(pdf["_pid"].iloc[0])
-                prev = prev_b.value.get(pid)
-            st = flags(pdf, prev)
-            if st.any():
-                j = np.flatnonzero(st)[-1]
-                last = (int(pdf["u"].iloc[j]), int(pdf["us"].iloc[j]), int(pdf["i"].iloc[j]))
-            prev = (int(pdf["u"].iloc[-1]), int(pdf["us"].iloc[-1]))
-        if pid is not None:
-            yield pd.DataFrame([{"_pid": pid, "has": last is not None,
-                                 "su": last[0] if last else 0, "sus": last[1] if last else 0,
-                                 "sid": last[2] if last else 0}])
-
-    starts = ordered.mapInPandas(last_starts, "_pid INT, has BOOLEAN, su LONG, sus LONG, sid LONG").collect()
-    carry, latest = {}, None
-    for r in sorted(starts, key=lambda r: r["_pid"]):
-        carry[r["_pid"]] = latest
-        if r["has"]:
-            latest = (r["sus"], r["sid"])
-    carry_b = spark.sparkContext.broadcast(carry)
-
-    def keyed(batches):
-        prev, pid, cur = None, None, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            if pid is None:
-                pid = int(pdf["_pid"].iloc[0])
-                prev = prev_b.value.get(pid)
-                cur = carry_b.value.get(pid)
-            st = flags(pdf, prev)
-            idx = np.where(st, np.arange(len(pdf)), -1)
-            idx = np.maximum.accumulate(idx)
-            us = pdf["us"].to_numpy()
-            ids = pdf["i"].to_numpy()
-            sus = np.where(idx >= 0, us[np.maximum(idx, 0)], cur[0] if cur else 0)
-            sid = np.where(idx >= 0, ids[np.maximum(idx, 0)], cur[1] if cur else 0)
-            if st.any():
-                j = np.flatnonzero(st)[-1]
-                cur = (int(us[j]), int(ids[j]))
-            prev = (int(pdf["u"].iloc[-1]), int(us[-1]))
-            yield pd.DataFrame({"u": pdf["u"], "us": us, "i": ids, "_sus": sus, "_sid": sid})
-
-    return ordered.mapInPandas(keyed, "u LONG, us LONG, i LONG, _sus LONG, _sid LONG")
-
+# --- fold over range partitions ---------------------------------------------------
 
 def fold_runner(limit: int, w_us: int, m_us: int):
     """Build the fold step (a closure, shipped to workers by value).
@@ -192,9 +111,187 @@ def fold_runner(limit: int, w_us: int, m_us: int):
     return fold_run
 
 
+def _batch(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(user, whether it is null, time) of an Arrow batch."""
+    u = batch.column("u")
+    return u.fill_null(0).to_numpy(), np.asarray(u.is_null()), batch.column("us").to_numpy()
+
+
+def _run_starts(u: np.ndarray, null: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (null[1:] != null[:-1])])
+
+
+def _key(u: np.ndarray, null: np.ndarray, i: int) -> tuple[bool, int]:
+    return bool(null[i]), int(u[i])
+
+
+State = tuple[tuple[int, ...], int | None]  # kept times, end of the mute
+EMPTY: State = ((), None)
+
+
+def canonical(kept, muted_until: int | None, now: int, w_us: int) -> State:
+    """The part of a state that can matter to messages at ``now`` or later."""
+    return tuple(int(x) for x in kept if x >= now - w_us), (None if muted_until is None or muted_until <= now else int(muted_until))
+
+
+@dataclass
+class Piece:
+    """A partition as the driver knows it: its first and last user, the first
+    time, the state it was folded from and the one it ends with."""
+    first: tuple[bool, int]
+    last: tuple[bool, int]
+    start: int
+    entry: State
+    exit: State
+
+
+@dataclass(frozen=True)
+class Fold:
+    """Limit, window and mute of a mute decision, and the passes over partitions."""
+    limit: int
+    w_us: int
+    m_us: int
+
+    def _step(self, times: np.ndarray, state: State) -> State:
+        n = len(times)
+        kept, muted = fold_runner(self.limit, self.w_us, self.m_us)(
+            times, list(state[0]), state[1], np.zeros(n, np.int8), np.zeros(n, np.int64))
+        return canonical(kept, muted, int(times[-1]), self.w_us)
+
+    def exits(self):
+        """Per partition: its ends and the state after its last user, from an empty one."""
+        def run(batches):
+            import pyarrow as pa
+
+            pid = first = last = start = None
+            state = EMPTY
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                u, null, us = _batch(batch)
+                if first is None:
+                    pid, first, start = batch.column("_pid")[0].as_py(), _key(u, null, 0), int(us[0])
+                a = int(_run_starts(u, null)[-1])  # earlier users end here
+                if a or _key(u, null, 0) != last:
+                    state = EMPTY
+                last = _key(u, null, a)
+                state = self._step(us[a:], state)
+            if first is not None:
+                yield pa.RecordBatch.from_pylist([{
+                    "_pid": pid, "first_null": first[0], "first": first[1], "last_null": last[0], "last": last[1], "start": start,
+                    "kept": list(state[0]), "muted": state[1]}], schema=_EXITS())
+        return run
+
+    def repairs(self, sent):
+        """For partitions in ``sent`` ({pid: (old entry, new entry)}): whether
+        the two never agree up to the end, and the end state from the new one."""
+        def run(batches):
+            import pyarrow as pa
+
+            pid = user = None
+            old = new = EMPTY
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                u, null, us = _batch(batch)
+                if pid is None:
+                    pid = batch.column("_pid")[0].as_py()
+                    if pid not in sent.value:
+                        return
+                    (old, new), user = sent.value[pid], _key(u, null, 0)
+                if _key(u, null, 0) != user:
+                    return
+                starts = _run_starts(u, null)
+                end = int(starts[1]) if len(starts) > 1 else len(us)
+                for a in range(0, end, 1024):
+                    b = min(end, a + 1024)
+                    old, new = self._step(us[a:b], old), self._step(us[a:b], new)
+                    if old == new:
+                        return
+                if end < len(us):
+                    return
+            if pid is not None:
+                yield pa.RecordBatch.from_pylist([{"_pid": pid, "kept": list(new[0]), "muted": new[1]}], schema=_REPAIRS())
+        return run
+
+    def decisions(self, sent):
+        """Status codes and mute ends of all rows, partitions entered by ``sent`` ({pid: state})."""
+        fold = fold_runner(self.limit, self.w_us, self.m_us)
+
+        def run(batches):
+            import pyarrow as pa
+
+            key, kept, muted = None, [], None
+            names = np.array(["ok", "mute_start", "suppressed"], dtype=object)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                u, null, us = _batch(batch)
+                if key is None:
+                    key = _key(u, null, 0)
+                    kept, muted = sent.value.get(batch.column("_pid")[0].as_py(), EMPTY)
+                status, unmute = np.zeros(len(us), np.int8), np.full(len(us), -1, np.int64)
+                bounds = [*_run_starts(u, null).tolist(), len(us)]
+                for a, b in zip(bounds, bounds[1:]):
+                    if _key(u, null, a) != key:
+                        key, kept, muted = _key(u, null, a), [], None
+                    kept, muted = fold(us[a:b], kept, muted, status[a:b], unmute[a:b])
+                yield pa.RecordBatch.from_pydict({
+                    "u": batch.column("u"), "i": batch.column("i"), "us": batch.column("us"),
+                    "status": pa.array(names[status], pa.string()), "unmute_us": pa.array(unmute, mask=unmute < 0)})
+        return run
+
+
+def _REPAIRS():
+    import pyarrow as pa
+
+    return pa.schema([("_pid", pa.int32()), ("kept", pa.list_(pa.int64())), ("muted", pa.int64())])
+
+
+def _EXITS():
+    import pyarrow as pa
+
+    return pa.schema([("_pid", pa.int32()), ("first_null", pa.bool_()), ("first", pa.int64()), ("last_null", pa.bool_()), ("last", pa.int64()),
+                      ("start", pa.int64()), ("kept", pa.list_(pa.int64())), ("muted", pa.int64())])
+
+
+def entry_states(ordered: DataFrame, fold: Fold) -> tuple[dict[int, State], int]:
+    """({pid: state that its first user comes with}, rounds of repair)."""
+    spark = ordered.sparkSession
+    ends = ordered.mapInArrow(fold.exits(), "_pid INT, first_null BOOLEAN, first LONG, last_null BOOLEAN, last LONG, start LONG, "
+                                            "kept ARRAY<LONG>, muted LONG").collect()
+    pieces = {r["_pid"]: Piece((r["first_null"], r["first"]), (r["last_null"], r["last"]), r["start"], EMPTY, (tuple(r["kept"]), r["muted"]))
+              for r in sorted(ends, key=lambda r: r["_pid"])}
+    chain = list(pieces.values())
+    rounds = 0
+    while True:
+        todo: dict[int, tuple[State, State]] = {}
+        for (pid, p), left in zip(list(pieces.items())[1:], chain):
+            entry = canonical(*left.exit, p.start, fold.w_us) if left.last == p.first else EMPTY
+            if entry != p.entry:
+                todo[pid] = (p.entry, entry)
+        if not todo:
+            return {pid: p.entry for pid, p in pieces.items() if p.entry != EMPTY}, rounds
+        rounds += 1
+        sent = spark.sparkContext.broadcast(todo)
+        for r in ordered.mapInArrow(fold.repairs(sent), "_pid INT, kept ARRAY<LONG>, muted LONG").collect():
+            pieces[r["_pid"]].exit = (tuple(r["kept"]), r["muted"])
+        for pid, (_, entry) in todo.items():
+            pieces[pid].entry = entry
+
+
+def ordered_messages(msgs: DataFrame, user_col: str = "user_id", ts_col: str = "timestamp", id_col: str = "id",
+                     num_partitions: int | None = None) -> DataFrame:
+    """(u, us, i, _pid) in order over checkpointed range partitions."""
+    base = msgs.select(F.col(user_col).cast("long").alias("u"), micros(ts_col).alias("us"), F.col(id_col).cast("long").alias("i"))
+    keys = ["u", "us", "i"]
+    return checkpoint_partitions(base.repartitionByRange(num_partitions or partitions_for(base), *keys)
+                                 .sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id()))
+
+
 def mute_fold(msgs: DataFrame, limit: int = RATE_LIMIT, window_seconds: int = RATE_WINDOW_SECONDS,
               mute_seconds: int = MUTE_SECONDS, user_col: str = "user_id", ts_col: str = "timestamp",
-              id_col: str = "id") -> DataFrame:
+              id_col: str = "id", counts_towards_limit: Column | None = None, num_partitions: int | None = None) -> DataFrame:
     """M1-M3: status of every message in time order per user.
 
     ``ok``: saved and counted; ``mute_start``: saved, counted, and the trailing
@@ -202,41 +299,23 @@ def mute_fold(msgs: DataFrame, limit: int = RATE_LIMIT, window_seconds: int = RA
     the user for [t, t + mute); ``suppressed``: arrived while muted (t < unmute
     time), neither saved nor counted. Output: user_id, id, timestamp, status,
     unmute_time (set on ``mute_start`` rows).
+
+    ``counts_towards_limit``: messages for which it is not true (replies of the
+    bot, uploads) are saved whatever happens, ``ok``, and not counted. So are
+    messages without a time. Messages without a user are folded together.
     """
-    w_us, m_us = int(window_seconds * _US), int(mute_seconds * _US)
-    sess = segmented_sessions(msgs, max(window_seconds, mute_seconds), user_col, ts_col, id_col)
-    keys = ["u", "_sus", "_sid"]
-    spread = (sess.repartition(partitions_for(msgs.select(user_col, ts_col, id_col)), *keys)
-              .sortWithinPartitions(*keys, "us", "i"))
-
-    fold_run = fold_runner(limit, w_us, m_us)
-
-    def fold(batches):
-        key, kept, muted_until = None, np.empty(0, dtype=np.int64), None
-        labels = np.array(["ok", "mute_start", "suppressed"], dtype=object)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            u = pdf["u"].to_numpy()
-            sus = pdf["_sus"].to_numpy()
-            sid = pdf["_sid"].to_numpy()
-            us = pdf["us"].to_numpy().astype(np.int64)
-            status = np.zeros(len(pdf), dtype=np.int8)
-            unmute = np.full(len(pdf), -1, dtype=np.int64)
-            change = np.flatnonzero((u[1:] != u[:-1]) | (sus[1:] != sus[:-1]) | (sid[1:] != sid[:-1])) + 1
-            bounds = [0, *change.tolist(), len(pdf)]
-            for a, b in zip(bounds, bounds[1:]):
-                k = (u[a], sus[a], sid[a])
-                if k != key:
-                    key, kept, muted_until = k, np.empty(0, dtype=np.int64), None
-                st, um = status[a:b], unmute[a:b]
-                kept, muted_until = fold_run(us[a:b], kept, muted_until, st, um)
-            yield pd.DataFrame({"u": u, "i": pdf["i"], "us": us, "status": labels[status], "unmute_us": unmute})
-
-    out = spread.mapInPandas(fold, "u LONG, i LONG, us LONG, status STRING, unmute_us LONG")
-    return out.select(F.col("u").alias(user_col), F.col("i").alias(id_col),
-                      from_micros("us").alias(ts_col), "status",
-                      F.when(F.col("unmute_us") >= 0, from_micros("unmute_us")).alias("unmute_time"))
+    fold = Fold(limit, int(window_seconds * _US), int(mute_seconds * _US))
+    judged = F.col(ts_col).isNotNull() & (F.lit(True) if counts_towards_limit is None else F.coalesce(counts_towards_limit, F.lit(False)))
+    ordered = ordered_messages(msgs.where(judged), user_col, ts_col, id_col, num_partitions)
+    entries, _ = entry_states(ordered, fold)
+    sent = msgs.sparkSession.sparkContext.broadcast(entries)
+    out = ordered.mapInArrow(fold.decisions(sent), "u LONG, i LONG, us LONG, status STRING, unmute_us LONG")
+    out = out.select(F.col("u").alias(user_col), F.col("i").alias(id_col), from_micros("us").alias(ts_col), "status",
+                     from_micros("unmute_us").alias("unmute_time"))
+    others = msgs.where(~judged).select(F.col(user_col).cast("long").alias(user_col), F.col(id_col).cast("long").alias(id_col),
+                                        F.col(ts_col).cast("timestamp_ntz").alias(ts_col), F.lit("ok").alias("status"),
+                                        F.lit(None).cast("timestamp_ntz").alias("unmute_time"))
+    return out.unionByName(others)
 
 
 def mute_intervals(folded: DataFrame, user_col: str = "user_id", ts_col: str = "timestamp") -> DataFrame:

@@ -271,6 +271,11 @@ def mute_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TH.mute_fold(T.message_log(spark, sf_dir), 5, 86400, 86400)
 
 
+def mute_fold_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 with ``counts_towards_limit``: views are saved but not counted, limit 3 per day."""
+    return TH.mute_fold(T.message_log(spark, sf_dir), 3, 86400, 86400, counts_towards_limit=~F.col("message").startswith("view"))
+
+
 def mute_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2: the mutes the fold produced."""
     return TH.mute_intervals(TH.mute_fold(T.message_log(spark, sf_dir), 5, 86400, 86400))
@@ -405,16 +410,32 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(sink)
 
 
-def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST2: the mute decision as a stateful stream; equals ``mute_fold``."""
+def _throttled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All decisions and mute ends of the throttle stream over ``events``."""
+    from ..session import scratch_path
     from ..streaming import ingest as I
-    from ..streaming.throttle import throttle_stream
+    from ..streaming.throttle import state_store, throttle_events
     sink, ck = _stream_dirs(spark, "throttle")
-    out = throttle_stream(I.as_messages(I.event_stream(spark, sf_dir)), 5, 86400, 86400, watermark="1 day")
-    I.ingest(out, sink, ck).awaitTermination()
+    marks = scratch_path(spark, "end")
+    msgs = I.as_messages(I.event_stream(spark, sf_dir))
+    out = throttle_events(I.until_end(msgs, marks), 5, 86400, 86400, watermark="1 day")
+    with state_store(spark):
+        I.run_to_end(out, sink, ck, msgs.schema, marks)
     return spark.read.parquet(sink)
 
 
+def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST2: the mute decision as a stateful stream in event-time order; equals ``mute_fold``."""
+    return _throttled(spark, sf_dir).where("status <> 'unmuted'")
+
+
+def mutes_expired_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5 as a stream: every mute, emitted by the timer of its end; equals
+    ``mute_intervals`` once the stream has passed all of them."""
+    from ..streaming.throttle import expired_mutes
+    return expired_mutes(_throttled(spark, sf_dir), 86400)
+
+
 def stream_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST3: last-seen per user maintained by a stream; equals ``last_seen``."""
     from ..streaming import ingest as I
@@ -535,6 +556,7 @@ QUERIES: dict[str, Query] = {
     "recent_count": recent_count,
     "over_limit": over_limit,
     "mute_fold": mute_fold,
+    "mute_fold_counted": mute_fold_counted,
     "mute_intervals": mute_intervals,
     "text_bold": text_bold,
     "text_wrap50": text_wrap50,
@@ -552,6 +574,7 @@ QUERIES: dict[str, Query] = {
     "segment_localized": segment_localized,
     "stream_ingest": stream_ingest,
     "stream_throttle": stream_throttle,
+    "mutes_expired_stream": mutes_expired_stream,
     "stream_last_seen": stream_last_seen,
     "drop_bad_dates": drop_bad_dates,
     "recency_from_date": recency_from_date,
@@ -600,6 +623,7 @@ ORACLE_SQL: dict[str, str] = {
     "recent_count": Q.RECENT_COUNT,
     "over_limit": Q.OVER_LIMIT,
     "mute_fold": Q.MUTE_FOLD,
+    "mute_fold_counted": Q.MUTE_FOLD_COUNTED,
     "mute_intervals": Q.MUTE_INTERVALS,
     "text_bold": Q.TEXT_BOLD,
     "text_wrap50": Q.TEXT_WRAP50,
@@ -617,6 +641,7 @@ ORACLE_SQL: dict[str, str] = {
     "segment_localized": Q.SEGMENT_LOCALIZED,
     "stream_ingest": Q.STREAM_INGEST,
     "stream_throttle": Q.MUTE_FOLD,
+    "mutes_expired_stream": Q.MUTE_INTERVALS,
     "stream_last_seen": Q.LAST_SEEN,
     "drop_bad_dates": Q.DROP_BAD_DATES,
     "recency_from_date": Q.RECENCY_FROM_DATE,

@@ -374,13 +374,13 @@ SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, chunk FROM ch WHERE chunk_
 DOC_CHUNKS = chunks_sql(4096)
 
 
-def mute_fold_sql(limit: int, window_s: int, mute_s: int) -> str:
+def mute_fold_sql(limit: int, window_s: int, mute_s: int, counted: str = "true") -> str:
     """The recursive spam decision as a recursive CTE (state: kept times in
     the window, mute end), one step per message of each user."""
     w, mu = window_s * 1_000_000, mute_s * 1_000_000
     return f"""WITH RECURSIVE m AS (
   SELECT user_id, event_id AS id, ts, epoch_us(ts) AS us,
-         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE {counted}),
 f(user_id, rn, id, us, status, kept, muted_until) AS (
   SELECT user_id, rn, id, us, CASE WHEN 1 > {limit} THEN 'mute_start' ELSE 'ok' END, [us],
          CASE WHEN 1 > {limit} THEN us + {mu} END
@@ -400,6 +400,8 @@ FROM f"""
 
 
 MUTE_FOLD = mute_fold_sql(5, 86400, 86400)
+MUTE_FOLD_COUNTED = f"""SELECT * FROM ({mute_fold_sql(3, 86400, 86400, "event_type <> 'view'")})
+UNION ALL SELECT user_id, event_id, ts, 'ok', NULL FROM events WHERE event_type = 'view'"""
 MUTE_INTERVALS = f"""SELECT user_id, timestamp AS mute_time, unmute_time FROM ({MUTE_FOLD})
 WHERE status = 'mute_start'"""
 

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+# Time of the mark that ends an input: all watermarks pass every message.
+END_OF_INPUT = "2200-01-01 00:00:00"
+
+
 def stream_path(sf_dir: str, table: str) -> str:
     """A glob naming one table file, accepted by the file stream source."""
     return f"{sf_dir.rstrip('/')}/{table}.parque[t]"
@@ -33,3 +37,27 @@ def ingest(stream: DataFrame, sink_path: str, checkpoint: str, once: bool = True
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if once else w.trigger(processingTime="10 seconds")
     return w.start(sink_path)
+
+
+def until_end(msgs: DataFrame, marks: str) -> DataFrame:
+    """``msgs`` (id, user_id, timestamp, ...) and the end-of-input marks written
+    under ``marks``. A finite input never moves the watermark past its own last
+    messages; the mark does, so that whatever waits for it comes out."""
+    spark = msgs.sparkSession
+    spark.createDataFrame([], msgs.schema).write.mode("ignore").parquet(marks)
+    return msgs.unionByName(spark.readStream.schema(msgs.schema).parquet(marks))
+
+
+def write_end(spark: SparkSession, schema, marks: str) -> None:
+    """Write the end-of-input mark: a row with nothing but its time."""
+    empty = spark.range(1).select(*[
+        (F.lit(END_OF_INPUT) if f.name == "timestamp" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    empty.write.mode("append").parquet(marks)
+
+
+def run_to_end(out: DataFrame, sink_path: str, checkpoint: str, schema, marks: str) -> None:
+    """Run a query over ``until_end(msgs, marks)`` on all there is, then write
+    the mark and run it on to the end."""
+    ingest(out, sink_path, checkpoint).awaitTermination()
+    write_end(out.sparkSession, schema, marks)
+    ingest(out, sink_path, checkpoint).awaitTermination()

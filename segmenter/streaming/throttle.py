@@ -1,63 +1,172 @@
-"""ST2: the mute decision (M1-M3) as a stateful stream.
-
-State per user: kept message times inside the window and the mute end -- both
-bounded by the limit and the window, never the user's history -- and removed by
-an event-time timeout once the watermark passes the window and the mute. Rows
-of a key inside one micro-batch are processed in (time, id) order; the
-watermark drops rows that arrive too late. For large state set
-``spark.sql.streaming.stateStore.providerClass`` to the RocksDB provider.
+"""ST2, K5: the mute decision (M1-M3) as a stateful stream in event-time order,
+with timed expiry of mutes.
+
+Messages may come in any order inside the watermark's delay. A user's messages
+wait in state, in buckets of event time, until the watermark has passed them: no
+earlier message can come any more. Then an event-time timer takes them out in
+(time, id) order and folds them, a bucket at a time. So the result does not
+depend on how messages are dealt to micro-batches, and no more than a bucket of
+a user is in memory. The fold's own state (kept times inside the window, the
+running mute) is bounded by the limit and the window.
+
+A mute's end is a timer as well: it emits an ``unmuted`` row when the watermark
+passes it, and what is left of a quiet user's state is cleared by a timer at the
+time after which it can no longer change a decision.
+
+State lives in RocksDB, which ``transformWithState`` needs; :func:`state_store`
+sets the provider for the time a query starts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.throttle import fold_runner, from_micros, micros
 from ..schemas import MUTE_SECONDS, RATE_LIMIT, RATE_WINDOW_SECONDS
+from .ingest import END_OF_INPUT
 
 OUTPUT = "user_id LONG, id LONG, us LONG, status STRING, unmute_us LONG"
-STATE = "kept ARRAY<LONG>, muted_until LONG"
-
-
-def throttle_stream(msgs: DataFrame, limit: int = RATE_LIMIT, window_seconds: int = RATE_WINDOW_SECONDS,
-                    mute_seconds: int = MUTE_SECONDS, watermark: str = "1 minute") -> DataFrame:
-    w_us, m_us = window_seconds * 1_000_000, mute_seconds * 1_000_000
-
-    fold_run = fold_runner(limit, w_us, m_us)
-    labels = np.array(["ok", "mute_start", "suppressed"], dtype=object)
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            # Watermark passed the end of the window and of any mute: the
-            # state can no longer change a decision.
-            state.remove()
-            return
-        kept, muted = np.empty(0, dtype=np.int64), None
-        if state.exists:
-            kept, muted = np.array(state.get[0] or [], dtype=np.int64), state.get[1]
-        # One micro-batch of one user: bounded by the trigger's batch size.
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["us", "id"], kind="stable")
-        t = pdf["us"].to_numpy().astype(np.int64)
-        status = np.zeros(len(pdf), dtype=np.int8)
-        unmute = np.full(len(pdf), -1, dtype=np.int64)
-        kept, muted = fold_run(t, kept, muted, status, unmute)
-        state.update(([int(x) for x in kept], None if muted is None else int(muted)))
-        horizon_us = max(int(kept[-1]) + w_us if len(kept) else 0, int(muted or 0))
-        state.setTimeoutTimestamp(horizon_us // 1000 + 1)
-        yield pd.DataFrame({"user_id": pdf["user_id"].to_numpy(), "id": pdf["id"].to_numpy(),
-                            "us": t, "status": labels[status], "unmute_us": unmute})
+FLUSH = 10_000  # rows of a user that go out together
+STATUS = np.array(["ok", "mute_start", "suppressed"], dtype=object)
+_END_US = int((pd.Timestamp(END_OF_INPUT) - pd.Timestamp(0)) / pd.Timedelta(microseconds=1))
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_store(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB; the session's own
+    setting is put back afterwards."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
+
+
+def _frame(key, parts: list[tuple]) -> pd.DataFrame:
+    us, ids, status, unmute = (np.concatenate(x) for x in zip(*parts, strict=True))
+    user = np.full(len(us), key[0], np.int64) if key[0] is not None and key[0] == key[0] else pd.array([None] * len(us), "Int64")
+    return pd.DataFrame({"user_id": user, "id": ids, "us": us, "status": status, "unmute_us": unmute})
+
+
+class MuteProcessor(StatefulProcessor):
+    """Per user: ``pending`` messages by time bucket; ``fold``: kept times, end
+    and start of the last mute while its end is not passed."""
+
+    def __init__(self, limit: int, window_us: int, mute_us: int, bucket_us: int):
+        self.window_us, self.mute_us, self.bucket_us = window_us, mute_us, bucket_us
+        self.run = fold_runner(limit, window_us, mute_us)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getMapState("pending", "bucket LONG", "us ARRAY<LONG>, ids ARRAY<LONG>")
+        self.fold = handle.getValueState("fold", "kept ARRAY<LONG>, muted_until LONG")
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            us = pdf["us"].to_numpy().astype(np.int64)
+            ids = pdf["id"].to_numpy()
+            real = us < _END_US  # the end-of-input mark only moves the watermark
+            us, ids = us[real], ids[real]
+            bucket = us // self.bucket_us
+            for b in np.unique(bucket).tolist():
+                at = bucket == b
+                held = self.pending.getValue((b,)) or ([], [])
+                self.pending.updateValue((b,), (list(held[0]) + us[at].tolist(), list(held[1]) + [int(i) for i in ids[at]]))
+            if len(us):  # whatever waited before has its own timer
+                self.handle.registerTimer(int(us.min()) // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        state = self.fold.get() if self.fold.exists() else ([], None)
+        kept, muted = np.array(state[0] or [], np.int64), state[1]
+        buckets = sorted(k[0] for k in self.pending.keys())
+        due = [b * self.bucket_us for b in buckets if b * self.bucket_us > passed][:1]
+        out: list[tuple] = []  # (us, ids, status, unmute); ids of ends of mutes are not read
+        held = 0
+
+        def ended(unmute: np.ndarray) -> None:
+            if len(unmute):
+                out.append((unmute, unmute, np.full(len(unmute), "unmuted", dtype=object), unmute))
+
+        for b in [b for b in buckets if b * self.bucket_us <= passed]:
+            us, ids = (np.array(x, np.int64) for x in self.pending.getValue((b,)))
+            order = np.lexsort((ids, us))
+            us, ids = us[order], ids[order]
+            n = int(np.searchsorted(us, passed, "right"))
+            if n < len(us):
+                self.pending.updateValue((b,), (us[n:].tolist(), ids[n:].tolist()))
+                due.append(int(us[n]))
+            else:
+                self.pending.removeKey((b,))
+            if not n:
+                continue
+            status, unmute = np.zeros(n, np.int8), np.full(n, -1, np.int64)
+            before = muted
+            kept, muted = self.run(us[:n], kept, muted, status, unmute)
+            out.append((us[:n], ids[:n], STATUS[status], unmute))
+            # Every mute that another one follows has ended.
+            starts = unmute[unmute >= 0]
+            if len(starts):
+                ended(np.r_[[] if before is None else [before], starts[:-1]].astype(np.int64))
+            held += n
+            if held > FLUSH:
+                yield _frame(key, out)
+                out, held = [], 0
+        if muted is not None and muted <= passed:
+            ended(np.array([muted], np.int64))
+            muted = None
+        quiet = int(kept[-1]) + self.window_us + 1000 if len(kept) else 0
+        if muted is None and quiet <= passed:
+            self.fold.clear()
+        else:
+            self.fold.update((kept.tolist(), muted))
+            due.append(quiet if muted is None else muted)
+        if due:  # the next message, the end of the mute or of the window
+            self.handle.registerTimer(max(min(due), passed) // 1000)
+        if out:
+            yield _frame(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+def throttle_events(msgs: DataFrame, limit: int = RATE_LIMIT, window_seconds: int = RATE_WINDOW_SECONDS,
+                    mute_seconds: int = MUTE_SECONDS, watermark: str = "1 minute", bucket_seconds: int | None = None) -> DataFrame:
+    """Decisions and ends of mutes: user_id, id, timestamp, status (``ok``,
+    ``mute_start``, ``suppressed``, ``unmuted``), unmute_time. An ``unmuted`` row
+    has no id; its timestamp is the mute's end."""
+    processor = MuteProcessor(limit, window_seconds * 1_000_000, mute_seconds * 1_000_000,
+                              (bucket_seconds or 8 * max(1, window_seconds)) * 1_000_000)
     # Watermarks need TIMESTAMP (instants); the tables hold UTC wall time.
     prepared = (msgs.withColumn("_event_time", F.col("timestamp").cast("timestamp"))
                 .withWatermark("_event_time", watermark)
                 .select("user_id", "id", micros("timestamp").alias("us"), "_event_time"))
-    out = prepared.groupBy("user_id").applyInPandasWithState(
-        step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    return out.select("user_id", "id", from_micros("us").alias("timestamp"),
+    out = prepared.groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=OUTPUT, outputMode="append", timeMode="eventTime")
+    return out.select("user_id", F.when(F.col("status") != "unmuted", F.col("id")).alias("id"), from_micros("us").alias("timestamp"),
                       "status", F.when(F.col("unmute_us") >= 0, from_micros("unmute_us")).alias("unmute_time"))
+
+
+def throttle_stream(msgs: DataFrame, *args, **options) -> DataFrame:
+    """The decisions of :func:`throttle_events`: one row per message, as ``mute_fold``."""
+    return throttle_events(msgs, *args, **options).where("status <> 'unmuted'")
+
+
+def expired_mutes(events: DataFrame, mute_seconds: int = MUTE_SECONDS) -> DataFrame:
+    """K5: (user_id, mute_time, unmute_time) of the mutes that have ended."""
+    ended = events.where("status = 'unmuted'")
+    return ended.select("user_id", (F.col("unmute_time") - F.expr(f"make_dt_interval(0, 0, 0, {mute_seconds})")).alias("mute_time"), "unmute_time")

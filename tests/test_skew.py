@@ -1,12 +1,14 @@
 """A third of all messages from one user: exact results, work split over tasks."""
 
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_MID
 from segmenter.operators.history import newest_first_positions
-from segmenter.operators.throttle import mute_fold, segmented_sessions, trailing_count
+from segmenter.operators.throttle import Fold, entry_states, mute_fold, ordered_messages, trailing_count
 from segmenter.sources.tables import message_log
 from test_throttle import brute_fold, micros
 
@@ -24,15 +26,40 @@ def test_hot_user_fold_is_exact_and_split(spark):
     exp = brute_fold(rows, 5, 3600 * 10**6, 1800 * 10**6)
     got = {r["id"]: r["status"] for r in mute_fold(m, 5, 3600, 1800).collect()}
     assert got == exp
-    # Reference-like settings (one minute): exact, and the hot user's rows are
-    # spread over several range partitions and many independent sessions.
     exp = brute_fold(rows, 1, 60 * 10**6, 60 * 10**6)
     got = {r["id"]: r["status"] for r in mute_fold(m, 1, 60, 60).collect()}
     assert got == exp
-    sess = segmented_sessions(m, 60)
-    per_part = (sess.where(F.col("u") == 7).groupBy(F.spark_partition_id().alias("p")).count().collect())
-    assert len(per_part) >= 3 and max(r["count"] for r in per_part) < hot * 0.6
-    assert sess.where(F.col("u") == 7).select("_sus", "_sid").distinct().count() > hot / 2
+
+
+@pytest.mark.parametrize("limit, window, mute, step", [(15, 30, 30, 3), (15, 30, 30, 1), (5, 30, 7, 2), (2, 60, 60, 0), (40, 60, 30, 1)])
+def test_unbroken_user_is_folded_in_pieces(spark, limit, window, mute, step):
+    """A user who never pauses: steady under the limit, steady over it, irregular (step 0)."""
+    rng = random.Random(limit)
+    at, rows = 0.0, []
+    for i in range(6000):
+        at += step or rng.expovariate(1 / 8)
+        rows.append((i, 7, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=at)))
+    rows += [(10_000 + i, None if i % 2 else 9, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id LONG, user_id LONG, timestamp TIMESTAMP_NTZ").repartition(4)
+    exp = brute_fold([(-1 if u is None else u, i, micros(t)) for i, u, t in rows], limit, window * 10**6, mute * 10**6)
+    got = mute_fold(df, limit, window, mute, num_partitions=12).collect()
+    assert {r["id"]: r["status"] for r in got} == exp and sum(r["user_id"] is None for r in got) == 100
+    ordered = ordered_messages(df, num_partitions=12)
+    parts = [r["count"] for r in ordered.where("u = 7").groupBy("_pid").count().collect()]
+    assert len(parts) >= 8 and max(parts) < 1500
+    _, rounds = entry_states(ordered, Fold(limit, window * 10**6, mute * 10**6))
+    if step in (0, 3):  # states meet inside a piece: nothing is passed on
+        assert rounds <= 2
+
+
+def test_messages_that_do_not_count(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, 1, base + dt.timedelta(seconds=i), i % 2 == 0) for i in range(20)] + [(50, 1, None, True), (51, 1, base, None)]
+    df = spark.createDataFrame(rows, "id LONG, user_id LONG, timestamp TIMESTAMP_NTZ, c BOOLEAN")
+    got = {r["id"]: r["status"] for r in mute_fold(df, 3, 30, 30, counts_towards_limit=F.col("c")).collect()}
+    exp = brute_fold([(1, i, micros(t)) for i, _, t, c in rows if c and t], 3, 30 * 10**6, 30 * 10**6)
+    assert got == {**{i: "ok" for i, *_ in rows}, **exp} and got[6] == "mute_start" and got[8] == "suppressed" and got[7] == "ok"
+    assert mute_fold(df.where("false"), 3, 30, 30).count() == 0
 
 
 def test_hot_user_windows(spark):
