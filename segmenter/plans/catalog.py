@@ -344,36 +344,89 @@ def csv_rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- keyed writes -------------------------------------------------------------------
 
+def _signup_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.table(spark, sf_dir, "events").where(F.col("event_type") == "signup")
+    return e.select(F.col("user_id").alias("id"),
+                    F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("_"),
+                             F.col("event_id").cast("string")).alias("username"),
+                    F.concat(F.lit("Name"), F.col("user_id").cast("string")).alias("first_name"),
+                    F.col("event_id").alias("_version"))
+
+
+def _zone_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.table(spark, sf_dir, "events").where(F.col("event_type") == "error")
+    return e.select(F.col("user_id").alias("id"), T.zone_expr(F.col("event_id")).alias("timezone"),
+                    F.lit(True).alias("timezone_set"), F.col("event_id").alias("_version"))
+
+
+def _delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = T.table(spark, sf_dir, "events")
+    return e.where((F.col("event_type") == "purchase") & (F.col("value") > 49)).select("user_id")
+
+
+USER_DEFAULTS = {"timezone": "Europe/Moscow", "timezone_set": False}
+
+
 def users_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1: every signup event re-saves its user; the newest change wins;
     the chosen zone is kept (only username and first_name are overwritten)."""
     from ..operators.upsert import upsert
-    e = T.table(spark, sf_dir, "events").where(F.col("event_type") == "signup")
-    chg = e.select(F.col("user_id").alias("id"),
-                   F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("_"),
-                            F.col("event_id").cast("string")).alias("username"),
-                   F.concat(F.lit("Name"), F.col("user_id").cast("string")).alias("first_name"),
-                   F.col("event_id").alias("_version"))
-    return upsert(T.users(spark, sf_dir), chg, "id", columns=["username", "first_name"],
-                  defaults={"timezone": "Europe/Moscow", "timezone_set": False})
+    return upsert(T.users(spark, sf_dir), _signup_changes(spark, sf_dir), "id", columns=["username", "first_name"],
+                  defaults=USER_DEFAULTS)
 
 
 def users_zone_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3: zone changes (one per error event, newest wins) set zone and flag."""
     from ..operators.upsert import upsert
-    e = T.table(spark, sf_dir, "events").where(F.col("event_type") == "error")
-    chg = e.select(F.col("user_id").alias("id"), T.zone_expr(F.col("event_id")).alias("timezone"),
-                   F.lit(True).alias("timezone_set"), F.col("event_id").alias("_version"))
-    return upsert(T.users(spark, sf_dir), chg, "id", columns=["timezone", "timezone_set"],
-                  defaults={"timezone": "Europe/Moscow", "timezone_set": False})
+    return upsert(T.users(spark, sf_dir), _zone_changes(spark, sf_dir), "id", columns=["timezone", "timezone_set"],
+                  defaults=USER_DEFAULTS)
 
 
 def history_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4: clear the history of every user with a purchase above 49."""
     from ..operators.upsert import delete_keys
-    e = T.table(spark, sf_dir, "events")
-    requests = e.where((F.col("event_type") == "purchase") & (F.col("value") > 49)).select("user_id")
-    return delete_keys(T.message_log(spark, sf_dir), requests, "user_id").select("id", "user_id")
+    return delete_keys(T.message_log(spark, sf_dir), _delete_requests(spark, sf_dir), "user_id").select("id", "user_id")
+
+
+def _keyed(spark: SparkSession, name: str, rows: DataFrame, key: str, order: tuple[str, ...] = ()):
+    """A fresh keyed table that holds ``rows``."""
+    from ..session import scratch_path
+    from ..sources.keyed_table import KeyedTable
+    table = KeyedTable.create(spark, scratch_path(spark, name), rows.schema, key, order, buckets=16)
+    table.replace_all(rows)
+    return table
+
+
+def users_upsert_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 as a committed write to the users table, sent twice: the second time adds nothing."""
+    table = _keyed(spark, "users", T.users(spark, sf_dir), "id")
+    for _ in range(2):
+        table.upsert(_signup_changes(spark, sf_dir), columns=["username", "first_name"], defaults=USER_DEFAULTS, writer="signup", epoch=0)
+    return table.read()
+
+
+def users_zone_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3 as a committed write to the users table."""
+    table = _keyed(spark, "users", T.users(spark, sf_dir), "id")
+    table.upsert(_zone_changes(spark, sf_dir), columns=["timezone", "timezone_set"], defaults=USER_DEFAULTS)
+    return table.read()
+
+
+def history_delete_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4 as a committed write: only the buckets of the deleted users are rewritten."""
+    table = _keyed(spark, "history", T.message_log(spark, sf_dir), "user_id", ("timestamp", "id"))
+    table.delete(_delete_requests(spark, sf_dir))
+    return table.read().select("id", "user_id")
+
+
+def history_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S10 + T1: the messages of the user with the smallest id, newest first, from
+    that user's bucket of the history table."""
+    msgs = T.message_log(spark, sf_dir)
+    table = _keyed(spark, "history", msgs, "user_id", ("timestamp", "id"))
+    user = msgs.agg(F.min("user_id")).first()[0]
+    newest = Window.orderBy(F.col("timestamp").desc(), F.col("id").desc())  # one user's rows
+    return table.read_key(user).select("id", "message", "timestamp", F.row_number().over(newest).cast("int").alias("rn"))
 
 
 def mutes_active(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -410,6 +463,20 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(sink)
 
 
+def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 + ST1: events appended to the keyed history by micro-batch; the last
+    batch comes a second time and adds nothing, and the table is compacted."""
+    from ..session import scratch_path
+    from ..sources.keyed_table import KeyedTable
+    from ..streaming import ingest as I
+    msgs = I.as_messages(I.event_stream(spark, sf_dir))
+    table = KeyedTable.create(spark, scratch_path(spark, "history"), msgs.schema, "user_id", ("timestamp", "id"), buckets=16)
+    I.append_stream(msgs, table, _stream_dirs(spark, "append")[1], "ingest").awaitTermination()
+    table.append(T.message_log(spark, sf_dir), "ingest", table.manifest().epochs["ingest"])
+    table.compact()
+    return table.read()
+
+
 def _throttled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All decisions and mute ends of the throttle stream over ``events``."""
     from ..session import scratch_path
@@ -570,6 +637,11 @@ QUERIES: dict[str, Query] = {
     "users_upsert": users_upsert,
     "users_zone_update": users_zone_update,
     "history_delete": history_delete,
+    "users_upsert_written": users_upsert_written,
+    "users_zone_written": users_zone_written,
+    "history_delete_written": history_delete_written,
+    "history_keyed": history_keyed,
+    "stream_append": stream_append,
     "mutes_active": mutes_active,
     "segment_localized": segment_localized,
     "stream_ingest": stream_ingest,
@@ -637,6 +709,11 @@ ORACLE_SQL: dict[str, str] = {
     "users_upsert": Q.USERS_UPSERT,
     "users_zone_update": Q.USERS_ZONE_UPDATE,
     "history_delete": Q.HISTORY_DELETE,
+    "users_upsert_written": Q.USERS_UPSERT,
+    "users_zone_written": Q.USERS_ZONE_UPDATE,
+    "history_delete_written": Q.HISTORY_DELETE,
+    "history_keyed": Q.HISTORY_KEYED,
+    "stream_append": Q.STREAM_INGEST,
     "mutes_active": Q.MUTES_ACTIVE,
     "segment_localized": Q.SEGMENT_LOCALIZED,
     "stream_ingest": Q.STREAM_INGEST,

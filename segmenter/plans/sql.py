@@ -495,6 +495,9 @@ SELECT sc.Buyer, u.lang_raw, CASE WHEN u.lang_raw IN ('ru', 'en') THEN u.lang_ra
             ELSE sc.Segment END AS segment_local
 FROM sc JOIN u ON sc.Buyer = u.Buyer"""
 
+HISTORY_KEYED = """SELECT event_id AS id, concat_ws(' ', event_type, props) AS message, ts AS timestamp,
+  CAST(row_number() OVER (ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rn
+FROM events WHERE user_id = (SELECT min(user_id) FROM events)"""
 STREAM_INGEST = """SELECT event_id AS id, user_id, concat_ws(' ', event_type, props) AS message, ts AS timestamp FROM events"""
 
 

@@ -1,4 +1,4 @@
-"""Table writes in the shared folder (append, full refresh)."""
+"""Table writes in the shared folder; committed versions are in ``keyed_table``."""
 
 from __future__ import annotations
 
@@ -9,11 +9,6 @@ from ..errors import DataQualityError
 from ..session import scratch_path
 
 
-def append(df: DataFrame, path: str) -> None:
-    """Append rows (the message log sink)."""
-    df.write.mode("append").parquet(path)
-
-
 def load_corpus(corpus: DataFrame, path: str | None = None, dim: int | None = None) -> DataFrame:
     """Full refresh of the recommendation corpus with a vector-width check.
 

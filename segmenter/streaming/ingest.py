@@ -39,6 +39,16 @@ def ingest(stream: DataFrame, sink_path: str, checkpoint: str, once: bool = True
     return w.start(sink_path)
 
 
+def append_stream(stream: DataFrame, table, checkpoint: str, writer: str, once: bool = True) -> StreamingQuery:
+    """Append every micro-batch to a ``KeyedTable`` under its epoch: a batch that
+    is sent again after a failure adds nothing."""
+    def add(batch: DataFrame, epoch: int) -> None:
+        table.append(batch, writer, epoch)
+
+    w = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w.trigger(processingTime="10 seconds")).start()
+
+
 def until_end(msgs: DataFrame, marks: str) -> DataFrame:
     """``msgs`` (id, user_id, timestamp, ...) and the end-of-input marks written
     under ``marks``. A finite input never moves the watermark past its own last
