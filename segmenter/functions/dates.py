@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Accepted date formats, tried in this order (month first for
-# ambiguous slashed or dashed dates), each with the shape a value must have before
+# ambiguous slashed or dashed dates, day first where that is no date), each with the shape a value must have before
 # the parser is tried (parse failures are expensive; shape checks are not).
 _D = r"[0-9]{1,2}"
 DATE_FORMATS = [
@@ -16,6 +16,9 @@ DATE_FORMATS = [
     (rf"^[0-9]{{4}}/{_D}/{_D}$", "yyyy/M/d"),
     (rf"^[0-9]{{4}}\.{_D}\.{_D}$", "yyyy.M.d"),
     (rf"^{_D}/{_D}/[0-9]{{4}}$", "M/d/yyyy"),
+    (rf"^{_D}/{_D}/[0-9]{{4}}$", "d/M/yyyy"),
+    (rf"^{_D}/{_D}/[0-9]{{2}}$", "M/d/yy"),
+    (rf"^{_D}/{_D}/[0-9]{{2}}$", "d/M/yy"),
     (rf"^{_D}-{_D}-[0-9]{{4}}$", "M-d-yyyy"),
     (rf"^{_D}-{_D}-[0-9]{{4}}$", "d-M-yyyy"),
     (rf"^{_D}\.{_D}\.[0-9]{{4}}$", "d.M.yyyy"),
@@ -31,6 +34,13 @@ _WITH_TIME = (rf"^(.*?[0-9])(?:(?:T| +)({_D}):({_D})(?::({_D}(?:\.[0-9]{{1,9}})?
               r" ?(?:Z|UTC|[+-][0-9]{2}:?[0-9]{2})?)?$")
 
 
+def _century(t: Column, fmt: str) -> Column:
+    """Two-digit years 69 to 99 are of the 1900s, 00 to 68 of the 2000s."""
+    if "yyyy" in fmt:
+        return t
+    return F.when(F.year(t) >= 2069, t - F.expr("INTERVAL 100 YEARS")).otherwise(t)
+
+
 def parse_date(c: Column | str, formats: list[tuple[str, str]] | None = None) -> Column:
     """First date format that parses wins; a time may follow any of them. A zone
     is passed over: the value is the wall-clock time as written. Nothing parses,
@@ -40,7 +50,7 @@ def parse_date(c: Column | str, formats: list[tuple[str, str]] | None = None) ->
     date, h, m, sec, half = (F.regexp_extract(s, _WITH_TIME, i) for i in range(1, 6))
     # The date text is found once a row and bound to ``d``, not repeated in every try.
     day = F.transform(F.array(date), lambda d: F.coalesce(*[
-        F.when(d.rlike(shape), F.try_to_timestamp(d, F.lit(fmt))) for shape, fmt in (formats or DATE_FORMATS)]))
+        F.when(d.rlike(shape), _century(F.try_to_timestamp(d, F.lit(fmt)), fmt)) for shape, fmt in (formats or DATE_FORMATS)]))
     day = day[0].cast("timestamp_ntz")
     hour, minute = h.try_cast("int"), m.try_cast("int")
     second = F.coalesce(sec.try_cast("decimal(8,6)"), F.lit(0).cast("decimal(8,6)"))

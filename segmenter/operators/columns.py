@@ -43,10 +43,6 @@ def project_canonical(df: DataFrame, aliases: dict[str, list[str]] | None = None
     return df.select(*[F.col(f"`{src}`").alias(key) for key, src in found.items()])
 
 
-def drop_nulls(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.na.drop(subset=columns)
-
-
 def with_default(df: DataFrame, column: str, value: float = 1.0) -> DataFrame:
     """Add ``column`` as a constant when absent (frequency defaults to 1)."""
     if column in df.columns:

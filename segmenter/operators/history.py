@@ -66,6 +66,42 @@ def history_page(msgs: DataFrame, page: int = 0, page_size: int = PAGE_SIZE, use
             .withColumn("has_next", F.least(F.lit(hi), F.col("total")) < F.col("total")))
 
 
+def history_page_deep(msgs: DataFrame, page: int, page_size: int = PAGE_SIZE, user_col: str = "user_id", ts: str = "timestamp",
+                      id_col: str = "id", bucket_seconds: int = 3600) -> DataFrame:
+    """T2 far back: rows of ``page`` per user with ``rn`` and ``total``.
+
+    Row counts per user and time bucket say which buckets hold the page; only
+    their rows are ranked, after the rows of newer buckets. ``history_page``
+    sends up to (page + 1) * page_size rows per user from every task; this sends
+    the counts and the rows of one or two buckets per user."""
+    lo, hi = page * page_size, (page + 1) * page_size
+    bucket = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (bucket_seconds * 1_000_000))
+    counts = msgs.groupBy(F.col(user_col).alias("_u"), bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    user = Window.partitionBy("_u")
+    newer = F.coalesce(F.sum("_n").over(user.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = (counts.withColumn("_newer", newer).withColumn("total", F.sum("_n").over(user))
+              .where((F.col("_newer") < hi) & (F.col("_newer") + F.col("_n") > lo)).drop("_n"))
+    rows = msgs.withColumn("_bucket", bucket)
+    rows = rows.join(wanted, F.col(user_col).eqNullSafe(F.col("_u")) & F.col("_bucket").eqNullSafe(F.col("_b")))
+    inside = Window.partitionBy(user_col, "_bucket").orderBy(F.col(ts).desc(), F.col(id_col).desc())
+    return (rows.withColumn("rn", F.col("_newer") + F.row_number().over(inside)).where((F.col("rn") > lo) & (F.col("rn") <= hi))
+            .drop("_u", "_b", "_bucket", "_newer"))
+
+
+# Title of a history page.
+HISTORY_TITLE = {"ru": "📜 История переписки:", "en": "📜 Chat history:"}
+
+
+def page_text(rendered: DataFrame, page: int = 0, lang: str = "en", user_col: str = "user_id") -> DataFrame:
+    """A page as one text per user: title, page number, headers and lines.
+    A page is at most ``page_size`` lines, so the per-user list is bounded.
+    Expects the columns of :func:`render_lines` and ``pages``."""
+    line = F.concat(F.coalesce(F.concat(F.col("header"), F.lit("\n\n")), F.lit("")), F.col("line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rn", line.alias("text")))), lambda x: x["text"])
+    title = F.concat(F.lit(f"{HISTORY_TITLE[lang]} (Страница {page + 1} из "), F.max("pages").cast("string"), F.lit(")\n\n"))
+    return rendered.groupBy(user_col).agg(F.concat(title, F.array_join(lines, "\n\n")).alias("text"))
+
+
 def render_lines(page_rows: DataFrame, period: str | None = None, lang: str = "en",
                  user_col: str = "user_id", width: int = WRAP_WIDTH) -> DataFrame:
     """Local time text, wrapped message, period key and a header

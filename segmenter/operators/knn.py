@@ -243,12 +243,22 @@ PROMPTS = {
         "found": "Вот предварительные рекомендации из базы",
         "refine": "Уточни и дополни эти рекомендации, чтобы они были максимально полезны и конкретны для бизнеса.",
         "none": "Предложи конкретные и практические рекомендации для улучшения бизнеса.",
+        "analysis": "RFM-анализ",
+        "dominant": "Доминирующий сегмент",
+        "preliminary": "Предварительные рекомендации",
+        "dominant_refine": "Уточни и дополни рекомендации для бизнеса масс-маркета. Пиши не очень много",
+        "dominant_none": "Предложи рекомендации для бизнеса масс-маркета (пиши не очень много)",
     },
     "en": {
         "asked": "User requested business recommendations",
         "found": "Here are preliminary recommendations from the database",
         "refine": "Refine and enhance these recommendations to be as helpful and specific as possible for the business.",
         "none": "Provide specific and practical recommendations for improving the business.",
+        "analysis": "RFM analysis",
+        "dominant": "Dominant segment",
+        "preliminary": "Preliminary recommendations",
+        "dominant_refine": "Refine and provide actionable recommendations for a mass-market retail business.",
+        "dominant_none": "Provide actionable recommendations for a mass-market retail business.",
     },
 }
 
@@ -278,3 +288,20 @@ def prompt_digest(requests: DataFrame, hits: DataFrame, request_id: str = "reque
     return r.select(request_id, F.coalesce(F.col("n_hits"), F.lit(0)).cast("long").alias("n_hits"),
                     F.col("digest"),
                     F.when(F.col("n_hits") > 0, with_hits).otherwise(without).alias("prompt"))
+
+
+def dominant_prompt(requests: DataFrame, hits: DataFrame, request_id: str = "request_id", segment_name: str = "segment_name",
+                    lang: str = "language") -> DataFrame:
+    """V4, second family: the prompt about an analysis' dominant segment, with the
+    texts found for that segment in rank order, or the template without any.
+
+    Hits per request are at most k, so the per-request list is bounded.
+    """
+    found = hits.groupBy(request_id).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("hit_rank", "recommendation"))), lambda h: h["recommendation"]), "\n").alias("_found"))
+    lc, nl = F.col(lang), F.lit("\n")
+    head = F.concat(_by_lang(lc, "analysis"), F.lit(":\n"), _by_lang(lc, "dominant"), F.lit(": "), F.col(segment_name), nl)
+    with_hits = F.concat(head, _by_lang(lc, "preliminary"), F.lit(":\n"), F.col("_found"), nl, _by_lang(lc, "dominant_refine"))
+    without = F.concat(head, _by_lang(lc, "dominant_none"))
+    r = requests.join(found, request_id, "left")
+    return r.select(request_id, lang, segment_name, F.when(F.col("_found").isNotNull(), with_hits).otherwise(without).alias("prompt"))

@@ -18,6 +18,7 @@ from ..operators import summary as S
 from ..operators.clean import clamp_negative, clean_customers, fill_median, typed_frame
 from ..operators.rank import with_global_rank
 from ..operators.score import bins_probs
+from ..schemas import SEGMENTS
 from ..operators.selection import exact_quantiles_many
 from ..sources import tables as T
 from . import sql as Q
@@ -48,6 +49,19 @@ def score_tied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze(T.tied_metrics(spark, sf_dir)).scored
 
 
+def score_few_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5 + Q7: measures of 2, 3 and 4 different values are scored with as many bins."""
+    o = T.table(spark, sf_dir, "orders")
+    out = None
+    for k in (2, 3, 4):
+        value = (F.col("o_orderkey") % k).cast("double")
+        m = o.select(F.concat(F.lit("C"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("client_id"), value.alias("recency"),
+                     (value * 10).alias("amount"), value.alias("frequency"))
+        scored = analyze(m).scored.select(F.lit(k).alias("bins"), "Buyer", "R_Score", "F_Score", "M_Score", "Segment")
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
 def f_score_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q3 on one row per purchase without a frequency: how many rows of each
     buyer got each F score (rows of one id are ranked one by one)."""
@@ -85,6 +99,28 @@ def parse_dates_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                     recency_days(parsed, T.AS_OF).alias("recency"))
 
 
+def parse_date_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates written in eight layouts, day-first slashes among them."""
+    o = T.table(spark, sf_dir, "orders")
+    d = F.col("o_orderdate")
+    layouts = ["yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "MM/dd/yy", "yyyyMMdd", "yyyy-MM-dd HH:mm:ss"]
+    raw = F.date_format(d, layouts[0])
+    for i, layout in enumerate(layouts[1:], 1):
+        raw = F.when(F.col("o_orderkey") % len(layouts) == i, F.date_format(d, layout)).otherwise(raw)
+    return o.select("o_orderkey", raw.alias("raw_date"), parse_date(raw).alias("date"))
+
+
+def label_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per region, a map of nation labels in which every third is missing or
+    null, filled up from the default map."""
+    n = T.table(spark, sf_dir, "nation")
+    key = F.col("n_nationkey")
+    labels = n.groupBy("n_regionkey").agg(
+        F.map_from_entries(F.collect_list(F.struct(key, F.col("n_name")))).alias("default"),
+        F.map_from_entries(F.collect_list(F.when(key % 3 != 0, F.struct(key, F.when(key % 3 == 1, F.upper("n_name")))))).alias("local"))
+    return labels.select("n_regionkey", F.explode(S.labels_with_fallback(F.col("local"), F.col("default"))).alias("n_nationkey", "label"))
+
+
 def _cleaned(spark, sf_dir):
     return clean_customers(_dirty(spark, sf_dir), as_of=T.AS_OF, passthrough=("row_key",))
 
@@ -195,6 +231,30 @@ def prompt_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.prompt_digest(reqs.select("request_id", "language", "query_text"), hits)
 
 
+def prompt_no_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4: requests of which a third name a segment without texts: the no-hit prompt."""
+    reqs = T.requests_from_embeddings(spark, sf_dir)
+    reqs = reqs.withColumn("segment", F.when(F.col("request_id") % 3 == 0, "none").otherwise(F.col("segment")))
+    hits = K.knn_join(reqs, T.corpus(spark, sf_dir), ["language", "segment"], k=3)
+    return K.prompt_digest(reqs.select("request_id", "language", "query_text"), hits)
+
+
+def prompt_dominant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2 + V1 + V4: the dominant segment's prompt in both languages, from the texts
+    of that segment nearest to the language's mean vector; and for a segment without texts."""
+    top = _summary(spark, sf_dir).agg(F.max_by("seg_ord", F.struct(F.col("customers"), -F.col("seg_ord"))).alias("seg_ord"))
+    corpus = T.corpus(spark, sf_dir)
+    means = (corpus.select("language", F.posexplode("embedding").alias("i", "v")).groupBy("language", "i").agg(F.avg("v").alias("v"))
+             .groupBy("language").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("query_vec")))
+    names = spark.createDataFrame([(r[0], lang, r[i]) for r in SEGMENTS for lang, i in (("ru", 2), ("en", 3))],
+                                  "seg_ord INT, language STRING, segment_name STRING")
+    reqs = (top.join(names, "seg_ord").join(means, "language")
+            .select("language", "segment_name", "query_vec", F.explode(F.array(F.col("seg_ord").cast("string"), F.lit("none"))).alias("segment"))
+            .withColumn("request_id", F.concat_ws("/", "language", "segment")))
+    hits = K.knn_join(reqs, corpus, ["language", "segment"], k=3)
+    return K.dominant_prompt(reqs, hits)
+
+
 def corpus_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full-refresh write of the corpus with a vector-width check, read back."""
     from ..sources.sinks import load_corpus
@@ -229,6 +289,18 @@ def history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "has_prev", "has_next")
 
 
+def history_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W6 + X1: the first page of every user as text with title and day headers, in
+    parts of at most 400 characters."""
+    p = H.render_lines(_page0(spark, sf_dir), period="day", lang="en")
+    return chunk_text(H.page_text(p), "text", "user_id", 400)
+
+
+def history_page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fourth page of every user that has one."""
+    return H.history_page_deep(T.message_log(spark, sf_dir), page=3, bucket_seconds=86400).select("user_id", "id", "rn", "total")
+
+
 def history_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day, week (%U) and month keys of every message in local time."""
     ts = F.col("local_ts")
@@ -289,6 +361,12 @@ def text_bold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", boldify("text").alias("text"))
 
 
+def text_bold_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C8 on texts full of ``**``: every full stop becomes one."""
+    c = T.table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", boldify(F.replace(F.col("text"), F.lit("."), F.lit("**"))).alias("text"))
+
+
 def text_wrap50(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C9 on every conversation turn."""
     c = T.table(spark, sf_dir, "conversations")
@@ -331,7 +409,7 @@ def alias_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 def preview_first5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First five accepted rows by client id."""
     acc = _scan(spark, sf_dir).accepted
-    return acc.orderBy(F.col("Client").cast("long")).limit(5)
+    return CS.preview(acc.withColumn("_id", F.col("Client").cast("long")), ["_id"]).drop("_id")
 
 
 def csv_rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -591,6 +669,14 @@ def csv_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "prompt_no_hits": prompt_no_hits,
+    "prompt_dominant": prompt_dominant,
+    "history_page_text": history_page_text,
+    "history_page_deep": history_page_deep,
+    "text_bold_marked": text_bold_marked,
+    "score_few_values": score_few_values,
+    "parse_date_layouts": parse_date_layouts,
+    "label_fallback": label_fallback,
     "rfm_segments": rfm_segments,
     "segment_summary": segment_summary,
     "score_fallback": score_fallback,
@@ -663,6 +749,14 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "prompt_no_hits": Q.PROMPT_NO_HITS,
+    "prompt_dominant": Q.PROMPT_DOMINANT,
+    "history_page_text": Q.HISTORY_PAGE_TEXT,
+    "history_page_deep": Q.HISTORY_PAGE_DEEP,
+    "text_bold_marked": Q.TEXT_BOLD_MARKED,
+    "score_few_values": Q.SCORE_FEW_VALUES,
+    "parse_date_layouts": Q.PARSE_DATE_LAYOUTS,
+    "label_fallback": Q.LABEL_FALLBACK,
     "rfm_segments": Q.RFM_SEGMENTS,
     "segment_summary": Q.SEGMENT_SUMMARY,
     "score_fallback": Q.SCORE_FALLBACK,

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import DataQualityError
 from ..operators.clean import CleanResult, clean_customers
-from ..operators.columns import project_canonical, with_default
+from ..operators.columns import with_default
 from ..operators.score import ScorePlan, assign_segment, plan_scores, score
 from ..operators.summary import segment_summary
 
@@ -55,8 +55,3 @@ def analyze(canonical: DataFrame, as_of: str | None = None, lang: str = "ru",
     scored = scored.select("Buyer", "Recency", "Monetary", "Frequency",
                            "R_Score", "F_Score", "M_Score", "Segment")
     return RfmResult(scored, segment_summary(scored, lang), plan, cleaning)
-
-
-def analyze_any_headers(raw: DataFrame, as_of: str | None = None, lang: str = "ru") -> RfmResult:
-    """Raw frame with arbitrary headers (P1 resolves them) -> result."""
-    return analyze(project_canonical(raw), as_of=as_of, lang=lang)

@@ -11,17 +11,14 @@ from ..sources.tables import ADAPTER_ZONES, AS_OF, AS_OF_TIED
 
 
 def segment_case(r: str = "R_Score", f: str = "F_Score", m: str = "M_Score", lang: str = "ru") -> str:
-    idx = 2 if lang == "ru" else 3
-    name = {row[1]: row[idx] for row in SEGMENTS}
-    s, fm = f"({r} + {f} + {m})", f"({f} + {m})"
-    return (f"CASE WHEN {s} = 15 THEN '{name['VIP']}' "
-            f"WHEN {s} >= 12 THEN '{name['Loyal']}' "
-            f"WHEN {r} = 5 AND {fm} <= 7 THEN '{name['New']}' "
-            f"WHEN {s} = 9 THEN '{name['At-Risk']}' "
-            f"WHEN {s} = 3 THEN '{name['Lost']}' "
-            f"WHEN {r} >= 4 THEN CASE WHEN {fm} <= 7 THEN '{name['New']}' ELSE '{name['Loyal']}' END "
-            f"WHEN {r} <= 2 THEN CASE WHEN {fm} <= 4 THEN '{name['Lost']}' ELSE '{name['At-Risk']}' END "
-            f"ELSE '{name['At-Risk']}' END")
+    """Segment of three scores: by R, the sums of F and M from which a better segment begins."""
+    name = {row[1]: row[2 if lang == "ru" else 3] for row in SEGMENTS}
+    fm = f"({f} + {m})"
+    # R: [(least F + M, segment), ...], best first.
+    bands = {5: [(10, "VIP"), (7, "Loyal"), (2, "New")], 4: [(8, "Loyal"), (6, "New"), (5, "At-Risk"), (2, "New")],
+             3: [(9, "Loyal"), (2, "At-Risk")], 2: [(10, "Loyal"), (5, "At-Risk"), (2, "Lost")], 1: [(5, "At-Risk"), (2, "Lost")]}
+    arms = [f"WHEN {r} = {k} AND {fm} >= {least} THEN '{name[code]}'" for k, steps in bands.items() for least, code in steps]
+    return f"CASE {' '.join(arms)} END"
 
 
 def norm_id(x: str) -> str:
@@ -283,6 +280,31 @@ SELECT r.request_id, CAST(coalesce(n_hits, 0) AS BIGINT) AS n_hits, digest,
   END AS prompt
 FROM r LEFT JOIN dg USING (request_id)"""
 
+PROMPT_NO_HITS = PROMPT_DIGEST.replace(KNN_UNFILTERED, KNN_FILTERED.replace(
+    "FROM c AS r JOIN c ON", "FROM c AS r JOIN c ON r.id % 3 <> 0 AND"))
+
+PROMPT_DOMINANT = f"""WITH {CORPUS_CTE},
+top AS (SELECT seg_ord FROM ({SEGMENT_SUMMARY}) ORDER BY customers DESC, seg_ord LIMIT 1),
+names(seg_ord, language, segment_name) AS (VALUES {', '.join(f"({r[0]}, '{lang}', '{r[i]}')" for r in SEGMENTS for lang, i in (('ru', 2), ('en', 3)))}),
+u AS (SELECT language, i, avg(v) AS v FROM (SELECT language, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM c) GROUP BY language, i),
+q AS (SELECT language, list(v ORDER BY i) AS qv FROM u GROUP BY language),
+r AS (SELECT language, segment_name, qv, unnest([CAST(seg_ord AS VARCHAR), 'none']) AS segment FROM top JOIN names USING (seg_ord) JOIN q USING (language)),
+h AS (SELECT r.language, r.segment, c.recommendation, row_number() OVER (PARTITION BY r.language, r.segment ORDER BY list_distance(c.embedding, r.qv), c.id) AS k
+      FROM r JOIN c ON c.language = r.language AND c.segment = r.segment),
+g AS (SELECT language, segment, string_agg(recommendation, chr(10) ORDER BY k) AS found FROM h WHERE k <= 3 GROUP BY language, segment)
+SELECT language || '/' || segment AS request_id, language, segment_name,
+  CASE WHEN language = 'en' THEN 'RFM analysis' ELSE 'RFM-анализ' END || ':' || chr(10) ||
+  CASE WHEN language = 'en' THEN 'Dominant segment' ELSE 'Доминирующий сегмент' END || ': ' || segment_name || chr(10) ||
+  CASE WHEN found IS NULL THEN
+    CASE WHEN language = 'en' THEN 'Provide actionable recommendations for a mass-market retail business.'
+         ELSE 'Предложи рекомендации для бизнеса масс-маркета (пиши не очень много)' END
+  ELSE
+    CASE WHEN language = 'en' THEN 'Preliminary recommendations' ELSE 'Предварительные рекомендации' END || ':' || chr(10) || found || chr(10) ||
+    CASE WHEN language = 'en' THEN 'Refine and provide actionable recommendations for a mass-market retail business.'
+         ELSE 'Уточни и дополни рекомендации для бизнеса масс-маркета. Пиши не очень много' END
+  END AS prompt
+FROM r LEFT JOIN g USING (language, segment)"""
+
 CORPUS_LOAD = f"""WITH {CORPUS_CTE}
 SELECT id, segment, language, recommendation, CAST(len(embedding) AS INTEGER) AS dim FROM c"""
 
@@ -353,6 +375,8 @@ OVER_LIMIT = f"SELECT * FROM ({recent_sql(86400)}) WHERE recent > 5"
 TEXT_BOLD = r"""SELECT conv_id, turn, regexp_replace(text, '(?s)\*\*(.*?)\*\*', '<b>\1</b>', 'g') AS text
 FROM conversations"""
 
+TEXT_BOLD_MARKED = TEXT_BOLD.replace("regexp_replace(text,", "regexp_replace(replace(text, '.', '**'),")
+
 TEXT_WRAP50 = f"SELECT conv_id, turn, {wrap_sql('text')} AS text FROM conversations"
 
 
@@ -550,3 +574,47 @@ LATERAL (SELECT CASE
   WHEN rule = 'filled' AND "column" = 'frequency' THEN null_f
   WHEN rule = 'clamped' AND "column" = 'frequency' THEN neg_f
   ELSE 0 END AS n) x"""
+
+
+# --- layouts, labels, few values, pages ------------------------------------------------
+
+_LAYOUTS = ["%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y", "%d/%m/%Y", "%Y/%m/%d", "%m/%d/%y", "%Y%m%d", "%Y-%m-%d %H:%M:%S"]
+# A day-first date of which the day may be a month is read month first.
+PARSE_DATE_LAYOUTS = f"""SELECT o_orderkey,
+  CASE o_orderkey % {len(_LAYOUTS)} {' '.join(f"WHEN {i} THEN strftime(o_orderdate, '{x}')" for i, x in enumerate(_LAYOUTS))} END AS raw_date,
+  CASE WHEN o_orderkey % {len(_LAYOUTS)} = 3 AND day(o_orderdate) <= 12 THEN CAST(make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) AS TIMESTAMP)
+       WHEN o_orderkey % {len(_LAYOUTS)} = 7 THEN CAST(date_trunc('second', o_orderdate) AS TIMESTAMP)
+       ELSE CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) END AS date
+FROM orders"""
+
+LABEL_FALLBACK = """SELECT n_regionkey, n_nationkey, CASE WHEN n_nationkey % 3 = 1 THEN upper(n_name) ELSE n_name END AS label FROM nation"""
+
+
+def _few_values(k: int) -> str:
+    edges = ", ".join(repr(i / k) for i in range(1, k))
+    return f"""SELECT {k} AS bins, Buyer, R_Score, F_Score, M_Score, {segment_case()} AS Segment FROM (
+  SELECT Buyer, CAST({k} - b AS INTEGER) AS R_Score, CAST(b + 1 AS INTEGER) AS M_Score,
+         CAST(greatest(1, ceil({float(k)} * (rn - 1) / (n - 1))) AS INTEGER) AS F_Score
+  FROM (SELECT Buyer, n, row_number() OVER (ORDER BY v, Buyer) AS rn, len(list_filter(e, lambda x: v > x)) AS b
+        FROM (SELECT 'C' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS Buyer, CAST(o_orderkey % {k} AS DOUBLE) AS v FROM orders),
+             (SELECT quantile_cont(CAST(o_orderkey % {k} AS DOUBLE), [{edges}]) AS e, count(*) AS n FROM orders)))"""
+
+
+SCORE_FEW_VALUES = " UNION ALL ".join(_few_values(k) for k in (2, 3, 4))
+
+HISTORY_PAGE_DEEP = """SELECT user_id, id, rn, total FROM (
+  SELECT user_id, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn,
+         count(*) OVER (PARTITION BY user_id) AS total FROM events)
+WHERE rn BETWEEN 31 AND 40"""
+
+HISTORY_PAGE_TEXT = chunks_sql(400).replace(
+    "SELECT doc_id, -1, CAST(NULL AS VARCHAR), text FROM documents WHERE", f"""SELECT doc_id, -1, CAST(NULL AS VARCHAR), text FROM (
+    WITH {PAGE_CTE},
+    lines AS (SELECT user_id, rn, total, strftime(local_ts, '%Y-%m-%d') AS day,
+                     strftime(local_ts, '%Y-%m-%d %H:%M:%S') || chr(10) || {wrap_sql('message')} AS line FROM page),
+    headed AS (SELECT *, lag(day) OVER (PARTITION BY user_id ORDER BY rn) AS before FROM lines)
+    SELECT user_id AS doc_id, '📜 Chat history: (Страница 1 из ' || CAST((max(total) - 1) // 10 + 1 AS VARCHAR) || ')' || chr(10) || chr(10) ||
+      string_agg(CASE WHEN before IS DISTINCT FROM day THEN chr(10) || '<b>' || day || '</b>' || chr(10) || chr(10) ELSE '' END || line,
+                 chr(10) || chr(10) ORDER BY rn) AS text
+    FROM headed GROUP BY user_id) WHERE""").replace(
+    "SELECT doc_id, CAST(chunk_no", "SELECT doc_id AS user_id, CAST(chunk_no")

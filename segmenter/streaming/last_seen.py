@@ -4,8 +4,7 @@ per-batch maxima.
 Each micro-batch writes its per-user maxima into its own epoch folder (a
 replayed batch overwrites the same folder, so the sink is exactly-once), and
 readers take the maximum per user -- an idempotent, partially aggregated
-reduction. A micro-batch costs O(batch), never a rewrite of the whole table;
-``compact`` folds the log into one base table when it grows.
+reduction. A micro-batch costs O(batch), never a rewrite of the whole table.
 """
 
 from __future__ import annotations
@@ -29,12 +28,6 @@ def read_table(spark: SparkSession, base: str) -> DataFrame | None:
     return log.groupBy("user_id").agg(F.max("last_time").alias("last_time"))
 
 
-def compact(spark: SparkSession, base: str, target: str) -> DataFrame:
-    """Fold the log into one table at ``target`` (a new location)."""
-    read_table(spark, base).write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
-
-
 def last_seen_stream(msgs: DataFrame, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     def merge(batch: DataFrame, epoch: int) -> None:
         (batch.groupBy("user_id").agg(F.max("timestamp").alias("last_time"))

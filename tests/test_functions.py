@@ -79,6 +79,8 @@ def test_parse_date_with_times_and_zones(spark):
              "31.01.24": "2024-01-31 00:00:00", "2024.01.31": "2024-01-31 00:00:00",
              "01/31/2024 5:00 PM": "2024-01-31 17:00:00", "01/31/2024 12:05 am": "2024-01-31 00:05:00",
              "31.01.2024 10:00:00": at, "Jan 31, 2024 10:00": at, "2024-01-31 25:00": None, "2024-01-31 10:75": None,
+             "31/01/2024": "2024-01-31 00:00:00", "31/01/2024 10:00": at, "02/01/2024": "2024-02-01 00:00:00", "31/13/2024": None,
+             "31/01/69": "1969-01-31 00:00:00", "01/31/68": "2068-01-31 00:00:00", "31.01.99": "1999-01-31 00:00:00",
              "2024-02-31": None, "10:00": None, "soon 5": None, "": None}
     got = one_col(spark, list(cases), parse_date)
     assert [None if g is None else str(g) for g in got] == list(cases.values())
