@@ -48,3 +48,15 @@ def with_default(df: DataFrame, column: str, value: float = 1.0) -> DataFrame:
     if column in df.columns:
         return df
     return df.withColumn(column, F.lit(value).cast("double"))
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, partitions_for
+from .columns import free_names
 
 _LOW_BITS = (1 << 33) - 1
 CHUNK = 1024  # partitions per chunk of the prefix sum
@@ -50,18 +51,6 @@ class Ranked:
     sizes: dict[int, int] | None
 
 
-def _names(df: DataFrame, *wanted: str) -> list[str]:
-    """Column names like ``wanted`` that ``df`` does not have."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in wanted:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def partition_offsets(counts: DataFrame, pid: str, group: str, n: str, offset: str) -> DataFrame:
     """``counts`` (one row per partition and group) with ``offset``: rows of the
     group in earlier partitions minus rows of earlier groups in the partition.
@@ -82,7 +71,7 @@ def partition_offsets(counts: DataFrame, pid: str, group: str, n: str, offset: s
 
 def _ranged(df: DataFrame, keys: list[Column], group: str | None, rank_col: str, n_parts: int) -> tuple[DataFrame, DataFrame]:
     """(ranked rows, row count per partition and group) by range partitions."""
-    pid, mid, opid, g, off = _names(df, "_pid", "_mid", "_opid", "_g", "_off")
+    pid, mid, opid, g, off = free_names(df, "_pid", "_mid", "_opid", "_g", "_off")
     sort = ([F.col(group)] if group else []) + keys
     ordered = cut_lineage(df.repartitionByRange(n_parts, *sort).sortWithinPartitions(*sort)
                           .withColumn(pid, F.spark_partition_id())
@@ -112,7 +101,7 @@ def rank_table(df: DataFrame, order_by: Sequence[str | Column], group: str | Non
     if group is None:
         ranked, counts = _ranged(df, keys, None, rank_col, n_parts)
         return Ranked(ranked, {0: counts.agg(F.sum("n")).first()[0] or 0})
-    g, mark = _names(df, "_group", "_heavy")
+    g, mark = free_names(df, "_group", "_heavy")
     # At most rows / heavy_rows groups.
     heavy = cut_lineage(df.groupBy(F.col(group).alias(g)).agg(F.count(F.lit(1)).alias("n"))
                         .where(F.col("n") > heavy_rows).select(g, F.lit(True).alias(mark)), "heavy")

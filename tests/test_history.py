@@ -26,7 +26,7 @@ def test_second_page_matches_brute_force(spark):
 def test_deep_page_of_a_hot_user_sends_few_rows(spark):
     """Page 1,000 of a user with 30,000 messages: the rows of one bucket are ranked."""
     rows = spark.range(30_000).selectExpr("id", "if(id % 3 = 0, null, 7) as user_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, id) as timestamp")
-    rows = rows.unionByName(spark.createDataFrame([(99_999, 7, None)], rows.schema))
+    rows = rows.unionByName(spark.createDataFrame([(99_999, 7, None)], "id LONG, user_id INT, timestamp TIMESTAMP_NTZ"))
     page = history_page_deep(rows, 1000, 10)
     w = Window.partitionBy("user_id").orderBy(F.col("timestamp").desc(), F.col("id").desc())
     exp = rows.withColumn("rn", F.row_number().over(w)).where("rn between 10001 and 10010")
