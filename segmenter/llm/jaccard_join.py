@@ -25,9 +25,13 @@ pivot. Pairs below the needed overlap are skipped, and so are pairs whose sets
 the links found so far connect already, since components are asked for. A group
 of near copies thus costs one comparison a set, not all pairs.
 
-The same holds for a small sketch of each set, the parities of its tokens in
-hash buckets: sets that differ in more bits than linked sets may differ in
-tokens are skipped. None of these bounds loses a link; what is left is compared
+A pair that shares many prefix tokens would be met in as many lists. An entry
+holds the first tokens of its set, and a pair that has one of them in common was
+met, and judged, in that token's list.
+
+Pairs are also skipped by a small sketch of each set, the parities of its tokens in
+hash buckets: linked sets cannot differ in more bits than they may differ in
+tokens. Nothing of this loses a link; what is left is compared
 exactly on the full sets.
 
 Defined results: null and empty texts and texts without words have an empty
@@ -83,9 +87,10 @@ def _sets(batch, table, n: int):
         yield shingle_set(h[rows[i]:rows[i + 1]], n)
 
 
-BLOCK = ("block long, doc_ids array<long>, n array<int>, sig_a array<long>, sig_b array<long>, "
+BLOCK = ("block long, doc_ids array<long>, text_hash array<long>, n array<int>, sig_a array<long>, sig_b array<long>, "
          "sketch array<array<long>>, counted binary, offsets binary, tokens binary")
 _SKETCH = 8  # words of 64 bits
+HEAD = 4
 
 
 def _blocks(table, n: int, keep: Fraction, bound: int, block_bytes: int):
@@ -99,10 +104,10 @@ def _blocks(table, n: int, keep: Fraction, bound: int, block_bytes: int):
         cols, size = [], 0
 
         def row():
-            off = np.r_[0, np.cumsum([len(c[5]) for c in cols])]
+            off = np.r_[0, np.cumsum([len(c[5]) for c in cols])]  # c[7]: hash of the text
             one = lambda i, t: pa.array([[c[i] for c in cols]], pa.list_(t))
             return pa.RecordBatch.from_pydict({
-                "block": pa.array([0], pa.int64()), "doc_ids": one(0, pa.int64()), "n": one(1, pa.int32()),
+                "block": pa.array([0], pa.int64()), "doc_ids": one(0, pa.int64()), "text_hash": one(7, pa.int64()), "n": one(1, pa.int32()),
                 "sig_a": one(2, pa.int64()), "sig_b": one(3, pa.int64()), "sketch": one(4, pa.list_(pa.int64())),
                 "counted": pa.array([np.array([c[6] for c in cols], np.int32).tobytes()], pa.binary()),
                 "offsets": pa.array([off.astype(np.int64).tobytes()], pa.binary()),
@@ -110,10 +115,11 @@ def _blocks(table, n: int, keep: Fraction, bound: int, block_bytes: int):
 
         for batch in batches:
             for part in tk.slices(batch, "text", 1 << 20):
-                for i, s in zip(part.column("doc_id").to_pylist(), _sets(part, table, n), strict=True):
+                ids, hashes = part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist()
+                for i, t, s in zip(ids, hashes, _sets(part, table, n), strict=True):
                     r = int(np.searchsorted(s, np.uint64(bound)))
                     prefix = len(s) - math.ceil(keep * len(s)) + 1 if len(s) else 0
-                    cols.append((i, len(s), *_signature(s), _parities(s), s[:max(r, prefix)], r))
+                    cols.append((i, len(s), *_signature(s), _parities(s), s[:max(r, prefix)], r, t))
                 size += tk.text_buffer(part.column("text"))[1][-1]
                 if size >= block_bytes:
                     yield row()
@@ -159,7 +165,8 @@ def _frequencies(blocks: DataFrame, keys_per_range: int) -> DataFrame:
 
 
 def _prefix_entries(keep: Fraction):
-    """List entries (token, lead, sig_a, n, pos) of the shared tokens in the prefixes."""
+    """List entries (token, lead, sig_a, n, pos, head) of the shared tokens in the
+    prefixes; ``head``: the set's tokens of before, ``HEAD`` at most."""
 
     def run(batches):
         import pyarrow as pa
@@ -187,10 +194,19 @@ def _prefix_entries(keep: Fraction):
                 entry, pos = np.r_[order, more], np.r_[pos, at[more] + 1]
                 ok = pos <= prefix[doc[entry]]
                 entry, pos = entry[ok], pos[ok]
+                by = np.lexsort((pos, doc[entry]))
+                entry, pos = entry[by], pos[by]
+                of = doc[entry]
+                nth = np.arange(len(entry)) - np.searchsorted(of, of)
+                before = np.minimum(nth, HEAD)
+                first_of = np.repeat(np.arange(len(entry)) - nth, before)
+                ends = np.r_[0, np.cumsum(before)]
+                heads = tok[entry][first_of + np.arange(ends[-1]) - np.repeat(ends[:-1], before)]
                 yield pa.RecordBatch.from_pydict({
                     "token": pa.array(tk.signed(tok[entry])), "lead": pa.array(ids[doc[entry]]),
                     "sig_a": pa.array(np.array(row["sig_a"], np.int64)[doc[entry]]),
-                    "n": pa.array(size[doc[entry]].astype(np.int32)), "pos": pa.array(pos.astype(np.int32))})
+                    "n": pa.array(size[doc[entry]].astype(np.int32)), "pos": pa.array(pos.astype(np.int32)),
+                    "head": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tk.signed(heads)))})
 
     return run
 
@@ -223,18 +239,18 @@ def _verify(pairs: DataFrame, sets: DataFrame, keep: Fraction) -> DataFrame:
     return both.select("a", "b", "overlap", linked.alias("linked"))
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, keep: Fraction = Fraction(9, 10), table=tk.SPACED,
-                       block_bytes: int = 4 << 20, keys_per_range: int = 1_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links of
-    similarity ``keep`` or more) of every document."""
+def _groups(docs: DataFrame, n: int, keep: Fraction, table, block_bytes: int, keys_per_range: int, merge_ids: bool
+            ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with the signature of their class; classes with their lead and group
+    ``g``; ids of several classes). ``merge_ids``: the classes of an id are one group."""
     num, den = keep.numerator, keep.denominator
     spark = docs.sparkSession
-    src = tk.documents(docs)
+    src = tk.documents(docs).withColumn("text_hash", F.xxhash64("text"))
     bound = int((1 << 64) * min(Fraction(49, 100), Fraction(3, 2) * (1 - keep)))
     blocks = src.mapInArrow(_blocks(table, n, keep, bound, block_bytes), BLOCK)
     blocks = tk.cut_lineage(blocks.withColumn("block", F.monotonically_increasing_id()), "set_blocks")
-    all_sets = (blocks.select(F.explode(F.arrays_zip("doc_ids", "n", "sig_a", "sig_b", "sketch")).alias("s"))
-                .select(F.col("s.doc_ids").alias("doc_id"), "s.n", "s.sig_a", "s.sig_b", "s.sketch"))
+    all_sets = (blocks.select(F.explode(F.arrays_zip("doc_ids", "text_hash", "n", "sig_a", "sig_b", "sketch")).alias("s"))
+                .select(F.col("s.doc_ids").alias("doc_id"), "s.text_hash", "s.n", "s.sig_a", "s.sig_b", "s.sketch"))
     sig = ["sig_a", "sig_b", "n"]
     reps = tk.cut_lineage(all_sets.where("n > 0 and doc_id is not null").groupBy(*sig).agg(
         F.min("doc_id").alias("lead"), F.first("sketch").alias("sketch")).withColumn("rep", F.monotonically_increasing_id()), "reps")
@@ -244,12 +260,14 @@ def jaccard_components(docs: DataFrame, n: int = 3, keep: Fraction = Fraction(9,
     shared = tk.cut_lineage(all_sets.select("doc_id", *sig).join(several, "doc_id").join(reps.select(*sig, "rep"), sig)
                             .select("doc_id", "rep").distinct(), "shared_ids")
     joined = shared.join(shared.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b"))
+    if not merge_ids:
+        joined = joined.where("false")
     # Size class: sets whose sizes differ by less than the threshold are in the same or the next class.
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("int")
     entries = (blocks.select("block", "doc_ids", "n", "sig_a", "counted", "offsets", "tokens")
                .join(_frequencies(blocks, keys_per_range), "block")
-               .mapInArrow(_prefix_entries(keep), "token long, lead long, sig_a long, n int, pos int")
-               .join(reps.select("lead", "sig_a", "n", "rep"), ["lead", "sig_a", "n"]).select("token", "rep", "n", "pos").distinct())
+               .mapInArrow(_prefix_entries(keep), "token long, lead long, sig_a long, n int, pos int, head array<long>")
+               .join(reps.select("lead", "sig_a", "n", "rep"), ["lead", "sig_a", "n"]).select("token", "rep", "n", "pos", "head").dropDuplicates(["token", "rep"]))
     lists = tk.cut_lineage(entries.withColumn("cls", size_class), "lists")
     crowded = lists.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     lists = tk.cut_lineage(lists.join(crowded, "token", "left_semi"), "lists")
@@ -268,7 +286,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, keep: Fraction = Fraction(9,
 
     # First the pivots: one comparison for every set of a list block.
     pivots = lists.groupBy("token", "cls").agg(F.min_by(F.struct("rep", "n", "pos"), "rep").alias("p"))
-    led = lists.join(pivots, ["token", "cls"]).select("token", "cls", "rep", "n", "pos", F.col("p.rep").alias("pivot"),
+    led = lists.join(pivots, ["token", "cls"]).select("token", "cls", "rep", "n", "pos", "head", F.col("p.rep").alias("pivot"),
                                                       F.col("p.n").alias("pn"), F.col("p.pos").alias("pp"))
     first = (led.where((F.col("rep") != F.col("pivot")) & enough("n", "pos", "pn", "pp"))
              .select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
@@ -281,20 +299,20 @@ def jaccard_components(docs: DataFrame, n: int = 3, keep: Fraction = Fraction(9,
     overlaps = known.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "overlap")
     answers = (open_.join(mixed, "token", "left_semi").join(overlaps, ["pivot", "rep"], "left")
                .withColumn("o", F.when(F.col("rep") == F.col("pivot"), F.col("n")).otherwise(F.col("overlap")))
-               .select("token", "cls", "rep", "n", "pos", "pivot", "o", "group")
+               .select("token", "cls", "rep", "n", "pos", "head", "pivot", "o", "group")
                .join(reps.select("rep", "sketch"), "rep"))
     answers = tk.cut_lineage(answers, "answers")
-    y = answers.select("token", *[F.col(c).alias(f"y_{c}") for c in ("cls", "rep", "n", "pos", "pivot", "o", "group", "sketch")],
+    y = answers.select("token", *[F.col(c).alias(f"y_{c}") for c in ("cls", "rep", "n", "pos", "head", "pivot", "o", "group", "sketch")],
                        F.explode(F.array(F.col("cls"), F.col("cls") + 1)).alias("block"))
     z = answers.select("token", F.col("cls").alias("block"),
-                       *[F.col(c).alias(f"z_{c}") for c in ("rep", "n", "pos", "pivot", "o", "group", "sketch")])
+                       *[F.col(c).alias(f"z_{c}") for c in ("rep", "n", "pos", "head", "pivot", "o", "group", "sketch")])
     need = f"ceil((y_n + z_n) * {num} / {num + den}.0D - 1e-9)"
     bounded = F.expr(f"y_pivot <> z_pivot or coalesce(least(z_o + y_n - y_o, y_o + z_n - z_o) >= {need}, true)")
     # What two linked sets may differ in, against what their sketches say at least.
     apart = " + ".join(f"bit_count(y_sketch[{i}] ^ z_sketch[{i}])" for i in range(_SKETCH))
     alike = F.expr(f"coalesce(({apart}) * {num + den} <= (y_n + z_n) * {den - num}, true)")
     once = F.expr("y_cls < block or y_rep < z_rep")
-    rest = (y.join(z, ["token", "block"]).where(F.expr("y_group <> z_group") & once & enough("y_n", "y_pos", "z_n", "z_pos") & alike & bounded)
+    rest = (y.join(z, ["token", "block"]).where(F.expr("y_group <> z_group and not arrays_overlap(y_head, z_head)") & once & enough("y_n", "y_pos", "z_n", "z_pos") & alike & bounded)
             .select(F.least("y_rep", "z_rep").alias("a"), F.greatest("y_rep", "z_rep").alias("b")).distinct()
             .join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     late = tk.cut_lineage(_verify(rest, sets, keep).where("linked"), "late_pairs")
@@ -309,9 +327,33 @@ def jaccard_components(docs: DataFrame, n: int = 3, keep: Fraction = Fraction(9,
               .join(merged.withColumnRenamed("id", "g"), "g", "left")
               .select(*sig, "rep", "lead", F.coalesce("component", "g").alias("g")))
     of_rep = tk.cut_lineage(of_rep, "grouped")
+    return all_sets, of_rep, shared
+
+
+def jaccard_components(docs: DataFrame, n: int = 3, keep: Fraction = Fraction(9, 10), table=tk.SPACED,
+                       block_bytes: int = 4 << 20, keys_per_range: int = 500_000) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links of
+    similarity ``keep`` or more) of every document."""
+    all_sets, of_rep, shared = _groups(docs, n, keep, table, block_bytes, keys_per_range, merge_ids=True)
+    sig = ["sig_a", "sig_b", "n"]
     of_rep = of_rep.join(of_rep.groupBy("g").agg(F.min("lead").alias("component_id")), "g").select(*sig, "rep", "component_id")
     # A row without words has no class; if its id has one in another row, that counts.
     of_id = shared.join(of_rep.select("rep", "component_id"), "rep").groupBy("doc_id").agg(F.min("component_id").alias("of_id"))
     return (all_sets.select("doc_id", *sig).join(of_rep.drop("rep"), sig, "left").join(of_id, "doc_id", "left")
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "of_id", "doc_id")).alias("component_id")))
+
+
+def first_of_groups(docs: DataFrame, n: int = 5, keep: Fraction = Fraction(4, 5), table=tk.SPACED,
+                    block_bytes: int = 4 << 20, keys_per_range: int = 500_000) -> DataFrame:
+    """(doc_id, text_hash) of the texts that stay when one of each group of linked
+    texts does: the one with the smallest id, of that id's the one with the
+    smallest hash (xxhash64). Rows are judged by their own text: where an id
+    repeats with several texts, a text goes only if a text like it stays. A text
+    without words stays; rows without an id are left out."""
+    all_sets, of_rep, _ = _groups(docs, n, keep, table, block_bytes, keys_per_range, merge_ids=False)
+    sig = ["sig_a", "sig_b", "n"]
+    rows = all_sets.where("doc_id is not null")
+    grouped = rows.join(of_rep.select(*sig, "g"), sig)
+    first = grouped.groupBy("g").agg(F.min(F.struct("doc_id", "text_hash")).alias("s")).select("s.*")
+    return first.unionByName(rows.where("n = 0").select("doc_id", "text_hash")).distinct()

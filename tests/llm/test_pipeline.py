@@ -3,6 +3,7 @@
 import shutil
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from segmenter.sources.tables import table
@@ -20,6 +21,21 @@ def folder(spark, docs, tmp_path_factory):
     shutil.rmtree(d)
 
 
+def test_a_text_goes_only_if_one_like_it_stays(spark):
+    """An id that repeats with a copy of another document and with a text of its own."""
+    other = " ".join(f"u{i}" for i in range(60))
+    rows = [(0, ROWS[4][1], "en"), (1, ROWS[4][1] + " end", "en"), (1, other, "en"), (2, other + " too", "de"), (2, "", "x"), (2, "", "x"),
+            (3, other, "a"), (None, other, "b"), (4, "alone", "a"), (4, "alone", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for c in ("_of", "_text_hash", "_mark", "_copy", "rep", "g", "text_hash"):
+        df = df.withColumn(c, F.lit("clash"))
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    assert kept.columns == df.columns and kept.select("_mark", "_copy").distinct().collect() == [("clash", "clash")]
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in kept.collect()) == sorted(
+        [(0, ROWS[4][1]), (1, other), (2, ""), (-1, other), (4, "alone")])
+    assert corpus_pipeline.drop_near_duplicates(spark, df.where("false"), "").count() == 0
+
+
 def test_stages_keep_columns_and_take_effect(spark, folder):
     docs = table(spark, folder, "documents")
     columns = docs.columns
