@@ -3,7 +3,7 @@ the shared checkpoint folder and read again by the next.
 
 =================  ==========================================================
 toxicity           documents that score as toxic go
-near_duplicates    of each group of linked documents (five-word shingles,
+near_duplicates    of each group of linked texts (five-word shingles,
                    similarity 0.8 or more) the one with the smallest id stays
 repeated_passages  byte strings of 400 or more that occur elsewhere are cut out
 decontamination    documents that hold a benchmark window go
@@ -12,7 +12,8 @@ tokens             byte-level BPE ids of what is left
 
 All stages but the last return the columns of ``documents``. ``n_chars`` is set
 anew where a text was cut. Rows with a null id are never grouped; of rows that
-repeat id and text one stays. Empty tables pass through every stage.
+repeat id and text one stays, and where an id repeats with several texts each is
+judged by itself. Empty tables pass through every stage.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segmenter.llm import bpe, decontaminate, jaccard_join, suffix_dedup, textkit, toxicity
+from segmenter.operators.columns import free_names
 from segmenter.session import cut_lineage, ship_package
 from segmenter.sources.tables import table
 
@@ -34,12 +36,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    groups = jaccard_join.jaccard_components(docs, 5, Fraction(4, 5))
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    same = Window.partitionBy("_id", "_hash").orderBy("_hash")
-    kept = (docs.join(first, F.col("doc_id") == F.col("_id"), "left_semi").withColumn("_id", F.col("doc_id"))
-            .withColumn("_hash", F.xxhash64("text")).withColumn("_copy", F.row_number().over(same)).where("_copy = 1"))
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    first = jaccard_join.first_of_groups(docs, 5, Fraction(4, 5))
+    of, text_hash, mark, copy = free_names(docs, "_of", "_text_hash", "_mark", "_copy")
+    kept = (docs.withColumn(mark, F.xxhash64(F.col("text").cast("string")))
+            .join(first.select(F.col("doc_id").alias(of), F.col("text_hash").alias(text_hash)),
+                  (F.col("doc_id") == F.col(of)) & (F.col(mark) == F.col(text_hash)), "left_semi"))
+    # Of rows that repeat id and text, the one whose columns hash lowest.
+    same = Window.partitionBy("doc_id", mark).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    one = kept.withColumn(copy, F.row_number().over(same)).where(F.col(copy) == 1)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return one.select(*names).unionByName(docs.where("doc_id is null").select(*names))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
