@@ -122,6 +122,17 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a frame of ``cut_lineage`` that nothing reads any more."""
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    spark = df.sparkSession
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/tables").toUri().getPath()
+    for folder in folders:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        if p.toUri().getPath().startswith(base + "/"):
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut_lineage_observed(df: DataFrame, name: str, *metrics) -> tuple[DataFrame, dict]:
     """``cut_lineage`` that also returns aggregate ``metrics`` (Columns)
     computed while the table is written -- no separate pass over the data."""
