@@ -90,7 +90,7 @@ def _sets(batch, table, n: int):
 BLOCK = ("block long, doc_ids array<long>, text_hash array<long>, n array<int>, sig_a array<long>, sig_b array<long>, "
          "sketch array<array<long>>, counted binary, offsets binary, tokens binary")
 _SKETCH = 8  # words of 64 bits
-HEAD = 4
+HEAD = 3  # tokens of a list entry's head
 
 
 def _blocks(table, n: int, keep: Fraction, bound: int, block_bytes: int):
@@ -165,8 +165,9 @@ def _frequencies(blocks: DataFrame, keys_per_range: int) -> DataFrame:
 
 
 def _prefix_entries(keep: Fraction):
-    """List entries (token, lead, sig_a, n, pos, head) of the shared tokens in the
-    prefixes; ``head``: the set's tokens of before, ``HEAD`` at most."""
+    """List entries (token, block, at, n, pos, head) of the shared tokens in the
+    prefixes; ``at``: the set's place in its block, ``head``: the set's tokens of
+    before, ``HEAD`` at most."""
 
     def run(batches):
         import pyarrow as pa
@@ -179,7 +180,6 @@ def _prefix_entries(keep: Fraction):
                 df = np.concatenate([np.frombuffer(a["df"], np.uint16) for a in sorted(row["answers"], key=lambda a: a["part"])])[back]
                 size = np.array(row["n"], np.int64)
                 prefix = size - np.array([math.ceil(keep * int(x)) for x in size], np.int64) + 1
-                ids = np.array([np.iinfo(np.int64).min if x is None else x for x in row["doc_ids"]], np.int64)
                 doc = np.repeat(np.arange(len(size)), np.diff(off))
                 at = np.arange(len(tok)) - off[doc]
                 own = (df > 1) & np.array([x is not None for x in row["doc_ids"]])[doc]
@@ -203,8 +203,8 @@ def _prefix_entries(keep: Fraction):
                 ends = np.r_[0, np.cumsum(before)]
                 heads = tok[entry][first_of + np.arange(ends[-1]) - np.repeat(ends[:-1], before)]
                 yield pa.RecordBatch.from_pydict({
-                    "token": pa.array(tk.signed(tok[entry])), "lead": pa.array(ids[doc[entry]]),
-                    "sig_a": pa.array(np.array(row["sig_a"], np.int64)[doc[entry]]),
+                    "token": pa.array(tk.signed(tok[entry])), "block": pa.array(np.full(len(entry), row["block"], np.int64)),
+                    "at": pa.array(of.astype(np.int32)),
                     "n": pa.array(size[doc[entry]].astype(np.int32)), "pos": pa.array(pos.astype(np.int32)),
                     "head": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tk.signed(heads)))})
 
@@ -249,11 +249,12 @@ def _groups(docs: DataFrame, n: int, keep: Fraction, table, block_bytes: int, ke
     bound = int((1 << 64) * min(Fraction(49, 100), Fraction(3, 2) * (1 - keep)))
     blocks = src.mapInArrow(_blocks(table, n, keep, bound, block_bytes), BLOCK)
     blocks = tk.cut_lineage(blocks.withColumn("block", F.monotonically_increasing_id()), "set_blocks")
-    all_sets = (blocks.select(F.explode(F.arrays_zip("doc_ids", "text_hash", "n", "sig_a", "sig_b", "sketch")).alias("s"))
-                .select(F.col("s.doc_ids").alias("doc_id"), "s.text_hash", "s.n", "s.sig_a", "s.sig_b", "s.sketch"))
+    all_sets = (blocks.select("block", F.posexplode(F.arrays_zip("doc_ids", "text_hash", "n", "sig_a", "sig_b", "sketch")).alias("at", "s"))
+                .select("block", "at", F.col("s.doc_ids").alias("doc_id"), "s.text_hash", "s.n", "s.sig_a", "s.sig_b", "s.sketch"))
     sig = ["sig_a", "sig_b", "n"]
     reps = tk.cut_lineage(all_sets.where("n > 0 and doc_id is not null").groupBy(*sig).agg(
-        F.min("doc_id").alias("lead"), F.first("sketch").alias("sketch")).withColumn("rep", F.monotonically_increasing_id()), "reps")
+        F.min(F.struct("doc_id", "block", "at")).alias("first"), F.min("sketch").alias("sketch"))
+        .select(*sig, "sketch", F.col("first.doc_id").alias("lead"), "first.block", "first.at", F.monotonically_increasing_id().alias("rep")), "reps")
     # Ids that repeat with different sets, and the classes of those.
     several = (all_sets.where("doc_id is not null").select("doc_id", F.struct(*sig).alias("s")).groupBy("doc_id")
                .agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("doc_id"))
@@ -264,13 +265,15 @@ def _groups(docs: DataFrame, n: int, keep: Fraction, table, block_bytes: int, ke
         joined = joined.where("false")
     # Size class: sets whose sizes differ by less than the threshold are in the same or the next class.
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("int")
-    entries = (blocks.select("block", "doc_ids", "n", "sig_a", "counted", "offsets", "tokens")
+    # A class enters with the set of its first row, so no entry comes twice.
+    entries = (blocks.select("block", "doc_ids", "n", "counted", "offsets", "tokens")
                .join(_frequencies(blocks, keys_per_range), "block")
-               .mapInArrow(_prefix_entries(keep), "token long, lead long, sig_a long, n int, pos int, head array<long>")
-               .join(reps.select("lead", "sig_a", "n", "rep"), ["lead", "sig_a", "n"]).select("token", "rep", "n", "pos", "head").dropDuplicates(["token", "rep"]))
-    lists = tk.cut_lineage(entries.withColumn("cls", size_class), "lists")
-    crowded = lists.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    lists = tk.cut_lineage(lists.join(crowded, "token", "left_semi"), "lists")
+               .mapInArrow(_prefix_entries(keep), "token long, block long, at int, n int, pos int, head array<long>")
+               .join(reps.select("block", "at", "rep"), ["block", "at"]).select("token", "rep", "n", "pos", "head"))
+    every = tk.cut_lineage(entries.withColumn("cls", size_class), "entries")
+    crowded = every.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    lists = tk.cut_lineage(every.join(crowded, "token", "left_semi"), "lists")
+    tk.discard(every)
     involved = tk.cut_lineage(reps.select("rep", "lead", "sig_a", "n").join(lists.select("rep").distinct(), "rep"), "involved")
     bits = spark.sparkContext.broadcast(tk.id_filter(involved.select(F.xxhash64("lead").alias("h"))))
     sets = tk.cut_lineage(

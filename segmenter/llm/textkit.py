@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, cut_lineage_observed, scratch_path  # noqa: F401  (re-exported)
+from ..session import cut_lineage, cut_lineage_observed, discard, scratch_path  # noqa: F401  (re-exported)
 
 PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
