@@ -249,10 +249,11 @@ def _groups(docs: DataFrame, n: int, keep: Fraction, table, block_bytes: int, ke
     bound = int((1 << 64) * min(Fraction(49, 100), Fraction(3, 2) * (1 - keep)))
     blocks = src.mapInArrow(_blocks(table, n, keep, bound, block_bytes), BLOCK)
     blocks = tk.cut_lineage(blocks.withColumn("block", F.monotonically_increasing_id()), "set_blocks")
-    all_sets = (blocks.select("block", F.posexplode(F.arrays_zip("doc_ids", "text_hash", "n", "sig_a", "sig_b", "sketch")).alias("at", "s"))
+    with_sketch = (blocks.select("block", F.posexplode(F.arrays_zip("doc_ids", "text_hash", "n", "sig_a", "sig_b", "sketch")).alias("at", "s"))
                 .select("block", "at", F.col("s.doc_ids").alias("doc_id"), "s.text_hash", "s.n", "s.sig_a", "s.sig_b", "s.sketch"))
+    all_sets = tk.cut_lineage(with_sketch.drop("sketch"), "rows")
     sig = ["sig_a", "sig_b", "n"]
-    reps = tk.cut_lineage(all_sets.where("n > 0 and doc_id is not null").groupBy(*sig).agg(
+    reps = tk.cut_lineage(with_sketch.where("n > 0 and doc_id is not null").groupBy(*sig).agg(
         F.min(F.struct("doc_id", "block", "at")).alias("first"), F.min("sketch").alias("sketch"))
         .select(*sig, "sketch", F.col("first.doc_id").alias("lead"), "first.block", "first.at", F.monotonically_increasing_id().alias("rep")), "reps")
     # Ids that repeat with different sets, and the classes of those.
@@ -274,6 +275,7 @@ def _groups(docs: DataFrame, n: int, keep: Fraction, table, block_bytes: int, ke
     crowded = every.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     lists = tk.cut_lineage(every.join(crowded, "token", "left_semi"), "lists")
     tk.discard(every)
+    tk.discard(blocks)
     involved = tk.cut_lineage(reps.select("rep", "lead", "sig_a", "n").join(lists.select("rep").distinct(), "rep"), "involved")
     bits = spark.sparkContext.broadcast(tk.id_filter(involved.select(F.xxhash64("lead").alias("h"))))
     sets = tk.cut_lineage(
