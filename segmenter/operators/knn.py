@@ -77,7 +77,8 @@ def _knn_blocked(requests: DataFrame, corpus: DataFrame, keys: list[str], k: int
               .groupBy(*keys, bcol)
               .agg(F.collect_list(F.struct("id", "embedding", *payload)).alias("_c")))
     block_ids = blocks.select(*keys, "_b")
-    pairs = requests.select(request_id, *keys, query_vec).join(block_ids, keys)
+    # A request without a vector has no hits, as on the broadcast route.
+    pairs = requests.select(request_id, *keys, query_vec).where(F.col(query_vec).isNotNull()).join(block_ids, keys)
     rtype = dict(requests.dtypes)[request_id]
     unified = (blocks.select(*keys, "_b", F.lit(0).alias("_kind"), F.col("_c"),
                              F.lit(None).cast(rtype).alias("_rid"),

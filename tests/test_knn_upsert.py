@@ -80,3 +80,13 @@ def test_knn_without_hits_and_with_ragged_corpus(spark, blocked):
     ragged = corpus.union(spark.createDataFrame([(2, "en", "a", "t", [1.0])], schema))
     with pytest.raises(DataQualityError):
         knn_join(asked, ragged, ["language"], force_blocked=blocked)
+
+
+def test_request_without_a_vector_has_no_hits_on_either_route(spark):
+    from segmenter.operators.knn import knn_join
+    corpus = spark.createDataFrame([(i, "s", "en", f"r{i}", [float(i), 1.0]) for i in range(9)],
+                                   "id LONG, segment STRING, language STRING, recommendation STRING, embedding ARRAY<DOUBLE>")
+    reqs = spark.createDataFrame([(1, "en", [2.0, 1.0]), (2, "en", None)], "request_id LONG, language STRING, query_vec ARRAY<DOUBLE>")
+    for blocked in (False, True):
+        hits = knn_join(reqs, corpus, ["language"], k=2, force_blocked=blocked, block_rows=3).collect()
+        assert sorted((r["request_id"], r["hit_rank"], r["corpus_id"]) for r in hits) == [(1, 1, 2), (1, 2, 1)]
