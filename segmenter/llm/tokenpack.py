@@ -19,17 +19,21 @@ groups at once, and id i lies in block i // ids-per-block: any range is read by
 its block offsets alone.
 
 Writing: documents are range-partitioned and sorted by id, and every task
-writes files in that order to a temporary name that is then renamed, so a
-repeated or speculative task leaves the same files. The manifest (one row per
-file) gives the global position of each file's first id.
+writes files in that order under names of its own. The manifest (one row per
+file, a table that Spark commits) names the files of the attempts that count
+and gives the global position of each file's first id, a distributed prefix
+sum; files of other attempts are never read.
 
 Tokenising: a text is cut at ASCII blanks and line ends, where no token can
 continue, and each distinct piece is encoded once by the tokenizers library and
-kept in a table of bounded size.
+kept in a table of bounded size, which serves all tasks of a Python worker.
+Strings of special tokens get those tokens' ids, as the library does by default;
+``special_as_text`` makes them ordinary text.
 
 Defined results: a null or empty text holds only the end id; a null ``doc_id``
 sorts first; repeated ids keep all rows, ordered by text hash; an empty table
-gives no files and no rows; extra columns are not read.
+gives no files and no rows; extra columns are not read. A very long text is
+tokenised in its task at once, so its size must fit there; ids are 4 bytes each.
 """
 
 from __future__ import annotations
@@ -37,11 +41,13 @@ from __future__ import annotations
 import struct
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.rank import partition_offsets
 from ..session import partitions_for
 from . import textkit as tk
 
@@ -142,51 +148,74 @@ def open_store(uri: str):
 
 class PieceEncoder:
     """Encodes texts with a tokenizer whose tokens never cross blanks, through a
-    table of the pieces seen so far (emptied when it holds ``limit`` pieces)."""
+    table of at most about ``limit`` strings. A full table keeps the strings that
+    several texts held since the last time it was full. Strings of special
+    tokens get their own ids, as the library gives them, unless ``special_as_text``."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 600_000, special_as_text: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # strings of special tokens are ordinary text
+        self.tok.encode_special_tokens = special_as_text
+        # Only strings with one of these characters can hold a special token, whose case counts.
+        self.marks = {t.content[0] for t in self.tok.get_added_tokens_decoder().values()}
         self.limit = limit
-        self._clear()
+        # String -> its number; the ids of string k are flat[ends[k]:ends[k + 1]].
+        self.pieces, self.flat, self.ends = {}, array("i"), array("q", [0])
+        self.hits = np.zeros(0, np.int32)
 
-    def _clear(self):
-        # Piece -> its number; the ids of piece k are flat[ends[k]:ends[k + 1]].
-        self.pieces, self.parts, self.flat, self.ends = {}, {}, array("i"), array("q", [0])
+    def _lower(self, x: str) -> str:
+        """Lower case for ASCII, as the tokenizer does, so that spellings share an entry."""
+        return x.lower() if x.isascii() and self.marks.isdisjoint(x) else x
 
-    @staticmethod
-    def split(piece: str) -> tuple[str, ...]:
+    def split(self, piece: str) -> tuple[str, ...]:
         """A piece without its closing ASCII punctuation, and that punctuation:
         the tokenizer's pattern always cuts between a letter or digit and a
-        punctuation mark. ASCII parts are lower-cased, as the tokenizer does."""
+        punctuation mark. The letter must stay one when it is lower-cased
+        (U+0130 becomes two characters, the second no letter)."""
         body = piece.rstrip(".,;:!?")
-        if body and len(body) < len(piece) and body[-1].isalnum():
-            return (body.lower() if body.isascii() else body, piece[len(body):])
-        return (piece.lower() if piece.isascii() else piece,)
+        if body and len(body) < len(piece) and body[-1].isalnum() and len(body[-1].lower()) == 1:
+            return (self._lower(body), piece[len(body):])
+        return (self._lower(piece),)
+
+    def _add(self, x: str, ids) -> None:
+        self.pieces[x] = len(self.ends) - 1
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
 
     def _learn(self, new: list[str]) -> None:
-        split, parts = [self.split(p) for p in new], self.parts
-        todo = {x for xs in split for x in xs}.difference(parts)
+        split, pieces, flat, ends = [self.split(p) for p in new], self.pieces, self.flat, self.ends
+        todo = {x for xs in split for x in xs if x not in pieces}
         # An ASCII lower-case word is its own byte-level form and a single pre-token.
         plain = [w for w in todo if w.isascii() and w.isalpha()]
-        model = self.tok.model
+        tokenize = self.tok.model.tokenize
         for w in plain:
-            parts[w] = tuple([t.id for t in model.tokenize(w)])
+            self._add(w, [t.id for t in tokenize(w)])
         rest = list(todo.difference(plain))
         for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            parts[w] = tuple(e.ids)
+            self._add(w, e.ids)
+        for p, xs in zip(new, split, strict=True):
+            if p not in pieces:
+                ids = array("i")
+                for x in xs:
+                    k = pieces[x]
+                    ids += flat[ends[k]:ends[k + 1]]
+                self._add(p, ids)
+
+    def _shrink(self, keep: set[str]) -> None:
+        """Keeps the strings of ``keep`` that are known and those with several
+        hits, or the former alone if the latter would fill half the table."""
+        hits = np.r_[self.hits, np.zeros(len(self.ends) - 1 - len(self.hits), np.int32)] > 1
+        often = int(hits.sum()) <= self.limit // 2
+        kept = [(p, k) for p, k in self.pieces.items() if (often and hits[k]) or p in keep]
         flat, ends = self.flat, self.ends
-        first = len(ends) - 1
-        for xs in split:
-            for x in xs:
-                flat.extend(parts[x])
-            ends.append(len(flat))
-        self.pieces.update(zip(new, range(first, first + len(new)), strict=True))
+        self.pieces, self.flat, self.ends = {}, array("i"), array("q", [0])
+        for p, k in kept:
+            self._add(p, flat[ends[k]:ends[k + 1]])
+        self.hits = np.zeros(0, np.int32)
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, list[int]]:
         """(ids of all texts, each closed by ``end_id``; number of ids of each)."""
@@ -194,14 +223,15 @@ class PieceEncoder:
         seen = set().union(*split)
         new = seen.difference(self.pieces)
         if len(self.pieces) + len(new) > self.limit:
-            self._clear()
-            new = seen
+            self._shrink(seen)
         self._learn(list(new))
         flat, ends = np.array(self.flat, np.int32), np.array(self.ends, np.int64)
+        self.hits = hits = np.r_[self.hits, np.zeros(len(ends) - 1 - len(self.hits), np.int32)]
         lens, out = [], []
         get = self.pieces.__getitem__
         for ps in split:
             k = np.fromiter(map(get, ps), np.int64, len(ps))
+            hits[k] += 1  # once a text
             n = ends[k + 1] - ends[k]
             total = int(n.sum())
             ids = np.empty(total + 1, np.int32)
@@ -213,8 +243,14 @@ class PieceEncoder:
         return np.concatenate(out) if out else np.empty(0, np.int32), lens
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str, special_as_text: bool) -> PieceEncoder:
+    """One encoder for all tasks that a Python worker runs."""
+    return PieceEncoder(path, special_as_text=special_as_text)
+
+
 def write_tokens(docs: DataFrame, path: str, folder: str, vocabulary: int, end_id: int = 1,
-                 block: int = 4096, file_ids: int = 4 << 20) -> DataFrame:
+                 block: int = 4096, file_ids: int = 4 << 20, special_as_text: bool = False) -> DataFrame:
     """Encodes ``docs`` and writes token files to ``folder`` (a URI in a shared
     store) in ascending doc_id order. Returns the manifest with ``start``, the
     number of ids in all files before."""
@@ -231,18 +267,16 @@ def write_tokens(docs: DataFrame, path: str, folder: str, vocabulary: int, end_i
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        encoder = PieceEncoder(path)
+        encoder = worker_encoder(path, special_as_text)
         store, root = open_store(folder)
         ids, doc_ids, lens, seq = [], [], [], 0
 
         def flush():
             all_ids = np.concatenate(ids)
-            name = f"part-{pid:06d}-{seq:05d}.tpk"
-            tmp = f"{root}/_{name}.{os.urandom(6).hex()}"
-            with store.open_output_stream(tmp) as out:
+            name = f"part-{pid:06d}-{seq:05d}-{os.urandom(6).hex()}.tpk"
+            with store.open_output_stream(f"{root}/{name}") as out:
                 for b in file_bytes(doc_ids, lens, all_ids, bits, vocabulary, block):
                     out.write(b)
-            store.move(tmp, f"{root}/{name}")
             return pa.RecordBatch.from_pydict({
                 "path": pa.array([name]), "pid": pa.array([pid], pa.int32()), "seq": pa.array([seq], pa.int32()),
                 "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_ids": pa.array([len(all_ids)], pa.int64())})
@@ -262,16 +296,12 @@ def write_tokens(docs: DataFrame, path: str, folder: str, vocabulary: int, end_i
     store, root = open_store(folder)
     store.create_dir(root, recursive=True)
     manifest = tk.cut_lineage(ordered.mapInArrow(write, MANIFEST), "manifest")
-    # One row per range partition; files inside a partition by a window.
-    totals = sorted((r["pid"], r["n"]) for r in manifest.groupBy("pid").agg(F.sum("n_ids").alias("n")).collect())
-    before, at = [], 0
-    for pid, n in totals:
-        before.append((pid, at))
-        at += n
-    offsets = spark.createDataFrame(before, "pid int, base long")
+    # A partition's first id is a prefix sum over the partitions, a file's one over the files of its partition.
+    totals = manifest.groupBy("pid").agg(F.sum("n_ids").alias("n")).select("pid", F.lit(0).alias("g"), "n", F.lit(0).alias("at"))
+    offsets = partition_offsets(totals, "pid", "g", "n", "base").drop("g")
     w = Window.partitionBy("pid").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     return (manifest.withColumn("_b", F.coalesce(F.sum("n_ids").over(w), F.lit(0)))
-            .join(F.broadcast(offsets), "pid").withColumn("start", F.col("base") + F.col("_b")).drop("_b", "base"))
+            .join(offsets, "pid").withColumn("start", F.col("base") + F.col("_b")).drop("_b", "base"))
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
@@ -299,11 +329,12 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
         read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 1, special_as_text: bool = False) -> DataFrame:
     """Writes the token files of ``docs`` under the checkpoint folder and
     returns what is read back from them."""
     from tokenizers import Tokenizer
 
     folder = tk.scratch_path(docs.sparkSession, "tokens")
-    manifest = write_tokens(docs, path, folder, Tokenizer.from_file(path).get_vocab_size(), end_id)
+    manifest = write_tokens(docs, path, folder, Tokenizer.from_file(path).get_vocab_size(), end_id,
+                            special_as_text=special_as_text)
     return read_tokens(manifest, folder)

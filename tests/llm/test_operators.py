@@ -131,7 +131,6 @@ def test_token_file_random_access():
 def test_token_files(docs):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     rows = tokenpack.pack_documents(docs, P.path("word_bpe_49k.json")).collect()
     want = Counter()
     for d, t in TEXTS:
@@ -144,6 +143,29 @@ def test_token_files(docs):
     assert ids == sorted(ids, key=lambda x: (x is not None, x))
 
 
+def test_piece_encoder_equals_the_library():
+    """Strings rich in special tokens, odd cases, letters that grow when lower-cased, combining marks; a table that overflows."""
+    import random
+
+    from tokenizers import Tokenizer
+    rnd = random.Random(5)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "İ", "?", "!.", "ß", "Σ", "ς", "e", "\u0301", "\u0307", "ａ", "ﬁ", "Ⅻ", "½", "٣",
+            "日本", "한", "'s", "'LL", "don't", "A1b", "x.", ",", " ", "\n", "\t", "\r\n", "\u00a0", "\u2028", "\x0b", "🙂", "\u200d", "ǅ", "K", "Å", "word", "The"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(14))) for _ in range(6000)]
+    for as_text in (False, True):
+        tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+        tok.encode_special_tokens = as_text
+        want = [[*e.ids, 1] for e in tok.encode_batch(texts, add_special_tokens=False)]
+        for limit in (600_000, 700):
+            enc = tokenpack.PieceEncoder(P.path("word_bpe_49k.json"), limit, as_text)
+            got = []
+            for i in range(0, len(texts), 50):
+                ids, lens = enc.encode(texts[i:i + 50], 1)
+                got += [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])]
+                assert len(enc.pieces) == len(enc.ends) - 1 <= max(limit, 2000)
+            assert got == want
+
+
 def brute_hits(items, n=10):
     windows = {}
     for i, t in items:
