@@ -34,6 +34,9 @@ columns are not read.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,15 +62,21 @@ class Block:
     def __init__(self, ids, null, held, starts, uni, at):
         self.doc_ids, self.null, self.held, self.starts, self.uni, self.at = ids, null, held, starts, uni, at
 
-    def write(self, store, path: str) -> None:
+    def write(self, store, folder: str, stem: str) -> str:
+        """Writes the file and returns its name, which tells its contents."""
         bits = bits_for(max(len(self.uni), 1))
         places = np.frombuffer(pack(self.at, bits), "<u8")
         parts = [np.ascontiguousarray(x).astype(kind, copy=False) for x, (_, kind) in zip(
             (self.doc_ids, self.null, self.held, self.starts, self.uni, places), self.FIELDS, strict=True)]
-        with store.open_output_stream(path) as out:
-            out.write(np.array([bits, len(self.at), *map(len, parts)], "<i8").tobytes())
-            for p in parts:
-                out.write(p.tobytes())
+        data = [np.array([bits, len(self.at), *map(len, parts)], "<i8").tobytes(), *(p.tobytes() for p in parts)]
+        digest = hashlib.blake2b(digest_size=16)
+        for d in data:
+            digest.update(d)
+        name = f"{stem}-{digest.hexdigest()}.tok"
+        with store.open_output_stream(f"{folder}/{name}") as out:
+            for d in data:
+                out.write(d)
+        return name
 
     @classmethod
     def read(cls, store, path: str) -> Block:
@@ -137,16 +146,17 @@ def corpus_counts(docs: DataFrame, held_out, folder: str, block_bytes: int, keys
     ranges = max(1, -(-(size // 7) // keys_per_range))  # about a key for every seven bytes
 
     def deal(batches):
-        import os
-
         import pyarrow as pa
+        from pyspark import TaskContext
 
         store, root = open_store(folder)
+        pid, seq = TaskContext.get().partitionId(), itertools.count()
 
         def send(parts):
             block = _read_block(parts)
-            name = f"{os.urandom(12).hex()}.tok"  # a repeated task writes files of its own
-            block.write(store, f"{root}/{name}")
+            # A repeated task sends the same names and writes the same bytes, so ranges that
+            # finished before a map output was lost and those that run after agree.
+            name = block.write(store, root, f"{pid:06d}-{next(seq):05d}")
             cur, prev = block.words()
             train = np.repeat(~block.held, np.diff(block.starts))
             uni_n = np.bincount(block.at, weights=train, minlength=len(block.uni))
