@@ -331,7 +331,8 @@ def dedup_report(docs: DataFrame, length: int = 400) -> DataFrame:
 def dedup_texts(docs: DataFrame, length: int = 400) -> DataFrame:
     """``docs`` with repeated strings cut out of ``text``; a character that a
     cut divides goes too. All columns and rows stay."""
-    src = keyed(docs)
+    # All columns travel in one, so none of their names can clash.
+    src = keyed(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
     cut = repeated_spans(src, length).select("dk", "th", "kept")
 
     def valid(batches):
@@ -342,5 +343,5 @@ def dedup_texts(docs: DataFrame, length: int = 400) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"dk": batch.column("dk"), "th": batch.column("th"), "_new": pa.array(new, pa.string())})
 
     new = cut.mapInArrow(valid, "dk long, th int, _new string")
-    names = [F.coalesce("_new", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    names = [(F.coalesce("_new", "text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns]
     return src.join(new, ["dk", "th"], "left").select(*names)
