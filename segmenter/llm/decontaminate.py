@@ -13,7 +13,8 @@ An exact phrase of n terms starts from the posting list of its rarest term,
 moved back by the term's offset in the phrase, and intersects it with the
 equally moved lists of the next rarer terms. A proximity match starts from the
 rarest term as well and keeps the places where every other term of the phrase
-stands within ``slop`` positions. Test phrases are sent to the tasks in blocks
+stands within ``slop`` positions in the same document; a word that the phrase
+repeats need not be repeated there. Test phrases are sent to the tasks in blocks
 of at most ``block_windows``, so what is broadcast has a fixed bound and a
 larger benchmark only takes more passes over the index.
 
@@ -33,6 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.columns import free_names
 from . import textkit as tk
 
 INDEX_SCHEMA = ("segment long, doc_ids binary, null_ids binary, doc_starts binary, "
@@ -145,8 +147,8 @@ class Phrases:
         self.flat, back = np.unique(terms, return_inverse=True)
         self.back = back.reshape(terms.shape)
 
-    def search(self, terms: np.ndarray, off: np.ndarray, post: np.ndarray, near: bool):
-        """Yields (phrase, exact start positions, near start positions)."""
+    def search(self, terms: np.ndarray, off: np.ndarray, post: np.ndarray, doc_starts: np.ndarray, near: bool):
+        """Yields (phrase, exact start positions, places of the rarest term of a near match)."""
         if not len(terms) or not len(self.lens):
             return
         at = np.searchsorted(terms, self.flat)
@@ -168,12 +170,15 @@ class Phrases:
                 starts = starts[other[j] == starts + k2]
             close = np.empty(0, np.int64)
             if near and n > 1:
-                close = lead
+                # The other terms must stand within slop positions and in the same document.
+                doc = np.searchsorted(doc_starts, lead, "right")
+                close, low, high = lead, np.maximum(lead - self.slop, doc_starts[doc - 1]), np.minimum(lead + self.slop, doc_starts[doc] - 1)
                 for k2 in order[1:]:
                     other = post[off[slot[k2]]:off[slot[k2] + 1]]
-                    j = np.searchsorted(other, close - self.slop)
+                    j = np.searchsorted(other, low)
                     j[j == len(other)] = 0
-                    close = close[np.abs(other[j].astype(np.int64) - close) <= self.slop]
+                    meets = (other[j] >= low) & (other[j] <= high)
+                    close, low, high = close[meets], low[meets], high[meets]
                     if not len(close):
                         break
             if len(starts) or len(close):
@@ -219,10 +224,11 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFra
     Hits are looked up by id and text hash, so rows that repeat an id with
     another text are judged by their own text.
     """
-    keyed = docs.withColumn("_k", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    hit = decontaminate(keyed.select(F.col("_k").alias("doc_id"), "text"), items, n).where("contaminated")
+    k = free_names(docs, "_k")[0]
+    keyed = docs.withColumn(k, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    hit = decontaminate(keyed.select(F.col(k).alias("doc_id"), "text"), items, n).where("contaminated")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    return keyed.join(hit.select(F.col("doc_id").alias("_k")).distinct(), "_k", "left_anti").select(*names)
+    return keyed.join(hit.select(F.col("doc_id").alias(k)).distinct(), k, "left_anti").select(*names)
 
 
 _HIT = "segment long, doc long, doc_id long, n_words long, spans array<long>, items array<string>, n_near long"
@@ -275,7 +281,7 @@ def _searcher(sent, n: int, near: bool, final: bool):
                 found: dict[int, set] = {}
                 close = np.zeros(len(ids), np.int64)
                 for i, exact, near_at in block.search(_cell(row, "terms", np.uint64), _cell(row, "offsets", np.int32),
-                                                      _cell(row, "postings", np.int32), near):
+                                                      _cell(row, "postings", np.int32), starts, near):
                     # Empty documents own one position only, so the last start not after it is right.
                     for s, d in zip(exact.tolist(), (np.searchsorted(starts, exact, "right") - 1).tolist(), strict=True):
                         spans.setdefault(d, []).extend((s, s + int(block.lens[i])))

@@ -202,6 +202,36 @@ def test_proximity(spark):
     assert got[1][0] == 0 and got[1][1] >= 1 and got[2] == (0, 0)
 
 
+def test_proximity_stays_inside_a_document(spark):
+    import random
+    rnd = random.Random(3)
+    texts = [(i, " ".join(rnd.choice("alpha beta gamma delta x y z".split()) for _ in range(rnd.randrange(9)))) for i in range(300)]
+    texts += [(300, "alpha"), (301, "beta gamma"), (302, None)]
+    items = [(1, "alpha beta gamma"), (2, "delta alpha")]
+    d = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["n_near"] for r in decontaminate.decontaminate(
+        d, spark.createDataFrame(items, "item_id long, text string"), slop=2).collect()}
+    count = Counter(w for _, t in texts for w in (t or "").split())
+    for i, t in texts:
+        words, near = (t or "").split(), 0
+        for _, item in items:
+            terms = sorted(item.split(), key=count.__getitem__)
+            near += sum(w == terms[0] and set(terms) <= set(words[max(0, p - 2):p + 3]) for p, w in enumerate(words))
+        assert got[i] == near, (i, t)
+    assert got[300] == got[301] == 0
+
+
+def test_kept_columns_do_not_clash(spark):
+    base = " ".join(f"w{i}" for i in range(400))
+    d = spark.createDataFrame([(1, base, 1, 2, "a", 4, 5), (2, base, 1, 2, "b", 4, 5), (3, None, None, 2, "c", 4, 5)],
+                              "doc_id long, text string, dk int, th int, _new string, _k int, row int")
+    cut = suffix_dedup.dedup_texts(d)
+    assert cut.columns == d.columns
+    assert sorted(r[0:1] + r[2:] for r in cut.collect()) == sorted(r[0:1] + r[2:] for r in d.collect())
+    kept = decontaminate.drop_contaminated(d, spark.createDataFrame([(1, base)], "item_id long, text string"))
+    assert kept.columns == d.columns and [r["_k"] for r in kept.collect()] == [4]
+
+
 def test_hilbert_curve_is_continuous():
     for dims, bits in ((2, 3), (3, 2)):
         size, table = 1 << dims, hilbert.curve_table(dims)
