@@ -90,3 +90,60 @@ def test_request_without_a_vector_has_no_hits_on_either_route(spark):
     for blocked in (False, True):
         hits = knn_join(reqs, corpus, ["language"], k=2, force_blocked=blocked, block_rows=3).collect()
         assert sorted((r["request_id"], r["hit_rank"], r["corpus_id"]) for r in hits) == [(1, 1, 2), (1, 2, 1)]
+
+
+def _scan(q, ids, mat, k):
+    d = np.sqrt(((q[:, None, :] - mat[None, :, :]) ** 2).sum(axis=2))
+    return [[(int(ids[j]), float(row[j])) for j in np.lexsort((ids, row))[:k] if not np.isnan(row[j])] for row in d]
+
+
+@pytest.mark.parametrize("block", [1, 7, 4096])
+def test_tile_equals_a_plain_scan(block):
+    from segmenter.operators.knn import Tile
+    rng = np.random.default_rng(5)
+    mat = np.r_[rng.integers(0, 3, (200, 4)).astype(float), rng.normal(size=(100, 4)) * 1e-9 + 1e6, rng.normal(size=(50, 4)) * 1e200,
+                [[np.inf, 0, 0, 0], [np.nan, 0, 0, 0]]]
+    ids = rng.permutation(len(mat))
+    q = np.r_[mat[::3], rng.normal(size=(20, 4)), [[1e6] * 4], [[np.inf, 1, 1, 1]]]
+    got = [[] for _ in q]
+    with np.errstate(all="ignore"):
+        for rows, ranks, at, dist in Tile(ids, mat, None).nearest(q, 5, block):
+            for r, rank, j, d in zip(rows, ranks, at, dist):
+                assert rank == len(got[r])
+                got[r].append((int(ids[j]), float(d)))
+        assert got == _scan(q, ids, mat, 5)
+
+
+def test_scoring_memory_does_not_grow_with_the_corpus():
+    import tracemalloc
+
+    from segmenter.operators.knn import Tile
+    rng = np.random.default_rng(1)
+    tile, q = Tile(np.arange(60_000), rng.normal(size=(60_000, 16)), None), rng.normal(size=(64, 16))
+    tracemalloc.start()
+    assert sum(len(x[0]) for x in tile.nearest(q, 3, 4096)) == 64 * 3
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6, peak  # 32 requests x corpus x width in doubles would be 246 MB
+
+
+def test_blocked_route_sends_a_request_once_per_tile(spark, monkeypatch):
+    from segmenter.operators import knn
+    rows = [(i, "en", f"r{i}", [float(i % 40), float(i // 40)]) for i in range(400)] + [(1000 + i, "en", f"c{i}", [3.0, 3.0]) for i in range(50)]
+    corpus = spark.createDataFrame(rows, "id LONG, language STRING, recommendation STRING, embedding ARRAY<DOUBLE>")
+    reqs = corpus.select(F.col("id").alias("request_id"), "language", F.col("embedding").alias("query_vec"))
+    mat, ids = np.array([r[3] for r in rows]), np.array([r[0] for r in rows])
+    want = {r[0]: [i for i, _ in hits] for r, hits in zip(rows, _scan(mat, ids, mat, 3))}
+    for tile_bytes in (1 << 24, 16 * 64):  # one tile; some tiles and slices
+        monkeypatch.setattr(knn, "TILE_BYTES", tile_bytes)
+        hits = knn.knn_join(reqs, corpus, ["language"], k=3, payload=["recommendation"], force_blocked=True, block_rows=4)
+        got = {}
+        for r in sorted(hits.collect(), key=lambda r: (r["request_id"], r["hit_rank"])):
+            got.setdefault(r["request_id"], []).append(r["corpus_id"])
+        assert got == want
+    tiles = []
+    cut = knn.cut_lineage
+    monkeypatch.setattr(knn, "TILE_BYTES", 1 << 24)
+    monkeypatch.setattr(knn, "cut_lineage", lambda df, name: tiles.append((name, cut(df, name))) or tiles[-1][1])
+    knn.knn_join(reqs, corpus, ["language"], k=3, payload=["recommendation"], force_blocked=True, block_rows=4)
+    assert [(r["_tiles"], r["_slices"]) for r in dict(tiles)["knn-sizes"].collect()] == [(1, 1)]  # not one per block
