@@ -96,12 +96,18 @@ def plan_scores(df: DataFrame, recency: str = "Recency", monetary: str = "Moneta
     plan = ScorePlan(n=n)
     if n == 0:
         return plan
-    first = _stats(sel, {"R": 5, "M": 5, "F": 5})
-    if n >= 2 and strictly_increasing(first["R"]) and strictly_increasing(first["M"]):
+    ks = sel.distinct(5)
+    whole = {"R": 5, "M": 5, "F": 5}
+    # Few values seldom have five bins: then F, whose ranks go by the tie texts, waits for the route.
+    early = whole if ks["R"] == ks["M"] == 5 or n < 2 else {"R": 5, "M": 5}
+    first = _stats(sel, early)
+    main = n >= 2 and strictly_increasing(first["R"]) and strictly_increasing(first["M"])
+    if "F" not in first and (main or ks["F"] == 5):
+        first |= _stats(sel, {"F": 5})
+    if main:
         plan.r_edges, plan.m_edges, plan.f_bounds = first["R"], first["M"], first["F"]
         return plan
     plan.route = "fallback"
-    ks = sel.distinct(5)
     need = {k: ks[k] for k in cols if 2 <= ks[k] < 5 and not (k == "F" and n < 2)}
     second = _stats(sel, need) if need else {}
     for k in ("R", "M"):

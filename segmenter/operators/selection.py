@@ -52,6 +52,8 @@ class _Cell:
     n: int
     nan: int
     grid: list[float] | None
+    least: float | None = None
+    greatest: float | None = None
 
 
 @dataclass
@@ -81,6 +83,20 @@ def _chunk_of(text: bytes, i: int) -> int:
     return int.from_bytes(part.ljust(CHUNK, b"\0"), "big") * 8 + len(part)
 
 
+def _bytes_of(chunk: float) -> bytes:
+    c = int(chunk)
+    return (c >> 3).to_bytes(CHUNK, "big")[:c & 7]
+
+
+def _cell_of(ends: list[float], first: int = 0) -> str:
+    """SQL for the cell of ``key``, by binary search."""
+    if not ends:
+        return str(2 * first)
+    m = len(ends) // 2
+    return (f"if(key < {_number(ends[m])}, {_cell_of(ends[:m], first)}, "
+            f"if(key = {_number(ends[m])}, {2 * (first + m) + 1}, {_cell_of(ends[m + 1:], first + m + 1)}))")
+
+
 def _inside(w: _Want, v: float, tie: str | None) -> bool:
     """Whether a fetched row is one of those left of a want."""
     key, low, high = v, -math.inf if w.lo is None else w.lo, math.inf if w.hi is None else w.hi
@@ -113,11 +129,14 @@ class Selection:
 
     # Expressions are SQL text: some dozen ends make long ones, which Spark takes in one call.
 
+    def _part(self, name: str, start: int, length: int) -> str:
+        """Bytes of the tie, from 0."""
+        return f"substring(encode(coalesce(cast({_name(self.columns[name][1])} as string), ''), 'UTF-8'), {start + 1}, {length})"
+
     def _chunk(self, name: str, i: int) -> str:
         """Bytes 5i .. 5i+4 of the tie as a number in the order of the texts: the
         bytes, filled up with zeros, then how many there are (:func:`_chunk_of`)."""
-        tie = _name(self.columns[name][1])
-        part = f"substring(encode(coalesce(cast({tie} as string), ''), 'UTF-8'), {CHUNK * i + 1}, {CHUNK})"
+        part = self._part(name, CHUNK * i, CHUNK)
         return f"(cast(conv(rpad(hex({part}), {2 * CHUNK}, '0'), 16, 10) as double) * 8 + length({part}))"
 
     def _rows(self, rows: _Rows) -> tuple[str, str]:
@@ -125,33 +144,50 @@ class Selection:
         v = self.value[rows.name]
         if rows.tied is None:
             return f"{v} is not null", v
-        chunks = [f"{self._chunk(rows.name, i)} = {_number(c)}" for i, c in enumerate(rows.chunks)]
-        return " and ".join([f"{v} = {_number(rows.tied)}", *chunks]), self._chunk(rows.name, len(rows.chunks))
+        begin = b"".join(map(_bytes_of, rows.chunks))  # whole chunks: a text goes on after them
+        cond = f"{v} = {_number(rows.tied)}"
+        if begin:
+            cond += f" and {self._part(rows.name, 0, len(begin))} = X'{begin.hex()}'"
+        return cond, self._chunk(rows.name, len(rows.chunks))
+
+    def _between(self, w: _Want) -> str:
+        """Condition for the rows left of a want; the bytes of ties are in the order of their numbers."""
+        cond, key = self._rows(w.rows)
+        literal = _number
+        if w.rows.tied is not None:
+            key = self._part(w.rows.name, CHUNK * len(w.rows.chunks), CHUNK)
+
+            def literal(x):
+                return f"X'{_bytes_of(x).hex()}'"
+        return " and ".join([cond] + [f"{key} {op} {literal(x)}" for op, x in ((">", w.lo), ("<", w.hi)) if x is not None])
 
     def _pass(self, ends: dict[_Rows, list[float]]) -> dict[_Rows, list[_Cell]]:
         """Count and sketch of every cell, in one aggregation. Cell 2i lies
         before end i, cell 2i + 1 at it."""
         self.passes += 1
-        parts = []
+        parts, places = [], []
         for u, (rows, at) in enumerate(ends.items()):
             cond, key = self._rows(rows)
-            edges = f"array({', '.join(map(_number, at))})"
-            cell = f"size(filter({edges}, e -> e <= {key})) + size(filter({edges}, e -> e < {key}))" if at else "0"
-            parts.append(f"if({cond}, struct({u} as u, {cell} as cell, {key} as key), null)")
-        cells = self.df.selectExpr(f"inline(array_compact(array({', '.join(parts)})))")
+            parts.append(f"if({cond}, struct({u} as u, {key} as key), null)")
+            places.append(f"when {u} then {_cell_of(at)}")
+        # Keys first: they are long expressions, and every row has one place among the ends.
+        keyed = self.df.selectExpr(f"inline(array_compact(array({', '.join(parts)})))")
+        cells = keyed.selectExpr("u", f"case u {' '.join(places)} end as cell", "key")
         key = F.col("key")
-        sums = [F.count(F.lit(1)).alias("n"), F.count_if(F.isnan(key)).alias("nan"), F.kll_sketch_agg_double(key, F.lit(SKETCH_K)).alias("sketch")]
+        sums = [F.count(F.lit(1)).alias("n"), F.count_if(F.isnan(key)).alias("nan"), F.kll_sketch_agg_double(key, F.lit(SKETCH_K)).alias("sketch"),
+                F.min(key).alias("least"), F.max(key).alias("greatest")]
         if self.two_steps:
             some = cells.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(FAN))).groupBy("u", "cell", "part").agg(*sums)
             found = some.groupBy("u", "cell").agg(F.sum("n").alias("n"), F.sum("nan").alias("nan"),
-                                                  F.kll_merge_agg_double(F.col("sketch"), F.lit(SKETCH_K)).alias("sketch"))
+                                                  F.kll_merge_agg_double(F.col("sketch"), F.lit(SKETCH_K)).alias("sketch"),
+                                                  F.min("least").alias("least"), F.max("greatest").alias("greatest"))
         else:
             found = cells.groupBy("u", "cell").agg(*sums)
         grid = f"if(n > nan, kll_sketch_get_quantile_double(sketch, array({', '.join(f'{i / GRID}D' for i in range(GRID + 1))})), null) as grid"
         out = {rows: [_Cell(0, 0, None) for _ in range(2 * len(at) + 1)] for rows, at in ends.items()}
         order = list(ends)
-        for r in found.selectExpr("u", "cell", "n", "nan", grid).collect():
-            out[order[r["u"]]][r["cell"]] = _Cell(r["n"], r["nan"], r["grid"])
+        for r in found.selectExpr("u", "cell", "n", "nan", grid, "least", "greatest").collect():
+            out[order[r["u"]]][r["cell"]] = _Cell(r["n"], r["nan"], r["grid"], r["least"], r["greatest"])
         return out
 
     def _fetch(self, wants: list[_Want]) -> list[tuple[float, str | None]]:
@@ -159,8 +195,7 @@ class Selection:
         self.passes += 1
         texts = []
         for w in wants:
-            cond, key = self._rows(w.rows)
-            texts.append(" and ".join([cond] + [f"{key} {op} {_number(x)}" for op, x in ((">", w.lo), ("<", w.hi)) if x is not None]))
+            texts.append(self._between(w))
         rows = self.df.where(" or ".join(f"({t})" for t in dict.fromkeys(texts))).collect()
         answers: dict[tuple, list] = {}
         for w in wants:
@@ -182,7 +217,7 @@ class Selection:
             return _Want(w.origin, w.rank - before, _Rows(rows.name, key), n), None
         chunks = (*rows.chunks, int(key))
         if int(key) % 8 < CHUNK:  # the text ends here
-            return None, (rows.tied, b"".join((c >> 3).to_bytes(CHUNK, "big")[:c & 7] for c in chunks).decode())
+            return None, (rows.tied, b"".join(map(_bytes_of, chunks)).decode())
         return _Want(w.origin, w.rank - before, _Rows(rows.name, rows.tied, chunks), n), None
 
     def _place(self, w: _Want, ends: list[float], cells: list[_Cell]) -> tuple[_Want | None, tuple | None]:
@@ -196,6 +231,8 @@ class Selection:
             return self._settled(w, ends[i // 2], c.n, before)
         if w.rank > before + c.n - c.nan:
             return self._settled(w, math.nan, c.nan, before + c.n - c.nan)
+        if c.least is not None and c.least == c.greatest:  # one key
+            return self._settled(w, c.least, c.n, before)
         return replace(w, lo=ends[i // 2 - 1] if i else None, hi=ends[i // 2] if i // 2 < len(ends) else None,
                        base=before, inside=c.n, grid=c.grid), None
 

@@ -81,3 +81,19 @@ def test_passes_over_the_rows_only(spark):
     b = sorted((r["b"], r["t"]) for r in df.select("b", "t").collect())
     assert [got["a"][r][0] for r in (1, 150_000, 300_000)] == [a[0], a[149_999], a[-1]]
     assert [got["b"][r] for r in (60_000, 120_000)] == [b[59_999], b[119_999]]
+
+
+def test_ties_are_read_off_in_few_passes(spark):
+    from segmenter.operators.score import plan_scores
+    df = spark.range(20_000).selectExpr("cast(id % 2 as double) v", "concat('C', lpad(cast(id as string), 12, '0')) t")
+    sel = Selection(df, {"v": ("v", "t")}, small=64)
+    assert sel.at({"v": [1, 5000, 10_001]}) == {"v": {1: (0.0, f"C{0:012d}"), 5000: (0.0, f"C{9998:012d}"), 10_001: (1.0, f"C{1:012d}")}}
+    assert sel.passes <= 9  # a level of the text that all rows share takes one pass
+    sent, at = [], Selection.at
+    Selection.at = lambda self, ranks: sent.append(dict(ranks)) or at(self, ranks)
+    try:
+        plan = plan_scores(df, "v", "v", "v", "t")
+    finally:
+        Selection.at = at
+    assert (plan.route, plan.f_bins, plan.f_bounds) == ("fallback", 2, [(0.0, f"C{19998:012d}")])
+    assert [r["F"] for r in sent if "F" in r] == [[10_000]]  # the ranks of five bins, which nothing reads, are not looked for
