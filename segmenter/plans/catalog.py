@@ -565,7 +565,7 @@ def _throttled(spark: SparkSession, sf_dir: str) -> DataFrame:
     msgs = I.as_messages(I.event_stream(spark, sf_dir))
     out = throttle_events(I.until_end(msgs, marks), 5, 86400, 86400, watermark="1 day")
     with state_store(spark):
-        I.run_to_end(out, sink, ck, msgs.schema, marks)
+        I.run_to_end(out, sink, ck, msgs.schema, marks, at_once=True)  # event_stream has no rate limit here
     return spark.read.parquet(sink)
 
 

@@ -64,6 +64,35 @@ def test_mutes_end_and_messages_wait_with_the_watermark(spark):
     assert ended == {(r["user_id"], r["unmute_time"]) for r in mute_intervals(exp).collect() if r["unmute_time"] <= passed}
 
 
+def test_busy_users_and_no_user_in_one_partition(spark):
+    """A user of more messages than wait in one value, next to small users and messages without a user."""
+    src, base = (tempfile.mkdtemp(prefix="segmenter-stream-") for _ in range(2))
+    n = spark.range(12_000).withColumnRenamed("id", "event_id")
+    e = n.select("event_id", F.expr("timestamp_seconds(1704067200 + (event_id * 7919) % 1000003)").cast("timestamp_ntz").alias("ts"),
+                 F.expr("if(event_id < 9000, 1, if(event_id % 40 = 3, null, event_id % 40 + 2))").cast("long").alias("user_id"),
+                 F.lit("a").alias("event_type"), F.lit("b").alias("props"))
+    e.coalesce(1).write.mode("append").parquet(src)
+    e = spark.read.parquet(src)
+    stream = as_messages(spark.readStream.schema(e.schema).parquet(src))
+    exp = sorted((tuple(r) for r in mute_fold(as_messages(e), 3, 3600, 7200).collect()), key=str)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        for at_once in (False, True):
+            marks, sink = f"{base}/marks{at_once}", f"{base}/out{at_once}"
+            out = throttle_events(until_end(stream, marks), 3, 3600, 7200, watermark="2 days")
+            with state_store(spark):
+                run_to_end(out, sink, f"{base}/ck{at_once}", stream.schema, marks, at_once)
+            got = spark.read.parquet(sink)
+            cols = mute_fold(as_messages(e), 3, 3600, 7200).columns
+            assert sorted((tuple(r) for r in got.where("status <> 'unmuted'").select(cols).collect()), key=str) == exp
+            ended = expired_mutes(got, 7200)
+            assert sorted(map(str, ended.collect())) == sorted(map(str, mute_intervals(mute_fold(as_messages(e), 3, 3600, 7200))
+                                                                   .select("user_id", "mute_time", "unmute_time").collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_last_seen_stream_equals_batch(spark):
     src, e = jittered_files(spark)
     base = tempfile.mkdtemp(prefix="segmenter-stream-out-")
