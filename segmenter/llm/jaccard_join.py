@@ -22,12 +22,14 @@ Answer-level skipping: each list block has a pivot, its first set. Overlaps with
 the pivot are computed first. For two sets y, z of the block they bound the
 overlap of y and z: at most the pivot's overlap with z and what y has beside the
 pivot. Pairs below the needed overlap are skipped, and so are pairs whose sets
-the links found so far connect already, since components are asked for. A group
-of near copies thus costs one comparison a set, not all pairs.
+the links found so far connect already, since components are asked for. Where a
+list still holds several groups, other sets of it, drawn by hash, are pivots in
+turn, and a set is compared with one pivot of each group that it met. A group of
+near copies thus costs a few comparisons a set, not all pairs.
 
 A pair that shares many prefix tokens would be met in as many lists. An entry
-holds the first tokens of its set, and a pair that has one of them in common was
-met, and judged, in that token's list.
+holds the tokens just before its own in the set's order, and a pair that has one
+of them in common was met, and judged, in that token's list or in an earlier one.
 
 Pairs are also skipped by a small sketch of each set, the parities of its tokens in
 hash buckets: linked sets cannot differ in more bits than they may differ in
@@ -91,6 +93,7 @@ BLOCK = ("block long, doc_ids array<long>, text_hash array<long>, n array<int>,
          "sketch array<array<long>>, counted binary, offsets binary, tokens binary")
 _SKETCH = 8  # words of 64 bits
 HEAD = 3  # tokens of a list entry's head
+TURNS = 2  # of further pivots
 
 
 def _blocks(table, n: int, keep: Fraction, bound: int, block_bytes: int):
@@ -166,7 +169,7 @@ def _frequencies(blocks: DataFrame, keys_per_range: int) -> DataFrame:
 
 def _prefix_entries(keep: Fraction):
     """List entries (token, block, at, n, pos, head) of the shared tokens in the
-    prefixes; ``at``: the set's place in its block, ``head``: the set's tokens of
+    prefixes; ``at``: the set's place in its block, ``head``: the set's tokens just
     before, ``HEAD`` at most."""
 
     def run(batches):
@@ -199,9 +202,8 @@ def _prefix_entries(keep: Fraction):
                 of = doc[entry]
                 nth = np.arange(len(entry)) - np.searchsorted(of, of)
                 before = np.minimum(nth, HEAD)
-                first_of = np.repeat(np.arange(len(entry)) - nth, before)
                 ends = np.r_[0, np.cumsum(before)]
-                heads = tok[entry][first_of + np.arange(ends[-1]) - np.repeat(ends[:-1], before)]
+                heads = tok[entry][np.arange(ends[-1]) + np.repeat(np.arange(len(entry)) - before - ends[:-1], before)]
                 yield pa.RecordBatch.from_pydict({
                     "token": pa.array(tk.signed(tok[entry])), "block": pa.array(np.full(len(entry), row["block"], np.int64)),
                     "at": pa.array(of.astype(np.int32)),
@@ -229,10 +231,12 @@ def _wanted_sets(table, n: int, bits):
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, keep: Fraction) -> DataFrame:
-    """(a, b, overlap, linked) of candidate pairs, on the full sets."""
-    a = sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a"))
-    b = sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b"))
-    both = pairs.join(a, "a").join(b, "b").select(
+    """(a, b, overlap, linked) of candidate pairs, on the full sets. Only sets of
+    pairs are shuffled: the written pairs have a known size, so few are broadcast."""
+    pairs = tk.cut_lineage(pairs, "pairs")
+    one = sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")).join(pairs, "a")
+    other = sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")).join(pairs, "b")
+    both = one.join(other, ["a", "b"]).select(
         "a", "b", F.size("set_a").alias("na"), F.size("set_b").alias("nb"),
         F.size(F.array_intersect("set_a", "set_b")).alias("overlap"))
     linked = F.col("overlap") * keep.denominator >= (F.col("na") + F.col("nb") - F.col("overlap")) * keep.numerator
@@ -297,6 +301,28 @@ def _groups(docs: DataFrame, n: int, keep: Fraction, table, block_bytes: int, ke
              .select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
     known = tk.cut_lineage(_verify(first, sets, keep), "pivot_pairs")
     groups = tk.connected_components(known.where("linked").select("a", "b").union(joined.where("a <> b")))
+    # What two linked sets may differ in, against what their sketches say at least.
+    apart = " + ".join(f"bit_count(y_sketch[{i}] ^ z_sketch[{i}])" for i in range(_SKETCH))
+    alike = F.expr(f"coalesce(({apart}) * {num + den} <= (y_n + z_n) * {den - num}, true)")
+    judged = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # Further pivots, for lists of several groups; a size class meets the next one in one of two turns.
+    for turn in range(TURNS):
+        member = (lists.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
+                  .withColumn("group", F.coalesce("component", "rep")).withColumn("band", F.floor((F.col("cls") + turn) / 2)))
+        drawn = (member.groupBy("token", "band").agg(
+            F.min_by(F.struct("rep", "n", "pos", "group"), F.xxhash64("token", "rep", F.lit(turn))).alias("p"),
+            F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi")
+            .select("token", "band", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp"), F.col("p.group").alias("pg")))
+        met = (member.join(drawn, ["token", "band"]).where((F.col("group") != F.col("pg")) & enough("n", "pos", "pn", "pp"))
+               .groupBy("rep", "pg").agg(F.min("pivot").alias("pivot")))
+        sketches = reps.select("rep", "n", "sketch")
+        pairs = (met.join(sketches.toDF("rep", "y_n", "y_sketch"), "rep").join(sketches.toDF("pivot", "z_n", "z_sketch"), "pivot").where(alike)
+                 .select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+                 .join(judged, ["a", "b"], "left_anti"))
+        tested = tk.cut_lineage(_verify(pairs, sets, keep).select("a", "b", "linked"), "more_pairs")
+        judged = judged.union(tested.select("a", "b"))
+        groups = tk.connected_components(groups.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+                                         .union(tested.where("linked").select("a", "b")))
     # Then what the pivots leave open: pairs of a list that are not connected yet.
     open_ = (led.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
              .withColumn("group", F.coalesce("component", "rep")).drop("component"))
@@ -313,13 +339,10 @@ def _groups(docs: DataFrame, n: int, keep: Fraction, table, block_bytes: int, ke
                        *[F.col(c).alias(f"z_{c}") for c in ("rep", "n", "pos", "head", "pivot", "o", "group", "sketch")])
     need = f"ceil((y_n + z_n) * {num} / {num + den}.0D - 1e-9)"
     bounded = F.expr(f"y_pivot <> z_pivot or coalesce(least(z_o + y_n - y_o, y_o + z_n - z_o) >= {need}, true)")
-    # What two linked sets may differ in, against what their sketches say at least.
-    apart = " + ".join(f"bit_count(y_sketch[{i}] ^ z_sketch[{i}])" for i in range(_SKETCH))
-    alike = F.expr(f"coalesce(({apart}) * {num + den} <= (y_n + z_n) * {den - num}, true)")
     once = F.expr("y_cls < block or y_rep < z_rep")
     rest = (y.join(z, ["token", "block"]).where(F.expr("y_group <> z_group and not arrays_overlap(y_head, z_head)") & once & enough("y_n", "y_pos", "z_n", "z_pos") & alike & bounded)
             .select(F.least("y_rep", "z_rep").alias("a"), F.greatest("y_rep", "z_rep").alias("b")).distinct()
-            .join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+            .join(judged, ["a", "b"], "left_anti"))
     late = tk.cut_lineage(_verify(rest, sets, keep).where("linked"), "late_pairs")
     # Join the groups that late links connect.
     named = groups.withColumnRenamed("component", "g")

@@ -350,6 +350,23 @@ def test_jaccard(docs, n, keep):
 
 
 
+def test_two_sets_meet_once_whatever_they_share():
+    # All tokens are counted twice; the first three of either set are its own neighbours' tokens.
+    import pyarrow as pa
+
+    def entries(block, tokens):
+        tok = np.array(tokens, np.uint64)
+        row = {"block": block, "doc_ids": [block], "n": [len(tok)], "counted": np.array([len(tok)], np.int32).tobytes(),
+               "offsets": np.array([0, len(tok)], np.int64).tobytes(), "tokens": tok.tobytes(),
+               "answers": [{"part": 0, "df": np.full(len(tok), 2, np.uint16).tobytes()}]}
+        found = next(jaccard_join._prefix_entries(Fraction(1, 2))([pa.RecordBatch.from_pylist([row])])).to_pylist()
+        return {e["token"]: set(e["head"]) for e in found}
+
+    y, z = entries(0, range(10, 50)), entries(1, [4, 5, 6, *range(13, 50)])
+    assert len(y.keys() & z.keys()) > 10
+    assert [t for t in sorted(y.keys() & z.keys()) if not y[t] & z[t]] == [13]
+
+
 def test_jaccard_repeated_ids_keep_all_texts(spark):
     # Each id leads classes of several texts; every text has a near copy under an id of its own.
     rows = []
