@@ -24,9 +24,11 @@ file, a table that Spark commits) names the files of the attempts that count
 and gives the global position of each file's first id, a distributed prefix
 sum; files of other attempts are never read.
 
-Tokenising: a text is cut at ASCII blanks and line ends, where no token can
-continue, and each distinct piece is encoded once by the tokenizers library and
-kept in a table of bounded size, which serves all tasks of a Python worker.
+Tokenising: a column of texts is cut at ASCII blanks and line ends and before
+closing punctuation, where no token can continue, and its pieces become an Arrow
+dictionary. Each distinct piece is looked up once a column, encoded once by the
+tokenizers library and kept in a table of bounded size, which serves all tasks
+of a Python worker.
 Strings of special tokens get those tokens' ids, as the library does by default;
 ``special_as_text`` makes them ordinary text.
 
@@ -149,7 +151,7 @@ def open_store(uri: str):
 class PieceEncoder:
     """Encodes texts with a tokenizer whose tokens never cross blanks, through a
     table of at most about ``limit`` strings. A full table keeps the strings that
-    several texts held since the last time it was full. Strings of special
+    were met several times since the last time it was full. Strings of special
     tokens get their own ids, as the library gives them, unless ``special_as_text``."""
 
     def __init__(self, path: str, limit: int = 600_000, special_as_text: bool = False):
@@ -181,29 +183,69 @@ class PieceEncoder:
             return (self._lower(body), piece[len(body):])
         return (self._lower(piece),)
 
+    def cut(self, col) -> tuple:
+        """(pieces of the texts of an Arrow column, number of pieces of each): cut at
+        blanks, and before closing punctuation after an ASCII letter or digit."""
+        import pyarrow as pa
+
+        buf, off = tk.text_buffer(col)
+        kind = _KIND[buf]
+        word = kind > 0
+        first = word.copy()  # starts of pieces
+        first[1:] &= ~word[:-1]
+        heads = off[:-1][off[:-1] < off[1:]]
+        first[heads] = word[heads]
+        starts = np.flatnonzero(first)
+        # Of each piece, the last byte that is no closing punctuation.
+        inner = np.flatnonzero(kind > 1)
+        upto = np.cumsum(kind > 1)[np.r_[starts[1:], len(buf)][:len(starts)] - 1]
+        at = inner[np.maximum(upto - 1, 0)] if len(inner) else starts
+        more = at[(at >= starts) & (kind[at] == 3)] + 1
+        more = more[more < len(buf)]
+        first[more[kind[more] == 1]] = True
+        # A cut at a text's start is there already, so none joins two texts.
+        starts = np.flatnonzero(first)
+        ends = np.cumsum(word)
+        at = np.r_[ends[starts] - 1, ends[-1] if len(ends) else 0].astype(np.int64)
+        pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(buf[word]))
+        return pieces, np.diff(np.searchsorted(starts, off))
+
+    def _fold(self, words):
+        """Distinct pieces, ASCII ones in lower case (see ``_lower``)."""
+        import pyarrow.compute as pc
+
+        plain = pc.string_is_ascii(words)
+        for mark in self.marks:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(words, mark)))
+        return pc.if_else(plain, pc.ascii_lower(words), words)
+
     def _add(self, x: str, ids) -> None:
         self.pieces[x] = len(self.ends) - 1
         self.flat.extend(ids)
         self.ends.append(len(self.flat))
 
     def _learn(self, new: list[str]) -> None:
-        split, pieces, flat, ends = [self.split(p) for p in new], self.pieces, self.flat, self.ends
-        todo = {x for xs in split for x in xs if x not in pieces}
+        pieces = self.pieces
         # An ASCII lower-case word is its own byte-level form and a single pre-token.
-        plain = [w for w in todo if w.isascii() and w.isalpha()]
-        tokenize = self.tok.model.tokenize
-        for w in plain:
-            self._add(w, [t.id for t in tokenize(w)])
-        rest = list(todo.difference(plain))
-        for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+        tokenize, other, several = self.tok.model.tokenize, [], []
+        for w in new:
+            if w.isalpha() and w.isascii() and w.islower():
+                self._add(w, [t.id for t in tokenize(w)])
+            elif w[-1] in ".,;:!?":
+                several.append((w, self.split(w)))
+            else:
+                other.append(w)
+        other += {x for _, xs in several for x in xs if x not in pieces}.difference(other)
+        for w, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False), strict=True):
             self._add(w, e.ids)
-        for p, xs in zip(new, split, strict=True):
-            if p not in pieces:
+        flat, ends = self.flat, self.ends
+        for w, xs in several:
+            if w not in pieces:
                 ids = array("i")
                 for x in xs:
                     k = pieces[x]
                     ids += flat[ends[k]:ends[k + 1]]
-                self._add(p, ids)
+                self._add(w, ids)
 
     def _shrink(self, keep: set[str]) -> None:
         """Keeps the strings of ``keep`` that are known and those with several
@@ -217,30 +259,46 @@ class PieceEncoder:
             self._add(p, flat[ends[k]:ends[k + 1]])
         self.hits = np.zeros(0, np.int32)
 
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, list[int]]:
-        """(ids of all texts, each closed by ``end_id``; number of ids of each)."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        seen = set().union(*split)
-        new = seen.difference(self.pieces)
+    def encode(self, texts, end_id: int) -> tuple[np.ndarray, list[int]]:
+        """(ids of all texts, each closed by ``end_id``; number of ids of each) of
+        a list or an Arrow column. Each distinct piece is looked up once."""
+        import pyarrow as pa
+
+        col = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
+        words, count = self.cut(col)
+        words = words.dictionary_encode()
+        folded = self._fold(words.dictionary).dictionary_encode()
+        seen = folded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [p for p in seen if p not in self.pieces]
         if len(self.pieces) + len(new) > self.limit:
-            self._shrink(seen)
-        self._learn(list(new))
+            self._shrink(set(seen))
+            new = [p for p in seen if p not in self.pieces]
+        self._learn(new)
         flat, ends = np.array(self.flat, np.int32), np.array(self.ends, np.int64)
-        self.hits = hits = np.r_[self.hits, np.zeros(len(ends) - 1 - len(self.hits), np.int32)]
-        lens, out = [], []
-        get = self.pieces.__getitem__
-        for ps in split:
-            k = np.fromiter(map(get, ps), np.int64, len(ps))
-            hits[k] += 1  # once a text
-            n = ends[k + 1] - ends[k]
-            total = int(n.sum())
-            ids = np.empty(total + 1, np.int32)
-            if total:
-                ids[:-1] = flat[np.arange(total) + np.repeat(ends[k] - np.cumsum(n) + n, n)]
-            ids[-1] = end_id
-            out.append(ids)
-            lens.append(total + 1)
-        return np.concatenate(out) if out else np.empty(0, np.int32), lens
+        slot = np.fromiter(map(self.pieces.__getitem__, seen), np.int64, len(seen))
+        at = np.asarray(folded.indices)[np.asarray(words.indices)]
+        hits = np.r_[self.hits, np.zeros(len(ends) - 1 - len(self.hits), np.int32)]
+        hits[slot] += np.bincount(at, minlength=len(seen)).astype(np.int32)
+        self.hits = hits
+        # The end id is a piece of each text, behind its others.
+        close = np.cumsum(count + 1) - 1
+        body = np.ones(len(at) + len(col), bool)
+        body[close] = False
+        begin, n = np.zeros(len(body), np.int64), np.ones(len(body), np.int64)
+        begin[body], n[body] = ends[slot][at], np.diff(ends)[slot][at]
+        stop = np.cumsum(n)
+        ids = np.arange(int(stop[-1]) if len(stop) else 0)
+        ids += np.repeat(begin - stop + n, n)
+        ids = flat[ids] if len(flat) else np.empty(len(ids), np.int32)
+        ids[stop[close] - 1] = end_id
+        return ids, np.diff(np.r_[0, stop[close]]).tolist()
+
+
+# Kinds of bytes: 0 blanks and line ends, 1 closing punctuation, 3 ASCII letters and digits, 2 others.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[[9, 10, 13, 32]] = 0
+_KIND[list(b".,;:!?")] = 1
+_KIND[np.r_[48:58, 65:91, 97:123]] = 3
 
 
 @lru_cache(maxsize=1)
@@ -283,7 +341,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, vocabulary: int, end_i
 
         for batch in batches:
             for part in tk.slices(batch, "text", 4 << 20):
-                x, n = encoder.encode([t or "" for t in part.column("text").to_pylist()], end_id)
+                x, n = encoder.encode(part.column("text"), end_id)
                 ids.append(x)
                 lens += n
                 doc_ids += part.column("doc_id").to_pylist()

@@ -166,6 +166,19 @@ def test_piece_encoder_equals_the_library():
             assert got == want
 
 
+def test_piece_encoder_cuts_a_column_into_few_strings():
+    """An Arrow column with a null, an offset and texts that meet at a mark; a word has one entry, whatever its case and closing marks."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    texts = ["skipped", "The cat, the CAT!", None, "", "...", "cat", "...the", "a.b.", "caf\u00e9, caf\u00e9", "\n x\t\r"]
+    enc = tokenpack.PieceEncoder(P.path("word_bpe_49k.json"))
+    ids, lens = enc.encode(pa.array(texts, pa.string())[1:], 1)
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = [[*tok.encode(t or "", add_special_tokens=False).ids, 1] for t in texts[1:]]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == want
+    assert set(enc.pieces) == {"the", "cat", ",", "!", "...", "...the", "a.b", ".", "caf\u00e9", "caf\u00e9,", "x"}
+
+
 def brute_hits(items, n=10):
     windows = {}
     for i, t in items:
